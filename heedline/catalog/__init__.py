@@ -3,6 +3,8 @@ SQL that states the expected result independently."""
 
 from heedline.catalog import (  # noqa: F401 - importing registers the queries
     expressions,
+    linking,
+    nested,
     selection,
 )
 from heedline.catalog.registry import REGISTRY, queries, oracle_sql

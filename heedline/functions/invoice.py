@@ -5,15 +5,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heedline import schemas
-from heedline.functions.text import col, strip
+from heedline.functions.text import col, let, strip
 
 
 def _stripped(value: Column, kind: T.DataType) -> Column:
-    """Strip every string inside ``value``, whatever its nesting."""
+    """Strip every string inside ``value``, whatever its nesting; absent lists become empty."""
     if isinstance(kind, T.StringType):
         return strip(value)
     if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: _stripped(x, kind.elementType))
+        items = F.transform(value, lambda x: _stripped(x, kind.elementType))
+        return F.coalesce(items, F.array().cast(kind))
     if isinstance(kind, T.StructType):
         fields = [_stripped(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
         return F.when(value.isNotNull(), F.struct(*fields))
@@ -21,18 +22,8 @@ def _stripped(value: Column, kind: T.DataType) -> Column:
 
 
 def parse_invoice(json: Column | str) -> Column:
-    """InvoiceData struct; absent lists become empty ones."""
-    record = _stripped(F.from_json(col(json), schemas.INVOICE), schemas.INVOICE)
-    for name in ("iban", "line_items"):
-        empty = F.array().cast(schemas.INVOICE[name].dataType)
-        record = record.withField(name, F.coalesce(record[name], empty))
-    items = F.transform(
-        record["line_items"],
-        lambda item: item.withField(
-            "attributes", F.coalesce(item["attributes"], F.array().cast("array<string>"))
-        ),
-    )
-    return record.withField("line_items", items)
+    """Invoice record, read once from its JSON text."""
+    return let(F.from_json(col(json), schemas.INVOICE), lambda r: _stripped(r, schemas.INVOICE))
 
 
 _REQUIRED = ("company_name", "amount", "currency", "payment_reference")

@@ -54,17 +54,21 @@ def fetched(refs: DataFrame, bodies: DataFrame) -> DataFrame:
     )
 
 
-def stored_path_for_message(rows: DataFrame, atts: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+def stored_path_for_message(
+    rows: DataFrame, atts: DataFrame, listing: DataFrame | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """Adds ``message_path``: the ready path already stored for this very attachment."""
     known = ready_documents(atts, listing).where(text.filled("gmail_attachment_id").isNotNull())
     paths = known.groupBy("message_id", F.col("gmail_attachment_id").alias("attachment_id")).agg(
         F.min("local_path").alias("message_path")
     )
     row_id = F.concat_ws(" ", "message_id", "attachment_id", "part_path")
-    return lookup_join(rows, paths, ["message_id", "attachment_id"], "left", row_id)
+    return lookup_join(rows, paths, ["message_id", "attachment_id"], "left", row_id, counted=counted)
 
 
-def stored_path_for_content(rows: DataFrame, atts: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+def stored_path_for_content(
+    rows: DataFrame, atts: DataFrame, listing: DataFrame | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """Adds ``content_path``: a ready path holding the same bytes, and its PDF's hash.
 
     The smallest path is taken, so repeated runs agree.
@@ -77,7 +81,7 @@ def stored_path_for_content(rows: DataFrame, atts: DataFrame, listing: DataFrame
         F.col("best.pdf_hash").alias("content_pdf_hash"),
     )
     row_id = F.concat_ws(" ", "message_id", "attachment_id", "part_path")
-    return lookup_join(rows, paths, ["content_hash"], "left", row_id)
+    return lookup_join(rows, paths, ["content_hash"], "left", row_id, counted=counted)
 
 
 def save_plan(
@@ -101,14 +105,15 @@ def save_plan(
     """
     wall = dates.message_wall("date", F.col("feed_millis") if "feed_millis" in rows.columns else F.lit(None), as_of)
     raw_path = F.concat(F.lit(root), text.document_path(wall, "from_addr", "message_id", "filename"))
-    found = stored_path_for_content(stored_path_for_message(rows, atts, listing), atts, listing)
+    found = stored_path_for_message(rows, atts, listing, counted=rows)
+    found = stored_path_for_content(found, atts, listing, counted=rows)
     found = found.withColumn("raw_path", raw_path)
     row_id = F.concat_ws(" ", "message_id", "attachment_id", "part_path")
     if converted is None:
         found = found.withColumn("pdf_hash", F.lit(None).cast("string"))
     else:
         known = converted.groupBy("content_hash").agg(F.min("pdf_hash").alias("pdf_hash"))
-        found = lookup_join(found, known, ["content_hash"], "left", row_id)
+        found = lookup_join(found, known, ["content_hash"], "left", row_id, counted=rows)
 
     native = text.is_pdf_path("raw_path")
     fresh = F.col("message_path").isNull() & F.col("content_path").isNull()
@@ -123,7 +128,7 @@ def save_plan(
         .groupBy("content_hash")
         .agg(F.min(F.struct("place", "path")).alias("first"))
     )
-    joined = lookup_join(found, first, ["content_hash"], "left", row_id)
+    joined = lookup_join(found, first, ["content_hash"], "left", row_id, counted=rows)
     leads = joined.withColumn("place", place)
     before = F.col("first").isNull() | (F.col("place") < F.col("first.place"))
     status = (

@@ -7,6 +7,9 @@ attaches the same file for years.  A plain shuffle join sends all of them to one
 ``lookup_join`` spreads each hot key over several tasks: its left rows get a salt taken from a
 row id, its one right row is repeated per salt.  Rows with a NULL key match nothing, but an
 outer or anti join still shuffles them, so they are spread as well.
+
+Counting keys is a pass of its own (over the key column only), so a left side whose planned
+size would fit one task anyway is joined directly.
 """
 
 from collections.abc import Sequence
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 
 # A key is hot from this many rows on, and is split into pieces of about this size.
 HOT_ROWS = 1_000_000
+# A left side planned below this size is one task's work whatever its keys are.
+ONE_TASK_BYTES = 64 * 1024 * 1024
 # Hard bound on the hot-key list, which is broadcast: at most this many (key, count) rows.
 # A key beyond the bound is still joined exactly, only unsalted.
 MAX_HOT_KEYS = 10_000
@@ -37,13 +42,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return top.select(*keys, pieces.alias(_PIECES))
 
 
-def _null_safe_rename(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate: file sizes for scans, overestimated for joins."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _renamed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
 
 
 def _with_pieces(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach the piece count of each row's key; the hot list is bounded, hence broadcast."""
-    right = F.broadcast(_null_safe_rename(hot, keys, "__hot_"))
+    right = F.broadcast(_renamed(hot, keys, "__hot_"))
     match = [df[k] == right[f"__hot_{k}"] for k in keys]
     return df.join(right, match, "left").drop(*[f"__hot_{k}" for k in keys])
 
@@ -62,10 +72,13 @@ def lookup_join(
     ``spread`` is any left-side value that differs among the rows of one key, normally the row
     id.  ``counted`` names where to count keys when that is cheaper than ``left`` itself, such
     as the stored table ``left`` was filtered from: salting a key that is no longer hot is
-    harmless.
+    harmless.  ``hot_rows`` overrides the threshold and always counts.
     """
     keys = list(on)
-    hot = hot_keys(left if counted is None else counted, keys, hot_rows or HOT_ROWS)
+    basis = left if counted is None else counted
+    if hot_rows is None and planned_bytes(basis) <= ONE_TASK_BYTES:
+        return left.join(right, keys, how)
+    hot = hot_keys(basis, keys, hot_rows or HOT_ROWS)
     row_hash = F.xxhash64(F.col(spread) if isinstance(spread, str) else spread)
     any_null = F.lit(False)
     for k in keys:

@@ -49,8 +49,9 @@ def save_attachments(
     write the contents that are new.
     """
     got = attachments.fetched(refs, bodies)
+    hashed = durable(got.drop("content"), "attachment-hashes")
     stored = box.attachments.read()
-    plan = durable(attachments.save_plan(got.drop("content"), stored, as_of, "", converted, listing), "attachment-plan")
+    plan = durable(attachments.save_plan(hashed, stored, as_of, "", converted, listing), "attachment-plan")
     if content_folder is not None:
         keys = ["message_id", "attachment_id", "part_path"]
         winners = plan.where(F.col("status") == "downloaded").select(*keys, "raw_path", "path", "status")
