@@ -35,7 +35,7 @@ UNION ALL SELECT local_path, content_hash FROM atts WHERE local_path IS NOT NULL
 )
 def task_hash(v: Views) -> DataFrame:
     documents = v.attachments.where(text.is_pdf_path("local_path")).withColumns(
-        {c: F.lit(None).cast("string") for c in ("from_addr", "date", "internal_date")}
+        {c: F.lit(None).cast("string") for c in ("from_addr", "date", "date_wall", "internal_date")}
     )
     tasks = email_tasks(v.messages).unionByName(document_tasks(documents))
     return tasks.select("task_id", "content_hash")

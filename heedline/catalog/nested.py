@@ -259,7 +259,7 @@ def gist_validation(v: Views) -> DataFrame:
     variants = F.array(*[F.lit(json) for json, _ in _VARIANTS])
     doc = F.col("doc_id")
     json = F.replace(F.get(variants, (doc % len(_VARIANTS)).cast("int")), F.lit("%d"), doc.cast("string"))
-    rows = v.table("documents").select("doc_id", gist.parse_gist(json).alias("p"))
+    rows = v.table("documents").select("doc_id", json.alias("json")).select("doc_id", gist.parse_gist("json").alias("p"))
     return rows.select(
         "doc_id", "p.valid", "p.reason", "p.gist.sender", "p.gist.amount", "p.gist.frivolous", "p.gist.critical", "p.gist.error"
     )

@@ -15,7 +15,6 @@ from heedline.plans import gists, views as plan_views
 from heedline.sources import landing, tables
 
 NOT_SENT_SQL = "(label_ids IS NULL OR label_ids NOT LIKE '%\"SENT\"%')"
-_N = F.count(F.lit(1))
 
 # ---- tables -------------------------------------------------------------------------------
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from heedline import constants as C
-from heedline.functions.text import col, filled, left, let, or_empty
+from heedline.functions.text import col, filled, left, let, let_sql, or_empty, sql_list
 
 # Optional weekday, then either "20 Apr 2026", "20-Apr-2026" or "Apr 20 2026", a clock time
 # and a zone.  Groups: day, month, month, day, year, hour, minute, second, zone.
@@ -27,77 +27,46 @@ def as_of_date(as_of: Column | str | dt.date) -> Column:
     return as_of.cast("date") if isinstance(as_of, Column) else F.lit(as_of).cast("date")
 
 
-def _fields(header: Column | str) -> Column:
-    """All parts of a mail date by one regex pass: an array of ten texts, or something shorter."""
-    return F.split(F.regexp_replace(or_empty(header), _DATE_PATTERN, _FIELDS), _SEP)
+def _zone_offset_sql() -> str:
+    """Seconds east of UTC of the zone text ``z``; NULL for none, -0000 or an unknown name."""
+    named = " ".join(f"WHEN '{zone}' THEN {hhmm}" for zone, hhmm in C.ZONE_HHMM.items())
+    number = "try_cast(z AS int)"
+    hhmm = f"CASE WHEN z LIKE '-%' AND {number} = 0 THEN NULL ELSE CASE z {named} ELSE {number} END END"
+    seconds = "cast(signum(n) * (floor(abs(n) / 100) * 3600 + abs(n) % 100 * 60) AS bigint)"
+    return let_sql("n", hhmm, seconds)
 
 
-def _int(parts: Column, i: int) -> Column:
-    return F.get(parts, F.lit(i)).try_cast("int")
-
-
-def _text(parts: Column, i: int) -> Column:
-    return filled(F.get(parts, F.lit(i)))
-
-
-def _month(name: Column) -> Column:
-    names = F.array(*[F.lit(m) for m in C.MONTHS_SHORT + C.MONTHS_LONG])
-    return let(
-        F.array_position(names, F.lower(name)),
-        lambda at: F.when(at > 0, (at - 1) % 12 + 1).cast("int"),
-    )
-
-
-def _offset_seconds(zone: Column) -> Column:
-    """Offset from UTC; NULL when the header names no zone (or -0000, or an unknown one)."""
-    zones = F.create_map(*[F.lit(x) for pair in C.ZONE_HHMM.items() for x in pair])
-    hhmm = F.coalesce(F.try_element_at(zones, zone), zone.try_cast("int"))
-
-    def seconds(n: Column) -> Column:
-        size = F.abs(n)
-        return (F.signum(n) * (F.floor(size / 100) * 3600 + size % 100 * 60)).cast("long")
-
-    naive = F.startswith(zone, F.lit("-")) & (zone.try_cast("int") == 0)
-    return F.when(~F.coalesce(naive, F.lit(False)), let(hhmm, seconds))
-
-
-def mail_date(header: Column | str) -> Column:
-    """A mail date header as struct<year, month, day, wall, utc_offset>.
+def mail_date(header: str) -> Column:
+    """A mail date column as struct<year, month, day, wall, utc_offset>.
 
     ``wall`` is the header's own clock, NULL when it cannot be read; ``utc_offset`` is in
     seconds, NULL for a naive date.  Read the header once and take the fields you need.
-    """
-
-    def numbers(p: Column) -> Column:
-        return F.struct(
-            _int(p, 4).alias("y"),
-            _month(F.coalesce(_text(p, 1), _text(p, 2))).alias("month"),
-            F.coalesce(_int(p, 0), _int(p, 3)).alias("day"),
-            _int(p, 5).alias("hour"),
-            _int(p, 6).alias("minute"),
-            F.coalesce(_int(p, 7), F.lit(0)).alias("second"),
-            _offset_seconds(F.upper(F.coalesce(_text(p, 8), _text(p, 9)))).alias("utc_offset"),
-        )
-
-    def dated(n: Column) -> Column:
-        y = n["y"]
-        year = F.when(y >= 100, y).when(y > 68, y + 1900).otherwise(y + 2000)
-        wall = F.try_make_timestamp_ntz(
-            year, n["month"], n["day"], n["hour"], n["minute"], n["second"].cast("decimal(8,6)")
-        )
-        in_range = (n["second"] < 60) & (F.abs(F.coalesce(n["utc_offset"], F.lit(0))) < 86400)
-        return F.struct(
-            year.alias("year"),
-            n["month"].alias("month"),
-            n["day"].alias("day"),
-            F.when(in_range, wall).alias("wall"),
-            n["utc_offset"].alias("utc_offset"),
-        )
-
-    return let(let(_fields(header), numbers), dated)
 
-
-def mail_wall(header: Column | str) -> Column:
+    One regex pass cuts the header into ten texts; the rest works on those.  It is SQL text
+    because each field is used several times and must be computed once.
+    """
+    pieces = f"split(regexp_replace(coalesce({header}, ''), r'{_DATE_PATTERN}', '{_FIELDS}'), '{_SEP}')"
+    months = f"array({sql_list(C.MONTHS_SHORT + C.MONTHS_LONG)})"
+    either = "nullif(coalesce(nullif(get(p, {}), ''), get(p, {})), '')"
+    month_at = f"array_position({months}, lower({either.format(1, 2)}))"
+    numbers = f"""named_struct(
+      'y', try_cast(get(p, 4) AS int),
+      'month', {let_sql("at", month_at, "CASE WHEN at > 0 THEN cast((at - 1) % 12 + 1 AS int) END")},
+      'day', try_cast({either.format(0, 3)} AS int),
+      'hour', try_cast(get(p, 5) AS int),
+      'minute', try_cast(get(p, 6) AS int),
+      'second', coalesce(try_cast(get(p, 7) AS int), 0),
+      'utc_offset', {let_sql("z", f"upper({either.format(8, 9)})", _zone_offset_sql())})"""
+    with_year = "named_struct('n', n, 'year', CASE WHEN n.y >= 100 THEN n.y WHEN n.y > 68 THEN n.y + 1900 ELSE n.y + 2000 END)"
+    dated = """named_struct(
+      'year', d.year, 'month', d.n.month, 'day', d.n.day,
+      'wall', CASE WHEN d.n.second < 60 AND abs(coalesce(d.n.utc_offset, 0)) < 86400
+        THEN try_make_timestamp_ntz(d.year, d.n.month, d.n.day, d.n.hour, d.n.minute, cast(d.n.second AS decimal(8,6))) END,
+      'utc_offset', d.n.utc_offset)"""
+    return F.expr(let_sql("d", let_sql("n", let_sql("p", pieces, numbers), with_year), dated))
+
+
+def mail_wall(header: str) -> Column:
     return mail_date(header)["wall"]
 
 
@@ -107,7 +76,7 @@ def epoch_of(mail: Column) -> Column:
     return wall - F.coalesce(mail["utc_offset"], F.lit(0))
 
 
-def mail_epoch(header: Column | str) -> Column:
+def mail_epoch(header: str) -> Column:
     return let(mail_date(header), epoch_of)
 
 
@@ -124,7 +93,7 @@ def sort_key_of(mail: Column) -> Column:
     return F.coalesce(F.concat(iso, F.coalesce(offset_text(mail["utc_offset"]), F.lit(""))), F.lit(""))
 
 
-def date_sort_key(header: Column | str) -> Column:
+def date_sort_key(header: str) -> Column:
     return let(mail_date(header), sort_key_of)
 
 
@@ -138,11 +107,11 @@ def short_date_of(wall: Column, raw: Column | str, as_of: Column | str | dt.date
     )
 
 
-def short_date(header: Column | str, as_of: Column | str | dt.date) -> Column:
+def short_date(header: str, as_of: Column | str | dt.date) -> Column:
     return let(mail_wall(header), lambda wall: short_date_of(wall, header, as_of))
 
 
-def simple_date(header: Column | str) -> Column:
+def simple_date(header: str) -> Column:
     """y-mm-dd as written, even for an impossible day; raw text if unreadable."""
 
     def shown(m: Column) -> Column:
@@ -154,7 +123,7 @@ def simple_date(header: Column | str) -> Column:
 
 
 def message_wall(
-    header: Column | str, feed_millis: Column | str, as_of: Column | str | dt.date
+    header: str, feed_millis: Column | str, as_of: Column | str | dt.date
 ) -> Column:
     """Wall clock of a message: header, else the feed's own instant, else ``as_of``."""
     millis = filled(col(feed_millis).cast("string")).try_cast("long")

@@ -9,117 +9,91 @@ from pyspark.sql import functions as F
 from heedline import constants as C
 from heedline import schemas
 from heedline.functions import dates
-from heedline.functions.text import col, display_sender, filled, left, let, or_empty
+from heedline.functions.text import col, display_sender, filled, left, let_sql, or_empty, sql_list
 
 _NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 _NUMBER_WORD = r"(?i)^\s*[+-]?(?:inf|infinity|nan)\s*$"
 _NUMBER_KIND = r"^(?:BIGINT|DOUBLE|DECIMAL.*)$"
 
+_FLAGS = ("frivolous", "broadcast", "obligation", "critical")
+_NULLABLE_TEXTS = ("currency", "due_date", "code", "error")
+
 
-def parse_whole(json: Column | str) -> Column:
+def whole_json_sql(json: str) -> str:
     """JSON text to VARIANT, NULL unless the *whole* text is one JSON value.
 
     The parser stops after the first value and ignores what follows.  A tail that survives
     inside an array breaks inside an object and the other way round, so both must parse.
     """
-    text = col(json)
-    boxed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(listed.isNotNull(), F.try_variant_get(boxed, "$.v", "variant"))
+    listed = f"try_parse_json(concat('[', {json}, ']'))"
+    boxed = f"""try_parse_json(concat('{{"v":', {json}, '}}'))"""
+    return f"CASE WHEN {listed} IS NOT NULL THEN try_variant_get({boxed}, '$.v', 'variant') END"
 
 
-_FLAGS = ("frivolous", "broadcast", "obligation", "critical")
-_NULLABLE_TEXTS = ("currency", "due_date", "code", "error")
+def _fields_sql() -> str:
+    """Every field of the record ``r`` as struct<kind, text>; kind is NULL when missing and
+    VOID for JSON null."""
 
+    def field(name: str) -> str:
+        kind = f"schema_of_variant(try_variant_get(r, '$.{name}', 'variant'))"
+        return f"'{name}', named_struct('kind', {kind}, 'text', try_variant_get(r, '$.{name}', 'string'))"
 
-def _fields(record: Column) -> Column:
-    """Every field as struct<kind, text>; kind is NULL when missing and VOID for JSON null."""
+    return f"named_struct('kind', schema_of_variant(r), {', '.join(field(f.name) for f in schemas.GIST.fields)})"
 
-    def field(name: str) -> Column:
-        value = F.try_variant_get(record, f"$.{name}", "variant")
-        text = F.try_variant_get(record, f"$.{name}", "string")
-        return F.struct(F.schema_of_variant(value).alias("kind"), text.alias("text")).alias(name)
 
-    return F.struct(
-        F.schema_of_variant(record).alias("kind"), *[field(f.name) for f in schemas.GIST.fields]
-    )
+def _typed_sql() -> str:
+    """The fields ``f`` coerced to their types, NULL where that fails."""
 
+    def flag(n: str) -> str:
+        spelled = f"f.{n}.kind IN ('BOOLEAN', 'STRING') AND lower(f.{n}.text) IN"
+        number = f"f.{n}.kind RLIKE r'{_NUMBER_KIND}' AND try_cast(f.{n}.text AS double) ="
+        return f"""CASE WHEN {spelled} ({sql_list(C.TRUE_WORDS)}) THEN true
+          WHEN {spelled} ({sql_list(C.FALSE_WORDS)}) THEN false
+          WHEN {number} 1 THEN true WHEN {number} 0 THEN false END"""
 
-def _bool(f: Column) -> Column:
-    word = F.lower(f["text"])
-    spelled = f["kind"].isin("BOOLEAN", "STRING")
-    number = F.when(f["kind"].rlike(_NUMBER_KIND), f["text"].try_cast("double"))
-    return (
-        F.when(spelled & word.isin(*C.TRUE_WORDS), True)
-        .when(spelled & word.isin(*C.FALSE_WORDS), False)
-        .when(number == 1, True)
-        .when(number == 0, False)
-    )
+    def string(n: str) -> str:
+        return f"CASE WHEN f.{n}.kind = 'STRING' THEN f.{n}.text END"
 
+    def number(n: str) -> str:
+        shaped = f"(f.{n}.text RLIKE r'{_NUMBER}' OR f.{n}.text RLIKE r'{_NUMBER_WORD}')"
+        return f"""CASE WHEN f.{n}.kind = 'BOOLEAN' THEN CASE WHEN f.{n}.text = 'true' THEN 1D ELSE 0D END
+          WHEN f.{n}.kind RLIKE r'{_NUMBER_KIND}' OR (f.{n}.kind = 'STRING' AND {shaped})
+          THEN try_cast(trim(f.{n}.text) AS double) END"""
 
-def _string(f: Column) -> Column:
-    return F.when(f["kind"] == "STRING", f["text"])
+    def value(n: str) -> str:
+        return flag(n) if n in _FLAGS else number(n) if n == "amount" else string(n)
 
+    return f"named_struct({', '.join(f"'{f.name}', {value(f.name)}" for f in schemas.GIST.fields)})"
 
-def _number(f: Column) -> Column:
-    text = f["text"]
-    numeric = f["kind"].rlike(_NUMBER_KIND) | (
-        (f["kind"] == "STRING") & (text.rlike(_NUMBER) | text.rlike(_NUMBER_WORD))
-    )
-    return F.when(f["kind"] == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).when(
-        numeric, F.trim(text).try_cast("double")
-    )
 
+def _fault_sql() -> str:
+    """Name of the first field that breaks a rule in record ``g`` of fields ``f``, else NULL."""
+    rules = [
+        ("f.kind IS NULL", "json"),
+        ("NOT f.kind LIKE 'OBJECT%'", "object"),
+        (f"NOT coalesce(g.category IN ({sql_list(C.CATEGORIES)}), false)", "category"),
+        (f"NOT coalesce(g.intent IN ({sql_list(C.INTENTS)}), false)", "intent"),
+        *[(f"g.{n} IS NULL", n) for n in (*_FLAGS, "sender")],
+        *[
+            (f"g.{n} IS NULL AND coalesce(f.{n}.kind, 'VOID') <> 'VOID'", n)
+            for n in ("amount", *_NULLABLE_TEXTS)
+        ],
+        (f"g.clue IS NULL OR length(g.clue) > {C.CLUE_MAX_CHARS}", "clue"),
+    ]
+    return f"CASE {' '.join(f"WHEN {test} THEN '{name}'" for test, name in rules)} END"
 
-def _typed(fields: Column) -> Column:
-    """The record with every field coerced to its type, NULL where that fails."""
 
-    def value(name: str) -> Column:
-        f = fields[name]
-        if name in _FLAGS:
-            return _bool(f)
-        return _number(f) if name == "amount" else _string(f)
+def parse_gist(json: str) -> Column:
+    """A JSON text column as struct<gist, valid, reason>: the typed record, whether it holds,
+    and the first fault.
 
-    return F.struct(*[value(f.name).cast(f.dataType).alias(f.name) for f in schemas.GIST.fields])
-
-
-def _fault(fields: Column, gist: Column) -> Column:
-    """Name of the first field that breaks a rule, NULL for a valid record."""
-
-    def no(test: Column) -> Column:
-        return ~F.coalesce(test, F.lit(False))
-
-    fault = F.when(fields["kind"].isNull(), "json")
-    fault = fault.when(no(F.startswith(fields["kind"], F.lit("OBJECT"))), "object")
-    fault = fault.when(no(gist["category"].isin(*C.CATEGORIES)), "category")
-    fault = fault.when(no(gist["intent"].isin(*C.INTENTS)), "intent")
-    for name in (*_FLAGS, "sender"):
-        fault = fault.when(gist[name].isNull(), name)
-    for name in ("amount", *_NULLABLE_TEXTS):
-        absent = fields[name]["kind"].isNull() | (fields[name]["kind"] == "VOID")
-        fault = fault.when(gist[name].isNull() & ~absent, name)
-    too_long = F.length(gist["clue"]) > C.CLUE_MAX_CHARS
-    return fault.when(gist["clue"].isNull() | too_long, "clue")
-
-
-def parse_gist(json: Column | str) -> Column:
-    """struct<gist, valid, reason>: the typed record, whether it holds, and the first fault."""
-
-    def judged(fields: Column) -> Column:
-        with_fault = let(
-            _typed(fields),
-            lambda g: F.struct(g.alias("gist"), _fault(fields, g).alias("reason")),
-        )
-        return let(
-            with_fault,
-            lambda w: F.struct(
-                F.when(w["reason"].isNull(), w["gist"]).alias("gist"),
-                w["reason"].isNull().alias("valid"),
-                w["reason"].alias("reason"),
-            ),
-        )
-
-    return let(let(parse_whole(json), _fields), judged)
+    It is SQL text because each intermediate is used many times and must be computed once.
+    """
+    judged = let_sql("g", _typed_sql(), f"named_struct('gist', g, 'reason', {_fault_sql()})")
+    result = """named_struct('gist', CASE WHEN j.reason IS NULL THEN j.gist END,
+      'valid', j.reason IS NULL, 'reason', j.reason)"""
+    fields = let_sql("r", whole_json_sql(json), _fields_sql())
+    return F.expr(let_sql("j", let_sql("f", fields, judged), result))
 
 
 def error_is_set(json: Column | str) -> Column:

@@ -1,6 +1,6 @@
 """Text, hash and address expressions."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def let_sql(name: str, value: str, body: str) -> str:
+    """The same as SQL text: ``body`` sees ``value`` under ``name``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def sql_list(values: Iterable[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 def filled(c: Column | str) -> Column:
     """The value unless it is '' (or NULL)."""
     return F.nullif(col(c), F.lit(""))

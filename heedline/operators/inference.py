@@ -9,73 +9,29 @@ with the index of ``batch`` and the columns ``status`` ('ok', 'blocked' or 'fail
 and ``error``.  Spark decides how the rows are spread, and every distinct content is sent once.
 """
 
-import time
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heedline import constants as C
 from heedline import schemas
 from heedline.functions.gist import blocked_gist, failure_gist, parse_gist, usable_cache_row
-from heedline.functions.text import filled
+from heedline.functions.text import filled, let
+from heedline.operators.attempts import KEPT_COLUMNS, Classify, call_in_batches
 from heedline.operators.joins import lookup_join
 
-Classify = Callable[[pd.DataFrame], pd.DataFrame]
-
-NO_TEXT = "classifier returned no text"
 NO_RESPONSE = "no response"
 
-# Columns of a task the classifier may read, and those that come back next to its answer.
+# Columns of a task the classifier may read.
 BATCH_COLUMNS = ["content_hash", "type", "text", "path", "subject", "sender", "label", "message_id", "date"]
-KEPT_COLUMNS = ["content_hash", "type", "message_id", "sender", "subject", "label"]
 _CALL_SCHEMA = ", ".join(f"{c} string" for c in [*KEPT_COLUMNS, "outcome", "reply", "call_error"])
 
 
-def _attempt(classify: Classify, batch: pd.DataFrame) -> pd.DataFrame:
-    """One try.  An exception fails every row of the batch, never the Spark task."""
-    try:
-        out = classify(batch).reindex(batch.index)
-    except Exception as e:  # noqa: BLE001 - any classifier fault becomes a row outcome
-        return pd.DataFrame({"status": "failed", "text": None, "error": str(e)}, index=batch.index)
-    out = out.reindex(columns=["status", "text", "error"]).astype(object)
-    out = out.where(out.notna(), None)
-    silent = (out["status"] == "ok") & ~out["text"].fillna("").astype(bool)
-    out.loc[silent, ["status", "error"]] = ["failed", NO_TEXT]
-    return out
-
-
-def call_in_batches(classify: Classify, attempts: int, delay: float):
-    """mapInPandas body: bounded attempts with a linearly growing pause.
-
-    Only rows that are not 'ok' are tried again; the last outcome stands.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            result = _attempt(classify, batch)
-            for n in range(1, attempts):
-                open_rows = result.index[result["status"] != "ok"]
-                if open_rows.empty:
-                    break
-                time.sleep(delay * n)
-                result.loc[open_rows] = _attempt(classify, batch.loc[open_rows])
-            yield batch[KEPT_COLUMNS].assign(
-                outcome=result["status"],
-                reply=result["text"].where(result["status"] == "ok", None),
-                call_error=result["error"],
-            )
-
-    return run
-
-
 def with_cached(tasks: DataFrame, cache: DataFrame, key: str, gist: bool, use_cache: bool = True) -> DataFrame:
     """Adds ``cached``: the usable text stored for this content and model, else NULL."""
     if not use_cache:
         return tasks.withColumn("cached", F.lit(None).cast("string"))
     rows = cache.where(F.col("model_name") == key)
-    usable = usable_cache_row("extracted_json", parse_gist("extracted_json"), gist)
+    usable = let(parse_gist("extracted_json"), lambda p: usable_cache_row("extracted_json", p, gist))
     hits = rows.where(usable).select("content_hash", F.col("extracted_json").alias("cached"))
     return lookup_join(tasks, hits, ["content_hash"], "left", "task_id", counted=tasks)
 
@@ -176,13 +132,13 @@ def task_results(
     ).drop("cached", "reply", "call_error")
 
 
-def is_error(description: Column | str, gist: bool) -> Column:
+def is_error(description: str, gist: bool) -> Column:
     """Failed, empty, unparsable, or a record that carries an error (A3)."""
     text = filled(description)
     if not gist:
         return text.isNull()
-    parsed = parse_gist(description)
-    return text.isNull() | ~parsed["valid"] | filled(parsed["gist"]["error"]).isNotNull()
+    faulty = let(parse_gist(description), lambda p: ~p["valid"] | filled(p["gist"]["error"]).isNotNull())
+    return text.isNull() | faulty
 
 
 def error_tally(results: DataFrame, gist: bool) -> DataFrame:

@@ -105,7 +105,7 @@ def new_ids(listed: DataFrame, stored: DataFrame) -> DataFrame:
 def with_message(atts: DataFrame, messages: DataFrame) -> DataFrame:
     """Attachments with the columns of their message."""
     parents = messages.select(
-        F.col("id").alias("message_id"), "date", "from_addr", "subject", "internal_date"
+        F.col("id").alias("message_id"), "date", "date_wall", "from_addr", "subject", "internal_date"
     )
     return lookup_join(atts, parents, ["message_id"], "inner", _att_row_id())
 
@@ -161,6 +161,7 @@ def email_tasks(messages: DataFrame) -> DataFrame:
         subject.alias("subject"),
         text.or_empty("from_addr").alias("sender"),
         "date",
+        "date_wall",
         "internal_date",
         text.filled(text.canonical_text("from_addr", "subject", body)).alias("text"),
         F.lit(None).cast("string").alias("path"),
@@ -179,6 +180,7 @@ def document_tasks(atts_with_message: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("subject"),
         text.or_empty("from_addr").alias("sender"),
         "date",
+        "date_wall",
         "internal_date",
         F.lit(None).cast("string").alias("text"),
         F.col("local_path").alias("path"),

@@ -151,6 +151,7 @@ def document_path_tasks(atts: DataFrame) -> DataFrame:
         "subject": F.lit(None).cast("string"),
         "sender": F.lit(""),
         "date": F.lit(None).cast("string"),
+        "date_wall": F.lit(None).cast("timestamp_ntz"),
         "internal_date": F.unix_timestamp(F.col("downloaded_at").cast("timestamp")),
         "text": F.lit(None).cast("string"),
         "path": F.col("local_path"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heedline.functions import dates, gist as g, text
 from heedline.operators.joins import lookup_join
 from heedline.operators.shortid import short_id_column
-from heedline.operators.weeks import recent_weeks, with_week
+from heedline.operators.weeks import compute_once, recent_weeks, with_week
 
 
 def gists_with_message(cache: DataFrame, messages: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def gists_with_message(cache: DataFrame, messages: DataFrame) -> DataFrame:
     rows = cache.where(text.is_gist_model("model_name") & F.col("message_id").isNotNull()).select(
         F.col("message_id").alias("id"), "model_name", "content_hash", "extracted_json"
     )
-    parents = messages.select("id", "date", "from_addr")
+    parents = messages.select("id", "date", "date_wall", "from_addr")
     return lookup_join(rows, parents, ["id"], "inner", "content_hash")
 
 
@@ -29,7 +29,7 @@ def gists_of_twins(cache: DataFrame, messages: DataFrame) -> DataFrame:
     rows = cache.where(text.is_gist_model("model_name")).select(
         F.col("content_hash").alias("body_hash"), "model_name", "content_hash", "extracted_json"
     )
-    parents = messages.select("id", "date", "from_addr", "body_hash")
+    parents = messages.select("id", "date", "date_wall", "from_addr", "body_hash")
     return lookup_join(parents, rows, ["body_hash"], "inner", "id").drop("body_hash")
 
 
@@ -51,18 +51,18 @@ def ranked(
     """Week, priority group and sort keys of each row; noise dropped unless asked for
     (H13, P8, N8, H14, P9, L4).
 
-    The week filter runs on the date alone, before any JSON is parsed.
+    The week filter runs on the stored wall date, before any JSON is parsed; the JSON of a row
+    is parsed once.
     """
-    read = rows.withColumn("mail", dates.mail_date("date"))
-    dated = recent_weeks(with_week(read, "mail.wall", as_of), weeks)
-    parsed = dated.withColumn("parsed", g.parse_gist(description))
+    dated = recent_weeks(with_week(rows, "date_wall", as_of), weeks)
+    parsed = compute_once(dated, "parsed", g.parse_gist(description))
     grouped = parsed.withColumn("group", g.priority_group(description, F.col("parsed")))
     shown = grouped if show_noise else grouped.where(F.col("group") != 0)
     # A row without a usable record sorts by its message's sender.
     own = F.when(F.col("group") > -2, text.filled(F.col("parsed.gist.sender")))
     name = F.coalesce(own, F.col(sender), F.lit(""))
     return shown.withColumns(
-        {"sender_key": F.lower(text.strip(name)), "date_key": dates.sort_key_of(F.col("mail"))}
+        {"sender_key": F.lower(text.strip(name)), "date_key": dates.date_sort_key("date")}
     )
 
 
@@ -81,10 +81,14 @@ def order_of_view() -> list[Column]:
     ]
 
 
-def view_columns(rows: DataFrame, as_of: Column | str | dt.date, short_id: Column) -> DataFrame:
+def view_columns(
+    rows: DataFrame, as_of: Column | str | dt.date, short_id: Column, description: str = "extracted_json"
+) -> DataFrame:
     """Printed fields of each row."""
     record = F.col("parsed.gist")
-    kept = [c for c in ("model_name",) if c in rows.columns]
+    kept = [c for c in ("model_name", "type") if c in rows.columns]
+    failed = F.col("task_error") if "task_error" in rows.columns else F.lit(None).cast("string")
+    unread = F.when(text.filled(description).isNotNull() & ~F.col("parsed.valid"), F.concat(F.lit("bad field: "), "parsed.reason"))
     return rows.select(
         "week_idx",
         "week_label",
@@ -94,11 +98,11 @@ def view_columns(rows: DataFrame, as_of: Column | str | dt.date, short_id: Colum
         "id",
         *kept,
         short_id.alias("short_id"),
-        dates.short_date_of(F.col("mail.wall"), "date", as_of).alias("shown_date"),
+        dates.short_date_of(F.col("date_wall"), "date", as_of).alias("shown_date"),
         F.coalesce(text.filled(record["sender"]), text.row_sender("from_addr", "id")).alias("sender"),
         g.row_meta(record, as_of).alias("meta"),
         record["clue"].alias("clue"),
-        record["error"].alias("error"),
+        F.coalesce(failed, unread, record["error"]).alias("error"),
     )
 
 
@@ -114,3 +118,13 @@ def gists(
     rows = grep(gists_with_message(cache, messages), pattern)
     shown = ranked(rows, as_of, weeks, show_noise)
     return view_columns(shown, as_of, short_id_column(messages)).orderBy(*order_of_view())
+
+
+def results_view(
+    results: DataFrame, messages: DataFrame, as_of: Column | str | dt.date, show_noise: bool = False
+) -> DataFrame:
+    """The same view over the results of a run; failed tasks come first (B2's report)."""
+    rows = results.withColumnsRenamed({"task_id": "id", "sender": "from_addr"}).withColumn("task_error", F.col("error"))
+    shown = ranked(rows.drop("error"), as_of, None, show_noise, "description")
+    view = view_columns(shown, as_of, short_id_column(messages), "description")
+    return view.orderBy(*order_of_view())
