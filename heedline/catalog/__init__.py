@@ -4,6 +4,7 @@ SQL that states the expected result independently."""
 from heedline.catalog import (  # noqa: F401 - importing registers the queries
     analysis,
     expressions,
+    jobs,
     linking,
     nested,
     selection,

@@ -18,6 +18,7 @@ from heedline.functions.gist import blocked_gist, failure_gist, parse_gist, usab
 from heedline.functions.text import filled, let
 from heedline.operators.attempts import KEPT_COLUMNS, Classify, call_in_batches
 from heedline.operators.joins import lookup_join
+from heedline.operators.keyed import first_per_key
 
 NO_RESPONSE = "no response"
 
@@ -49,8 +50,12 @@ def one_per_content(tasks: DataFrame) -> DataFrame:
     )
     known = tasks.where(F.col("content_hash").isNotNull())
     chosen = known.groupBy("content_hash").agg(F.min(place).alias("p"))
-    chosen = chosen.select(F.col("p.source_rank").alias("source_rank"), F.col("p.task_id").alias("task_id"))
-    return known.join(chosen, ["source_rank", "task_id"], "left_semi")
+    chosen = chosen.select("p.source_rank", "p.task_id", "content_hash")
+    picked = known.join(chosen, ["source_rank", "task_id", "content_hash"], "left_semi")
+    # A stored path may serve several attachments; such rows carry no text and merge cheaply.
+    documents = picked.where(F.col("type") == "pdf")
+    one_each = first_per_key(documents, ["content_hash"], [F.col("task_id"), F.col("label"), F.col("date")])
+    return picked.where(F.col("type") != "pdf").unionByName(one_each)
 
 
 def call(
