@@ -38,7 +38,8 @@ def _tasks(v: Views) -> DataFrame:
 
 
 def _outcomes(v: Views, **kw) -> DataFrame:
-    return inference.call_outcomes(_tasks(v), unique_cache(v), by_hash, KEY, **{**_QUICK, **kw})
+    texts = pending.message_texts(v.messages)
+    return inference.call_outcomes(_tasks(v), unique_cache(v), by_hash, KEY, texts=texts, **{**_QUICK, **kw})
 
 
 @query(
@@ -48,9 +49,9 @@ def _outcomes(v: Views, **kw) -> DataFrame:
   t.cached IS NOT NULL AS from_cache FROM tasks t JOIN answers a ON a.body_hash = t.body_hash""",
 )
 def cached_inference(v: Views) -> DataFrame:
-    done = analyze.run_tasks(
-        _tasks(v), unique_cache(v), by_hash, AS_OF_TIME, analyze.Options(model="lite", **_QUICK)
-    )
+    options = analyze.Options(model="lite", **_QUICK)
+    texts = pending.message_texts(v.messages)
+    done = analyze.run_tasks(_tasks(v), unique_cache(v), by_hash, AS_OF_TIME, options, texts)
     return done.results.select("task_id", "description", "error", "from_cache")
 
 

@@ -8,7 +8,7 @@ from heedline.catalog.analysis import _TASKS_SQL as ANSWERS_SQL
 from heedline.catalog.analysis import KEY
 from heedline.catalog.expressions import label_sql, week_sql
 from heedline.catalog.linking import SAVE_SQL, SHORT_IDS_SQL, copied_bodies, copied_refs
-from heedline.catalog.nested import FLAT_MESSAGES_SQL, flat_columns, payloads, raw_messages
+from heedline.catalog.nested import FLAT_MESSAGES_SQL, base64url, flat_columns, payloads, raw_messages
 from heedline.catalog.registry import query
 from heedline.catalog.rules import failure_sql, reply_sql
 from heedline.catalog.selection import NOT_SENT_SQL, TASKS_SQL, unique_cache
@@ -253,7 +253,7 @@ def _bodies(v: Views) -> DataFrame:
     """Attachment bodies for every reference of the landed messages: the page of the same number
     modulo 50, so that contents repeat."""
     refs = attachments.attachment_rows(payloads(v)).select("message_id", "attachment_id")
-    pages = v.table("pages").select("page_id", F.translate(F.base64(F.encode("html", "UTF-8")), "+/\r\n", "-_").alias("data"))
+    pages = v.table("pages").select("page_id", base64url(F.col("html")).alias("data"))
     return refs.join(pages, F.col("message_id").cast("long") % 50 == F.col("page_id")).select("message_id", "attachment_id", "data")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from heedline import schemas
 from heedline.catalog.expressions import base32_sql, label_sql, week_sql
+from heedline.catalog.nested import base64url
 from heedline.catalog.registry import query
 from heedline.catalog.views import AS_OF, Views
 from heedline.operators import attachments, inference, pending, shortid, weeks
@@ -161,7 +162,7 @@ def copied_bodies(v: Views) -> DataFrame:
     pages = v.table("pages")
     source = pages.select(F.col("page_id").alias("source_id"), "html")
     rows = pages.select("page_id", (F.col("page_id") - F.col("page_id") % 3).alias("source_id")).join(source, "source_id")
-    coded = F.translate(F.base64(F.encode("html", "UTF-8")), "+/", "-_")
+    coded = base64url(F.col("html"))
     return rows.select(
         (F.col("page_id") * 2).cast("string").alias("message_id"),
         F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("attachment_id"),

@@ -17,55 +17,45 @@ from heedline.sources import landing, tables
 # ---- raw messages -------------------------------------------------------------------------
 
 
-def _b64(c: Column) -> Column:
-    return F.translate(F.base64(F.encode(c, "UTF-8")), "+/\r\n", "-_")
+def base64url(c: Column) -> Column:
+    coded = F.replace(F.base64(F.encode(c, "UTF-8")), F.lit("\r\n"), F.lit(""))
+    return F.replace(F.replace(coded, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
 
 
-def _part(mime: str, data: Column | None = None, parts: list[Column] | None = None, **extra: Column) -> Column:
-    fields = [F.lit(mime).alias("mimeType"), *[value.alias(name) for name, value in extra.items()]]
-    if data is not None:
-        fields.append(F.struct(F.lit(10).alias("size"), data.alias("data")).alias("body"))
-    if parts is not None:
-        # Parts differ in shape, so each is JSON text spliced into the parent below.
-        fields.append(F.concat(F.lit("@["), F.concat_ws(",", *parts), F.lit("]@")).alias("parts"))
-    return _splice(F.to_json(F.struct(*fields)))
+_PLAIN = '{"mimeType":"text/plain; charset=utf-8","body":{"size":10,"data":"<text>"}}'
+_HTML = '{"mimeType":"text/html","body":{"size":10,"data":"<html>"}}'
+_PDF = '{"mimeType":"application/x","filename":"report-<id>.PDF","body":{"size":7,"attachmentId":"a<id>"}}'
+_SHEET = '{"mimeType":"application/x","filename":"sheet<id>.xlsx","body":{"size":7,"attachmentId":"s<id>"}}'
+_IMAGE = '{"mimeType":"application/x","filename":"photo.png","body":{"size":7,"attachmentId":"img"}}'
+_UNNAMED = '{"mimeType":"application/x","filename":"lost.pdf","body":{"size":7}}'
 
 
-def _splice(json: Column) -> Column:
-    """Turn the marked text of nested parts back into JSON structure."""
-    start = F.replace(json, F.lit('"@['), F.lit("["))
-    plain = F.replace(F.replace(start, F.lit(']@"'), F.lit("]")), F.lit('\\"'), F.lit('"'))
-    return plain
+def _multipart(kind: str, *parts: str) -> str:
+    return f'{{"mimeType":"multipart/{kind}","parts":[{",".join(parts)}]}}'
 
 
-def _file(name: Column, attachment: Column | None) -> Column:
-    body = [F.lit(7).alias("size")]
-    if attachment is not None:
-        body.append(attachment.alias("attachmentId"))
-    return F.to_json(
-        F.struct(F.lit("application/x").alias("mimeType"), name.alias("filename"), F.struct(*body).alias("body"))
-    )
-
-
-def payload_json() -> Column:
-    """Part tree of a document, without headers, by doc_id % 5."""
-    doc, body = F.col("doc_id").cast("string"), F.col("text")
-    plain = _part("text/plain; charset=utf-8", _b64(body))
+# Part tree and html tag of a document by doc_id % 5.
+_SHAPES = [
+    (_PLAIN, ""),
+    (_multipart("alternative", _PLAIN, _HTML), "<b>"),
+    (_multipart("mixed", _multipart("alternative", _PLAIN, _HTML), _PDF, _IMAGE, _UNNAMED), "<p>"),
+    (_multipart("mixed", _HTML, _multipart("related", _multipart("alternative", _PLAIN), _SHEET), _PDF), "<i>"),
+    (_HTML, "<u>"),
+]
 
-    def html(tag: str) -> Column:
-        return _part("text/html", _b64(F.concat(F.lit(f"<{tag}>"), body)))
 
-    alternative = _part("multipart/alternative", parts=[plain, html("b")])
-    pdf = _file(F.concat(F.lit("report-"), doc, F.lit(".PDF")), F.concat(F.lit("a"), doc))
-    image = _file(F.lit("photo.png"), F.lit("img"))
-    unnamed = _file(F.lit("lost.pdf"), None)
-    sheet = _file(F.concat(F.lit("sheet"), doc, F.lit(".xlsx")), F.concat(F.lit("s"), doc))
-    mixed = _part("multipart/mixed", parts=[_part("multipart/alternative", parts=[plain, html("p")]), pdf, image, unnamed])
-    deep = _part("multipart/alternative", parts=[plain])
-    related = _part("multipart/related", parts=[deep, sheet])
-    nested = _part("multipart/mixed", parts=[html("i"), related, pdf])
-    shapes = F.array(plain, alternative, mixed, nested, html("u"))
-    return F.get(shapes, (F.col("doc_id") % 5).cast("int"))
+def payload_json(doc: Column, body: Column) -> Column:
+    """Part tree of a document, without headers."""
+    filled_in = None
+    for k, (shape, tag) in enumerate(_SHAPES):
+        tree = F.replace(F.lit(shape), F.lit("<id>"), doc.cast("string"))
+        if "<text>" in shape:
+            tree = F.replace(tree, F.lit("<text>"), base64url(body))
+        if "<html>" in shape:
+            tree = F.replace(tree, F.lit("<html>"), base64url(F.concat(F.lit(tag), body)))
+        test = doc % len(_SHAPES) == k
+        filled_in = F.when(test, tree) if filled_in is None else filled_in.when(test, tree)
+    return filled_in
 
 
 def payloads(v: Views) -> DataFrame:
@@ -88,9 +78,9 @@ def payloads(v: Views) -> DataFrame:
         header("To", F.lit("other@example.com")),
     )
     known = F.filter(headers, lambda h: h["value"].isNotNull())
-    tree = payload_json()
-    joined = F.concat(F.lit('{"headers":'), F.to_json(known), F.lit(","), F.expr("substring(tree, 2)"))
-    return rows.withColumn("tree", tree).withColumn("raw_payload", joined).withColumn("id", F.col("doc_id").cast("string"))
+    tree = payload_json(F.col("doc_id"), F.col("text"))
+    joined = F.concat(F.lit('{"headers":'), F.to_json(known), F.lit(","), F.substr(tree, F.lit(2)))
+    return rows.withColumn("raw_payload", joined).withColumn("id", F.col("doc_id").cast("string"))
 
 
 def raw_messages(v: Views) -> DataFrame:
@@ -125,7 +115,7 @@ _BODY_HTML = "case doc_id % 5 when 1 then '<b>' || text when 2 then '<p>' || tex
     f"SELECT cast(doc_id as string) AS id, sha256({_BODY_TEXT}) AS text_sha, sha256({_BODY_HTML}) AS html_sha FROM documents",
 )
 def body_parts(v: Views) -> DataFrame:
-    rows = payloads(v).select("id", payload.part_tree(F.parse_json("raw_payload")).alias("parts"))
+    rows = payloads(v).select("id", payload.part_tree(F.parse_json("raw_payload"), "raw_payload").alias("parts"))
     parts = F.col("parts")
     return rows.select(
         "id",
@@ -141,7 +131,7 @@ UNION ALL SELECT cast(doc_id as string), 's' || doc_id, 'sheet' || doc_id || '.x
 
 @query("n3_attachment_refs", _REFS_SQL)
 def attachment_refs(v: Views) -> DataFrame:
-    refs = payload.attachment_refs(payload.part_tree(F.parse_json("raw_payload")))
+    refs = payload.attachment_refs(payload.part_tree(F.parse_json("raw_payload"), "raw_payload"))
     rows = payloads(v).select(F.col("id").alias("message_id"), F.explode(refs).alias("r"))
     return rows.select("message_id", "r.attachment_id", "r.filename", "r.size")
 
@@ -180,7 +170,7 @@ _TREE_SQL = """, shapes(k, path, mime, is_leaf) AS (VALUES
     _TREE_SQL + "SELECT cast(d.doc_id as string) AS id, s.path, s.mime, s.is_leaf FROM documents d JOIN shapes s ON s.k = d.doc_id % 5",
 )
 def part_tree(v: Views) -> DataFrame:
-    rows = payloads(v).select("id", F.explode(payload.part_tree(F.parse_json("raw_payload"))).alias("p"))
+    rows = payloads(v).select("id", F.explode(payload.part_tree(F.parse_json("raw_payload"), "raw_payload")).alias("p"))
     digits = F.regexp_replace("p.path", "0{9}(\\d)", "$1")
     return rows.select("id", digits.alias("path"), "p.mime", "p.is_leaf")
 

@@ -8,7 +8,7 @@ the message that carries it.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from heedline.functions.text import col, filled, from_base64url, is_document_name, or_empty, utf8
+from heedline.functions.text import col, filled, from_base64url, is_document_name, let, or_empty, utf8
 
 _HEADERS = "array<struct<name:string,value:string>>"
 # Wide enough for any array position, so that paths sort in document order.
@@ -47,16 +47,16 @@ def _node(path: Column, node: Column) -> Column:
     )
 
 
-def part_tree(payload: Column | str) -> Column:
+def part_tree(payload: Column | str, json: Column | str) -> Column:
     """All parts, depth first, as array<struct<path, mime, filename, data, ...>>.
 
-    One fold step per nesting level.  Every level opens a JSON array, so the number of '['
-    in the text bounds the depth; steps past the last level see an empty frontier.
+    ``json`` is the text the VARIANT was read from (or its to_json).  One fold step per nesting
+    level.  Every level opens a JSON array, so the number of '[' in the text bounds the depth;
+    steps past the last level see an empty frontier.
     """
-    root = col(payload)
-    text = F.to_json(root)
-    depth = F.length(text) - F.length(F.translate(text, "[", ""))
-    start = F.array(F.struct(F.lit("").alias("path"), root.alias("node")))
+    text = col(json)
+    depth = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("["), F.lit("")))
+    levels = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
     no_parts = F.array().cast("array<variant>")
 
     def children(parent: Column) -> Column:
@@ -69,22 +69,23 @@ def part_tree(payload: Column | str) -> Column:
             ),
         )
 
+    def with_level(parts: Column, level: Column) -> Column:
+        fields = F.transform(level, lambda n: _node(n["path"], n["node"]))
+        return F.struct(level.alias("frontier"), F.concat(parts, fields).alias("parts"))
+
     def step(state: Column, _: Column) -> Column:
         level = F.flatten(F.transform(state["frontier"], children))
-        return F.struct(
-            level.alias("frontier"),
-            F.concat(state["parts"], F.transform(level, lambda n: _node(n["path"], n["node"]))).alias(
-                "parts"
-            ),
+        return let(level, lambda nodes: with_level(state["parts"], nodes))
+
+    def walk(root: Column) -> Column:
+        start = F.struct(F.lit("").alias("path"), root.alias("node"))
+        initial = F.struct(
+            F.array(start).alias("frontier"), F.array(_node(F.lit(""), root)).alias("parts")
         )
+        walked = F.aggregate(levels, initial, step, lambda state: state["parts"])
+        return F.when(root.isNotNull(), F.array_sort(walked))
 
-    initial = F.struct(
-        start.alias("frontier"),
-        F.transform(start, lambda n: _node(n["path"], n["node"])).alias("parts"),
-    )
-    levels = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
-    walked = F.aggregate(levels, initial, step, lambda state: state["parts"])
-    return F.when(root.isNotNull(), F.array_sort(walked))
+    return let(col(payload), walk)
 
 
 def first_body(parts: Column, mime: str, unless: str | None = None) -> Column:

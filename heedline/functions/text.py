@@ -240,7 +240,8 @@ def document_path(
 
 def from_base64url(c: Column | str) -> Column:
     """URL-safe base64 text to bytes; NULL when it is not base64."""
-    return F.try_to_binary(F.translate(col(c), "-_", "+/"), F.lit("base64"))
+    standard = F.replace(F.replace(col(c), F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    return F.try_to_binary(standard, F.lit("base64"))
 
 
 def utf8(c: Column) -> Column:

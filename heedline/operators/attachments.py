@@ -22,11 +22,11 @@ def attachment_rows(messages: DataFrame, payload_json: str = "raw_payload") -> D
     """
     tree = F.try_parse_json(F.col(payload_json))
     headers = payload.headers_of("tree")
-    found = messages.select("id", tree.alias("tree")).select(
+    found = messages.select("id", F.col(payload_json).alias("json"), tree.alias("tree")).select(
         F.col("id").alias("message_id"),
         payload.first_header(headers, "From").alias("from_addr"),
         payload.first_header(headers, "Date").alias("date"),
-        F.explode(payload.attachment_refs(payload.part_tree("tree"))).alias("ref"),
+        F.explode(payload.attachment_refs(payload.part_tree("tree", "json"))).alias("ref"),
     )
     return found.select(
         "message_id",

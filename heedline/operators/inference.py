@@ -40,8 +40,8 @@ def with_cached(tasks: DataFrame, cache: DataFrame, key: str, gist: bool, use_ca
 def one_per_content(tasks: DataFrame) -> DataFrame:
     """The newest task of each content.
 
-    Picked on narrow columns, with map-side combine, then fetched by the unique task id: the
-    copies of a much-repeated text are never brought together.
+    Picked with map-side combine, then fetched by task id: the copies of a much-repeated
+    content are never brought together.
     """
     place = F.struct(
         "source_rank",
@@ -52,7 +52,7 @@ def one_per_content(tasks: DataFrame) -> DataFrame:
     chosen = known.groupBy("content_hash").agg(F.min(place).alias("p"))
     chosen = chosen.select("p.source_rank", "p.task_id", "content_hash")
     picked = known.join(chosen, ["source_rank", "task_id", "content_hash"], "left_semi")
-    # A stored path may serve several attachments; such rows carry no text and merge cheaply.
+    # A stored path may serve several attachments; such rows merge here.
     documents = picked.where(F.col("type") == "pdf")
     one_each = first_per_key(documents, ["content_hash"], [F.col("task_id"), F.col("label"), F.col("date")])
     return picked.where(F.col("type") != "pdf").unionByName(one_each)
@@ -61,12 +61,21 @@ def one_per_content(tasks: DataFrame) -> DataFrame:
 def call(
     misses: DataFrame,
     classify: Classify,
+    texts: DataFrame | None = None,
     partitions: int | None = None,
     attempts: int = C.MAX_ATTEMPTS,
     delay: float = C.RETRY_DELAY_SECONDS,
 ) -> DataFrame:
-    """Run the classifier over rows that are distinct by content_hash."""
-    batch = misses.select(*BATCH_COLUMNS)
+    """Run the classifier over rows that are distinct by content_hash.
+
+    ``texts`` has (message_id, text).  Only the chosen rows fetch theirs; when they are few,
+    the join broadcasts them and the stored bodies are read in place.
+    """
+    if texts is None:
+        batch = misses.withColumn("text", F.lit(None).cast("string"))
+    else:
+        batch = misses.join(texts, "message_id", "left")
+    batch = batch.select(*BATCH_COLUMNS)
     if partitions:
         batch = batch.repartition(partitions, "content_hash")
     return batch.mapInPandas(call_in_batches(classify, attempts, delay), _CALL_SCHEMA)
@@ -78,6 +87,7 @@ def call_outcomes(
     classify: Classify,
     key: str,
     gist: bool = True,
+    texts: DataFrame | None = None,
     use_cache: bool = True,
     dry_run: bool = False,
     partitions: int | None = None,
@@ -91,7 +101,7 @@ def call_outcomes(
     """
     looked_up = with_cached(tasks, cache, key, gist, use_cache and not dry_run)
     misses = one_per_content(looked_up.where(F.col("cached").isNull()).drop("cached"))
-    rows = call(misses, classify, partitions, attempts, delay)
+    rows = call(misses, classify, texts, partitions, attempts, delay)
     fallback = (F.col("outcome") == "blocked") & (F.col("type") == "email") & F.lit(gist)
     return rows.withColumns(
         {

@@ -146,12 +146,15 @@ def selection_mode(force: bool, retry_failed: bool, dry_run: bool) -> str:
 
 
 def email_tasks(messages: DataFrame) -> DataFrame:
-    """Received messages with a body, as classification tasks."""
+    """Received messages with a body, as classification tasks.
+
+    Tasks carry no text: bodies are read for the has-body test and then dropped, so the joins
+    that settle what is pending move narrow rows.  See ``message_texts``.
+    """
     kept = messages.where(
         text.has_body("body_text", "body_html", "snippet") & text.not_sent("label_ids")
     )
     subject = text.or_empty("subject")
-    body = text.effective_body("body_text", "body_html", "snippet")
     return kept.select(
         F.lit("email").alias("type"),
         F.lit(1).alias("source_rank"),
@@ -163,12 +166,18 @@ def email_tasks(messages: DataFrame) -> DataFrame:
         "date",
         "date_wall",
         "internal_date",
-        text.filled(text.canonical_text("from_addr", "subject", body)).alias("text"),
         F.lit(None).cast("string").alias("path"),
         F.col("body_hash").alias("content_hash"),
     )
 
 
+def message_texts(messages: DataFrame) -> DataFrame:
+    """(message_id, text): what a classifier reads, to be joined to the few rows it is sent."""
+    body = text.effective_body("body_text", "body_html", "snippet")
+    canonical = text.filled(text.canonical_text("from_addr", "subject", body))
+    return messages.select(F.col("id").alias("message_id"), canonical.alias("text"))
+
+
 def document_tasks(atts_with_message: DataFrame) -> DataFrame:
     """Ready documents as classification tasks."""
     return atts_with_message.select(
@@ -182,7 +191,6 @@ def document_tasks(atts_with_message: DataFrame) -> DataFrame:
         "date",
         "date_wall",
         "internal_date",
-        F.lit(None).cast("string").alias("text"),
         F.col("local_path").alias("path"),
         document_hash(atts_with_message).alias("content_hash"),
     )
@@ -208,10 +216,7 @@ def pending_tasks(
     limit: int | None = None,
     listing: DataFrame | None = None,
 ) -> DataFrame:
-    """The work list: documents, messages or both (U1), capped on request.
-
-    Bodies ride along; the anti joins above them shuffle the message rows once by id.
-    """
+    """The work list: documents, messages or both (U1), capped on request."""
     parts = []
     if source in ("pdfs", "all"):
         stored = atts.where(F.col("local_path").isNotNull())

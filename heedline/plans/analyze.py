@@ -64,14 +64,16 @@ def analyze(
 ) -> Analysis:
     """Select tasks, classify each distinct content once, give every task its outcome.
 
-    The outcomes are written to the shared folder before anything reads them: classifier calls
-    are dear, and results, cache rows and tallies all need them.
+    The work list and the outcomes are written to the shared folder before anything reads
+    them: the list is narrow and read by every later step, and classifier calls are dear.
     """
     mode = pending.selection_mode(options.force, options.retry_failed, options.dry_run)
     tasks = pending.pending_tasks(
         messages, atts, cache, options.key, options.gist, options.source, mode, options.limit, listing
     )
-    return run_tasks(tasks, cache, classify, as_of, options, materialize)
+    if materialize:
+        tasks = durable(tasks, "tasks")
+    return run_tasks(tasks, cache, classify, as_of, options, pending.message_texts(messages), materialize)
 
 
 def run_tasks(
@@ -80,14 +82,17 @@ def run_tasks(
     classify: inference.Classify,
     as_of: dt.datetime | dt.date | str,
     options: Options,
+    texts: DataFrame | None = None,
     materialize: bool = True,
 ) -> Analysis:
+    """Classify a given work list; ``texts`` holds what its messages say."""
     outcomes = inference.call_outcomes(
         tasks,
         cache,
         classify,
         options.key,
         options.gist,
+        texts,
         options.use_cache,
         options.dry_run,
         options.partitions,
@@ -153,7 +158,6 @@ def document_path_tasks(atts: DataFrame) -> DataFrame:
         "date": F.lit(None).cast("string"),
         "date_wall": F.lit(None).cast("timestamp_ntz"),
         "internal_date": F.unix_timestamp(F.col("downloaded_at").cast("timestamp")),
-        "text": F.lit(None).cast("string"),
         "path": F.col("local_path"),
         "content_hash": pending.document_hash(atts),
     }

@@ -30,7 +30,7 @@ def within_days(raw: DataFrame, as_of: Column | str | dt.date, days: int) -> Dat
 def flatten_messages(raw: DataFrame, as_of: Column | str | dt.datetime) -> DataFrame:
     """Raw records to rows of the messages table (N7).  A pure projection: no shuffle."""
     headers = payload.headers_of("payload")
-    staged = raw.select(
+    staged = raw.withColumn("raw_payload", F.to_json(F.col("payload"))).select(
         "id",
         F.col("threadId").alias("thread_id"),
         F.coalesce("labelIds", F.array().cast("array<string>")).alias("label_ids"),
@@ -45,8 +45,8 @@ def flatten_messages(raw: DataFrame, as_of: Column | str | dt.datetime) -> DataF
                 ("Date", "date"),
             )
         ],
-        payload.part_tree("payload").alias("parts"),
-        F.to_json(F.col("payload")).alias("raw_payload"),
+        payload.part_tree("payload", "raw_payload").alias("parts"),
+        "raw_payload",
     )
     bodies = staged.withColumns(
         {"body_text": payload.body_text(F.col("parts")), "body_html": payload.body_html(F.col("parts"))}
