@@ -1,15 +1,20 @@
 """Structured Streaming ingest of the landing folder."""
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from heedline import schemas
 from heedline.sources import landing
 
-BATCH = "batch"
+# Partition columns of the message log: which stream wrote a row, in which micro-batch.
+_LOG = T.StructType(
+    [*schemas.MESSAGES.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())]
+)
 
 
 def raw_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -29,9 +34,13 @@ def without_recent_repeats(raw: DataFrame, delay: str = "7 days") -> DataFrame:
     return timed.withWatermark("feed_time", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_LOG).parquet(folder)
+
+
 def stored_log(spark: SparkSession, folder: str) -> DataFrame:
-    """The ingested messages: one sub-folder per micro-batch, ids unique over all of them."""
-    return schemas.align(spark.read.parquet(folder), schemas.MESSAGES)
+    """The ingested messages; ids are unique over all streams and batches."""
+    return schemas.align(_log(spark, folder), schemas.MESSAGES)
 
 
 def ingest(
@@ -43,19 +52,24 @@ def ingest(
 ) -> StreamingQuery:
     """Append the messages of each micro-batch whose id is not stored yet.
 
-    A batch owns its sub-folder and overwrites it, so a batch replayed after a failure leaves
-    the same rows; it compares only with earlier batches.  Nothing stored is rewritten.  Mail
-    of any age is taken as long as its id is unknown.
+    A batch owns one sub-folder and overwrites it, so a batch replayed after a failure leaves
+    the same rows; it is compared with every other stored batch.  Nothing else is rewritten.
+    Mail of any age is taken as long as its id is unknown.  One stream at a time may write to
+    a folder; each checkpoint writes under a name of its own.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    empty = raw.sparkSession.createDataFrame([], _LOG)
+    empty.write.mode("append").partitionBy("stream", "batch").parquet(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select(*schemas.RAW_MESSAGES.names)
-        if batch_id > 0:
-            earlier = spark.read.parquet(folder).where(F.col(BATCH) < batch_id).select("id")
-            fresh = fresh.join(earlier, "id", "left_anti")
+        log = _log(batch.sparkSession, folder)
+        own = F.col("stream") == stream
+        if not log.where(own & (F.col("batch") > batch_id)).isEmpty():
+            raise RuntimeError(f"{folder} holds later batches of {checkpoint}; was the checkpoint reset?")
+        stored = log.where(~own | (F.col("batch") < batch_id)).select("id")
+        fresh = batch.select(*schemas.RAW_MESSAGES.names).join(stored, "id", "left_anti")
         rows = landing.flatten_messages(fresh.dropDuplicates(["id"]), F.lit(as_of))
-        rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch={batch_id}")
 
     writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
