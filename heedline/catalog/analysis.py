@@ -1,8 +1,10 @@
 """Cached classification: C1-C11, with a deterministic rule in place of a model."""
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heedline import rules
 from heedline.catalog.nested import document_files
 from heedline.catalog.registry import query
 from heedline.catalog.rules import blocked_sql, failure_sql, reply_sql
@@ -14,6 +16,8 @@ from heedline.plans import analyze
 from heedline.rules import by_hash
 from heedline.sources import landing
 
+cloudpickle.register_pickle_by_value(rules)
+
 KEY = "lite:gist:v3"
 _QUICK = {"attempts": 1, "delay": 0.0}
 

@@ -9,6 +9,7 @@ with the index of ``batch`` and the columns ``status`` ('ok', 'blocked' or 'fail
 and ``error``.  Spark decides how the rows are spread, and every distinct content is sent once.
 """
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +17,14 @@ from heedline import constants as C
 from heedline import schemas
 from heedline.functions.gist import blocked_gist, failure_gist, parse_gist, usable_cache_row
 from heedline.functions.text import filled, let
+from heedline.operators import attempts as worker_side
 from heedline.operators.attempts import KEPT_COLUMNS, Classify, call_in_batches
 from heedline.operators.joins import lookup_join
 from heedline.operators.keyed import first_per_key
 
+# Ship the worker-side code with the job, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(worker_side)
+
 NO_RESPONSE = "no response"
 
 # Columns of a task the classifier may read.
