@@ -268,7 +268,8 @@ def invoice_json(v: Views) -> DataFrame:
         F.col("l_extendedprice").cast("decimal(18,4)").alias("subtotal"),
         F.col("l_linenumber").alias("line"),
     )
-    items = v.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # Spread raw rows by order first: the texts are then built in parallel, after the one shuffle.
+    items = v.table("lineitem").repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
     rows = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
     joined = rows.join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     record = F.struct(

@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(q: Query):
-        return lambda spark, sf_dir: q.build(Views(configure(spark), sf_dir))
+        return lambda spark, sf_dir: q.build(Views.of(configure(spark), sf_dir))
 
     return {name: runner(q) for name, q in REGISTRY.items()}
 

@@ -5,6 +5,7 @@ fixed: ``AS_OF``.
 """
 
 import datetime as dt
+import zlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ AS_OF_TIME = dt.datetime(2024, 1, 31, 12, 0, 0)
 AS_OF_SECONDS = 1706702400
 FIRST_SECOND = 1704067200  # 2024-01-01 00:00 UTC
 
+_OPEN: dict[tuple, "Views"] = {}
+
 TABLES = ("documents", "labels", "pages", "conversations", "events", "orders", "lineitem", "customer")
 
 
@@ -148,19 +151,35 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        for name in TABLES:
-            self.table(name).createOrReplaceTempView(name)
+        # Temp views are per session; a name per folder keeps two scales apart.
+        self._prefix = f"t{zlib.crc32(sf_dir.encode()):08x}"
+        self._tables: dict[str, DataFrame] = {}
         self._sql = _views(Spark)
 
+    @staticmethod
+    def of(spark: SparkSession, sf_dir: str) -> "Views":
+        """One instance per session and folder, so that tables are opened once."""
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+        if key not in _OPEN:
+            _OPEN[key] = Views(spark, sf_dir)
+        return _OPEN[key]
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._tables[name].createOrReplaceTempView(f"{self._prefix}_{name}")
+        return self._tables[name]
 
     def view(self, name: str) -> DataFrame:
         """A view with the columns of the shared SQL, unadapted."""
         names = list(self._sql)
-        needed = names[: names.index(name) + 1]
-        ctes = ",\n".join(f"{n} AS ({self._sql[n]})" for n in needed)
-        return self.spark.sql(f"WITH {ctes}\nSELECT * FROM {name}")
+        needed = [self._sql[n] for n in names[: names.index(name) + 1]]
+        used = [t for t in TABLES if any(f" {t}" in sql for sql in needed)]
+        for table in used:
+            self.table(table)
+        ctes = [f"{t} AS (SELECT * FROM {self._prefix}_{t})" for t in used]
+        ctes += [f"{n} AS ({sql})" for n, sql in zip(names, needed)]
+        return self.spark.sql(f"WITH {',\n'.join(ctes)}\nSELECT * FROM {name}")
 
     @cached_property
     def messages(self) -> DataFrame:

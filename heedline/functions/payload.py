@@ -83,7 +83,7 @@ def part_tree(payload: Column | str, json: Column | str) -> Column:
             F.array(start).alias("frontier"), F.array(_node(F.lit(""), root)).alias("parts")
         )
         walked = F.aggregate(levels, initial, step, lambda state: state["parts"])
-        return F.when(root.isNotNull(), F.array_sort(walked))
+        return F.when(root.isNotNull(), F.sort_array(walked))
 
     return let(col(payload), walk)
 

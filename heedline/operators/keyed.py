@@ -37,5 +37,5 @@ def replace_by_key(
     and shuffles otherwise.  Stored rows are not aggregated or sorted.
     """
     fresh = newest_per_key(incoming, keys, order)
-    kept = stored.join(fresh.select(*keys), list(keys), "left_anti")
+    kept = stored.join(incoming.select(*keys).distinct(), list(keys), "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
