@@ -11,7 +11,7 @@ from heedline.catalog.registry import query
 from heedline.catalog.views import AS_OF_TIME, Views
 from heedline.functions import gist, invoice, payload, text
 from heedline.operators import attachments
-from heedline.session import new_folder
+from heedline.session import durable, new_folder
 from heedline.sources import landing, tables
 
 # ---- raw messages -------------------------------------------------------------------------
@@ -59,7 +59,14 @@ def payload_json(doc: Column, body: Column) -> Column:
 
 
 def payloads(v: Views) -> DataFrame:
-    """(id, raw_payload) with headers in odd case and one repeated."""
+    """Stored messages with headers in odd case and one repeated, and their raw payload text."""
+    if not hasattr(v, "stored_payloads"):
+        files = v.spark.sparkContext.defaultParallelism
+        v.stored_payloads = durable(_payloads(v).repartition(files, "id"), "payloads")
+    return v.stored_payloads
+
+
+def _payloads(v: Views) -> DataFrame:
     rows = v.table("documents").select("doc_id", "text").join(
         v.view("msgs0").select("doc_id", "subject", "from_addr", "to_addr", "message_header_id", "date", "internal_date", "thread_id", "snippet", "label_ids"),
         "doc_id",
@@ -80,7 +87,8 @@ def payloads(v: Views) -> DataFrame:
     known = F.filter(headers, lambda h: h["value"].isNotNull())
     tree = payload_json(F.col("doc_id"), F.col("text"))
     joined = F.concat(F.lit('{"headers":'), F.to_json(known), F.lit(","), F.substr(tree, F.lit(2)))
-    return rows.withColumn("raw_payload", joined).withColumn("id", F.col("doc_id").cast("string"))
+    built = rows.withColumn("raw_payload", joined).withColumn("id", F.col("doc_id").cast("string"))
+    return built.drop("text", "subject", "from_addr", "to_addr", "message_header_id", "date")
 
 
 def raw_messages(v: Views) -> DataFrame:
@@ -271,7 +279,7 @@ def invoice_json(v: Views) -> DataFrame:
     # Spread raw rows by order first: the texts are then built in parallel, after the one shuffle.
     items = v.table("lineitem").repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
     rows = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    joined = rows.join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    joined = rows.repartition("o_orderkey").join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     record = F.struct(
         F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit(" LV01 "))).alias("iban"),
         F.concat(F.lit("\n "), F.col("c_name"), F.lit("\t")).alias("company_name"),

@@ -12,6 +12,7 @@ from heedline.functions import payload
 from heedline.operators import attachments, pending, search
 from heedline.operators.weeks import recent_weeks, with_week
 from heedline.plans import gists, views as plan_views
+from heedline.session import durable
 from heedline.sources import landing, tables
 
 NOT_SENT_SQL = "(label_ids IS NULL OR label_ids NOT LIKE '%\"SENT\"%')"
@@ -85,9 +86,11 @@ def upsert_cache(v: Views) -> DataFrame:
 
 
 def unique_cache(v: Views) -> DataFrame:
-    """The cache view under its key; the raw view repeats it for twin messages."""
-    empty = v.spark.createDataFrame([], schemas.EXTRACTIONS)
-    return tables.upsert_extractions(empty, v.cache)
+    """The cache view under its key, stored as a table; the raw view repeats keys for twins."""
+    if not hasattr(v, "stored_cache"):
+        empty = v.spark.createDataFrame([], schemas.EXTRACTIONS)
+        v.stored_cache = durable(tables.upsert_extractions(empty, v.cache), "cache")
+    return v.stored_cache
 
 
 @query(

@@ -10,9 +10,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heedline import constants as C
 from heedline import schemas
+from heedline.session import durable
 
 AS_OF = dt.date(2024, 1, 31)
 AS_OF_TIME = dt.datetime(2024, 1, 31, 12, 0, 0)
@@ -192,11 +194,17 @@ class Views:
                 "raw_payload": F.lit(None).cast("string"),
             }
         )
-        return schemas.align(rows, schemas.MESSAGES)
+        return self._stored(rows, schemas.MESSAGES, "id")
+
+    def _stored(self, rows: DataFrame, schema: T.StructType, key: str) -> DataFrame:
+        """A view as a table on disk, as the library's own tables are: several files, read by
+        many queries.  The driver's tables are one file with one row group each."""
+        files = self.spark.sparkContext.defaultParallelism
+        return durable(schemas.align(rows, schema).repartition(files, key), "view")
 
     def _extractions(self, name: str) -> DataFrame:
         rows = self.view(name).withColumn("created_at", F.timestamp_seconds("created_seconds"))
-        return schemas.align(rows, schemas.EXTRACTIONS)
+        return self._stored(rows, schemas.EXTRACTIONS, "content_hash")
 
     @cached_property
     def cache(self) -> DataFrame:
@@ -209,7 +217,7 @@ class Views:
     @cached_property
     def attachments(self) -> DataFrame:
         rows = self.view("atts").withColumn("downloaded_at", F.timestamp_seconds("downloaded_seconds"))
-        return schemas.align(rows, schemas.ATTACHMENTS)
+        return self._stored(rows, schemas.ATTACHMENTS, "message_id")
 
     @cached_property
     def threads(self) -> DataFrame:
