@@ -21,6 +21,7 @@ from heedline.operators import attempts as worker_side
 from heedline.operators.attempts import KEPT_COLUMNS, Classify, call_in_batches
 from heedline.operators.joins import lookup_join
 from heedline.operators.keyed import first_per_key
+from heedline.operators.weeks import compute_once
 
 # Ship the worker-side code with the job, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(worker_side)
@@ -33,12 +34,17 @@ _CALL_SCHEMA = ", ".join(f"{c} string" for c in [*KEPT_COLUMNS, "outcome", "repl
 
 
 def with_cached(tasks: DataFrame, cache: DataFrame, key: str, gist: bool, use_cache: bool = True) -> DataFrame:
-    """Adds ``cached``: the usable text stored for this content and model, else NULL."""
+    """Adds ``cached``: the usable text stored for this content and model, else NULL.
+
+    Cache rows are cut down to the contents of the work list before their JSON is parsed.
+    """
     if not use_cache:
         return tasks.withColumn("cached", F.lit(None).cast("string"))
-    rows = cache.where(F.col("model_name") == key)
+    asked = tasks.select("content_hash").where(F.col("content_hash").isNotNull()).distinct()
+    rows = cache.where(F.col("model_name") == key).join(asked, "content_hash", "left_semi")
     usable = let(parse_gist("extracted_json"), lambda p: usable_cache_row("extracted_json", p, gist))
-    hits = rows.where(usable).select("content_hash", F.col("extracted_json").alias("cached"))
+    hits = compute_once(rows, "usable", usable).where("usable")
+    hits = hits.select("content_hash", F.col("extracted_json").alias("cached"))
     return lookup_join(tasks, hits, ["content_hash"], "left", "task_id", counted=tasks)
 
 

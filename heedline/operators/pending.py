@@ -97,9 +97,19 @@ def never_described(atts: DataFrame, cache: DataFrame) -> DataFrame:
     return without(atts, cache.select("content_hash"), ["content_hash"], _att_row_id())
 
 
+def unknown(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Incoming rows whose id is not stored.
+
+    The stored ids are first cut down to those the increment names.  That semi join broadcasts
+    the increment's ids when they are few, so the stored table is scanned but not shuffled.
+    """
+    known = stored.select("id").join(incoming.select("id").distinct(), "id", "left_semi")
+    return incoming.join(known, "id", "left_anti")
+
+
 def new_ids(listed: DataFrame, stored: DataFrame) -> DataFrame:
     """Listed ids not stored yet, each once."""
-    return listed.select("id").distinct().join(stored.select("id"), "id", "left_anti")
+    return unknown(listed.select("id").distinct(), stored)
 
 
 def with_message(atts: DataFrame, messages: DataFrame) -> DataFrame:

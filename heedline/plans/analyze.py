@@ -176,7 +176,7 @@ def describe_documents(
     **options,
 ) -> Analysis:
     """Describe undescribed documents as plain text, or redo all of them."""
-    rows = search.latest_downloads(atts, None) if everything else undescribed(atts, cache, limit)
+    rows = atts if everything else undescribed(atts, cache, limit)
     tasks = document_path_tasks(pending.ready_documents(rows, listing))
     return run_tasks(tasks, cache, classify, as_of, Options(model=model, gist=False, force=everything, **options))
 

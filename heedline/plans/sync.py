@@ -18,8 +18,7 @@ def new_messages(raw: DataFrame, stored: DataFrame, as_of, days: int | None = 7)
     An id delivered twice is taken once.  Only ids meet the stored table; payloads stay put.
     """
     listed = raw if days is None else landing.within_days(raw, as_of, days)
-    unknown = listed.join(stored.select("id"), "id", "left_anti")
-    return unknown.dropDuplicates(["id"])
+    return pending.unknown(listed, stored).dropDuplicates(["id"])
 
 
 def sync_tally(raw: DataFrame, stored: DataFrame, as_of, days: int | None = 7) -> DataFrame:
@@ -56,8 +55,7 @@ def save_attachments(
         keys = ["message_id", "attachment_id", "part_path"]
         winners = plan.where(F.col("status") == "downloaded").select(*keys, "raw_path", "path", "status")
         tables.write_contents(got.join(winners, keys), content_folder)
-    updates = attachments.attachment_updates(plan, as_of)
-    box.attachments.write(attachments.write_attachments(stored, updates))
+    box.save_attachments(attachments.attachment_updates(plan, as_of))
     return attachments.save_statuses(plan)
 
 

@@ -12,6 +12,8 @@ SETTINGS = {
     # JSON objects with a repeated key: the last one wins, as for header maps.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Classifier batches: 1,000 texts of at most 8,000 characters fit a Python worker easily.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Let AQE split a skewed join even where that costs one more exchange.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

@@ -1,8 +1,8 @@
 """The three tables as Parquet folders, and their upkeep.
 
-A table is a folder of numbered versions; the newest complete one is current.  An upsert
-writes the next version, so nothing that is being read is overwritten and a failed job leaves
-the old version current.  New messages are appended by batch instead, see ``streaming``.
+A table is a folder of numbered versions; the newest complete one is current.  Rows with new
+keys are appended to it.  Rewriting stored keys writes the next version, so nothing that is
+being read is overwritten and a failed job leaves the old version current.
 """
 
 import datetime as dt
@@ -18,6 +18,7 @@ from heedline.sources.landing import HASH_VERSION
 
 MESSAGE_KEY = ["id"]
 EXTRACTION_KEY = ["content_hash", "model_name"]
+ATTACHMENT_KEY = ["message_id", "gmail_attachment_id"]
 
 
 def _versions(spark: SparkSession, folder: str) -> list[int]:
@@ -49,10 +50,33 @@ class Table:
         return schemas.align(stored, self.schema)
 
     def write(self, rows: DataFrame) -> None:
+        """Make ``rows`` the next version; older versions stay until they are removed by hand."""
         versions = _versions(self.spark, self.folder)
         target = f"{self.folder}/v={versions[-1] + 1 if versions else 0}"
         schemas.align(rows, self.schema).write.mode("overwrite").parquet(target)
 
+    def append(self, rows: DataFrame) -> None:
+        """Add files to the current version.  ``rows`` must hold new keys only."""
+        versions = _versions(self.spark, self.folder)
+        if not versions:
+            return self.write(rows)
+        target = f"{self.folder}/v={versions[-1]}"
+        schemas.align(rows, self.schema).write.mode("append").parquet(target)
+
+    def upsert(self, rows: DataFrame, keys: list[str], order: list[Column]) -> None:
+        """Write ``rows`` over the table.  The usual increment has new keys only and is appended;
+        the table is rewritten just when a stored key is written again.
+
+        The test scans the key columns against the increment's keys, which are broadcast when
+        they are few.  ``rows`` should be durable: it is read more than once.
+        """
+        stored = self.read()
+        again = stored.select(*keys).join(rows.select(*keys).distinct(), keys, "left_semi")
+        if again.isEmpty():
+            self.append(newest_per_key(rows, keys, order))
+        else:
+            self.write(replace_by_key(stored, rows, keys, order))
+
 
 class Mailbox:
     """The messages, attachments and extraction-cache tables under one root folder."""
@@ -64,30 +88,45 @@ class Mailbox:
         self.extractions = Table(spark, f"{self.root}/extractions", schemas.EXTRACTIONS)
 
     def save_messages(self, rows: DataFrame) -> None:
-        self.messages.write(upsert_messages(self.messages.read(), rows))
+        self.messages.upsert(rows, MESSAGE_KEY, message_order())
 
     def save_extractions(self, rows: DataFrame) -> None:
-        self.extractions.write(upsert_extractions(self.extractions.read(), rows))
+        self.extractions.upsert(rows, EXTRACTION_KEY, extraction_order())
+
+    def save_attachments(self, rows: DataFrame) -> None:
+        """Rows without an attachment id have no key and are appended."""
+        named = rows.where(F.col("gmail_attachment_id").isNotNull())
+        order = [F.col("downloaded_at"), F.col("content_hash"), F.col("filename")]
+        self.attachments.upsert(named, ATTACHMENT_KEY, order)
+        unnamed = rows.where(F.col("gmail_attachment_id").isNull())
+        if not unnamed.isEmpty():
+            self.attachments.append(unnamed)
 
 
 # ---- upserts ------------------------------------------------------------------------------
 
 
+def message_order() -> list[Column]:
+    return [F.col("synced_at"), F.coalesce("body_hash", F.lit(""))]
+
+
+def extraction_order() -> list[Column]:
+    return [F.col("created_at"), F.coalesce("message_id", F.lit("")), F.coalesce("extracted_json", F.lit(""))]
+
+
 def upsert_messages(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The last write of an id wins."""
-    order = [F.col("synced_at"), F.coalesce("body_hash", F.lit(""))]
-    return replace_by_key(stored, incoming, MESSAGE_KEY, order)
+    return replace_by_key(stored, incoming, MESSAGE_KEY, message_order())
 
 
 def upsert_extractions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The last write of a (content, model) wins (S3)."""
-    order = [F.col("created_at"), F.coalesce("message_id", F.lit("")), F.coalesce("extracted_json", F.lit(""))]
-    return replace_by_key(stored, incoming, EXTRACTION_KEY, order)
+    return replace_by_key(stored, incoming, EXTRACTION_KEY, extraction_order())
 
 
 def latest_messages(log: DataFrame) -> DataFrame:
     """Current rows of an append-only message log (S2 as merge-on-read)."""
-    return newest_per_key(log, MESSAGE_KEY, [F.col("synced_at"), F.coalesce("body_hash", F.lit(""))])
+    return newest_per_key(log, MESSAGE_KEY, message_order())
 
 
 def compound_key(rows: DataFrame) -> DataFrame:

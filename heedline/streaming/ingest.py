@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from heedline import schemas
+from heedline.operators.pending import unknown
 from heedline.sources import landing
 
 # Partition columns of the message log: which stream wrote a row, in which micro-batch.
@@ -67,7 +68,7 @@ def ingest(
         if not log.where(own & (F.col("batch") > batch_id)).isEmpty():
             raise RuntimeError(f"{folder} holds later batches of {checkpoint}; was the checkpoint reset?")
         stored = log.where(~own | (F.col("batch") < batch_id)).select("id")
-        fresh = batch.select(*schemas.RAW_MESSAGES.names).join(stored, "id", "left_anti")
+        fresh = unknown(batch.select(*schemas.RAW_MESSAGES.names), stored)
         rows = landing.flatten_messages(fresh.dropDuplicates(["id"]), F.lit(as_of))
         rows.write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch={batch_id}")
 
