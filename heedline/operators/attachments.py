@@ -21,8 +21,9 @@ def attachment_rows(messages: DataFrame, payload_json: str = "raw_payload") -> D
     Lists stay exploded: a message with very many attachments is many rows, not one wide one.
     """
     tree = F.try_parse_json(F.col(payload_json))
-    headers = payload.headers_of("tree")
-    found = messages.select("id", F.col(payload_json).alias("json"), tree.alias("tree")).select(
+    read = messages.select("id", F.col(payload_json).alias("json"), tree.alias("tree"))
+    headers = F.col("headers")
+    found = read.withColumn("headers", payload.headers_of("tree")).select(
         F.col("id").alias("message_id"),
         payload.first_header(headers, "From").alias("from_addr"),
         payload.first_header(headers, "Date").alias("date"),

@@ -29,8 +29,11 @@ def within_days(raw: DataFrame, as_of: Column | str | dt.date, days: int) -> Dat
 
 def flatten_messages(raw: DataFrame, as_of: Column | str | dt.datetime) -> DataFrame:
     """Raw records to rows of the messages table (N7).  A pure projection: no shuffle."""
-    headers = payload.headers_of("payload")
-    staged = raw.withColumn("raw_payload", F.to_json(F.col("payload"))).select(
+    read = raw.withColumns(
+        {"raw_payload": F.to_json(F.col("payload")), "headers": payload.headers_of("payload")}
+    )
+    headers = F.col("headers")
+    staged = read.select(
         "id",
         F.col("threadId").alias("thread_id"),
         F.coalesce("labelIds", F.array().cast("array<string>")).alias("label_ids"),
