@@ -8,8 +8,8 @@ attaches the same file for years.  A plain shuffle join sends all of them to one
 row id, its one right row is repeated per salt.  Rows with a NULL key match nothing, but an
 outer or anti join still shuffles them, so they are spread as well.
 
-Counting keys is a pass of its own (over the key column only), so a left side whose planned
-size would fit one task anyway is joined directly.
+There is one plan for all sizes.  What is hot follows from the number of rows: a key with at
+least one HOT_SHARE-th of them, so there are at most HOT_SHARE hot keys.
 """
 
 from collections.abc import Sequence
@@ -17,34 +17,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on, and is split into pieces of about this size.
-HOT_ROWS = 1_000_000
-# A left side planned below this size is one task's work whatever its keys are.
-ONE_TASK_BYTES = 64 * 1024 * 1024
-# Hard bound on the hot-key list, which is broadcast: at most this many (key, count) rows.
-# A key beyond the bound is still joined exactly, only unsalted.
-MAX_HOT_KEYS = 10_000
-NULL_SPREAD = 4096
+# A key is hot from this share of all rows on, and is split into pieces of about that size ...
+HOT_SHARE = 10_000
+# ... but of no fewer rows than this.
+LEAST_PIECE = 100
 
 _SALT, _PIECES = "__salt", "__pieces"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys held by at least ``hot_rows`` rows and the number of pieces to split them into.
+def _counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key, combined map-side: the hot key itself costs one row per task."""
+    return df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
 
-    Counts are combined map-side, so the hot key itself costs one row per task.  At most
-    rows / hot_rows keys can qualify; the limit keeps the list broadcastable in any case.
-    """
-    known = df.select(*keys).dropna(how="any")
-    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows)
-    top = counts.orderBy(F.desc("__n")).limit(MAX_HOT_KEYS)
-    pieces = F.ceil(F.col("__n") / hot_rows).cast("int") + 1
-    return top.select(*keys, pieces.alias(_PIECES))
+
+def _any_null(keys: Sequence[str]) -> Column:
+    test = F.lit(False)
+    for k in keys:
+        test = test | F.col(k).isNull()
+    return test
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: file sizes for scans, overestimated for joins."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def _piece_rows(counts: DataFrame) -> Column:
+    """Rows of one piece, from the number of all rows."""
+    share = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)) / HOT_SHARE).scalar()
+    return F.greatest(F.lit(float(LEAST_PIECE)), share)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hot keys and the number of pieces to split them into; HOT_SHARE rows at most."""
+    counts = _counts(df, keys)
+    piece = _piece_rows(counts)
+    hot = counts.where(~_any_null(keys) & (F.col("__n") >= piece))
+    return hot.select(*keys, (F.ceil(F.col("__n") / piece).cast("int") + 1).alias(_PIECES))
 
 
 def _renamed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
@@ -65,27 +69,24 @@ def lookup_join(
     how: str,
     spread: Column | str,
     counted: DataFrame | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` (unique on ``on``) by inner, left, left_semi or left_anti.
 
     ``spread`` is any left-side value that differs among the rows of one key, normally the row
     id.  ``counted`` names where to count keys when that is cheaper than ``left`` itself, such
     as the stored table ``left`` was filtered from: salting a key that is no longer hot is
-    harmless.  ``hot_rows`` overrides the threshold and always counts.
+    harmless.
     """
     keys = list(on)
     basis = left if counted is None else counted
-    if hot_rows is None and planned_bytes(basis) <= ONE_TASK_BYTES:
-        return left.join(right, keys, how)
-    hot = hot_keys(basis, keys, hot_rows or HOT_ROWS)
+    hot = hot_keys(basis, keys)
+    counts = _counts(basis, keys)
+    nulls = counts.agg(F.coalesce(F.sum(F.when(_any_null(keys), F.col("__n"))), F.lit(0))).scalar()
+    null_pieces = F.ceil(nulls / _piece_rows(counts)) + 1
     row_hash = F.xxhash64(F.col(spread) if isinstance(spread, str) else spread)
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
 
     salt = (
-        F.when(any_null, F.pmod(row_hash, F.lit(NULL_SPREAD)))
+        F.when(_any_null(keys), F.pmod(row_hash, null_pieces))
         .when(F.col(_PIECES).isNotNull(), F.pmod(row_hash, F.col(_PIECES)))
         .otherwise(0)
         .cast("int")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    row = pick(F.struct(*rest), F.struct(*order)).alias("__row")
+    # Rows that tie in the order differ in their digest, or are equal.
+    row = pick(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))).alias("__row")
     chosen = df.groupBy(*keys).agg(row)
     return chosen.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
 

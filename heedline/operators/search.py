@@ -45,24 +45,40 @@ def latest_downloads(atts: DataFrame, limit: int | None) -> DataFrame:
 def lookup_by_prefix(requests: DataFrame, messages: DataFrame) -> DataFrame:
     """For each request (column ``key``): the newest message with that id or id prefix.
 
-    LIKE semantics, so the literal head of a key - up to its first wildcard - is an equi key:
-    each message offers its own heads, but only of the lengths some request has.  Candidates
-    are reduced to the newest per request by a combining aggregate.
+    LIKE semantics.  A key without wildcards is its own head: each message offers its heads of
+    the lengths that some key has, and the newest per head is taken before the join, which so
+    gets one row per head.  A key with a wildcard is tested against the ids that share the head
+    before it; one that begins with a wildcard is tested inside the scan of the messages, and
+    only what matches is reduced, map-side, to the newest per key.
     """
     keys = requests.select("key").where(text.filled("key").isNotNull()).distinct()
-    heads = keys.withColumn("head", text.ascii_lower(F.regexp_extract("key", "(?s)^[^%_]*", 0)))
-    heads = heads.withColumn("n", F.length("head"))
-    # Distinct head lengths: at most as many rows as the longest id has characters.
-    lengths = heads.agg(F.collect_set("n")).scalar()
+    keys = keys.withColumn("head", text.ascii_lower(F.regexp_extract("key", "(?s)^[^%_]*", 0)))
+    keys = keys.withColumn("n", F.length("head"))
+    plain = keys.where(F.length("key") == F.col("n"))
+    patterns = keys.where(F.length("key") > F.col("n"))
 
     narrow = messages.select("id", F.coalesce("internal_date", F.lit(0)).alias("at"))
-    offers = narrow.select("id", "at", F.explode(lengths).alias("n")).where(F.length("id") >= F.col("n"))
-    offers = offers.withColumn("head", text.ascii_lower(F.substring("id", F.lit(1), F.col("n"))))
-
-    pairs = lookup_join(offers, heads, ["head", "n"], "inner", "id")
-    hits = pairs.where((F.col("id") == F.col("key")) | text.like_prefix("id", F.col("key")))
-    best = hits.groupBy("key").agg(F.min(F.struct((-F.col("at")).alias("age"), "id")).alias("best"))
-    return best.select("key", F.col("best.id").alias("id"))
+    newest = F.min(F.struct((-F.col("at")).alias("age"), "id")).alias("best")
+
+    def offers(heads: DataFrame) -> DataFrame:
+        # Distinct head lengths: at most as many as the longest id has characters.
+        lengths = heads.agg(F.collect_set("n")).scalar()
+        offered = narrow.select("id", "at", F.explode(lengths).alias("n")).where(F.length("id") >= F.col("n"))
+        return offered.withColumn("head", text.ascii_lower(F.substring("id", F.lit(1), F.col("n"))))
+
+    first = offers(plain).groupBy("head", "n").agg(newest)
+    found = plain.join(first, ["head", "n"]).select("key", "best")
+
+    headed = patterns.where(F.col("n") > 0)
+    pairs = lookup_join(offers(headed), headed, ["head", "n"], "inner", "id")
+    matched = pairs.where(text.like_prefix("id", F.col("key"))).groupBy("key").agg(newest)
+
+    headless = patterns.where(F.col("n") == 0).agg(F.collect_set("key")).scalar()
+    hits = F.filter("headless", lambda key: text.like_prefix("id", key))
+    tested = narrow.withColumn("headless", headless)
+    free = tested.select("id", "at", F.explode(hits).alias("key")).groupBy("key").agg(newest)
+    whole = found.unionByName(matched).unionByName(free)
+    return whole.select("key", F.col("best.id").alias("id"))
 
 
 def found_messages(requests: DataFrame, messages: DataFrame) -> DataFrame:

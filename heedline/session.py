@@ -1,6 +1,5 @@
 """Session settings the expressions rely on, and where durable intermediate data goes."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +11,15 @@ SETTINGS = {
     # JSON objects with a repeated key: the last one wins, as for header maps.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    # Classifier batches: 1,000 texts of at most 8,000 characters fit a Python worker easily.
+    # Batches for Python workers: bounded in rows and, as texts are whole, in bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
     # Let AQE split a skewed join even where that costs one more exchange.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_own_dirs: dict[str, str] = {}
+_removed_at_end: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -29,19 +29,20 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+    """The folder of this application that every executor can reach.
 
-    Only a local master may go without the setting: driver and tasks then share one machine.
+    It lies in the folder that ``spark.checkpoint.dir`` names, or in the warehouse, which is
+    shared as well.  It is removed when the application ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="heedline-")
-    return _own_dirs[app]
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/heedline-work"
+    folder = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if folder not in _removed_at_end:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _removed_at_end.add(folder)
+    return folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
