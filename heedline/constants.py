@@ -19,10 +19,7 @@ TRUE_WORDS = ("1", "on", "t", "true", "y", "yes")
 FALSE_WORDS = ("0", "off", "f", "false", "n", "no")
 
 CLUE_MAX_CHARS = 42
-ERROR_MAX_CHARS = 500
 SENDER_MAX_CHARS = 40
-BODY_MAX_CHARS = 8000
-TRUNCATION_MARK = "\n\n[… body truncated at 8000 chars]"
 
 # Classifier models and the suffix of structured cache rows.
 MODEL_PRO = "gemini-3-pro-preview"
@@ -34,7 +31,6 @@ RETRY_DELAY_SECONDS = 2.0
 
 DOC_EXTENSIONS = (".pdf", ".xls", ".xlsx", ".ods")
 UNSAFE_PATH_CHARS = '<>:"/\\|?*'
-STEM_MAX_CHARS = 30
 UNKNOWN_DOMAIN = "unknown.com"
 
 CURRENCY_SYMBOLS = {"USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥"}

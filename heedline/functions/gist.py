@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from heedline import constants as C
 from heedline import schemas
 from heedline.functions import dates
-from heedline.functions.text import col, display_sender, filled, left, let_sql, or_empty, sql_list
+from heedline.functions.text import col, sender_name, filled, left, let_sql, or_empty, sql_list
 
 _NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 _NUMBER_WORD = r"(?i)^\s*[+-]?(?:inf|infinity|nan)\s*$"
@@ -164,7 +164,7 @@ def blocked_gist(
         broadcast=True,
         obligation=False,
         critical=False,
-        sender=display_sender(sender),
+        sender=sender_name(sender),
         clue=left(clue, C.CLUE_MAX_CHARS),
     )
 
@@ -185,7 +185,7 @@ def failure_gist(
         broadcast=False,
         obligation=False,
         critical=False,
-        sender=display_sender(sender),
+        sender=sender_name(sender),
         clue=left(clue, C.CLUE_MAX_CHARS),
-        error=left(error, C.ERROR_MAX_CHARS),
+        error=col(error),
     )

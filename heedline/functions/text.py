@@ -100,22 +100,14 @@ def not_sent(labels: Column | str) -> Column:
 
 
 def canonical_text(sender: Column | str, subject: Column | str, body: Column | str) -> Column:
-    """The exact text a message is classified and hashed by (H1)."""
+    """The exact text a message is classified and hashed by, the whole body included (H1)."""
 
     def header_line(name: str, value: Column | str) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), filled(value), F.lit("\n")), F.lit(""))
 
-    text = or_empty(body)
-    stripped = strip(
-        F.concat(
-            header_line("From", sender),
-            header_line("Subject", subject),
-            F.lit("\n"),
-            left(text, C.BODY_MAX_CHARS),
-        )
+    return strip(
+        F.concat(header_line("From", sender), header_line("Subject", subject), F.lit("\n"), or_empty(body))
     )
-    mark = F.when(F.length(text) > C.BODY_MAX_CHARS, F.lit(C.TRUNCATION_MARK)).otherwise("")
-    return F.concat(stripped, mark)
 
 
 def sha256_hex(c: Column | str) -> Column:
@@ -136,11 +128,15 @@ def body_hash() -> Column:
 # ---- addresses ----------------------------------------------------------------------------
 
 
-def display_sender(sender: Column | str) -> Column:
-    """Name part of an address, at most 40 characters, else 'unknown' (H4)."""
+def sender_name(sender: Column | str) -> Column:
+    """Name part of an address, else 'unknown'; what stored records hold."""
     name = strip(F.substring_index(or_empty(sender), "<", 1))
-    unquoted = F.btrim(name, F.lit('"'))
-    return F.coalesce(filled(left(unquoted, C.SENDER_MAX_CHARS)), F.lit("unknown"))
+    return F.coalesce(filled(F.btrim(name, F.lit('"'))), F.lit("unknown"))
+
+
+def display_sender(sender: Column | str) -> Column:
+    """``sender_name`` for display, at most 40 characters (H4)."""
+    return left(sender_name(sender), C.SENDER_MAX_CHARS)
 
 
 def row_sender(sender: Column | str, label: Column | str) -> Column:
@@ -222,16 +218,22 @@ def with_suffix(path: Column | str, suffix: str) -> Column:
 
 
 def document_path(
-    wall: Column, sender: Column | str, message_id: Column | str, filename: Column | str
+    wall: Column,
+    sender: Column | str,
+    message_id: Column | str,
+    filename: Column | str,
+    content_hash: Column | str,
 ) -> Column:
-    """Relative path of a stored attachment: month/domain/day-domain-id-stem.ext."""
+    """Relative path of a stored attachment: month/domain/day-domain-id-stem-hash.ext.
+
+    Id, stem and content hash stand in full, so different contents never share a path.
+    """
     domain = sender_domain(sender)
-    stem = left(F.translate(path_stem(filename), C.UNSAFE_PATH_CHARS, "_" * 9), C.STEM_MAX_CHARS)
+    stem = F.translate(path_stem(filename), C.UNSAFE_PATH_CHARS, "_" * 9)
     ext = F.coalesce(filled(path_suffix(filename)), F.lit(".bin"))
-    short_id = left(F.coalesce(col(message_id), F.lit("unknown")), 8)
-    file = F.concat(
-        F.concat_ws("-", F.date_format(wall, "yyyyMMdd"), domain, short_id, stem), ext
-    )
+    whole_id = F.translate(F.coalesce(col(message_id), F.lit("unknown")), C.UNSAFE_PATH_CHARS, "_" * 9)
+    day = F.date_format(wall, "yyyyMMdd")
+    file = F.concat(F.concat_ws("-", day, domain, whole_id, stem, col(content_hash)), ext)
     return F.concat_ws("/", F.date_format(wall, "yyyy-MM"), domain, file)
 
 

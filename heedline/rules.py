@@ -7,7 +7,10 @@ def by_hash(batch: pd.DataFrame) -> pd.DataFrame:
     """'0' is blocked, '1' fails, '2' to '7' is billing, the rest personal."""
     digit = batch["content_hash"].str[0]
     category = digit.isin(list("234567")).map({True: "billing", False: "personal"})
-    chars = batch["text"].fillna("").str.len().astype(str)
+    size = batch["text"].fillna("").str.len()
+    if "content" in batch:
+        size += batch["content"].map(lambda c: 0 if c is None else len(c)).astype(int)
+    chars = size.astype(str)
     text = (
         '{"category":"' + category + '","intent":"info","frivolous":false,"broadcast":false,"obligation":'
         + (digit == "f").map({True: "true", False: "false"})
