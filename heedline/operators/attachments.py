@@ -40,19 +40,25 @@ def attachment_rows(messages: DataFrame, payload_json: str = "raw_payload") -> D
     )
 
 
-def fetched(refs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """References with their decoded bytes; those not delivered drop out."""
-    data = bodies.where(F.col("data").isNotNull()).select(
+def decoded(bodies: DataFrame) -> DataFrame:
+    """Delivered bytes with their hash; text that is no base64 drops out.  A pure projection."""
+    read = bodies.where(F.col("data").isNotNull()).select(
         "message_id", "attachment_id", text.from_base64url("data").alias("content")
     )
-    data = data.dropDuplicates(["message_id", "attachment_id"])
-    row_id = F.concat_ws(" ", "message_id", "attachment_id", "part_path")
-    joined = lookup_join(refs, data, ["message_id", "attachment_id"], "inner", row_id)
-    return joined.where(F.col("content").isNotNull()).select(
-        "*",
-        F.sha2("content", 256).alias("content_hash"),
-        F.octet_length("content").cast("bigint").alias("size_bytes"),
-    )
+    return read.where(F.col("content").isNotNull()).withColumn("content_hash", F.sha2("content", 256))
+
+
+def fetched(refs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """References with hash and size of their bytes; those not delivered drop out.
+
+    Bytes are hashed where they are read and go no further.  Of several deliveries of one
+    attachment the one with the smallest hash counts; ``write_contents`` takes the same.
+    """
+    size = F.octet_length("content").cast("bigint").alias("size_bytes")
+    hashed = decoded(bodies).select("message_id", "attachment_id", F.struct("content_hash", size).alias("got"))
+    one = hashed.groupBy("message_id", "attachment_id").agg(F.min("got").alias("got"))
+    joined = refs.join(one, ["message_id", "attachment_id"])
+    return joined.select(*[joined[c] for c in refs.columns], "got.content_hash", "got.size_bytes")
 
 
 def stored_path_for_message(
@@ -105,7 +111,7 @@ def save_plan(
     whose PDF form was produced next to the raw file.
     """
     wall = dates.message_wall("date", F.col("feed_millis") if "feed_millis" in rows.columns else F.lit(None), as_of)
-    raw_path = F.concat(F.lit(root), text.document_path(wall, "from_addr", "message_id", "filename"))
+    raw_path = F.concat(F.lit(root), text.document_path(wall, "from_addr", "message_id", "filename", "content_hash"))
     found = stored_path_for_message(rows, atts, listing, counted=rows)
     found = stored_path_for_content(found, atts, listing, counted=rows)
     found = found.withColumn("raw_path", raw_path)

@@ -22,6 +22,7 @@ from heedline.operators.attempts import KEPT_COLUMNS, Classify, call_in_batches
 from heedline.operators.joins import lookup_join
 from heedline.operators.keyed import first_per_key
 from heedline.operators.weeks import compute_once
+from heedline.session import durable
 
 # Ship the worker-side code with the job, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(worker_side)
@@ -29,7 +30,9 @@ cloudpickle.register_pickle_by_value(worker_side)
 NO_RESPONSE = "no response"
 
 # Columns of a task the classifier may read.
-BATCH_COLUMNS = ["content_hash", "type", "text", "path", "subject", "sender", "label", "message_id", "date"]
+BATCH_COLUMNS = ["content_hash", "type", "text", "content", "path", "subject", "sender", "label", "message_id", "date"]
+# Calls are slow: no more rows than this to one task.
+ROWS_PER_CALL_TASK = 1000
 _CALL_SCHEMA = ", ".join(f"{c} string" for c in [*KEPT_COLUMNS, "outcome", "reply", "call_error"])
 
 
@@ -73,23 +76,36 @@ def call(
     misses: DataFrame,
     classify: Classify,
     texts: DataFrame | None = None,
+    contents: DataFrame | None = None,
     partitions: int | None = None,
     attempts: int = C.MAX_ATTEMPTS,
     delay: float = C.RETRY_DELAY_SECONDS,
 ) -> DataFrame:
-    """Run the classifier over rows that are distinct by content_hash.
+    """Run the classifier over rows that are distinct by content_hash.
 
-    ``texts`` has (message_id, text).  Only the chosen rows fetch theirs; when they are few,
-    the join broadcasts them and the stored bodies are read in place.
+    ``texts`` has (message_id, text) for messages, ``contents`` (content_hash, content) for
+    documents; only the chosen rows fetch theirs.  Messages and documents are apart for that:
+    documents have no message_id and would all meet on NULL.  The rows are then spread over a
+    number of tasks that follows from rows and cores, which adaptive execution leaves alone.
     """
+    misses = durable(misses, "misses")
+    document = F.col("type") == "pdf"
+    mails = misses.where(~document).withColumn("content", F.lit(None).cast("binary"))
+    documents = misses.where(document).withColumn("text", F.lit(None).cast("string"))
     if texts is None:
-        batch = misses.withColumn("text", F.lit(None).cast("string"))
+        mails = mails.withColumn("text", F.lit(None).cast("string"))
     else:
-        batch = misses.join(texts, "message_id", "left")
-    batch = batch.select(*BATCH_COLUMNS)
-    if partitions:
-        batch = batch.repartition(partitions, "content_hash")
-    return batch.mapInPandas(call_in_batches(classify, attempts, delay), _CALL_SCHEMA)
+        mails = mails.join(texts, "message_id", "left")
+    if contents is None:
+        documents = documents.withColumn("content", F.lit(None).cast("binary"))
+    else:
+        documents = documents.join(contents.select("content_hash", "content"), "content_hash", "left")
+    batch = mails.select(*BATCH_COLUMNS).unionByName(documents.select(*BATCH_COLUMNS))
+    if partitions is None:
+        rows, cores = misses.count(), misses.sparkSession.sparkContext.defaultParallelism
+        partitions = max(1, min(rows, 2 * cores), -(-rows // ROWS_PER_CALL_TASK))
+    spread = batch.repartition(partitions, "content_hash")
+    return spread.mapInPandas(call_in_batches(classify, attempts, delay), _CALL_SCHEMA)
 
 
 def call_outcomes(
@@ -99,6 +115,7 @@ def call_outcomes(
     key: str,
     gist: bool = True,
     texts: DataFrame | None = None,
+    contents: DataFrame | None = None,
     use_cache: bool = True,
     dry_run: bool = False,
     partitions: int | None = None,
@@ -112,7 +129,7 @@ def call_outcomes(
     """
     looked_up = with_cached(tasks, cache, key, gist, use_cache and not dry_run)
     misses = one_per_content(looked_up.where(F.col("cached").isNull()).drop("cached"))
-    rows = call(misses, classify, texts, partitions, attempts, delay)
+    rows = call(misses, classify, texts, contents, partitions, attempts, delay)
     fallback = (F.col("outcome") == "blocked") & (F.col("type") == "email") & F.lit(gist)
     return rows.withColumns(
         {

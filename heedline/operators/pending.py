@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from heedline.functions import text
 from heedline.functions.gist import error_is_set
 from heedline.operators.joins import lookup_join, only_with, without
+from heedline.session import durable
 
 
 def newest_first() -> list[Column]:
@@ -104,7 +105,27 @@ def unknown(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     the increment's ids when they are few, so the stored table is scanned but not shuffled.
     """
     known = stored.select("id").join(incoming.select("id").distinct(), "id", "left_semi")
-    return incoming.join(known, "id", "left_anti")
+    # Missing ids match nothing; a digest of the plain columns spreads them.
+    plain = [c for c, kind in incoming.dtypes if kind in ("string", "bigint")]
+    return without(incoming, known, ["id"], F.xxhash64(*plain))
+
+
+def new_deliveries(raw: DataFrame, stored: DataFrame) -> DataFrame:
+    """Raw records with an id that is not stored, one per id.
+
+    Which ones is settled on (id, feed time, digest): the latest delivery, and of equally late
+    ones the one with the greatest digest.  Payloads join those picks afterwards; the picks are
+    a small table of their own, so that Spark leaves the payloads where they are if it can.
+    """
+    others = [F.to_json(F.col(c)) if kind == "variant" else F.col(c).cast("string") for c, kind in raw.dtypes if c != "id"]
+    marked = raw.withColumn("__digest", F.xxhash64(*others))
+    at = F.coalesce(F.col("internalDate").try_cast("long"), F.lit(0)) if "internalDate" in raw.columns else F.lit(0)
+    narrow = marked.select("id", F.struct(at.alias("at"), "__digest").alias("last"))
+    latest = narrow.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("last").alias("last"))
+    picks = unknown(latest.select("id", F.col("last.__digest").alias("__digest")), stored)
+    chosen = marked.join(durable(picks, "new-ids"), ["id", "__digest"], "left_semi").drop("__digest")
+    # What is left of repeats is equal in every column.
+    return chosen.dropDuplicates(["id"])
 
 
 def new_ids(listed: DataFrame, stored: DataFrame) -> DataFrame:
@@ -121,7 +142,10 @@ def with_message(atts: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def ready_documents(atts: DataFrame, listing: DataFrame | None = None) -> DataFrame:
-    """Rows whose stored path is a PDF and, given a listing of paths, exists."""
+    """Rows whose stored path is a PDF and, given a listing of paths, exists.
+
+    A listing is any table with a ``path`` column, such as ``Mailbox.contents``.
+    """
     ready = atts.where(text.is_pdf_path("local_path"))
     if listing is None:
         return ready

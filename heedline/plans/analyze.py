@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from heedline import constants as C
 from heedline.functions.text import cache_key
 from heedline.operators import inference, pending, search
-from heedline.operators.joins import lookup_join
 from heedline.session import durable
-from heedline.sources import landing, tables
+from heedline.sources import tables
 
 
 @dataclass(frozen=True)
@@ -60,12 +59,14 @@ def analyze(
     as_of: dt.datetime | dt.date | str,
     options: Options = Options(),
     listing: DataFrame | None = None,
+    contents: DataFrame | None = None,
     materialize: bool = True,
 ) -> Analysis:
     """Select tasks, classify each distinct content once, give every task its outcome.
 
     The work list and the outcomes are written to the shared folder before anything reads
     them: the list is narrow and read by every later step, and classifier calls are dear.
+    ``contents`` (content_hash, content) has the bytes of documents.
     """
     mode = pending.selection_mode(options.force, options.retry_failed, options.dry_run)
     tasks = pending.pending_tasks(
@@ -73,7 +74,7 @@ def analyze(
     )
     if materialize:
         tasks = durable(tasks, "tasks")
-    return run_tasks(tasks, cache, classify, as_of, options, pending.message_texts(messages), materialize)
+    return run_tasks(tasks, cache, classify, as_of, options, pending.message_texts(messages), contents, materialize)
 
 
 def run_tasks(
@@ -83,9 +84,10 @@ def run_tasks(
     as_of: dt.datetime | dt.date | str,
     options: Options,
     texts: DataFrame | None = None,
+    contents: DataFrame | None = None,
     materialize: bool = True,
 ) -> Analysis:
-    """Classify a given work list; ``texts`` holds what its messages say."""
+    """Classify a given work list; ``texts`` and ``contents`` hold what it is about."""
     outcomes = inference.call_outcomes(
         tasks,
         cache,
@@ -93,6 +95,7 @@ def run_tasks(
         options.key,
         options.gist,
         texts,
+        contents,
         options.use_cache,
         options.dry_run,
         options.partitions,
@@ -114,9 +117,8 @@ def analyze_mailbox(
     listing: DataFrame | None = None,
 ) -> DataFrame:
     """Analyze the stored tables, save the new cache rows, return the results."""
-    done = analyze(
-        box.messages.read(), box.attachments.read(), box.extractions.read(), classify, as_of, options, listing
-    )
+    stored = (box.messages.read(), box.attachments.read(), box.extractions.read())
+    done = analyze(*stored, classify, as_of, options, listing, box.contents())
     results = durable(done.results, "results")
     if not options.dry_run:
         box.save_extractions(done.cache_rows)
@@ -140,8 +142,8 @@ def analyze_documents(
     return analyze(messages, atts, cache, classify, as_of, Options(source="pdfs", **options), listing)
 
 
-def undescribed(atts: DataFrame, cache: DataFrame, limit: int | None = 10) -> DataFrame:
-    """Latest documents no model has described."""
+def undescribed(atts: DataFrame, cache: DataFrame, limit: int | None = None) -> DataFrame:
+    """Documents no model has described, latest first; all unless a limit is given."""
     return search.latest_downloads(pending.never_described(atts, cache), limit)
 
 
@@ -171,14 +173,16 @@ def describe_documents(
     as_of: dt.datetime | dt.date | str,
     model: str = C.MODEL_FLASH,
     everything: bool = False,
-    limit: int | None = 10,
+    limit: int | None = None,
     listing: DataFrame | None = None,
+    contents: DataFrame | None = None,
     **options,
 ) -> Analysis:
     """Describe undescribed documents as plain text, or redo all of them."""
     rows = atts if everything else undescribed(atts, cache, limit)
     tasks = document_path_tasks(pending.ready_documents(rows, listing))
-    return run_tasks(tasks, cache, classify, as_of, Options(model=model, gist=False, force=everything, **options))
+    chosen = Options(model=model, gist=False, force=everything, **options)
+    return run_tasks(tasks, cache, classify, as_of, chosen, contents=contents)
 
 
 def describe_paths(
@@ -187,16 +191,12 @@ def describe_paths(
     classify: inference.Classify,
     as_of: dt.datetime | dt.date | str,
     model: str = C.MODEL_FLASH,
+    contents: DataFrame | None = None,
     **options,
 ) -> Analysis:
     """Describe document files by path (B8 with one path); see ``landing.documents``."""
     columns = documents.select(
         F.col("path").alias("local_path"), "content_hash", F.lit(None).cast("timestamp").alias("downloaded_at")
     )
-    return run_tasks(document_path_tasks(columns), cache, classify, as_of, Options(model=model, gist=False, **options))
-
-
-def with_document_bytes(tasks: DataFrame, folder: str) -> DataFrame:
-    """Attach file contents to document tasks, for classifiers that want bytes."""
-    content = landing.document_bytes(tasks.sparkSession, folder)
-    return lookup_join(tasks, content, ["path"], "left", "task_id")
+    chosen = Options(model=model, gist=False, **options)
+    return run_tasks(document_path_tasks(columns), cache, classify, as_of, chosen, contents=contents)

@@ -66,10 +66,11 @@ def ranked(
     )
 
 
-def order_of_view() -> list[Column]:
+def order_of_view(models: bool = True) -> list[Column]:
     """Oldest week first; inside a week errors, noise, routine, obligations, critical.
 
-    The id makes the order total, and lets a range sort split one very large week.
+    Id and model (where there is one) make the order total, and let a range sort split one very
+    large week.
     """
     return [
         F.col("week_idx").desc(),
@@ -78,6 +79,7 @@ def order_of_view() -> list[Column]:
         F.col("sender_key").asc(),
         F.col("date_key").asc(),
         F.col("id").asc(),
+        *([F.col("model_name").asc()] if models else []),
     ]
 
 
@@ -127,4 +129,4 @@ def results_view(
     rows = results.withColumnsRenamed({"task_id": "id", "sender": "from_addr"}).withColumn("task_error", F.col("error"))
     shown = ranked(rows.drop("error"), as_of, None, show_noise, "description")
     view = view_columns(shown, as_of, short_id_column(messages), "description")
-    return view.orderBy(*order_of_view())
+    return view.orderBy(*order_of_view("model_name" in view.columns))

@@ -13,24 +13,31 @@ from heedline.sources import landing, tables
 
 
 def new_messages(raw: DataFrame, stored: DataFrame, as_of, days: int | None = 7) -> DataFrame:
-    """Landed records inside the look-back window whose id is unknown.
-
-    An id delivered twice is taken once.  Only ids meet the stored table; payloads stay put.
-    """
+    """Landed records inside the look-back window whose id is unknown."""
     listed = raw if days is None else landing.within_days(raw, as_of, days)
-    return pending.unknown(listed, stored).dropDuplicates(["id"])
+    return pending.new_deliveries(listed, stored)
 
 
 def sync_tally(raw: DataFrame, stored: DataFrame, as_of, days: int | None = 7) -> DataFrame:
-    """Listed, already stored and new ids, as one row (A4)."""
+    """Listed, already stored, new and downloaded records, as one row (A4).
+
+    An id that is delivered twice is downloaded once.  ``undated`` counts the records that the
+    look-back window leaves out because their feed date is missing or unreadable.
+    """
     listed = raw if days is None else landing.within_days(raw, as_of, days)
-    known = stored.select("id", F.lit(True).alias("known"))
-    marked = listed.select("id").join(known, "id", "left")
-    return marked.agg(
-        F.count(F.lit(1)).alias("listed"),
-        F.count_if(F.col("known").isNotNull()).alias("stored"),
-        F.count_if(F.col("known").isNull()).alias("new"),
-    )
+    ids = listed.select("id")
+    known = stored.select("id").join(ids.distinct(), "id", "left_semi").distinct().withColumn("known", F.lit(True))
+    unreadable = F.col("internalDate").try_cast("long").isNull()
+    undated = raw.agg(F.count_if(unreadable)).scalar() if days is not None else F.lit(0).cast("bigint")
+    counts = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(known, "id", "left")
+    new = F.col("known").isNull()
+    zero = F.lit(0).cast("bigint")
+    return counts.agg(
+        F.coalesce(F.sum("n"), zero).alias("listed"),
+        F.coalesce(F.sum(F.when(~new, F.col("n"))), zero).alias("stored"),
+        F.coalesce(F.sum(F.when(new, F.col("n"))), zero).alias("new"),
+        F.count_if(new & F.col("id").isNotNull()).alias("downloaded"),
+    ).withColumn("undated", undated)
 
 
 def save_attachments(
@@ -44,18 +51,14 @@ def save_attachments(
 ) -> DataFrame:
     """Store fetched attachments once per content; returns the status of each.
 
-    Decoded bytes are hashed and dropped before the status joins; they are read again only to
-    write the contents that are new.
+    Bytes are hashed where they are read; they are read again only to write the contents that
+    are new, by default into the mailbox.
     """
-    got = attachments.fetched(refs, bodies)
-    hashed = durable(got.drop("content"), "attachment-hashes")
+    hashed = durable(attachments.fetched(refs, bodies), "attachment-hashes")
     stored = box.attachments.read()
     plan = durable(attachments.save_plan(hashed, stored, as_of, "", converted, listing), "attachment-plan")
-    if content_folder is not None:
-        keys = ["message_id", "attachment_id", "part_path"]
-        winners = plan.where(F.col("status") == "downloaded").select(*keys, "raw_path", "path", "status")
-        tables.write_contents(got.join(winners, keys), content_folder)
-    box.save_attachments(attachments.attachment_updates(plan, as_of))
+    tables.write_contents(plan, bodies, content_folder or box.content_folder)
+    box.save_attachments(durable(attachments.attachment_updates(plan, as_of), "attachment-updates"))
     return attachments.save_statuses(plan)
 
 
@@ -71,8 +74,10 @@ def sync(
     converted: DataFrame | None = None,
     listing: DataFrame | None = None,
 ) -> dict[str, DataFrame | None]:
-    """Messages, then attachments, then (given a classifier) the analysis."""
-    fresh = new_messages(raw, box.messages.read(), as_of, days)
+    """Messages, then attachments, then (given a classifier) the analysis; and the tally."""
+    stored = box.messages.read()
+    tally = durable(sync_tally(raw, stored, as_of, days), "tally")
+    fresh = new_messages(raw, stored, as_of, days)
     rows = durable(landing.flatten_messages(fresh, F.lit(as_of)), "new-messages")
     box.save_messages(rows)
     statuses = None
@@ -80,7 +85,7 @@ def sync(
         refs = attachments.attachment_rows(rows)
         statuses = save_attachments(box, refs, bodies, as_of, content_folder, converted, listing)
     results = analyze_mailbox(box, classify, as_of, options, listing) if classify else None
-    return {"messages": rows, "attachments": statuses, "results": results}
+    return {"messages": rows, "attachments": statuses, "results": results, "tally": tally}
 
 
 def attachment_count(atts: DataFrame) -> DataFrame:
@@ -106,6 +111,6 @@ def backfill(
 
 def download_statuses(messages: DataFrame, bodies: DataFrame, atts: DataFrame, as_of, **plan_options) -> DataFrame:
     """Status of every attachment of the given messages, without storing anything."""
-    got = attachments.fetched(attachments.attachment_rows(messages), bodies).drop("content")
+    got = attachments.fetched(attachments.attachment_rows(messages), bodies)
     plan = attachments.save_plan(got, schemas.align(atts, schemas.ATTACHMENTS), as_of, **plan_options)
     return attachments.save_statuses(plan)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from heedline import schemas
 from heedline.functions import dates, payload, text
 
-HASH_VERSION = 1
+# Raised whenever the text that is hashed changes; stored rows of older versions are hashed again.
+HASH_VERSION = 2
 
 
 def raw_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -79,13 +80,10 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def document_bytes(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path).select(local_path("path").alias("path"), "content")
-
-
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Paths only; no file is opened."""
-    return _files(spark, path).select(local_path("path").alias("path"))
+def document_contents(spark: SparkSession, path: str) -> DataFrame:
+    """(content_hash, content) of document files, for classifiers that want bytes."""
+    files = _files(spark, path).select(F.sha2("content", 256).alias("content_hash"), "content")
+    return files.dropDuplicates(["content_hash"])
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,14 @@
 """The three tables as Parquet folders, and their upkeep.
 
-A table is a folder of numbered versions; the newest complete one is current.  Rows with new
-keys are appended to it.  Rewriting stored keys writes the next version, so nothing that is
-being read is overwritten and a failed job leaves the old version current.
+Rows are dealt into buckets by a hash of their key.  A write is a new folder ``v=n``, in it
+
+* ``kind=add/bucket=b``: rows with new keys,
+* ``kind=put/bucket=b``: the whole bucket, when one of its keys is written again,
+* ``kind=all/bucket=b``: a bucket of a table that was written as a whole.
+
+A bucket is its last put and the adds since then.  An increment so writes itself and the few
+buckets it changes; all other files stay as they are, nothing that is being read is overwritten,
+and a failed job leaves the old state current.
 """
 
 import datetime as dt
@@ -13,91 +19,143 @@ from pyspark.sql import types as T
 
 from heedline import schemas
 from heedline.functions import dates, payload, text
+from heedline.operators.attachments import decoded
+from heedline.operators.joins import lookup_join, without
 from heedline.operators.keyed import first_per_key, newest_per_key, replace_by_key
+from heedline.session import durable
 from heedline.sources.landing import HASH_VERSION
 
 MESSAGE_KEY = ["id"]
 EXTRACTION_KEY = ["content_hash", "model_name"]
 ATTACHMENT_KEY = ["message_id", "gmail_attachment_id"]
-
-
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        complete = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-        if name.startswith("v=") and complete:
-            done.append(int(name[2:]))
-    return sorted(done)
+BUCKETS = 64
 
 
 class Table:
-    """One versioned Parquet folder with a fixed schema."""
-
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
-        self.spark, self.folder, self.schema = spark, folder, schema
+    """One keyed Parquet table with a fixed schema."""
+
+    def __init__(
+        self, spark: SparkSession, folder: str, schema: T.StructType, keys: list[str], buckets: int = BUCKETS
+    ):
+        self.spark, self.folder, self.schema, self.keys, self.buckets = spark, folder, schema, keys, buckets
+
+    def _names(self, folder: str) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _versions(self) -> list[int]:
+        numbered = sorted(int(n[2:]) for n in self._names(self.folder) if n.startswith("v="))
+        return [n for n in numbered if "_SUCCESS" in self._names(f"{self.folder}/v={n}")]
+
+    def _folders(self) -> dict[int | None, list[str]]:
+        """What is current, by bucket; under None a version in the old layout, without buckets."""
+        current: dict[int | None, list[str]] = {}
+        for version in self._versions():
+            folder = f"{self.folder}/v={version}"
+            kinds = self._names(folder)
+            if not {"kind=add", "kind=put"} & set(kinds):
+                current = {}
+            if any(n.startswith("part-") for n in kinds):
+                current[None] = [folder]
+            for kind in ("all", "put", "add"):
+                for name in self._names(f"{folder}/kind={kind}") if f"kind={kind}" in kinds else []:
+                    if name.startswith("bucket="):
+                        bucket = int(name[7:])
+                        earlier = current.get(bucket, []) if kind == "add" else []
+                        current[bucket] = [*earlier, f"{folder}/kind={kind}/{name}"]
+        return current
+
+    def _load(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        # Columns that older files lack are NULL.
+        return schemas.align(self.spark.read.schema(self.schema).parquet(*folders), self.schema)
 
     def read(self) -> DataFrame:
-        versions = _versions(self.spark, self.folder)
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        stored = self.spark.read.parquet(f"{self.folder}/v={versions[-1]}")
-        return schemas.align(stored, self.schema)
+        return self._load([f for folders in self._folders().values() for f in folders])
 
-    def write(self, rows: DataFrame) -> None:
-        """Make ``rows`` the next version; older versions stay until they are removed by hand."""
-        versions = _versions(self.spark, self.folder)
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, kind: Column) -> None:
+        versions = self._versions()
         target = f"{self.folder}/v={versions[-1] + 1 if versions else 0}"
-        schemas.align(rows, self.schema).write.mode("overwrite").parquet(target)
+        placed = rows.select(*self.schema.names, kind.alias("kind"), self._bucket().alias("bucket"))
+        # Few files per bucket, large buckets in several.
+        placed = placed.hint("rebalance", "kind", "bucket")
+        placed.write.mode("overwrite").partitionBy("kind", "bucket").parquet(target)
+
+    def write(self, rows: DataFrame) -> None:
+        """Make ``rows`` the whole table; older files stay until they are removed by hand."""
+        self._write(schemas.align(rows, self.schema), F.lit("all"))
 
     def append(self, rows: DataFrame) -> None:
-        """Add files to the current version.  ``rows`` must hold new keys only."""
-        versions = _versions(self.spark, self.folder)
-        if not versions:
-            return self.write(rows)
-        target = f"{self.folder}/v={versions[-1]}"
-        schemas.align(rows, self.schema).write.mode("append").parquet(target)
-
-    def upsert(self, rows: DataFrame, keys: list[str], order: list[Column]) -> None:
-        """Write ``rows`` over the table.  The usual increment has new keys only and is appended;
-        the table is rewritten just when a stored key is written again.
-
-        The test scans the key columns against the increment's keys, which are broadcast when
-        they are few.  ``rows`` should be durable: it is read more than once.
-        """
-        stored = self.read()
-        again = stored.select(*keys).join(rows.select(*keys).distinct(), keys, "left_semi")
-        if again.isEmpty():
-            self.append(newest_per_key(rows, keys, order))
+        """Add rows that hold new keys only."""
+        if rows.isEmpty():
+            return
+        if None in self._folders():
+            self.write(self.read().unionByName(schemas.align(rows, self.schema)))
         else:
-            self.write(replace_by_key(stored, rows, keys, order))
+            self._write(schemas.align(rows, self.schema), F.lit("add"))
+
+    def upsert(self, rows: DataFrame, order: list[Column]) -> None:
+        """Write ``rows`` over the table; the greatest ``order`` of a key wins among them.
+
+        Stored keys are cut down to those the increment names.  ``rows`` should be durable: it
+        is read more than once.
+        """
+        rows = schemas.align(rows, self.schema)
+        if rows.isEmpty():
+            return
+        folders = self._folders()
+        fresh = newest_per_key(rows, self.keys, order)
+        keys = rows.select(*self.keys).distinct()
+        if None in folders:
+            self.write(replace_by_key(self.read(), rows, self.keys, order))
+            return
+        again = self.read().select(*self.keys).join(keys, self.keys, "left_semi")
+        # At most one row per bucket.
+        hit = [r["b"] for r in again.select(self._bucket().alias("b")).distinct().collect()]
+        kind = F.when(self._bucket().isin(hit), "put").otherwise("add") if hit else F.lit("add")
+        if hit:
+            stored = self._load([f for b in hit for f in folders.get(b, [])])
+            fresh = fresh.unionByName(stored.join(keys, self.keys, "left_anti"))
+        self._write(fresh, kind)
 
 
 class Mailbox:
-    """The messages, attachments and extraction-cache tables under one root folder."""
+    """The messages, attachments and extraction-cache tables and the contents under one root.
+
+    Messages that were hashed by an older version are brought up to date on opening.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.messages = Table(spark, f"{self.root}/messages", schemas.MESSAGES)
-        self.attachments = Table(spark, f"{self.root}/attachments", schemas.ATTACHMENTS)
-        self.extractions = Table(spark, f"{self.root}/extractions", schemas.EXTRACTIONS)
+        self.messages = Table(spark, f"{self.root}/messages", schemas.MESSAGES, MESSAGE_KEY)
+        self.attachments = Table(spark, f"{self.root}/attachments", schemas.ATTACHMENTS, ATTACHMENT_KEY)
+        self.extractions = Table(spark, f"{self.root}/extractions", schemas.EXTRACTIONS, EXTRACTION_KEY)
+        self.content_folder = f"{self.root}/contents"
+        stored = self.messages.read()
+        outdated = stored.where(F.coalesce("hash_version", F.lit(0)) < HASH_VERSION)
+        if not outdated.select("hash_version").isEmpty():
+            self.messages.write(migrate_messages(stored))
+
+    def contents(self) -> DataFrame:
+        """(path, content_hash, content) of what was stored."""
+        return stored_contents(self.spark, self.content_folder)
 
     def save_messages(self, rows: DataFrame) -> None:
-        self.messages.upsert(rows, MESSAGE_KEY, message_order())
+        self.messages.upsert(rows, message_order())
 
     def save_extractions(self, rows: DataFrame) -> None:
-        self.extractions.upsert(rows, EXTRACTION_KEY, extraction_order())
+        self.extractions.upsert(rows, extraction_order())
 
     def save_attachments(self, rows: DataFrame) -> None:
         """Rows without an attachment id have no key and are appended."""
         named = rows.where(F.col("gmail_attachment_id").isNotNull())
-        order = [F.col("downloaded_at"), F.col("content_hash"), F.col("filename")]
-        self.attachments.upsert(named, ATTACHMENT_KEY, order)
+        self.attachments.upsert(named, [F.col("downloaded_at"), F.col("content_hash"), F.col("filename")])
         unnamed = rows.where(F.col("gmail_attachment_id").isNull())
         if not unnamed.isEmpty():
             self.attachments.append(unnamed)
@@ -137,7 +195,7 @@ def compound_key(rows: DataFrame) -> DataFrame:
 def cached_text(tasks: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Any row stored for (content_hash, key), next to each task."""
     rows = cache.where(F.col("model_name") == key).select("content_hash", F.col("extracted_json").alias("cached"))
-    return tasks.join(rows, "content_hash", "left")
+    return lookup_join(tasks, rows, ["content_hash"], "left", F.xxhash64(*tasks.columns))
 
 
 # ---- upkeep of stored messages ------------------------------------------------------------
@@ -195,23 +253,42 @@ def since_window(
 
 # ---- sinks --------------------------------------------------------------------------------
 
+_CONTENTS = "path string, content_hash string, content binary, domain string, year_month string"
+
 
-def write_contents(plan: DataFrame, folder: str, partition_by: tuple[str, ...] = ("year_month",)) -> None:
+def stored_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content_hash, content) of the content sink; no rows if there is none yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stored = spark.read.schema(_CONTENTS).parquet(folder) if fs.exists(path) else spark.createDataFrame([], _CONTENTS)
+    return stored.select("path", "content_hash", "content")
+
+
+def write_contents(
+    plan: DataFrame, bodies: DataFrame, folder: str, partition_by: tuple[str, ...] = ("year_month",)
+) -> None:
     """Bytes of newly stored attachments, once per content.
 
-    Rows are ranged by month and domain, so each file holds neighbouring paths.  Month folders
-    stay few; add "domain" only for archives with few senders, as it makes a folder for each.
+    What is stored already is left out, so a job that is run again writes nothing twice.  That
+    is settled on hashes; only the bytes to be written are then taken from ``bodies``.
+    Month folders stay few; add "domain" only for archives with few senders.
     """
     pieces = F.split(F.col("raw_path"), "/")
     rows = plan.where(F.col("status") == "downloaded").select(
+        "message_id",
+        "attachment_id",
         "path",
         "content_hash",
-        "content",
-        F.element_at(pieces, -3).alias("year_month"),
         F.element_at(pieces, -2).alias("domain"),
+        F.element_at(pieces, -3).alias("year_month"),
     )
-    ranged = rows.repartitionByRange("year_month", "domain", "content_hash")
-    ranged.write.mode("append").partitionBy(*partition_by).parquet(folder)
+    known = stored_contents(plan.sparkSession, folder).select("content_hash")
+    wanted = durable(without(rows, known, ["content_hash"], "path"), "wanted-contents")
+    found = decoded(bodies).join(wanted, ["message_id", "attachment_id", "content_hash"])
+    # An attachment may have been delivered more than once.
+    once = found.repartition("content_hash").dropDuplicates(["content_hash"])
+    once = once.select("path", "content_hash", "content", "domain", "year_month")
+    once.write.mode("append").partitionBy(*partition_by).parquet(folder)
 
 
 def result_texts(results: DataFrame, gist: bool) -> DataFrame:
@@ -221,6 +298,13 @@ def result_texts(results: DataFrame, gist: bool) -> DataFrame:
     return described.select(text.with_suffix("path", suffix).alias("path"), F.col("description").alias("text"))
 
 
+def text_table(spark: SparkSession, folder: str) -> Table:
+    """The result texts: one dataset with a row per path, not a file per document."""
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
+    return Table(spark, folder, schema, ["path"])
+
+
 def write_result_texts(results: DataFrame, folder: str, gist: bool) -> None:
-    """One dataset, not one file per document."""
-    result_texts(results, gist).write.mode("append").parquet(folder)
+    """Writes over texts of the same path, so a job may be run again."""
+    rows = durable(result_texts(results, gist), "result-texts")
+    text_table(results.sparkSession, folder).upsert(rows, [F.col("text")])

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from heedline import schemas
-from heedline.operators.pending import unknown
+from heedline.operators.pending import new_deliveries
 from heedline.sources import landing
 
 # Partition columns of the message log: which stream wrote a row, in which micro-batch.
@@ -28,11 +28,12 @@ def raw_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
 def without_recent_repeats(raw: DataFrame, delay: str = "7 days") -> DataFrame:
     """Drop repeated ids arriving within ``delay`` of each other.
 
-    State holds the ids of one delay only.  Later repeats are caught by the stored-id test of
-    the sink, so nothing is lost or doubled by the bound.
+    Time is the arrival, not the date of the mail: late and undated mail is never behind the
+    watermark.  State holds the ids of one delay only; later repeats are caught by the
+    stored-id test of the sink, so nothing is lost or doubled by the bound.
     """
-    timed = raw.withColumn("feed_time", F.timestamp_millis(F.col("internalDate").try_cast("long")))
-    return timed.withWatermark("feed_time", delay).dropDuplicatesWithinWatermark(["id"])
+    timed = raw.withColumn("arrived", F.current_timestamp())
+    return timed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["id"])
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,8 +69,8 @@ def ingest(
         if not log.where(own & (F.col("batch") > batch_id)).isEmpty():
             raise RuntimeError(f"{folder} holds later batches of {checkpoint}; was the checkpoint reset?")
         stored = log.where(~own | (F.col("batch") < batch_id)).select("id")
-        fresh = unknown(batch.select(*schemas.RAW_MESSAGES.names), stored)
-        rows = landing.flatten_messages(fresh.dropDuplicates(["id"]), F.lit(as_of))
+        fresh = new_deliveries(batch.select(*schemas.RAW_MESSAGES.names), stored)
+        rows = landing.flatten_messages(fresh, F.lit(as_of))
         rows.write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch={batch_id}")
 
     writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -9,10 +9,11 @@ import sys
 import pandas as pd
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from heedline import schemas
 from heedline.operators.attempts import NO_TEXT, call_in_batches
-from heedline.operators import pending
+from heedline.operators import inference, pending
 from heedline.plans import analyze, gists, sync
 from heedline.sources import landing, tables
 from heedline.streaming import ingest
@@ -32,7 +33,7 @@ def raw(i, subject="Hello", body="text", attachments=(), date="Mon, 29 Jan 2024
     parts += [{"filename": name, "body": {"attachmentId": aid, "size": 3}} for aid, name in attachments]
     headers = {"From": "Ann <ann@shop.example>", "Subject": subject, "Date": date, "Message-ID": f"<{i}@x>"}
     payload = {"mimeType": "multipart/mixed", "headers": [{"name": k, "value": v} for k, v in headers.items()], "parts": parts}
-    return {"id": i, "threadId": "t", "labelIds": ["INBOX"], "snippet": body[:10], "internalDate": "1706522400000", "payload": payload}
+    return {"id": i, "threadId": "t", "labelIds": ["STARRED"], "snippet": body[:10], "internalDate": "1706522400000", "payload": payload}
 
 
 def land(folder, name, messages):
@@ -79,10 +80,11 @@ def test_sync_then_sync_again(spark, box):
     options = analyze.Options(model="m", **QUICK)
     done = sync.sync(mailbox, landing.raw_messages(spark, incoming), bodies(spark), NOW, None, classify, options)
     statuses = {(r["message_id"], r["attachment_id"]): (r["status"], r["path"]) for r in done["attachments"].collect()}
-    first = "2024-01/shop.example/20240129-shop.example-5-x.pdf"
+    pdf, sheet = (hashlib.sha256(b).hexdigest() for b in (b"pdf bytes", b"sheet"))
+    first = f"2024-01/shop.example/20240129-shop.example-5-x-{pdf}.pdf"
     assert statuses == {
         ("5", "A"): ("downloaded", first),
-        ("5", "B"): ("conversion_failed", "2024-01/shop.example/20240129-shop.example-5-y.xls"),
+        ("5", "B"): ("conversion_failed", f"2024-01/shop.example/20240129-shop.example-5-y-{sheet}.xls"),
         ("6", "C"): ("exists", first),
     }
     assert mailbox.messages.read().count() == 7
@@ -99,6 +101,8 @@ def test_sync_then_sync_again(spark, box):
     again = sync.sync(mailbox, landing.raw_messages(spark, incoming), bodies(spark), NOW, None, classify, options)
     after = {name: sorted(map(str, getattr(mailbox, name).read().collect())) for name in before}
     assert again["results"].count() == 0 and before == after
+    assert [tuple(d["tally"].first()) for d in (done, again)] == [(8, 0, 8, 7, 0), (8, 8, 0, 0, 0)]
+    assert [(r["path"], bytes(r["content"])) for r in mailbox.contents().collect()] == [(first, b"pdf bytes")]
 
 
 def test_failed_come_back_and_blocked_do_not(spark, box):
@@ -143,7 +147,7 @@ def test_converted_documents_are_stored_and_found_done(spark, box):
     converted = spark.createDataFrame([(sheet, "pdfhash")], "content_hash string, pdf_hash string")
     sync.sync(mailbox, landing.raw_messages(spark, incoming), bodies(spark), NOW, None, converted=converted)
     row = mailbox.attachments.read().where("gmail_attachment_id = 'B'").first()
-    assert row["pdf_hash"] == "pdfhash" and row["local_path"].endswith("5-y.pdf")
+    assert row["pdf_hash"] == "pdfhash" and row["local_path"].endswith(f"5-y-{sheet}.pdf")
     cache = spark.createDataFrame([("pdfhash", "m:gist:v3", "{}", NOW, None)], schemas.EXTRACTIONS)
     open_rows = pending.unclassified_documents(mailbox.attachments.read(), cache).collect()
     assert {r["gmail_attachment_id"] for r in open_rows} == {"A", "C"}
@@ -194,6 +198,80 @@ def test_older_tables_are_migrated_once(spark):
     assert sorted(map(str, tables.migrate_messages(once).collect())) == sorted(map(str, once.collect()))
 
 
+def test_one_row_update_leaves_other_files(spark, folder):
+    table = tables.Table(spark, f"{folder}/t", schemas.EXTRACTIONS, tables.EXTRACTION_KEY, buckets=8)
+    rows = [(f"h{i}", "m", f"text {i}", NOW, None) for i in range(100)]
+    order = tables.extraction_order()
+    table.upsert(spark.createDataFrame(rows[:60], schemas.EXTRACTIONS), order)
+    table.upsert(spark.createDataFrame(rows[60:], schemas.EXTRACTIONS), order)
+    before = {b: list(f) for b, f in table._folders().items()}
+    changed = spark.createDataFrame([("h7", "m", "new", NOW, None), ("h7", "m", "newer", NOW + dt.timedelta(1), None)], schemas.EXTRACTIONS)
+    table.upsert(changed, order)
+    after = table._folders()
+    assert sum(before[b] != after[b] for b in before) == 1
+    got = {r["content_hash"]: r["extracted_json"] for r in table.read().collect()}
+    assert len(got) == 100 and got["h7"] == "newer" and got["h8"] == "text 8" and table.read().count() == 100
+    table.write(table.read().where("content_hash = 'h7'"))
+    assert [r["extracted_json"] for r in table.read().collect()] == ["newer"]
+    table.upsert(spark.createDataFrame([], schemas.EXTRACTIONS), order)
+    assert table.read().count() == 1
+
+
+def test_contents_with_one_name_tail_do_not_share_a_path(spark):
+    names = ["a" * 40 + "-january.pdf", "a" * 40 + "-february.pdf"]
+    rows = [("12345678AA", "A", names[0], "0", "x <x@y.z>", None, "h1", 1), ("12345678BB", "B", names[1], "0", "x <x@y.z>", None, "h2", 1)]
+    schema = "message_id string, attachment_id string, filename string, part_path string, from_addr string, date string, content_hash string, size_bytes long"
+    from heedline.operators import attachments
+
+    plan = attachments.save_plan(spark.createDataFrame(rows, schema), spark.createDataFrame([], schemas.ATTACHMENTS), NOW)
+    found = [(r["status"], r["path"]) for r in plan.collect()]
+    assert {s for s, _ in found} == {"downloaded"} and len({p for _, p in found}) == 2
+
+
+def test_late_and_undated_mail_is_kept(spark, tmp_path):
+    incoming, once = tmp_path / "in", str(tmp_path / "once")
+    incoming.mkdir()
+
+    def run():
+        raw_rows = ingest.without_recent_repeats(ingest.raw_stream(spark, str(incoming), 1)).select("id")
+        writer = raw_rows.writeStream.format("parquet").option("path", once).option("checkpointLocation", str(tmp_path / "c"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["id"] for r in spark.read.parquet(once).collect())
+
+    land(incoming, "a", [raw("1")])
+    assert run() == ["1"]
+    late, new, undated = raw("2"), raw("3"), raw("4")
+    late["internalDate"], new["internalDate"] = "1000", "1906522400000"
+    del undated["internalDate"]
+    land(incoming, "b", [new, raw("1")])
+    land(incoming, "c", [late, undated, new])
+    assert run() == ["1", "2", "3", "4"]
+
+
+def test_of_differing_deliveries_the_latest_is_taken(spark, tmp_path):
+    older, newer = raw("1", body="old"), raw("1", body="new")
+    newer["internalDate"] = "1706522500000"
+    land(tmp_path, "a", [newer, older, older])
+    rows = sync.new_messages(landing.raw_messages(spark, str(tmp_path)), spark.createDataFrame([], schemas.MESSAGES), NOW, None)
+    assert [r["snippet"] for r in rows.collect()] == ["new"]
+
+
+def test_documents_are_spread_over_tasks(spark):
+    tasks = spark.range(400).select(
+        F.lit("pdf").alias("type"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"),
+        *[F.lit(None).cast("string").alias(c) for c in ("message_id", "path", "subject", "sender", "label", "date")],
+    )
+    contents = tasks.select("content_hash", F.encode("content_hash", "utf-8").alias("content"))
+
+    def sizes(batch):
+        size = batch["content"].map(len).astype(str) + f" {len(batch)}"
+        return pd.DataFrame({"status": "ok", "text": size, "error": None}, index=batch.index)
+
+    rows = inference.call(tasks, sizes, contents=contents, attempts=1, delay=0.0).collect()
+    assert len(rows) == 400 and all(r["reply"].startswith("64 ") for r in rows)
+    assert max(int(r["reply"].split()[1]) for r in rows) < 200
+
+
 # ---- the worker side of classification, without Spark --------------------------------------
 
 
