@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heedline import rules
-from heedline.catalog.nested import document_files
+from heedline.catalog.nested import FILES_SQL, document_files
 from heedline.catalog.registry import query
 from heedline.catalog.rules import blocked_sql, failure_sql, reply_sql
 from heedline.catalog.selection import NOT_SENT_SQL, unique_cache
@@ -131,14 +131,17 @@ def empty_messages(v: Views) -> DataFrame:
 
 @query(
     "c7_document_inference",
-    """SELECT sha256(html || chr(10)) AS content_hash, case left(sha256(html || chr(10)),1) when '0' then 'refused ' || left(sha256(html || chr(10)),8)
-  when '1' then 'refused ' || left(sha256(html || chr(10)),8) end AS error FROM pages""",
+    FILES_SQL
+    + """, hashed AS (SELECT sha256(content) AS h, strlen(content) AS n FROM files)
+SELECT h AS content_hash, case when left(h,1) in ('0','1') then 'refused ' || left(h,8) end AS error,
+  case when left(h,1) not in ('0','1') then n || ' characters' end AS clue FROM hashed""",
 )
 def document_inference(v: Views) -> DataFrame:
-    """Document files by the hash of their bytes, free-text mode: blocked is a failure here."""
-    files = landing.documents(v.spark, document_files(v))
-    done = analyze.describe_paths(files, unique_cache(v), by_hash, AS_OF, model="lite", **_QUICK)
-    return done.results.select("content_hash", "error")
+    """Document files by the hash of their bytes, which the rule counts; blocked is a failure here."""
+    folder = document_files(v)
+    files, contents = landing.documents(v.spark, folder), landing.document_contents(v.spark, folder)
+    done = analyze.describe_paths(files, unique_cache(v), by_hash, AS_OF, model="lite", contents=contents, **_QUICK)
+    return done.results.select("content_hash", "error", F.get_json_object("description", "$.clue").alias("clue"))
 
 
 @query(

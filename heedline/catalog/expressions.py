@@ -13,6 +13,17 @@ from heedline.operators.weeks import with_week
 # ---- text and hashes ----------------------------------------------------------------------
 
 
+@query(
+    "h2_long_body_hash",
+    """SELECT doc_id, sha256(trim('From: f' || chr(10) || chr(10) || repeat('x', 8000) || text, concat(' ',chr(9),chr(10),chr(11),chr(12),chr(13)))) AS h
+FROM documents""",
+)
+def long_body_hash(v: Views) -> DataFrame:
+    """Bodies that are alike for 8,000 characters."""
+    body = F.concat(F.repeat(F.lit("x"), F.lit(8000)), "text")
+    return v.table("documents").select("doc_id", text.message_hash(F.lit("f"), F.lit(""), body).alias("h"))
+
+
 @query("h1_canonical_text", "SELECT id, sha256(canonical) AS text_hash, length(canonical) AS n_chars FROM msgs")
 def canonical_text(v: Views) -> DataFrame:
     body = text.effective_body("body_text", "body_html", "snippet")
@@ -291,18 +302,18 @@ NAMES_SQL = _NAMES.replace("{i}", "cast(doc_id as string)")
 
 @query(
     "h12_document_path",
-    """, named AS (SELECT *, case doc_id % 8 when 0 then 'Report ' || doc_id when 1 then left('a_b__' || doc_id || '____',30)
+    """, named AS (SELECT *, case doc_id % 8 when 0 then 'Report ' || doc_id when 1 then 'a_b__' || doc_id || '____'
   when 2 then 'archive.' || doc_id || '.tar' when 3 then 'file' || doc_id when 4 then '.pdf' when 5 then 'noext' || doc_id
-  when 6 then 'trailing' || doc_id || '.' else left(source,3) || repeat('x',27) end AS stem,
+  when 6 then 'trailing' || doc_id || '.' else left(source,3) || repeat('x',40) end AS stem,
   case doc_id % 8 when 0 then '.pdf' when 1 then '.xlsx' when 2 then '.ods' when 3 then '.xls' when 7 then '.pdf' else '.bin' end AS ext,
   make_timestamp(coalesce(wall_seconds, 1706659200) * 1000000) AS w FROM msgs)
 SELECT id, strftime(w,'%Y-%m') || '/' || lower(source) || '.example.com/' || strftime(w,'%Y%m%d') || '-' || lower(source)
-  || '.example.com-' || left(id,8) || '-' || stem || ext AS path FROM named""",
+  || '.example.com-' || id || '-' || stem || '-' || sha256(id) || ext AS path FROM named""",
 )
 def document_path(v: Views) -> DataFrame:
     rows = v.view("msgs0").selectExpr("id", "from_addr", "date", f"{NAMES_SQL} AS filename")
     wall = dates.message_wall("date", F.lit(None), AS_OF)
-    return rows.select("id", text.document_path(wall, "from_addr", "id", "filename").alias("path"))
+    return rows.select("id", text.document_path(wall, "from_addr", "id", "filename", F.sha2("id", 256)).alias("path"))
 
 
 @query(

@@ -193,8 +193,7 @@ def retry_failed(v: Views) -> DataFrame:
 @query(
     "b8_describe_pending",
     """SELECT local_path AS path, case when left(content_hash,1) in ('0','1') then 'refused ' || left(content_hash,8) end AS error FROM (
-  SELECT a.* FROM atts a LEFT JOIN all_cache c ON c.content_hash = a.content_hash WHERE c.content_hash IS NULL
-  ORDER BY a.downloaded_seconds DESC, a.message_id, a.filename LIMIT 10) AS t WHERE local_path IS NOT NULL""",
+  SELECT a.* FROM atts a LEFT JOIN all_cache c ON c.content_hash = a.content_hash WHERE c.content_hash IS NULL) AS t WHERE local_path IS NOT NULL""",
 )
 def describe_pending(v: Views) -> DataFrame:
     done = analyze.describe_documents(v.attachments, v.all_cache, by_hash, AS_OF_TIME, **_QUICK)
@@ -251,10 +250,10 @@ def _landed(v: Views) -> str:
 
 def _bodies(v: Views) -> DataFrame:
     """Attachment bodies for every reference of the landed messages: the page of the same number
-    modulo 50, so that contents repeat."""
+    modulo the number of pages, so that all are read and contents repeat."""
     refs = attachments.attachment_rows(payloads(v)).select("message_id", "attachment_id")
     pages = v.table("pages").select("page_id", base64url(F.col("html")).alias("data"))
-    return refs.join(pages, F.col("message_id").cast("long") % 50 == F.col("page_id")).select("message_id", "attachment_id", "data")
+    return refs.join(pages, F.col("message_id").cast("long") % v.table("pages").count() == F.col("page_id")).select("message_id", "attachment_id", "data")
 
 
 @query("t1_stream_ingest", FLAT_MESSAGES_SQL)
@@ -268,10 +267,11 @@ def stream_ingest(v: Views) -> DataFrame:
     return flat_columns(ingest.stored_log(v.spark, folder))
 
 
-@query("t2_stream_repeats_dropped", "SELECT id, internal_date FROM msgs WHERE internal_date IS NOT NULL")
+@query("t2_stream_repeats_dropped", "SELECT id, internal_date FROM msgs")
 def stream_repeats(v: Views) -> DataFrame:
+    """Several micro-batches in file order, so mail comes early, late and undated."""
     folder, checkpoint = new_folder(v.spark, "once"), new_folder(v.spark, "checkpoint")
-    raw = ingest.without_recent_repeats(ingest.raw_stream(v.spark, _landed(v)).where("internalDate IS NOT NULL"))
+    raw = ingest.without_recent_repeats(ingest.raw_stream(v.spark, _landed(v), files_per_trigger=2))
     rows = raw.select("id", (F.col("internalDate").cast("long") / 1000).cast("bigint").alias("internal_date"))
     writer = rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
@@ -294,7 +294,7 @@ def weekly_event_counts(v: Views) -> DataFrame:
 
 _SYNC_REFS_SQL = """, refs AS (SELECT cast(doc_id as string) AS message_id, 'a' || doc_id AS attachment_id, true AS pdf, doc_id FROM documents WHERE doc_id % 5 in (2, 3)
   UNION ALL SELECT cast(doc_id as string), 's' || doc_id, false, doc_id FROM documents WHERE doc_id % 5 = 3),
-got AS (SELECT r.*, sha256(p.html) AS content_hash FROM refs r JOIN pages p ON p.page_id = r.doc_id % 50),
+got AS (SELECT r.*, sha256(p.html) AS content_hash FROM refs r JOIN pages p ON p.page_id = r.doc_id % (SELECT count(*) FROM pages)),
 -- a PDF path of a content serves every later row of it; message and part order decide
 firsts AS (SELECT content_hash, min((message_id, attachment_id = 'a' || doc_id AND doc_id % 5 = 3)) AS place FROM got WHERE pdf GROUP BY 1)
 """
@@ -365,16 +365,15 @@ def backfill(v: Views) -> DataFrame:
 @query("s9_content_sink", SAVE_SQL + "SELECT path, content_hash FROM statuses WHERE status = 'downloaded'")
 def content_sink(v: Views) -> DataFrame:
     """New contents as written: one row per content, hash taken from the stored bytes."""
-    got = durable(attachments.fetched(copied_refs(v), copied_bodies(v)), "fetched")
+    got = durable(attachments.fetched(copied_refs(v), copied_bodies(v)), "fetched-hashes")
     stored = v.attachments.where(F.col("message_id").cast("long") % 4 == 0)
     page = F.substring("attachment_id", 2, 20).cast("long")
     converted = got.where(page % 10 == 0).select("content_hash", F.sha2("content_hash", 256).alias("pdf_hash"))
-    plan = attachments.save_plan(got.drop("content"), stored, AS_OF, "/store/", converted)
-    keys = ["message_id", "attachment_id", "part_path"]
-    winners = plan.select(*keys, "raw_path", "path", "status")
+    plan = durable(attachments.save_plan(got, stored, AS_OF, "/store/", converted), "save-plan")
     folder = new_folder(v.spark, "contents")
-    tables.write_contents(got.join(winners, keys), folder)
-    return v.spark.read.parquet(folder).select("path", F.sha2("content", 256).alias("content_hash"))
+    for _ in range(2):  # a second run adds nothing
+        tables.write_contents(plan, copied_bodies(v), folder)
+    return tables.stored_contents(v.spark, folder).select("path", F.sha2("content", 256).alias("content_hash"))
 
 
 @query("b12_download_statuses", _SYNC_REFS_SQL + """SELECT g.message_id, attachment_id, case when (g.message_id, attachment_id = 'a' || doc_id AND doc_id % 5 = 3) = f.place and pdf then 'downloaded'

@@ -93,7 +93,7 @@ def failed_documents(v: Views) -> DataFrame:
 @query(
     "j7_never_described",
     """SELECT a.message_id, a.filename FROM atts a LEFT JOIN all_cache c ON a.content_hash = c.content_hash
-WHERE c.content_hash IS NULL ORDER BY a.downloaded_seconds DESC, a.message_id, a.filename LIMIT 10""",
+WHERE c.content_hash IS NULL""",
 )
 def never_described(v: Views) -> DataFrame:
     return analyze.undescribed(v.attachments, v.all_cache).select("message_id", "filename")
@@ -190,7 +190,7 @@ def copied_refs(v: Views) -> DataFrame:
 LEFT JOIN (SELECT * FROM atts WHERE local_path IS NOT NULL AND page_id % 7 <> 0) AS a ON a.content_hash = sha256(b.content) GROUP BY ALL""",
 )
 def stored_for_content(v: Views) -> DataFrame:
-    got = attachments.fetched(copied_refs(v), copied_bodies(v)).drop("content")
+    got = attachments.fetched(copied_refs(v), copied_bodies(v))
     rows = attachments.stored_path_for_content(got, v.attachments, v.listing)
     return rows.select("message_id", "attachment_id", "content_path")
 
@@ -260,11 +260,15 @@ def error_tally(v: Views) -> DataFrame:
 @query(
     "a4_sync_tally",
     """SELECT count(*) AS listed, count(*) FILTER (id IN (SELECT message_id FROM cache WHERE message_id IS NOT NULL)) AS stored,
-  count(*) FILTER (id NOT IN (SELECT message_id FROM cache WHERE message_id IS NOT NULL)) AS new
-FROM msgs WHERE internal_date >= epoch(DATE '2024-01-31' - 21)""",
+  count(*) FILTER (id NOT IN (SELECT message_id FROM cache WHERE message_id IS NOT NULL)) AS new,
+  count(DISTINCT id) FILTER (id NOT IN (SELECT message_id FROM cache WHERE message_id IS NOT NULL)) AS downloaded,
+  (SELECT count(*) FROM msgs WHERE internal_date IS NULL) AS undated
+FROM (SELECT id, internal_date FROM msgs UNION ALL SELECT id, internal_date FROM msgs WHERE doc_id % 7 = 0 AND internal_date IS NOT NULL) AS m
+WHERE internal_date >= epoch(DATE '2024-01-31' - 21)""",
 )
 def sync_tally(v: Views) -> DataFrame:
     raw = v.messages.select("id", (F.col("internal_date") * 1000).cast("string").alias("internalDate"))
+    raw = raw.unionByName(raw.where((F.col("id").cast("long") % 7 == 0) & F.col("internalDate").isNotNull()))
     stored = v.cache.where(F.col("message_id").isNotNull()).select(F.col("message_id").alias("id")).distinct()
     return sync.sync_tally(raw, stored, AS_OF, 21)
 
@@ -290,7 +294,7 @@ SAVE_SQL = (
   'copy' || b.page_id AS stem, case when b.page_id % 5 = 0 then '.xls' else '.pdf' end AS ext,
   m.source, m.wall_seconds, b.page_id FROM bodies b JOIN msgs m ON m.id = b.message_id),
 placed AS (SELECT *, '/store/' || strftime(w,'%Y-%m') || '/' || source || '.example.com/' || strftime(w,'%Y%m%d') || '-' || source
-  || '.example.com-' || left(message_id,8) || '-' || stem || ext AS raw_path
+  || '.example.com-' || message_id || '-' || stem || '-' || content_hash || ext AS raw_path
   FROM (SELECT *, make_timestamp(coalesce(wall_seconds, 1706659200)*1000000) AS w FROM rows) AS c),
 known AS (SELECT content_hash, min(local_path) AS content_path FROM atts WHERE local_path IS NOT NULL AND page_id % 2 = 0 GROUP BY 1),
 -- the SQL-side store holds every second row; xls contents of pages divisible by 10 were converted
@@ -309,7 +313,7 @@ statuses AS (SELECT f.message_id, f.attachment_id, f.content_hash,
 
 
 def save_plan(v: Views) -> DataFrame:
-    got = durable(attachments.fetched(copied_refs(v), copied_bodies(v)).drop("content"), "hashes")
+    got = durable(attachments.fetched(copied_refs(v), copied_bodies(v)), "hashes")
     stored = v.attachments.where(F.col("message_id").cast("long") % 4 == 0)
     page = F.substring("attachment_id", 2, 20).cast("long")
     converted = got.where(page % 10 == 0).select("content_hash", F.sha2("content_hash", 256).alias("pdf_hash"))

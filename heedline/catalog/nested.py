@@ -186,9 +186,7 @@ def part_tree(v: Views) -> DataFrame:
 _FLAT_SQL = f""", flat AS (SELECT m.*, {_BODY_TEXT.replace("text end", "d.text end").replace("doc_id", "d.doc_id")} AS t,
   {_BODY_HTML.replace("text", "d.text").replace("case doc_id", "case d.doc_id")} AS h, d.text FROM msgs m JOIN documents d ON d.doc_id = m.doc_id),
 flat1 AS (SELECT *, coalesce(t, h) AS b FROM flat),
-flat2 AS (SELECT *, sha256(case when length(b) > 8000
-    then trim(concat(head, substr(b,1,8000)), concat(' ',chr(9),chr(10),chr(11),chr(12),chr(13))) || chr(10) || chr(10) || '[… body truncated at 8000 chars]'
-    else trim(concat(head, b), concat(' ',chr(9),chr(10),chr(11),chr(12),chr(13))) end) AS hash FROM flat1)
+flat2 AS (SELECT *, sha256(trim(concat(head, b), concat(' ',chr(9),chr(10),chr(11),chr(12),chr(13)))) AS hash FROM flat1)
 """
 _FLAT_COLUMNS = """SELECT id, thread_id, replace(coalesce(label_ids,'[]'),' ','') AS labels, snippet, subject, from_addr, to_addr,
   message_header_id, date, sha256(t) AS text_sha, sha256(h) AS html_sha, hash AS body_hash, internal_date, wall_seconds FROM flat2"""
@@ -345,19 +343,28 @@ def attachments_per_message(v: Views) -> DataFrame:
     return rows.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"), F.min("filename").alias("first_name"))
 
 
+PAGES_PER_FILE = 10
+# The document files: every page, in page order, some to a file.
+FILES_SQL = f""", files AS (SELECT page_id % greatest(1, (SELECT count(*) FROM pages) // {PAGES_PER_FILE}) AS bucket,
+  string_agg(html || chr(10), '' ORDER BY page_id) AS content FROM pages GROUP BY 1)
+"""
+
+
 def document_files(v: Views) -> str:
-    """Write each page as a file of its own and return the folder."""
+    """Write all pages into files of about PAGES_PER_FILE and return the folder."""
     folder = new_folder(v.spark, "documents")
-    pages = v.table("pages").select("page_id", "html").repartition(8, "page_id")
-    pages.write.partitionBy("page_id").option("lineSep", "\n").text(folder)
+    files = max(1, v.table("pages").count() // PAGES_PER_FILE)
+    pages = v.table("pages").select("page_id", "html", (F.col("page_id") % files).alias("bucket"))
+    ordered = pages.repartition("bucket").sortWithinPartitions("bucket", "page_id")
+    ordered.select("html", "bucket").write.partitionBy("bucket").option("lineSep", "\n").text(folder)
     return folder
 
 
-@query("s8_document_scan", "SELECT page_id, sha256(html || chr(10)) AS content_hash, strlen(html) + 1 AS size_bytes FROM pages")
+@query("s8_document_scan", FILES_SQL + "SELECT bucket, sha256(content) AS content_hash, strlen(content) AS size_bytes FROM files")
 def document_scan(v: Views) -> DataFrame:
     files = landing.documents(v.spark, document_files(v))
-    page = F.regexp_extract("path", "page_id=(\\d+)", 1).cast("bigint")
-    return files.select(page.alias("page_id"), "content_hash", "size_bytes")
+    bucket = F.regexp_extract("path", "bucket=(\\d+)", 1).cast("bigint")
+    return files.select(bucket.alias("bucket"), "content_hash", "size_bytes")
 
 
 @query("s10_result_texts", "SELECT replace(local_path,'.pdf','.gist.txt') AS path, 'described ' || filename AS text FROM atts WHERE local_path IS NOT NULL")
@@ -368,5 +375,6 @@ def result_texts(v: Views) -> DataFrame:
         F.concat(F.lit("described "), "filename").alias("description"),
     )
     folder = new_folder(v.spark, "texts")
-    tables.write_result_texts(results, folder, gist=True)
-    return v.spark.read.parquet(folder)
+    for _ in range(2):  # a second run changes nothing
+        tables.write_result_texts(results, folder, gist=True)
+    return tables.text_table(v.spark, folder).read()

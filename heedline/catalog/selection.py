@@ -12,7 +12,7 @@ from heedline.functions import payload
 from heedline.operators import attachments, pending, search
 from heedline.operators.weeks import recent_weeks, with_week
 from heedline.plans import gists, views as plan_views
-from heedline.session import durable
+from heedline.session import durable, new_folder
 from heedline.sources import landing, tables
 
 NOT_SENT_SQL = "(label_ids IS NULL OR label_ids NOT LIKE '%\"SENT\"%')"
@@ -103,6 +103,21 @@ def cached_text(v: Views) -> DataFrame:
     return tables.cached_text(tasks, unique_cache(v), "pro:gist:v3").select("id", "cached")
 
 
+@query(
+    "s4_hot_content",
+    f""", latest AS (SELECT * FROM {_LATEST_CACHE} AS u WHERE model_name = 'pro:gist:v3'),
+tasks AS (SELECT id, case when doc_id % 3 = 0 then (SELECT min(content_hash) FROM latest) when doc_id % 3 = 1 then body_hash end AS h FROM msgs)
+SELECT t.id, c.extracted_json AS cached FROM tasks t LEFT JOIN latest c ON c.content_hash = t.h""",
+)
+def cached_text_of_hot_content(v: Views) -> DataFrame:
+    """One content on a third of the tasks, and none on another third."""
+    cache = unique_cache(v)
+    hot = cache.where(F.col("model_name") == "pro:gist:v3").agg(F.min("content_hash")).scalar()
+    third = F.col("id").cast("long") % 3
+    key = F.when(third == 0, hot).when(third == 1, F.col("body_hash")).alias("content_hash")
+    return tables.cached_text(v.messages.select("id", key), cache, "pro:gist:v3").select("id", "cached")
+
+
 def _attachment_changes(v: Views) -> DataFrame:
     """Updates for every fourth stored row and rows for messages without attachments."""
     stored = v.attachments.withColumn("downloaded_at", F.lit(AS_OF).cast("timestamp"))
@@ -197,6 +212,19 @@ def lookup_by_prefix(v: Views) -> DataFrame:
     return search.lookup_by_prefix(_requests(v), v.messages)
 
 
+@query(
+    "p6_lookup_by_pattern",
+    f""", keys AS (SELECT unnest(['%' || key, '_' || substr(key, 2, 9), substr(key, 1, 1) || '%' || substr(key, 2, 1)]) AS key FROM {_REQUESTS_SQL} AS r)
+SELECT key, id FROM (SELECT r.key, m.id, row_number() OVER (PARTITION BY r.key ORDER BY coalesce(m.internal_date,0) DESC, m.id) AS n
+  FROM (SELECT DISTINCT key FROM keys) AS r JOIN msgs m ON m.id = r.key OR m.id LIKE r.key || '%') AS c WHERE n = 1""",
+)
+def lookup_by_pattern(v: Views) -> DataFrame:
+    """Requests with wildcards, some of which begin with one."""
+    forms = ["concat('%', key)", "concat('_', substr(key, 2, 9))", "concat(substr(key, 1, 1), '%', substr(key, 2, 1))"]
+    keys = _requests(v).selectExpr(f"explode(array({', '.join(forms)})) AS key").distinct()
+    return search.lookup_by_prefix(keys, v.messages)
+
+
 def _requests(v: Views) -> DataFrame:
     """Id prefixes of one to three digits, taken from the order keys."""
     return v.table("orders").selectExpr("substr(cast(o_orderkey as string), 1, cast(1 + o_orderkey % 3 as int)) AS key").distinct()
@@ -287,16 +315,29 @@ def backfill_header_id(v: Views) -> DataFrame:
 
 @query(
     "p17_rehash_once",
-    "SELECT id, case when doc_id % 2 = 1 then 'kept' when body <> '' then body_hash end AS body_hash, 1 AS hash_version FROM msgs",
+    "SELECT id, case when doc_id % 2 = 1 then 'kept' when body <> '' then body_hash end AS body_hash, 2 AS hash_version FROM msgs",
 )
 def rehash_once(v: Views) -> DataFrame:
     odd = F.col("id").cast("long") % 2 == 1
     old = v.messages.withColumns(
-        {"hash_version": F.when(odd, F.lit(1)), "body_hash": F.when(odd, "kept").otherwise("old formula")}
+        {"hash_version": F.when(odd, F.lit(landing.HASH_VERSION)), "body_hash": F.when(odd, "kept").otherwise("old formula")}
     )
     return tables.rehash_once(old).select("id", "body_hash", "hash_version")
 
 
+@query(
+    "p17_mailbox_migration",
+    """SELECT id, case when body <> '' then body_hash end AS body_hash, internal_date, 2 AS hash_version FROM msgs""",
+)
+def mailbox_migration(v: Views) -> DataFrame:
+    """A messages table of an older schema, opened twice: its rows are brought up to date once."""
+    root = new_folder(v.spark, "old-mailbox")
+    old = v.messages.drop("message_header_id", "body_hash", "internal_date", "date_wall", "hash_version")
+    old.write.parquet(f"{root}/messages/v=0")
+    tables.Mailbox(v.spark, root)
+    return tables.Mailbox(v.spark, root).messages.read().select("id", "body_hash", "internal_date", "hash_version")
+
+
 _CLIP = "left(coalesce({c},''),{n}) || case when length({c}) > {n} then '…' else '' end"
 
 
@@ -390,9 +431,12 @@ def latest_downloads(v: Views) -> DataFrame:
     """, ranked AS (SELECT m.id, c.model_name, case when extracted_json->>'error' is not null then -1
     when (extracted_json->>'critical')::BOOLEAN then 3 when (extracted_json->>'obligation')::BOOLEAN then 2
     when (extracted_json->>'broadcast')::BOOLEAN or (extracted_json->>'frivolous')::BOOLEAN then 0 else 1 end AS priority,
-    lower(extracted_json->>'sender') AS sender_key, m.date_key
+    lower(extracted_json->>'sender') AS sender_key, m.date_key, case when wall_seconds is null then 9999 else greatest(-1, """
+    + _WEEKS
+    + """) end AS week_idx
   FROM cache c JOIN msgs m ON c.message_id = m.id WHERE c.model_name LIKE '%:gist:v3')
-SELECT id, model_name, priority, sender_key, date_key FROM ranked""",
+SELECT id, model_name, priority, sender_key, date_key FROM ranked
+ORDER BY week_idx DESC, priority, sender_key, date_key, id, model_name""",
 )
 def order_in_week(v: Views) -> DataFrame:
     rows = gists.ranked(gists.gists_with_message(v.cache, v.messages), AS_OF, show_noise=True)

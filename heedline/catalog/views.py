@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from heedline import constants as C
 from heedline import schemas
 from heedline.session import durable
+from heedline.sources.landing import HASH_VERSION
 
 AS_OF = dt.date(2024, 1, 31)
 AS_OF_TIME = dt.datetime(2024, 1, 31, 12, 0, 0)
@@ -81,8 +82,8 @@ SELECT doc_id, cast(doc_id as string) id, cast(doc_id % 100 as string) thread_id
   case when doc_id % 7 = 0 then '' else substr(text,1,40) end subject,
   case when doc_id % 3 = 0 then null else text end body_text,
   case when doc_id % 6 = 0 then text end body_html,
-  case when doc_id % 15 = 0 then '' else substr(text,1,100) end snippet,
-  case when doc_id % 11 = 0 then '["SENT"]' when doc_id % 13 = 0 then null else '["INBOX","UNREAD"]' end label_ids,
+  case when doc_id % 15 = 0 then '' when doc_id % 6 = 3 then text else substr(text,1,100) end snippet,
+  case when doc_id % 11 = 0 then '["SENT"]' when doc_id % 13 = 0 then null else '["STARRED","UNREAD"]' end label_ids,
   case when doc_id % 17 = 0 then null else {instant} end internal_date,
   case when doc_id % 9 = 0 then null else concat('<', cast(doc_id as string), '@', source, '>') end message_header_id,
   case when doc_id % 17 = 0 then (case when doc_id % 2 = 0 then 'garbage' end)
@@ -98,9 +99,7 @@ SELECT *, coalesce(nullif(body_text,''), nullif(body_html,''), nullif(snippet,''
 FROM msgs0""",
         "msgs": f"""
 SELECT *, {d.sha("canonical")} body_hash FROM (
-  SELECT *, case when length(body) > 8000
-    then concat({d.strip("concat(head, substr(body,1,8000))")}, {nl}, {nl}, '[… body truncated at 8000 chars]')
-    else {d.strip("concat(head, body)")} end canonical
+  SELECT *, {d.strip("concat(head, body)")} canonical
   FROM msgs1) AS c""",
         "cache": """
 SELECT case when l.doc_id % 4 = 0 then null else m.id end message_id, m.body_hash content_hash,
@@ -139,7 +138,7 @@ UNION ALL
 SELECT message_id, content_hash, model_name, extracted_json, created_seconds FROM doc_cache""",
         "threads": """
 SELECT concat(cast(conv_id as string), '-', cast(turn as string)) id, cast(conv_id as string) thread_id,
-  case when role = 'assistant' then '["SENT"]' when role = 'system' then null else '["INBOX"]' end label_ids,
+  case when role = 'assistant' then '["SENT"]' when role = 'system' then null else '["STARRED"]' end label_ids,
   text body_text, role, conv_id, turn
 FROM conversations""",
     }
@@ -190,7 +189,7 @@ class Views:
                 "label_ids": F.from_json("label_ids", "array<string>"),
                 "synced_at": F.timestamp_seconds("synced_seconds"),
                 "date_wall": F.timestamp_seconds("wall_seconds").cast("timestamp_ntz"),
-                "hash_version": F.lit(1),
+                "hash_version": F.lit(HASH_VERSION),
                 "raw_payload": F.lit(None).cast("string"),
             }
         )
