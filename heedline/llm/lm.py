@@ -38,7 +38,7 @@ FIRST_PAIR_LEVEL = 3
 HEAD = 65_536
 SHARES = (0.002, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 KNOWN_WORDS = 300_000
-FLUSH = 2_000_000
+FLUSH = 5_000_000
 START, END = 0x51ED270B7A1F3C95, 0x2545F4914F6CDD1D
 
 _U = np.uint64
@@ -284,15 +284,15 @@ def language_model_scores(docs: DataFrame, max_bytes: int = FILTER_BYTES) -> Dat
     share = max(range(len(SHARES)), key=lambda i: (best[i] is not None, best[i] or 0.0))
 
     below = float(total + 0.5 * (distinct + 1))
-    tail = rows.select("uid", F.explode("tail").alias("h")).groupBy("uid", "h").agg(F.count(F.lit(1)).alias("k"))
+    tail = rows.select("uid", F.explode("tail").alias("h"))
     rare = words.where(F.col("n") < bound).select("h", F.col("n").alias("c"))
     c = F.coalesce("c", F.lit(0))
     rest = (
         tail.join(rare, "h", "left")
         .groupBy("uid")
         .agg(
-            F.sum(F.col("k") * F.log10((c + 0.5) / below)).alias("rest"),
-            F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("n_rare"),
+            F.sum(F.log10((c + 0.5) / below)).alias("rest"),
+            F.count_if(c > 0).alias("n_rare"),
         )
     )
     return rows.drop("fit", "tail").join(rest, "uid", "left").select(
