@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from heedline.session import durable, new_folder
 
-__all__ = ["documents", "durable", "new_folder", "numbered", "per_process", "read_table", "row_ids", "split_hot"]
+__all__ = [
+    "documents",
+    "durable",
+    "new_folder",
+    "numbered",
+    "per_process",
+    "read_table",
+    "row_ids",
+    "small_batches",
+    "split_hot",
+]
 
 ROWS_PER_BUCKET = 200_000
 HOT_SHARE = 1000
@@ -44,6 +54,13 @@ def row_ids() -> Iterator[int]:
     return count(TaskContext.get().partitionId() << 36)
 
 
+def small_batches(batches: Iterator, rows: int = 128) -> Iterator:
+    """Arrow batches cut to few rows, for texts may be long and take many objects each."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def numbered(df: DataFrame, key: str, uid: str, n_rows: int, name: str) -> DataFrame:
     """Numbers the rows of each ``key`` from 0 without gaps, in no particular order.
 

@@ -6,14 +6,15 @@
    places, and offers (step + fraction) to the place it is at; a document stops when all its
    places are taken, for later steps can't be smaller.
 3. Classes that share a band of the signature are candidates.
-4. Candidates are verified on their full sets and united.  No group is spread out into its
-   pairs: in each round a bucket names one leader, and only members that are not yet in the
-   leader's group are compared with it, each with the one leader that leads most of its
-   buckets.  When few pairs remain between different groups, exactly these are compared, all of
-   them, so every candidate pair is either verified, or inside one group, or below the
-   threshold.  Comparison runs in blocks: a leader's set meets some BLOCK members at a time.
+4. Inside a bucket signatures are compared, block by block.  First every member only names its
+   most similar partner; these pairs are verified on the full sets and united, which brings the
+   members of a group together without spreading it out into its pairs.  Then all pairs of a
+   bucket whose signatures agree enough and that are still in different groups are verified,
+   so every candidate pair is either verified, or inside one group, or far below the threshold.
+   Verification runs in blocks too: a set meets some BLOCK of its partners at a time.
 
-A pair at the threshold of 0.8 shares no band with a probability of 5e-9 (48 bands of 5).
+The bands are as long as they can be while a pair at the threshold has a probability of at most
+MISSED to share none of them.
 
 Null texts and texts without words have an empty set and stand alone.  Equal rows and rows with
 equal doc_id are rows of their own; a missing doc_id counts as larger than all others.  Extra
@@ -24,20 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heedline.llm.common import durable, row_ids, split_hot
+from heedline.llm.common import durable, row_ids, small_batches, split_hot
 
 WORDS = 5
 THRESHOLD = 80
-BANDS, ROWS = 48, 5
-PLACES = BANDS * ROWS
+PLACES = 480
+MISSED = 2e-7
+# Sets are signed together by size, for small ones take many steps and large ones few: up to
+# which size, and how many steps a walk is followed back before its permutation is kept.
+SIZES = ((24, 7), (64, 7), (1 << 62, 40))
+TOGETHER = 256
 # A pair whose signatures agree by this much less than the threshold isn't compared in full:
 # six standard deviations of the estimate, which is the tighter the longer the signature.
-SLACK = 0.16
+SLACK = 0.1
 BLOCK = 128
-MAX_ROUNDS = 8
+CELL = 256
 NO_DOC = (1 << 63) - 1
 
 _U = np.uint64
@@ -75,7 +80,20 @@ class Shingler:
         return np.unique(out)
 
 
-def super_minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """``super_minhash`` of sets of any size (not empty), in their order."""
+    out, size = np.empty((len(sets), PLACES), np.uint64), np.array([len(s) for s in sets])
+    low = 0
+    for high, followed in SIZES:
+        some = np.flatnonzero((size > low) & (size <= high))
+        for i in range(0, len(some), TOGETHER):
+            at = some[i : i + TOGETHER]
+            out[at] = super_minhash([sets[k] for k in at], PLACES, followed)
+        low = high
+    return out
+
+
+def super_minhash(sets: list[np.ndarray], places: int = PLACES, followed: int = 40) -> np.ndarray:
     """Signatures (a row of ``places`` values each) of sets that are not empty."""
     m, full = places, _U((1 << 64) - 1)
     values = np.full((len(sets), m), full)
@@ -86,15 +104,15 @@ def super_minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     order = None
     for j in range(m):
         random = _mix(elements + _U((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        swap = (((random >> _U(32)) * _U(m - j)) >> _U(32)).astype(np.int64) + j
+        swap = (((random >> _U(32)) * _U(m - j)) >> _U(32)).astype(np.int16) + np.int16(j)
         if order is None:
             # Few steps: follow the swaps back instead of keeping the permutations.
             place = swap.copy()
             for i in range(j - 1, -1, -1):
-                place[steps[i] == place] = i
+                np.copyto(place, np.int16(i), where=steps[i] == place)
         else:
             every = np.arange(len(elements))
-            place = order[every, swap].astype(np.int64)
+            place = order[every, swap]
             order[every, swap] = order[:, j]
         offer = _U(j << 32) | (random & _U(0xFFFFFFFF))
         np.minimum.at(flat, row * m + place, offer)
@@ -105,8 +123,8 @@ def super_minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
         steps.append(swap)
         elements, row, steps = elements[keep], row[keep], [s[keep] for s in steps]
         order = None if order is None else order[keep]
-        if order is None and j == 7:
-            order = np.tile(np.arange(m, dtype=np.uint16), (len(elements), 1))
+        if order is None and j == followed:
+            order = np.tile(np.arange(m, dtype=np.int16), (len(elements), 1))
             every = np.arange(len(elements))
             for i, s in enumerate(steps):
                 order[every, s], order[every, i] = order[every, i], order[every, s]
@@ -114,33 +132,28 @@ def super_minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(uid, doc, text_hash, n, s1, s2, bands, sig): the sets of ``docs`` in short form.
+    """(uid, doc, text_hash, n, s1, s2, sig): the sets of ``docs`` in short form.
 
-    s1 and s2 stand for the whole set; ``sig`` has one byte a place, ``bands`` a hash a band.
+    s1 and s2 stand for the whole set; ``sig`` has one byte a place, null for empty sets.
     """
-    names = ["uid", "doc", "text_hash", "n", "s1", "s2", "bands", "sig"]
-    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary()]
-    schema = "uid long, doc long, text_hash long, n long, s1 long, s2 long, bands array<long>, sig binary"
+    names = ["uid", "doc", "text_hash", "n", "s1", "s2", "sig"]
+    kinds = [pa.int64()] * 6 + [pa.binary()]
+    schema = "uid long, doc long, text_hash long, n long, s1 long, s2 long, sig binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingler, uid = Shingler(words), row_ids()
-        salt = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for part in small_batches([batch], 1024):
                 sets = [shingler.of(t or "") for t in part.column("text").to_pylist()]
                 some = [i for i, s in enumerate(sets) if len(s)]
-                bands, sigs = [None] * len(sets), [None] * len(sets)
+                sigs = [None] * len(sets)
                 if some:
-                    values = super_minhash([sets[i] for i in some])
+                    values = signatures([sets[i] for i in some])
                     short = (_mix(values) >> _U(56)).astype(np.uint8)
-                    key = np.broadcast_to(salt, (len(some), BANDS)).copy()
-                    for r in range(ROWS):
-                        key = _mix(key * _U(0x9E3779B97F4A7C15) + values[:, r::ROWS])
                     for k, i in enumerate(some):
-                        bands[i], sigs[i] = key[k].view(np.int64), short[k].tobytes()
+                        sigs[i] = short[k].tobytes()
                 whole = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 columns = [
                     [next(uid) for _ in sets],
@@ -149,7 +162,6 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     [len(s) for s in sets],
                     [(x >> 64) - (1 << 63) for x in whole],
                     [(x & ((1 << 64) - 1)) - (1 << 63) for x in whole],
-                    bands,
                     sigs,
                 ]
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
@@ -158,6 +170,19 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return _named(docs).mapInArrow(run, schema)
 
 
+def rows_per_band(threshold: int) -> int:
+    share, rows = threshold / 100, 1
+    while (1 - share ** (rows + 1)) ** (PLACES // (rows + 1)) <= MISSED:
+        rows += 1
+    return rows
+
+
+def bands(sig: str, rows: int) -> Column:
+    """A hash of each band of a signature."""
+    part = lambda i: F.substring(F.col(sig), i * rows + 1, F.lit(rows))
+    return F.transform(F.sequence(F.lit(0), F.lit(PLACES // rows - 1)), lambda i: F.xxhash64(part(i), i))
+
+
 def _named(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
@@ -246,46 +271,100 @@ def united(roots: DataFrame, edges: DataFrame) -> DataFrame:
         roots = durable(moved.unionByName(new), "minhash-roots")
 
 
+def alike_in_buckets(members: DataFrame, places: int, least: float, best_only: bool) -> DataFrame:
+    """Distinct pairs (a, b) of members of one bucket whose signatures agree in a share ``least``.
+
+    ``members`` has (key, size, uid, root, sig); members with one root are no pair.  With
+    ``best_only`` every member names one partner per bucket part, the most similar one.  Large
+    buckets are cut into blocks of CELL members, which meet two at a time.
+    """
+    blocks = F.ceil(F.col("size") / CELL)
+    placed = members.withColumn("block", F.pmod(F.xxhash64("uid"), blocks))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cells = placed.select(
+        "key",
+        F.least("block", "other").alias("first"),
+        F.greatest("block", "other").alias("second"),
+        "block",
+        "uid",
+        "root",
+        "sig",
+    )
+    names = ["key", "first", "second"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = {c: np.array(batch.column(c)) for c in ("key", "first", "second", "block", "uid", "root")}
+            part["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, places)
+            if held is not None:
+                part = {c: np.concatenate([held[c], part[c]]) for c in part}
+            new = np.zeros(len(part["key"]), bool)
+            for c in names:
+                new[1:] |= part[c][1:] != part[c][:-1]
+            starts = np.r_[0, np.flatnonzero(new)]
+            # The last cell may go on in the next batch.
+            held = {c: v[starts[-1] :] for c, v in part.items()}
+            yield _as_pairs(part, starts[:-1], starts[1:], least, best_only)
+        if held is not None:
+            yield _as_pairs(held, np.array([0]), np.array([len(held["key"])]), least, best_only)
+
+    dealt = cells.repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _as_pairs(part: dict, starts: np.ndarray, ends: np.ndarray, least: float, best_only: bool) -> pa.RecordBatch:
+    found = [np.empty((0, 2), np.int64)]
+    sizes = ends - starts
+    for n in np.unique(sizes[sizes > 1]):
+        x, y = np.triu_indices(int(n), 1)
+        lows = starts[sizes == n]
+        step = max(1, 20_000 // len(x))
+        for lo in range(0, len(lows), step):
+            some = lows[lo : lo + step, None]
+            found.append(_alike(part, (some + x).ravel(), (some + y).ravel(), least, best_only))
+    pairs = np.concatenate(found)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _alike(part: dict, x: np.ndarray, y: np.ndarray, least: float, best_only: bool) -> np.ndarray:
+    uid, root, sig, block = part["uid"], part["root"], part["sig"], part["block"]
+    # In a cell of two blocks, pairs inside one block have been met in the cell of that block.
+    across = (part["first"][x] == part["second"][x]) | (block[x] != block[y])
+    keep = (root[x] != root[y]) & across
+    x, y = x[keep], y[keep]
+    share = np.concatenate(
+        [(sig[x[i : i + 20_000]] == sig[y[i : i + 20_000]]).mean(1) for i in range(0, len(x), 20_000)] or [np.empty(0)]
+    )
+    keep = share >= least
+    x, y, share = x[keep], y[keep], share[keep]
+    if best_only and len(x):
+        own, other, both = np.r_[x, y], np.r_[y, x], np.r_[share, share]
+        order = np.lexsort((uid[other], -both, own))
+        own, other = own[order], other[order]
+        first = np.r_[True, own[1:] != own[:-1]]
+        x, y = own[first], other[first]
+    a, b = np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])
+    return np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+
+
 def groups(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(uid, root) of all classes in groups of two and more, from bucket ``members`` (key, uid)."""
+    """(uid, root) of all classes in groups of two and more, from bucket ``members`` (key, size, uid)."""
     spark = members.sparkSession
     roots = spark.createDataFrame([], "uid long, root long")
     tested = spark.createDataFrame([], "a long, b long")
-    n_members = members.count()
-    for turn in range(MAX_ROUNDS + 1):
-        now = members.join(roots, "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
-        sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        open_ = sizes.groupBy("key").agg(
-            F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("k")
-        )
-        open_ = open_.where("k > 1").select("key", F.col("most.root").alias("main"), "size", F.col("most.n").alias("m"))
-        open_ = durable(open_, "minhash-open")
-        left = open_.agg(F.sum((F.col("size") - F.col("m")) * F.col("size"))).first()[0]
-        if not left:
-            return roots
-        last = turn == MAX_ROUNDS or left <= 4 * n_members
-        here = durable(now.join(open_, "key"), "minhash-now")
-        if last:
-            # All pairs between different groups: whoever is not in the bucket's main group
-            # meets all of the bucket.
-            few = here.where("root <> main").select("key", F.col("uid").alias("a"), F.col("root").alias("ra"))
-            other = here.select("key", F.col("uid").alias("b"), F.col("root").alias("rb"), "main")
-            once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
-            pairs = few.join(other, "key").where((F.col("ra") != F.col("rb")) & once).select("a", "b").distinct()
-        else:
-            chance = F.xxhash64("uid", F.lit(turn))
-            lead = here.groupBy("key").agg(F.min(F.struct(chance.alias("c"), "uid", "root")).alias("lead"))
-            met = here.join(lead, "key").where(F.col("root") != F.col("lead.root"))
-            met = met.groupBy(F.col("lead.uid").alias("a"), F.col("uid").alias("b"))
-            met = met.agg(F.count(F.lit(1)).alias("bands")).join(tested, ["a", "b"], "left_anti")
-            best = met.groupBy("b").agg(F.max(F.struct("bands", "a")).alias("best"))
-            pairs = best.select(F.col("best.a").alias("a"), "b")
-        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+    signed_ = sets.select("uid", "sig")
+    for best_only in (True, False):
+        now = members.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        if not best_only:
+            spans = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+            now = now.join(spans.where("lo <> hi").select("key"), "key", "left_semi")
+        now = now.join(signed_, "uid")
+        alike = alike_in_buckets(now, PLACES, threshold / 100 - SLACK, best_only)
+        pairs = durable(alike.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
         edges = durable(verified(pairs, sets, threshold), "minhash-edges")
         roots = united(roots, edges)
-        if last:
-            return roots
-        tested = tested.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tested = tested.unionByName(pairs)
     return roots
 
 
@@ -301,11 +380,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     )
     classes = durable(classes, "minhash-classes")
     heads = some.join(classes.select("s1", "s2", F.col("least.uid").alias("uid")), ["s1", "s2", "uid"])
-    heads = durable(heads.select("uid", "doc", "text_hash", "sig", "bands"), "minhash-heads")
-    banded = heads.select("uid", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    heads = durable(heads.select("uid", "doc", "text_hash", "sig"), "minhash-heads")
+    banded = heads.select("uid", F.explode(bands("sig", rows_per_band(threshold))).alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = durable(banded.join(shared, "key"), "minhash-members")
-    wanted = heads.drop("bands").join(members.select("uid").distinct(), "uid")
+    wanted = heads.join(members.select("uid").distinct(), "uid")
     sets = durable(full_sets(docs, wanted, words).dropDuplicates(["uid"]), "minhash-sets")
     roots = groups(members, sets, threshold)
 

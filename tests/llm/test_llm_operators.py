@@ -381,10 +381,10 @@ def near_copies(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize("rounds", [0, 8])
-def test_near_copies_in_one_large_group(near_copies, rounds, monkeypatch):
-    # Without rounds all open pairs are compared at once; with them, leaders come first.
-    monkeypatch.setattr(minhash, "MAX_ROUNDS", rounds)
+@pytest.mark.parametrize("cell", [16, 256])
+def test_near_copies_in_one_large_group(near_copies, cell, monkeypatch):
+    # Small cells cut the group's buckets into many blocks.
+    monkeypatch.setattr(minhash, "CELL", cell)
     got = [tuple(r) for r in minhash.components(near_copies, 85).collect()]
     assert sorted(got, key=str) == brute_groups(texts_of(near_copies), 85)
 
@@ -399,6 +399,9 @@ def test_signature_is_that_of_the_sequential_walk():
     sets = [np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 2, 5, 40, 700)]
     m = 48
     got = minhash.super_minhash(sets, m)
+    # Sets of all sizes signed together are as when signed alone, by either way.
+    alone = np.concatenate([minhash.super_minhash([s], minhash.PLACES, 3) for s in sets])
+    assert (minhash.signatures(sets) == alone).all()
     for own, row in zip(sets, got):
         want = [1 << 64] * m
         for element in own:
