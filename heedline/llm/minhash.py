@@ -6,9 +6,10 @@
    places, and offers (step + fraction) to the place it is at; a document stops when all its
    places are taken, for later steps can't be smaller.
 3. Classes that share a band of the signature are candidates.
-4. Inside a bucket signatures are compared, block by block.  First every member only names its
-   most similar partner; these pairs are verified on the full sets and united, which brings the
-   members of a group together without spreading it out into its pairs.  Then all pairs of a
+4. Inside a bucket signatures are compared, block by block.  First, in the buckets of a few
+   bands, every member only names its most similar partner; these pairs are verified on the full
+   sets and united, which brings the members of a group together without spreading it out into
+   its pairs.  Then all pairs of a
    bucket whose signatures agree enough and that are still in different groups are verified,
    so every candidate pair is either verified, or inside one group, or far below the threshold.
    Verification runs in blocks too: a set meets some BLOCK of its partners at a time.
@@ -43,6 +44,7 @@ TOGETHER = 256
 SLACK = 0.1
 BLOCK = 128
 CELL = 256
+FIRST_BANDS = 6
 NO_DOC = (1 << 63) - 1
 
 _U = np.uint64
@@ -349,14 +351,20 @@ def _alike(part: dict, x: np.ndarray, y: np.ndarray, least: float, best_only: bo
 
 
 def groups(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(uid, root) of all classes in groups of two and more, from bucket ``members`` (key, size, uid)."""
+    """(uid, root) of all classes in groups of two and more, from bucket ``members``.
+
+    Those have key, size, uid and band.  The first pass, which brings groups together, takes the
+    buckets of a few bands; the second takes all buckets in which different groups are left.
+    """
     spark = members.sparkSession
     roots = spark.createDataFrame([], "uid long, root long")
     tested = spark.createDataFrame([], "a long, b long")
     signed_ = sets.select("uid", "sig")
     for best_only in (True, False):
         now = members.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        if not best_only:
+        if best_only:
+            now = now.where(F.col("band") < FIRST_BANDS)
+        else:
             spans = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
             now = now.join(spans.where("lo <> hi").select("key"), "key", "left_semi")
         now = now.join(signed_, "uid")
@@ -381,7 +389,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     classes = durable(classes, "minhash-classes")
     heads = some.join(classes.select("s1", "s2", F.col("least.uid").alias("uid")), ["s1", "s2", "uid"])
     heads = durable(heads.select("uid", "doc", "text_hash", "sig"), "minhash-heads")
-    banded = heads.select("uid", F.explode(bands("sig", rows_per_band(threshold))).alias("key"))
+    banded = heads.select("uid", F.posexplode(bands("sig", rows_per_band(threshold))).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = durable(banded.join(shared, "key"), "minhash-members")
     wanted = heads.join(members.select("uid").distinct(), "uid")
