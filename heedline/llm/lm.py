@@ -119,27 +119,31 @@ class LogFrequencyFilter:
         self.values = level_values()
 
     @staticmethod
-    def places(h: np.ndarray, level, probe: int) -> np.ndarray:
-        """The bit of a slice for an item at a level."""
+    def probes(h: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
+        """First place and stride of an item's probes at a level (double hashing)."""
         x = _mix(h + _U(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
-        # Independent probes by double hashing.
-        return ((x >> _U(32)) + _U(probe) * ((x & _U(0xFFFFFFFF)) | _U(1))) % _U(SLICE_BYTES * 8)
+        return x >> _U(32), x & _U(0xFFFFFFFF) | _U(1)
 
-    def has(self, h: np.ndarray, level: int) -> np.ndarray:
-        start = (_mix(h ^ _U(START)) % _U(self.slices)) * _U(SLICE_BYTES)
-        found = np.ones(len(h), bool)
-        for probe in range(PROBES):
-            at = self.places(h, level, probe)
-            found &= self.bits[start + (at >> _U(3))] >> (at & _U(7)).astype(np.uint8) & 1 > 0
-        return found
+    @staticmethod
+    def place(start: np.ndarray, stride: np.ndarray, probe: int) -> np.ndarray:
+        """A bit of the slice; its size is a power of two."""
+        return (start + _U(probe) * stride) & _U(SLICE_BYTES * 8 - 1)
 
     def counts(self, h: np.ndarray, pair: bool) -> np.ndarray:
-        """Approximate counts; 0 for items that are not in the filter."""
+        """Approximate counts; 0 for items that are not in the filter.
+
+        Items drop out with the first probe that fails, so most take one probe.
+        """
         first = self.first if pair else 1
-        level, at, step = np.zeros(len(h), np.int64), np.arange(len(h)), 1
         h = h if pair else h ^ _U(END)
+        base = (_mix(h ^ _U(START)) % _U(self.slices)) * _U(SLICE_BYTES)
+        level, at, step = np.zeros(len(h), np.int64), np.arange(len(h)), 1
         while len(at):
-            at = at[self.has(h[at], step)]
+            start, stride = self.probes(h[at], step)
+            for probe in range(PROBES):
+                bit = self.place(start, stride, probe)
+                found = (self.bits[base[at] + (bit >> _U(3))] >> (bit & _U(7)).astype(np.uint8)) & 1 > 0
+                at, start, stride = at[found], start[found], stride[found]
             level[at] = step + first - 1
             step += 1
         return self.values[level]
@@ -179,8 +183,9 @@ def build_filter(counts: DataFrame, max_bytes: int = FILTER_BYTES) -> LogFrequen
         steps = np.array(part.column("steps"))
         for step in range(1, int(steps.max(initial=0)) + 1):
             some = h[steps >= step]
+            start, stride = LogFrequencyFilter.probes(some, step)
             for probe in range(PROBES):
-                bits[LogFrequencyFilter.places(some, step, probe).astype(np.int64)] = True
+                bits[LogFrequencyFilter.place(start, stride, probe).astype(np.int64)] = True
         packed = np.packbits(bits, bitorder="little").tobytes()
         return pa.table({"slice": pa.array([part.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([packed])})
 
@@ -204,7 +209,6 @@ def scored(docs: DataFrame, model: LogFrequencyFilter, head: dict[int, int], tot
     """
     context = docs.sparkSession.sparkContext
     model_, head_ = context.broadcast(model), context.broadcast(head)
-    shares = np.array(SHARES)
     below = total + 0.5 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +234,11 @@ def scored(docs: DataFrame, model: LogFrequencyFilter, head: dict[int, int], tot
                 both = model.counts(pair_hash(left, w), True)
 
                 def mixed(both, before, c, total):
-                    pair = np.minimum(both / np.maximum(before, 1), 1)[:, None]
-                    word = ((c + 0.5) / (total + 0.5 * (distinct + 1)))[:, None]
+                    word = (c + 0.5) / (total + 0.5 * (distinct + 1))
                     # Without the context the word's own frequency is all there is.
-                    share = np.where((before > 0)[:, None], shares, 0)
-                    p = np.log10(share * pair + (1 - share) * word)
-                    return np.add.reduceat(p, starts, axis=0)
+                    pair = np.where(before > 0, np.minimum(both / np.maximum(before, 1), 1), word)
+                    by_share = [np.log(share * pair + (1 - share) * word) for share in SHARES]
+                    return np.stack([np.add.reduceat(x, starts) for x in by_share], 1) / np.log(10)
 
                 score = mixed(both, before, c, total)
                 out = [np.maximum(x - 1, 0) for x in (both, before, c, np.array(float(total)))]
