@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heedline.llm.common import durable, numbered, per_process, row_ids
+from heedline.llm.bpe import byte_letters
+from heedline.llm.common import durable, numbered, per_process, row_ids, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -39,48 +40,83 @@ SMALL = 8
 # Pieces between spaces whose ids a worker remembers; the store is emptied when full.
 KNOWN_UNITS = 300_000
 
+# The byte-level split pattern (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids binary"
 
 
 def unit_splitter():
-    """Splits a text before each single space between two visible characters.
+    """Splits a text at each single space between two visible characters.
 
-    The byte-level pattern never joins characters across such a place, so the ids of a text
-    are the ids of its units one after another, and equal units have equal ids.
+    The byte-level pattern never joins characters across the place before such a space, so the
+    ids of a text are the ids of its units one after another, and equal units have equal ids.
+    Every unit but the first stands for itself and the space before it.
     """
     import re
 
     gaps, cut = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
     def units(text: str) -> list[str]:
-        parts = cut.split(text) if gaps.search(text) or text[:1].isspace() or text[-1:].isspace() else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        if gaps.search(text) or text[:1].isspace() or text[-1:].isspace():
+            return cut.split(text)
+        return text.split(" ")
 
     return units
 
 
-def token_ids(tokenizer_path: str):
-    """``encode(texts) -> list of bytes``: the ids of each text as little-endian 32-bit numbers.
+def byte_encoder(tokenizer_path: str):
+    """``ids(texts) -> list of bytes`` for a byte-level vocabulary file.
 
-    ``split`` has the units of each text, where the caller has them already.
+    The vocabulary's merges are those of its ranks, so tiktoken gives the ids that tokenizers
+    gives (held against each other in the tests), in a third of the time.  Texts that may hold a
+    special token's string, which tokenizers turns into that token, go to tokenizers itself.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import json
+    from struct import pack
+
+    import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = per_process(("tokenizer", tokenizer_path), lambda: Tokenizer.from_file(tokenizer_path))
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    with open(tokenizer_path, encoding="utf-8") as file:
+        spec = json.load(file)
+    special = {t["content"] for t in spec["added_tokens"]}
+    byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    plain = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = Tokenizer.from_file(tokenizer_path)
+
+    def ids(texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if any(s in text for s in special):
+                found = whole.encode(text, add_special_tokens=False).ids
+            else:
+                found = plain.encode_ordinary(text)
+            out.append(pack(f"<{len(found)}I", *found))
+        return out
+
+    return ids
+
+
+def token_ids(tokenizer_path: str):
+    """``encode(units) -> list of bytes``: the ids of each text, as little-endian 32-bit numbers.
+
+    Texts are given by their units, and few at a time; the first unit of each may be None,
+    which stands for nothing.
+    """
+    ids = per_process(("byte-encoder", tokenizer_path), lambda: byte_encoder(tokenizer_path))
     known: dict[str, bytes] = per_process(("units", tokenizer_path), dict)
-    units = unit_splitter()
-
-    def encode(texts: list[str], split: list[list[str]] | None = None) -> list[bytes]:
-        split = [units(t) for t in texts] if split is None else split
-        for lo in range(0, len(split), 64):
-            if len(known) > KNOWN_UNITS:
-                known.clear()
-            new = list({u for s in split[lo : lo + 64] for u in s if u not in known})
-            for u, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[u] = np.array(e.ids, "<u4").tobytes()
-            split[lo : lo + 64] = [b"".join(map(known.__getitem__, s)) for s in split[lo : lo + 64]]
-        return split
+
+    def encode(units: list[list[str | None]]) -> list[bytes]:
+        if len(known) > KNOWN_UNITS:
+            known.clear()
+        rest = [u[1:] for u in units]
+        new = list(set().union(*rest).difference(known))
+        known.update(zip(new, ids([" " + u for u in new])))
+        first = ids([u[0] or "" for u in units])
+        return [a + b"".join(map(known.__getitem__, r)) for a, r in zip(first, rest)]
 
     return encode
 
@@ -94,11 +130,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, uid = token_ids(tokenizer_path), row_ids()
-        for batch in batches:
+        encode, units, uid = token_ids(tokenizer_path), unit_splitter(), row_ids()
+        for batch in small_batches(batches):
             out = [[] for _ in range(6)]
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
+            split = [units(t or "") for t in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(split)):
                 ids += end
                 n = len(ids) // 4
                 ends = range((n - 1) % capacity + 1, n + 1, capacity)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heedline.llm.common import small_batches
 from heedline.llm.packing import token_ids, unit_splitter
 
 LEAF_UNITS = 16
@@ -77,7 +78,11 @@ class Counter:
     def leaves(self, text: str, leaf_units: int) -> np.ndarray:
         units = self.units(text)
         parts = [units[i : i + leaf_units] for i in range(0, len(units), leaf_units)]
-        return np.array([[sum(map(len, p)) for p in parts], [len(t) // 4 for t in self.encode([], parts)]])
+        # A leaf but the first begins with a space, which belongs to its first unit.
+        chars = [sum(map(len, p)) + len(p) for p in parts]
+        chars[0] -= 1
+        tokens = self.encode([parts[0], *[[None, *p] for p in parts[1:]]])
+        return np.array([chars, [len(t) // 4 for t in tokens]])
 
     def tree(self, text: str) -> CountTree:
         return CountTree.of(*self.leaves(text, LEAF_UNITS))
@@ -114,7 +119,7 @@ def with_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer_path)
-        for batch in batches:
+        for batch in small_batches(batches):
             trees = [counter.tree(t) for t in batch.column("text").to_pylist()]
             nodes = pa.array([t.nodes.tobytes() for t in trees], pa.binary())
             counts = pa.array([t.tokens for t in trees], pa.int64())
@@ -129,7 +134,7 @@ def apply_edits(counted: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer_path)
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [[] for _ in range(5)]
             columns = [batch.column(c).to_pylist() for c in ("text", "tree", "edits")]
             for text, nodes, edits in zip(*columns):
