@@ -1,18 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter (operator 10).
 
-All words and word pairs of the training texts are counted.  The filter holds each counted item
+All words and word pairs of the training texts are counted.  The filter holds each counted pair
 once per level up to its quantised log frequency; a count is read back by asking level after
-level until one is missing.  Items are spread over slices by their hash, and each slice is
-filled by one task; the slices together are broadcast.
+level until one is missing.  Words are kept with their exact counts.
 
-The broadcast is bounded by FILTER_BYTES: pairs are taken in from the lowest count on for which
-the filter fits (two at least, as pairs seen once say nothing beyond their words).  Counting
-itself covers everything, and every text is scored in full.
+Filter and words are dealt by hash into groups whose number follows their entries, so a group
+has FILTER_BYTES of bits at most and nothing is left out at any size.  Texts are cut into chunks.
+The distinct pairs and words of a chunk go to their groups, each group answers from its bits and
+words, and the answers go back to the chunk, which is then scored.  A task holds one group or
+one chunk.
 
 The score of a token mixes the pair's relative frequency with the smoothed frequency of the
 word; the share is the one of SHARES under which the training tokens, each left out of the
-counts for itself, are most likely.  The base score takes exact counts: frequent words (at most
-HEAD, by their share of all tokens) from a broadcast table, all others by a join.
+counts for itself, are most likely.  The base score takes the word's frequency alone.  Frequent
+words (at most HEAD, by their share of all tokens) come from a broadcast table, which spares
+their way to the groups.
 
 Null texts count as empty: one end token.  Rows without doc_id are not learned from and are not
 held out.  Equal rows are rows of their own; extra columns are ignored.
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from heedline.llm.common import durable, row_ids
 from heedline.llm.langid import fold
 
-FILTER_BYTES = 128 << 20
+# Of a group.
+FILTER_BYTES = 1 << 18
 SLICE_BYTES = 1 << 16
 BITS_PER_ENTRY = 12
 PROBES = 4
@@ -37,6 +40,8 @@ STEP = 2**0.5
 FIRST_PAIR_LEVEL = 3
 HEAD = 65_536
 SHARES = (0.002, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
+# Characters of a chunk, unless one text has more.
+CHUNK = 6_000_000
 KNOWN_WORDS = 300_000
 FLUSH = 5_000_000
 START, END = 0x51ED270B7A1F3C95, 0x2545F4914F6CDD1D
@@ -111,10 +116,15 @@ def counted(texts: DataFrame) -> DataFrame:
     return parts.groupBy("pair", "h").agg(F.sum("n").alias("n"))
 
 
+def dealt(h: np.ndarray, groups: int, slices: int) -> np.ndarray:
+    """The group of each item; its slice in the group follows from the same hash."""
+    return (_mix(h ^ _U(START)) % _U(groups * slices) // _U(slices)).astype(np.int64)
+
+
 class LogFrequencyFilter:
-    """Levels of counted items, by repeated membership probes."""
+    """Levels of counted pairs in one group, by repeated membership probes."""
 
-    def __init__(self, bits: np.ndarray, slices: int, first_pair_level: int):
+    def __init__(self, bits: np.ndarray, slices: int, first_pair_level: int = FIRST_PAIR_LEVEL):
         self.bits, self.slices, self.first = bits, slices, first_pair_level
         self.values = level_values()
 
@@ -129,142 +139,222 @@ class LogFrequencyFilter:
         """A bit of the slice; its size is a power of two."""
         return (start + _U(probe) * stride) & _U(SLICE_BYTES * 8 - 1)
 
-    def counts(self, h: np.ndarray, pair: bool) -> np.ndarray:
-        """Approximate counts; 0 for items that are not in the filter.
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels of pairs; 0 for those that are not in the filter.
 
         Items drop out with the first probe that fails, so most take one probe.
         """
-        first = self.first if pair else 1
-        h = h if pair else h ^ _U(END)
-        base = (_mix(h ^ _U(START)) % _U(self.slices)) * _U(SLICE_BYTES)
-        level, at, step = np.zeros(len(h), np.int64), np.arange(len(h)), 1
-        while len(at):
+        base = _mix(h ^ _U(START)) % _U(self.slices) * _U(SLICE_BYTES)
+        level, at, step = np.zeros(len(h), np.uint8), np.arange(len(h)), 1
+        while len(at) and step + self.first <= len(self.values):
             start, stride = self.probes(h[at], step)
             for probe in range(PROBES):
                 bit = self.place(start, stride, probe)
                 found = (self.bits[base[at] + (bit >> _U(3))] >> (bit & _U(7)).astype(np.uint8)) & 1 > 0
                 at, start, stride = at[found], start[found], stride[found]
-            level[at] = step + first - 1
+            level[at] = step + self.first - 1
             step += 1
-        return self.values[level]
+        return level
+
+
+def exact(known: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Counts of words from the sorted hashes ``known``; 0 for others."""
+    if not len(known):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, n[at], 0)
+
+
+class StoredGroups:
+    """A stored table (group, h, n, bits) of words and filter, ``slices`` in each of ``groups``."""
+
+    def __init__(self, table: DataFrame, groups: int, slices: int):
+        self.table, self.groups, self.slices = table, groups, slices
+
+    def counts(self, h: np.ndarray, pair: bool) -> np.ndarray:
+        """Counts of few items, on the driver, group by group; 0 for items that are not known."""
+        own, out = dealt(h, self.groups, self.slices), np.zeros(len(h))
+        for row in self.table.toLocalIterator():
+            here = own == row["group"]
+            if pair:
+                model = LogFrequencyFilter(np.frombuffer(row["bits"], np.uint8), self.slices)
+                out[here] = model.values[model.levels(h[here])]
+            else:
+                out[here] = exact(np.frombuffer(row["h"], np.uint64), np.frombuffer(row["n"], np.int64), h[here])
+        return out
 
 
-def build_filter(counts: DataFrame, max_bytes: int = FILTER_BYTES) -> LogFrequencyFilter:
-    """The filter of stored ``counts`` (pair, h, n), within ``max_bytes``."""
+def build_filter(counts: DataFrame, max_bytes: int = FILTER_BYTES) -> StoredGroups:
+    """Words and filter of stored ``counts`` (pair, h, n), whole, in groups of ``max_bytes`` at most."""
     level = 1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(STEP)) + 1e-9)
-    leveled = counts.withColumn("level", level)
-    # A row per level.
-    rows = leveled.groupBy("pair", "level").agg(F.count(F.lit(1)).alias("items")).collect()
-    first = FIRST_PAIR_LEVEL
-    while True:
-        entries = sum(
-            r["items"] * (r["level"] - (first - 1 if r["pair"] else 0))
-            for r in rows
-            if not r["pair"] or r["level"] >= first
-        )
-        slices = max(1, -(-entries * BITS_PER_ENTRY // (8 * SLICE_BYTES)))
-        if slices * SLICE_BYTES <= max_bytes or first > 190:
-            break
-        first += 1
-    slices = min(slices, max(1, max_bytes // SLICE_BYTES))
-
-    def slice_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    steps = F.when(F.col("pair"), level - FIRST_PAIR_LEVEL + 1).otherwise(0).cast("int")
+    leveled = counts.withColumn("steps", steps).where("not pair or steps > 0")
+    # A word takes room as well, so that the groups stay small where pairs are few.
+    entries = leveled.agg(F.coalesce(F.sum(F.when(F.col("pair"), F.col("steps")).otherwise(1)), F.lit(0))).first()[0]
+    needed = max(1, -(-entries * BITS_PER_ENTRY // (8 * SLICE_BYTES)))
+    slices = min(needed, max(1, max_bytes // SLICE_BYTES))
+    groups = -(-needed // slices)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.array(batch.column("h")).view(np.uint64)
-            pair = np.array(batch.column("pair").to_pylist(), bool)
-            h = np.where(pair, h, h ^ _U(END))
-            own = (_mix(h ^ _U(START)) % _U(slices)).astype(np.int32)
-            columns = [pa.array(own), pa.array(h.view(np.int64)), batch.column("steps")]
-            yield pa.RecordBatch.from_arrays(columns, ["slice", "h", "steps"])
+            own = dealt(np.array(batch.column("h")).view(np.uint64), groups, slices)
+            columns = [pa.array(own), *(batch.column(c) for c in ("h", "n", "steps"))]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "h", "n", "steps"])
 
     def fill(part: pa.Table) -> pa.Table:
-        bits = np.zeros(SLICE_BYTES * 8, bool)
-        h = np.array(part.column("h")).view(np.uint64)
-        steps = np.array(part.column("steps"))
+        bits = np.zeros(slices * SLICE_BYTES * 8, bool)
+        h, n, steps = (np.array(part.column(c)) for c in ("h", "n", "steps"))
+        h, word = h.view(np.uint64), steps == 0
+        base = _mix(h ^ _U(START)) % _U(slices) * _U(SLICE_BYTES * 8)
         for step in range(1, int(steps.max(initial=0)) + 1):
-            some = h[steps >= step]
-            start, stride = LogFrequencyFilter.probes(some, step)
+            some = steps >= step
+            start, stride = LogFrequencyFilter.probes(h[some], step)
             for probe in range(PROBES):
-                bits[LogFrequencyFilter.place(start, stride, probe).astype(np.int64)] = True
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"slice": pa.array([part.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([packed])})
+                bits[(base[some] + LogFrequencyFilter.place(start, stride, probe)).astype(np.int64)] = True
+        order = np.argsort(h[word])
+        row = {
+            "group": pa.array([part.column("group")[0].as_py()], pa.int64()),
+            "h": pa.array([h[word][order].tobytes()], pa.binary()),
+            "n": pa.array([n[word][order].tobytes()], pa.binary()),
+            "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
+        }
+        return pa.table(row)
 
-    taken = leveled.where(~F.col("pair") | (F.col("level") >= first)).select(
-        "pair", "h", (F.col("level") - F.when(F.col("pair"), first - 1).otherwise(0)).cast("int").alias("steps")
-    )
-    sliced = taken.mapInArrow(slice_of, "slice int, h long, steps int")
-    filled = durable(sliced.groupBy("slice").applyInArrow(fill, "slice int, bits binary"), "lm-slices")
-    bits = np.zeros(slices * SLICE_BYTES, np.uint8)
-    # At most ``max_bytes`` in all.
-    for row in filled.toLocalIterator():
-        bits[row["slice"] * SLICE_BYTES :][:SLICE_BYTES] = np.frombuffer(row["bits"], np.uint8)
-    return LogFrequencyFilter(bits, slices, first)
+    own = leveled.select("h", "n", "steps").mapInArrow(deal, "group long, h long, n long, steps int")
+    filled = own.groupBy("group").applyInArrow(fill, "group long, h binary, n binary, bits binary")
+    return StoredGroups(durable(filled, "lm-groups"), groups, slices)
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """(chunk, doc_id, train, text): rows of ``docs`` as lists of about CHUNK characters."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = row_ids(), [], 0
 
-def scored(docs: DataFrame, model: LogFrequencyFilter, head: dict[int, int], total: int, distinct: int) -> DataFrame:
-    """Per row: tokens, scores under each share, and what the base score still lacks.
+        def flush():
+            columns = [pa.array([next(chunk)], pa.int64())]
+            kinds = (pa.int64(), pa.bool_(), pa.string())
+            columns += [pa.array([list(x)], pa.list_(kind)) for x, kind in zip(zip(*held), kinds)]
+            return pa.RecordBatch.from_arrays(columns, names)
 
-    ``fit`` has the log probabilities under each share with the row's own tokens left out one
-    by one; ``tail`` the hashes of words that are not in ``head``.
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names[1:])):
+                held.append(row)
+                size += len(row[2] or "")
+                if size >= CHUNK:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    names = ["chunk", "doc_id", "train", "text"]
+    kinds = "chunk long, doc_id array<long>, train array<boolean>, text array<string>"
+    return docs.select(*names[1:]).mapInArrow(run, kinds)
+
+
+class Chunk:
+    """The tokens of a chunk by its distinct words and pairs, and the order in which to ask for them."""
+
+    def __init__(self, texts: list[str | None], head: np.ndarray, groups: int, slices: int):
+        words = Words()
+        tokens = [words.of(t or "") for t in texts]
+        self.sizes = np.array([len(t) for t in tokens])
+        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
+        w = np.concatenate(tokens)
+        self.words, self.word_of = np.unique(w, return_inverse=True)
+        # A text's start is as frequent as its end.
+        left, self.left_of = np.r_[_U(START), w[:-1]], np.r_[0, self.word_of[:-1]]
+        left[self.starts] = START
+        self.left_of[self.starts] = np.searchsorted(self.words, _U(END))
+        self.pairs, self.first, self.pair_of = np.unique(pair_hash(left, w), return_index=True, return_inverse=True)
+        self.common = exact(head, np.ones(len(head), np.int64), self.words) > 0
+        rare = np.flatnonzero(~self.common)
+        word_groups, pair_groups = dealt(self.words[rare], groups, slices), dealt(self.pairs, groups, slices)
+        by_group = np.argsort(word_groups, kind="stable")
+        self.word_order, self.word_groups = rare[by_group], word_groups[by_group]
+        self.pair_order = np.argsort(pair_groups, kind="stable")
+        self.pair_groups = pair_groups[self.pair_order]
+
+
+def scored(docs: DataFrame, model: StoredGroups, head: dict[int, int], total: int, distinct: int) -> DataFrame:
+    """Per row: tokens, known ones, the base score and the scores under each share.
+
+    ``fit`` has the log probabilities under each share of all training tokens of a chunk, left
+    out one by one, on the chunk's first row.
     """
-    context = docs.sparkSession.sparkContext
-    model_, head_ = context.broadcast(model), context.broadcast(head)
-    below = total + 0.5 * (distinct + 1)
+    context, groups, slices = docs.sparkSession.sparkContext, model.groups, model.slices
+    keys = np.array(sorted(head), np.uint64)
+    head_ = context.broadcast((keys, np.array([head[k] for k in keys.tolist()], np.int64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, uid = Words(), row_ids()
-        model, head = model_.value, head_.value
-        keys = np.array(sorted(head), np.uint64)
-        logs = np.log10((np.array([head[k] for k in keys.tolist()], float) + 0.5) / below)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                texts = [words.of(t or "") for t in part.column("text").to_pylist()]
-                w = np.concatenate(texts)
-                ends = np.cumsum([len(t) for t in texts])
-                starts = np.r_[0, ends[:-1]]
-                left = np.r_[_U(START), w[:-1]]
-                left[starts] = START
-                distinct_w, where = np.unique(np.r_[w, _U(START)], return_inverse=True)
-                known = model.counts(distinct_w, False)
-                c = known[where[:-1]]
-                before = np.r_[0.0, c[:-1]]
-                # A text's start is as frequent as its end.
-                before[starts] = model.counts(np.array([END], np.uint64), False)[0]
-                both = model.counts(pair_hash(left, w), True)
-
-                def mixed(both, before, c, total):
-                    word = (c + 0.5) / (total + 0.5 * (distinct + 1))
-                    # Without the context the word's own frequency is all there is.
-                    pair = np.where(before > 0, np.minimum(both / np.maximum(before, 1), 1), word)
-                    by_share = [np.log(share * pair + (1 - share) * word) for share in SHARES]
-                    return np.stack([np.add.reduceat(x, starts) for x in by_share], 1) / np.log(10)
-
-                score = mixed(both, before, c, total)
-                out = [np.maximum(x - 1, 0) for x in (both, before, c, np.array(float(total)))]
-                fit = mixed(*out)
-                at = np.minimum(np.searchsorted(keys, w), max(0, len(keys) - 1))
-                common = keys[at] == w if len(keys) else np.zeros(len(w), bool)
-                base = np.add.reduceat(np.where(common, logs[at] if len(keys) else 0.0, 0.0), starts)
-                n_common = np.add.reduceat(common.astype(np.int64), starts)
-                tails = [w[a:b][~common[a:b]].view(np.int64) for a, b in zip(starts, ends)]
-                columns = [
-                    pa.array([next(uid) for _ in texts], pa.int64()),
-                    part.column("doc_id"),
-                    part.column("train"),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(n_common),
-                    pa.array(base),
-                    pa.array(list(score), pa.list_(pa.float64())),
-                    pa.array(list(fit), pa.list_(pa.float64())),
-                    pa.array(tails, pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    names = ["uid", "doc_id", "train", "n_tokens", "n_common", "base", "scores", "fit", "tail"]
-    kinds = "uid long, doc_id long, train boolean, n_tokens long, n_common long, base double"
-    kinds += ", scores array<double>, fit array<double>, tail array<long>"
-    return docs.select("doc_id", "text", "train").mapInArrow(run, kinds)
+            for row in range(batch.num_rows):
+                chunk = Chunk(batch.column("text")[row].as_py(), head_.value[0], groups, slices)
+                own = np.unique(np.r_[chunk.word_groups, chunk.pair_groups])
+                words, pairs = chunk.words[chunk.word_order], chunk.pairs[chunk.pair_order]
+                parts = []
+                for h, of in ((words, chunk.word_groups), (pairs, chunk.pair_groups)):
+                    ends = zip(np.searchsorted(of, own), np.searchsorted(of, own, "right"))
+                    parts.append(pa.array([h[a:b].tobytes() for a, b in ends], pa.binary()))
+                number = pa.array([batch.column("chunk")[row].as_py()] * len(own), pa.int64())
+                yield pa.RecordBatch.from_arrays([number, pa.array(own), *parts], ["chunk", "group", "words", "pairs"])
+
+    def answer(group: pa.Table, asked: pa.Table) -> pa.Table:
+        if group.num_rows:
+            h, n = (np.frombuffer(group.column(c)[0].as_py(), t) for c, t in (("h", np.uint64), ("n", np.int64)))
+            bits = np.frombuffer(group.column("bits")[0].as_py(), np.uint8)
+        else:
+            h, n, bits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(slices * SLICE_BYTES, np.uint8)
+        filter_, counts, levels = LogFrequencyFilter(bits, slices), [], []
+        for words, pairs in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist()):
+            counts.append(exact(h, n, np.frombuffer(words, np.uint64)).astype(np.int64).tobytes())
+            levels.append(filter_.levels(np.frombuffer(pairs, np.uint64)).tobytes())
+        found = {"counts": pa.array(counts, pa.binary()), "levels": pa.array(levels, pa.binary())}
+        return pa.table({"chunk": asked.column("chunk"), "group": asked.column("group")} | found)
+
+    def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, n_head = head_.value
+        row = {c: chunks.column(c)[0].as_py() for c in ("doc_id", "train", "text")}
+        chunk = Chunk(row["text"], keys, groups, slices)
+        answers = answers.sort_by("group")
+        joined = [b"".join(answers.column(c).to_pylist()) for c in ("counts", "levels")]
+        c = exact(keys, n_head, chunk.words).astype(float)
+        c[chunk.word_order] = np.frombuffer(joined[0], np.int64)
+        both = np.zeros(len(chunk.pairs))
+        both[chunk.pair_order] = level_values()[np.frombuffer(joined[1], np.uint8)]
+
+        # What a token adds depends on its pair alone.
+        right, before = c[chunk.word_of[chunk.first]], c[chunk.left_of[chunk.first]]
+
+        def mixed(both, before, c, total):
+            word = (c + 0.5) / (total + 0.5 * (distinct + 1))
+            # Without the context the word's own frequency is all there is.
+            pair = np.where(before > 0, np.minimum(both / np.maximum(before, 1), 1), word)
+            return [np.log10(share * pair + (1 - share) * word) for share in SHARES]
+
+        scores = np.stack([np.add.reduceat(x[chunk.pair_of], chunk.starts) for x in mixed(both, before, right, total)], 1)
+        learned = np.repeat(np.array(row["train"], bool), chunk.sizes)
+        times = np.bincount(chunk.pair_of[learned], minlength=len(both))
+        fit = [float(x @ times) for x in mixed(*(np.maximum(x - 1, 0) for x in (both, before, right, float(total))))]
+        base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+        columns = {
+            "doc_id": pa.array(row["doc_id"], pa.int64()),
+            "train": pa.array(row["train"], pa.bool_()),
+            "n_tokens": pa.array(chunk.sizes, pa.int64()),
+            "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64)[chunk.word_of], chunk.starts)),
+            "base_score": pa.array(np.add.reduceat(base[chunk.word_of], chunk.starts)),
+            "scores": pa.array(list(scores), pa.list_(pa.float64())),
+            "fit": pa.array([fit] + [None] * (len(chunk.sizes) - 1), pa.list_(pa.float64())),
+        }
+        return pa.table(columns)
+
+    chunks = durable(chunked(docs), "lm-chunks")
+    asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk long, group long, words binary, pairs binary")
+    kinds = "chunk long, group long, counts binary, levels binary"
+    answers = model.table.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(answer, kinds)
+    kinds = "doc_id long, train boolean, n_tokens long, n_known long, base_score double"
+    kinds += ", scores array<double>, fit array<double>"
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, kinds)
 
 
 def language_model_scores(docs: DataFrame, max_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -280,31 +370,17 @@ def language_model_scores(docs: DataFrame, max_bytes: int = FILTER_BYTES) -> Dat
     # By their share of the tokens there are at most HEAD such words.
     bound = max(1, -(-total // HEAD))
     head = {r["h"] & (1 << 64) - 1: r["n"] for r in words.where(F.col("n") >= bound).select("h", "n").collect()}
-    model = build_filter(counts, max_bytes)
-    rows = durable(scored(docs, model, head, total, distinct), "lm-scores")
+    rows = durable(scored(docs, build_filter(counts, max_bytes), head, total, distinct), "lm-scores")
 
-    best = rows.where("train").agg(*[F.sum(F.col("fit")[i]).alias(f"s{i}") for i in range(len(SHARES))]).first()
+    best = rows.agg(*[F.sum(F.col("fit")[i]).alias(f"s{i}") for i in range(len(SHARES))]).first()
     share = max(range(len(SHARES)), key=lambda i: (best[i] is not None, best[i] or 0.0))
-
-    below = float(total + 0.5 * (distinct + 1))
-    tail = rows.select("uid", F.explode("tail").alias("h"))
-    rare = words.where(F.col("n") < bound).select("h", F.col("n").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    rest = (
-        tail.join(rare, "h", "left")
-        .groupBy("uid")
-        .agg(
-            F.sum(F.log10((c + 0.5) / below)).alias("rest"),
-            F.count_if(c > 0).alias("n_rare"),
-        )
-    )
-    return rows.drop("fit", "tail").join(rest, "uid", "left").select(
+    return rows.select(
         "doc_id",
         "train",
         "n_tokens",
-        (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
+        "base_score",
         F.col("scores")[share].alias("score"),
     )
 

@@ -551,5 +551,28 @@ def test_filter_counts_are_close_and_bounded(spark):
     assert small.slices == 1
 
 
+def test_a_filter_over_its_bound_keeps_every_pair(spark):
+    rng = np.random.default_rng(5)
+    h = rng.integers(-(1 << 62), 1 << 62, 6000)
+    n = np.exp(rng.uniform(1, 9, 6000)).astype(int)
+    frame = spark.createDataFrame([(True, int(a), int(b)) for a, b in zip(h, n)], "pair boolean, h long, n long")
+    small = lm.build_filter(frame, max_bytes=lm.SLICE_BYTES)
+    assert small.groups > 1
+    got = small.counts(h.view(np.uint64), True)
+    assert (got > 0).all()
+    assert (np.abs(np.log2(got / n)) <= 0.6).mean() > 0.99
+
+
+def test_scores_do_not_depend_on_the_bound(docs):
+    frame = docs.select("doc_id", "text", (F.col("doc_id") % 5 != 1).alias("train"))
+    frame = frame.withColumn("text", F.concat_ws(" ", "text", F.reverse("text")))
+    small, large = (
+        {(r["doc_id"], round(r["score"], 6)) for r in lm.language_model_scores(frame, max_bytes=b).collect()}
+        for b in (lm.SLICE_BYTES, 64 * lm.SLICE_BYTES)
+    )
+    # A false positive may differ, as slices do.
+    assert len(small & large) > 0.98 * len(large)
+
+
 def test_language_model_of_nothing(none):
     assert lm.scores(none).collect() == []
