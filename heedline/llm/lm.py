@@ -37,7 +37,7 @@ BITS_PER_ENTRY = 12
 PROBES = 4
 # Levels are powers of the root of two.
 STEP = 2**0.5
-FIRST_PAIR_LEVEL = 3
+FIRST_PAIR_LEVEL = 1
 HEAD = 65_536
 SHARES = (0.002, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 # Characters of a chunk, unless one text has more.
@@ -362,8 +362,7 @@ def language_model_scores(docs: DataFrame, max_bytes: int = FILTER_BYTES) -> Dat
 
     Input: doc_id, text, train (boolean).
     """
-    parts = counted(docs.where("train"))
-    counts = durable(parts.where("not pair or n > 1"), "lm-counts")
+    counts = durable(counted(docs.where("train")), "lm-counts")
     words = counts.where("not pair")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = sums["n"], sums["v"]

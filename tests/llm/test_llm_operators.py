@@ -574,5 +574,15 @@ def test_scores_do_not_depend_on_the_bound(docs):
     assert len(small & large) > 0.98 * len(large)
 
 
+def test_pairs_counted_once_are_evidence(spark):
+    words = [f"w{i}" for i in range(200)]
+    mixed = words[::2] + words[1::2]
+    rows = [(1, " ".join(words), True), (2, " ".join(words), False), (3, " ".join(mixed), False)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: r for r in lm.language_model_scores(frame).collect()}
+    assert got[2]["base_score"] == pytest.approx(got[3]["base_score"])
+    assert got[2]["score"] > got[3]["score"] + 1
+
+
 def test_language_model_of_nothing(none):
     assert lm.scores(none).collect() == []
