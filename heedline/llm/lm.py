@@ -4,8 +4,9 @@ All words and word pairs of the training texts are counted.  The filter holds ea
 once per level up to its quantised log frequency; a count is read back by asking level after
 level until one is missing.  Words are kept with their exact counts.
 
-Filter and words are dealt by hash into groups whose number follows their entries, so a group
-has FILTER_BYTES of bits at most and nothing is left out at any size.  Texts are cut into chunks.
+Filter and words are dealt by ranges of hashes into groups whose number follows the size of the
+training texts, so that a group has about FILTER_BYTES of bits at most; each is sized by its own
+entries and nothing is left out at any size.  Texts are cut into chunks.
 The distinct pairs and words of a chunk go to their groups, each group answers from its bits and
 words, and the answers go back to the chunk, which is then scored.  A task holds one group or
 one chunk.
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heedline.llm.common import durable, row_ids
+from heedline.llm.common import durable, row_ids, small_batches
 from heedline.llm.langid import fold
 
 # Of a group.
-FILTER_BYTES = 1 << 18
+FILTER_BYTES = 1 << 20
 SLICE_BYTES = 1 << 16
 BITS_PER_ENTRY = 12
 PROBES = 4
@@ -40,7 +41,7 @@ STEP = 2**0.5
 FIRST_PAIR_LEVEL = 1
 HEAD = 65_536
 SHARES = (0.002, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
-# Characters of a chunk, unless one text has more.
+# Bytes of text in a chunk, unless the last 128 texts have more.
 CHUNK = 6_000_000
 KNOWN_WORDS = 300_000
 FLUSH = 5_000_000
@@ -88,18 +89,49 @@ class Words:
         return out
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(pair, h, n): how often each word and each pair of neighbours occurs in ``texts`` (text)."""
+def dealt(h: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each item: a range of hashes, so sorted items are sorted by group."""
+    return ((h >> _U(32)) * _U(groups) >> _U(32)).astype(np.int64)
+
+
+def packed(h: np.ndarray) -> bytes:
+    """Sorted hashes as steps from one to the next, by bytes of equal rank."""
+    steps = np.diff(h, prepend=_U(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+PARTS = "group long, pair boolean, items long, h binary, n binary"
+
+
+def parts_of(pair: bool, h: np.ndarray, n: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Rows of PARTS from sorted hashes and their counts."""
+    of = dealt(h, groups)
+    own, first = np.unique(of, return_index=True)
+    spans = [*zip(first, [*first[1:], len(h)])]
+    columns = [
+        pa.array(own),
+        pa.array(np.full(len(own), pair)),
+        pa.array([b - a for a, b in spans], pa.int64()),
+        pa.array([packed(h[a:b]) for a, b in spans], pa.binary()),
+        pa.array([pa.compress(n[a:b].astype(np.int64).tobytes(), "zstd", asbytes=True) for a, b in spans], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["group", "pair", "items", "h", "n"])
+
+
+def counted(texts: DataFrame, groups: int) -> DataFrame:
+    """PARTS: how often each word and each pair of neighbours occurs in parts of ``texts`` (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Words(), [], 0
 
         def flush():
             for pair in (False, True):
-                joined = np.concatenate([h[pair] for h in held])
-                h, n = np.unique(joined, return_counts=True)
-                columns = [pa.array(np.full(len(h), pair)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["pair", "h", "n"])
+                yield parts_of(pair, *np.unique(np.concatenate([h[pair] for h in held]), return_counts=True), groups)
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -112,20 +144,14 @@ def counted(texts: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    parts = texts.select("text").mapInArrow(run, "pair boolean, h long, n long")
-    return parts.groupBy("pair", "h").agg(F.sum("n").alias("n"))
-
-
-def dealt(h: np.ndarray, groups: int, slices: int) -> np.ndarray:
-    """The group of each item; its slice in the group follows from the same hash."""
-    return (_mix(h ^ _U(START)) % _U(groups * slices) // _U(slices)).astype(np.int64)
+    return texts.select("text").mapInArrow(run, PARTS)
 
 
 class LogFrequencyFilter:
     """Levels of counted pairs in one group, by repeated membership probes."""
 
-    def __init__(self, bits: np.ndarray, slices: int, first_pair_level: int = FIRST_PAIR_LEVEL):
-        self.bits, self.slices, self.first = bits, slices, first_pair_level
+    def __init__(self, bits: np.ndarray, first_pair_level: int = FIRST_PAIR_LEVEL):
+        self.bits, self.slices, self.first = bits, len(bits) // SLICE_BYTES, first_pair_level
         self.values = level_values()
 
     @staticmethod
@@ -166,96 +192,130 @@ def exact(known: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class StoredGroups:
-    """A stored table (group, h, n, bits) of words and filter, ``slices`` in each of ``groups``."""
+    """A stored table (group, h, n, bits, tokens, words) of words and filter; ``slices`` is what a group should have."""
 
     def __init__(self, table: DataFrame, groups: int, slices: int):
         self.table, self.groups, self.slices = table, groups, slices
 
     def counts(self, h: np.ndarray, pair: bool) -> np.ndarray:
         """Counts of few items, on the driver, group by group; 0 for items that are not known."""
-        own, out = dealt(h, self.groups, self.slices), np.zeros(len(h))
+        own, out = dealt(h, self.groups), np.zeros(len(h))
         for row in self.table.toLocalIterator():
             here = own == row["group"]
             if pair:
-                model = LogFrequencyFilter(np.frombuffer(row["bits"], np.uint8), self.slices)
+                model = LogFrequencyFilter(np.frombuffer(row["bits"], np.uint8))
                 out[here] = model.values[model.levels(h[here])]
             else:
                 out[here] = exact(np.frombuffer(row["h"], np.uint64), np.frombuffer(row["n"], np.int64), h[here])
         return out
 
+    def frequent(self, bound: int) -> dict[int, int]:
+        """Words with at least ``bound`` occurrences, by hash."""
 
-def build_filter(counts: DataFrame, max_bytes: int = FILTER_BYTES) -> StoredGroups:
-    """Words and filter of stored ``counts`` (pair, h, n), whole, in groups of ``max_bytes`` at most."""
-    level = 1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(STEP)) + 1e-9)
-    steps = F.when(F.col("pair"), level - FIRST_PAIR_LEVEL + 1).otherwise(0).cast("int")
-    leveled = counts.withColumn("steps", steps).where("not pair or steps > 0")
-    # A word takes room as well, so that the groups stay small where pairs are few.
-    entries = leveled.agg(F.coalesce(F.sum(F.when(F.col("pair"), F.col("steps")).otherwise(1)), F.lit(0))).first()[0]
-    needed = max(1, -(-entries * BITS_PER_ENTRY // (8 * SLICE_BYTES)))
-    slices = min(needed, max(1, max_bytes // SLICE_BYTES))
-    groups = -(-needed // slices)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for h, n in zip(batch.column("h").to_pylist(), batch.column("n").to_pylist()):
+                    h, n = np.frombuffer(h, np.int64), np.frombuffer(n, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[n >= bound]) for x in (h, n)], ["h", "n"])
+
+        rows = self.table.select("h", "n").mapInArrow(run, "h long, n long")
+        return {r["h"] & (1 << 64) - 1: r["n"] for r in rows.collect()}
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = dealt(np.array(batch.column("h")).view(np.uint64), groups, slices)
-            columns = [pa.array(own), *(batch.column(c) for c in ("h", "n", "steps"))]
-            yield pa.RecordBatch.from_arrays(columns, ["group", "h", "n", "steps"])
+
+def filled(parts: DataFrame, groups: int, slices: int) -> StoredGroups:
+    """Words and filter of PARTS; every group takes the slices that its entries need."""
 
     def fill(part: pa.Table) -> pa.Table:
-        bits = np.zeros(slices * SLICE_BYTES * 8, bool)
-        h, n, steps = (np.array(part.column(c)) for c in ("h", "n", "steps"))
-        h, word = h.view(np.uint64), steps == 0
-        base = _mix(h ^ _U(START)) % _U(slices) * _U(SLICE_BYTES * 8)
+        columns = [part.column(c).to_pylist() for c in ("pair", "items", "h", "n")]
+        both = []
+        for pair in (False, True):
+            some = [(unpacked(h, k), pa.decompress(n, 8 * k, "zstd", asbytes=True)) for p, k, h, n in zip(*columns) if p == pair]
+            h = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in some)])
+            h, at = np.unique(h, return_inverse=True)
+            n = np.frombuffer(b"".join(x for _, x in some), np.int64)
+            # Whole numbers are exact to 2**53.
+            both.append((h, np.bincount(at, n, len(h)).astype(np.int64)))
+        (words, counts), (h, n) = both
+        steps = np.floor(np.log(n) / np.log(STEP) + 1e-9).astype(np.int64) + 2 - FIRST_PAIR_LEVEL
+        own = max(1, -(-int(steps.sum()) * BITS_PER_ENTRY // (8 * SLICE_BYTES)))
+        bits = np.zeros(own * SLICE_BYTES * 8, bool)
+        base = _mix(h ^ _U(START)) % _U(own) * _U(SLICE_BYTES * 8)
         for step in range(1, int(steps.max(initial=0)) + 1):
             some = steps >= step
             start, stride = LogFrequencyFilter.probes(h[some], step)
             for probe in range(PROBES):
                 bits[(base[some] + LogFrequencyFilter.place(start, stride, probe)).astype(np.int64)] = True
-        order = np.argsort(h[word])
         row = {
             "group": pa.array([part.column("group")[0].as_py()], pa.int64()),
-            "h": pa.array([h[word][order].tobytes()], pa.binary()),
-            "n": pa.array([n[word][order].tobytes()], pa.binary()),
+            "h": pa.array([words.tobytes()], pa.binary()),
+            "n": pa.array([counts.tobytes()], pa.binary()),
             "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
+            "tokens": pa.array([int(counts.sum())], pa.int64()),
+            "words": pa.array([len(words)], pa.int64()),
         }
         return pa.table(row)
 
-    own = leveled.select("h", "n", "steps").mapInArrow(deal, "group long, h long, n long, steps int")
-    filled = own.groupBy("group").applyInArrow(fill, "group long, h binary, n binary, bits binary")
-    return StoredGroups(durable(filled, "lm-groups"), groups, slices)
+    kinds = "group long, h binary, n binary, bits binary, tokens long, words long"
+    return StoredGroups(durable(parts.groupBy("group").applyInArrow(fill, kinds), "lm-groups"), groups, slices)
+
+
+def build_filter(counts: DataFrame, max_bytes: int = FILTER_BYTES) -> StoredGroups:
+    """Words and filter of ``counts`` (pair, h, n), whole, in groups of about ``max_bytes``."""
+    level = 1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(STEP)) + 1e-9)
+    entries = counts.agg(F.coalesce(F.sum(F.when(F.col("pair"), level).otherwise(1)), F.lit(0))).first()[0]
+    needed = max(1, -(-entries * BITS_PER_ENTRY // (8 * SLICE_BYTES)))
+    slices = min(needed, max(1, max_bytes // SLICE_BYTES))
+    groups = -(-needed // slices)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = np.array(batch.column("pair").to_pylist(), bool)
+            h, n = np.array(batch.column("h")).view(np.uint64), np.array(batch.column("n"))
+            for kind in (False, True):
+                some = np.flatnonzero(pair == kind)
+                some = some[np.argsort(h[some])]
+                yield parts_of(kind, h[some], n[some], groups)
+
+    return filled(counts.select("pair", "h", "n").mapInArrow(run, PARTS), groups, slices)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(chunk, doc_id, train, text): rows of ``docs`` as lists of about CHUNK characters."""
+    """(chunk, size, rows): rows of ``docs`` (doc_id, train, text), about CHUNK characters compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, size = row_ids(), [], 0
 
         def flush():
-            columns = [pa.array([next(chunk)], pa.int64())]
-            kinds = (pa.int64(), pa.bool_(), pa.string())
-            columns += [pa.array([list(x)], pa.list_(kind)) for x, kind in zip(zip(*held), kinds)]
-            return pa.RecordBatch.from_arrays(columns, names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as stream:
+                for part in held:
+                    stream.write_batch(part)
+            data = sink.getvalue()
+            columns = [[next(chunk)], [data.size], [pa.compress(data, "zstd", asbytes=True)]]
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "size", "rows"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names[1:])):
-                held.append(row)
-                size += len(row[2] or "")
+            for part in small_batches([batch]):
+                held.append(part)
+                size += part.column("text").nbytes
                 if size >= CHUNK:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    names = ["chunk", "doc_id", "train", "text"]
-    kinds = "chunk long, doc_id array<long>, train array<boolean>, text array<string>"
-    return docs.select(*names[1:]).mapInArrow(run, kinds)
+    return docs.select("doc_id", "train", "text").mapInArrow(run, "chunk long, size long, rows binary")
+
+
+def rows_of(data: bytes, size: int) -> pa.Table:
+    return pa.ipc.open_stream(pa.decompress(data, size, "zstd")).read_all()
 
 
 class Chunk:
-    """The tokens of a chunk by its distinct words and pairs, and the order in which to ask for them."""
+    """The tokens of a chunk by its distinct words and pairs, each sorted."""
 
-    def __init__(self, texts: list[str | None], head: np.ndarray, groups: int, slices: int):
+    def __init__(self, texts: list[str | None], head: np.ndarray, groups: int):
         words = Words()
         tokens = [words.of(t or "") for t in texts]
         self.sizes = np.array([len(t) for t in tokens])
@@ -268,12 +328,8 @@ class Chunk:
         self.left_of[self.starts] = np.searchsorted(self.words, _U(END))
         self.pairs, self.first, self.pair_of = np.unique(pair_hash(left, w), return_index=True, return_inverse=True)
         self.common = exact(head, np.ones(len(head), np.int64), self.words) > 0
-        rare = np.flatnonzero(~self.common)
-        word_groups, pair_groups = dealt(self.words[rare], groups, slices), dealt(self.pairs, groups, slices)
-        by_group = np.argsort(word_groups, kind="stable")
-        self.word_order, self.word_groups = rare[by_group], word_groups[by_group]
-        self.pair_order = np.argsort(pair_groups, kind="stable")
-        self.pair_groups = pair_groups[self.pair_order]
+        self.rare = np.flatnonzero(~self.common)
+        self.word_groups, self.pair_groups = dealt(self.words[self.rare], groups), dealt(self.pairs, groups)
 
 
 def scored(docs: DataFrame, model: StoredGroups, head: dict[int, int], total: int, distinct: int) -> DataFrame:
@@ -282,46 +338,52 @@ def scored(docs: DataFrame, model: StoredGroups, head: dict[int, int], total: in
     ``fit`` has the log probabilities under each share of all training tokens of a chunk, left
     out one by one, on the chunk's first row.
     """
-    context, groups, slices = docs.sparkSession.sparkContext, model.groups, model.slices
+    context, groups = docs.sparkSession.sparkContext, model.groups
     keys = np.array(sorted(head), np.uint64)
     head_ = context.broadcast((keys, np.array([head[k] for k in keys.tolist()], np.int64)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk = Chunk(batch.column("text")[row].as_py(), head_.value[0], groups, slices)
+                rows = rows_of(batch.column("rows")[row].as_py(), batch.column("size")[row].as_py())
+                chunk = Chunk(rows.column("text").to_pylist(), head_.value[0], groups)
                 own = np.unique(np.r_[chunk.word_groups, chunk.pair_groups])
-                words, pairs = chunk.words[chunk.word_order], chunk.pairs[chunk.pair_order]
-                parts = []
-                for h, of in ((words, chunk.word_groups), (pairs, chunk.pair_groups)):
-                    ends = zip(np.searchsorted(of, own), np.searchsorted(of, own, "right"))
-                    parts.append(pa.array([h[a:b].tobytes() for a, b in ends], pa.binary()))
-                number = pa.array([batch.column("chunk")[row].as_py()] * len(own), pa.int64())
-                yield pa.RecordBatch.from_arrays([number, pa.array(own), *parts], ["chunk", "group", "words", "pairs"])
+                parts = [pa.array([batch.column("chunk")[row].as_py()] * len(own), pa.int64()), pa.array(own)]
+                for h, of in ((chunk.words[chunk.rare], chunk.word_groups), (chunk.pairs, chunk.pair_groups)):
+                    spans = [*zip(np.searchsorted(of, own), np.searchsorted(of, own, "right"))]
+                    parts.append(pa.array([b - a for a, b in spans], pa.int64()))
+                    parts.append(pa.array([packed(h[a:b]) for a, b in spans], pa.binary()))
+                yield pa.RecordBatch.from_arrays(parts, ["chunk", "group", "n_words", "words", "n_pairs", "pairs"])
 
     def answer(group: pa.Table, asked: pa.Table) -> pa.Table:
         if group.num_rows:
             h, n = (np.frombuffer(group.column(c)[0].as_py(), t) for c, t in (("h", np.uint64), ("n", np.int64)))
             bits = np.frombuffer(group.column("bits")[0].as_py(), np.uint8)
         else:
-            h, n, bits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(slices * SLICE_BYTES, np.uint8)
-        filter_, counts, levels = LogFrequencyFilter(bits, slices), [], []
-        for words, pairs in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist()):
-            counts.append(exact(h, n, np.frombuffer(words, np.uint64)).astype(np.int64).tobytes())
-            levels.append(filter_.levels(np.frombuffer(pairs, np.uint64)).tobytes())
+            h, n, bits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(SLICE_BYTES, np.uint8)
+        requests = [asked.column(c).to_pylist() for c in ("n_words", "words", "n_pairs", "pairs")]
+        n_words, n_pairs = requests[0], requests[2]
+        words = [unpacked(data, k) for k, data in zip(n_words, requests[1])]
+        pairs = [unpacked(data, k) for k, data in zip(n_pairs, requests[3])]
+        words, pairs = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (words, pairs))
+        # All requests at once, for few items cost as many calls as many.
+        counts = exact(h, n, words).astype(np.int64)
+        levels = LogFrequencyFilter(bits).levels(pairs)
+        counts = [x.tobytes() for x in np.split(counts, np.cumsum(n_words)[:-1])] if n_words else []
+        levels = [x.tobytes() for x in np.split(levels, np.cumsum(n_pairs)[:-1])] if n_pairs else []
         found = {"counts": pa.array(counts, pa.binary()), "levels": pa.array(levels, pa.binary())}
         return pa.table({"chunk": asked.column("chunk"), "group": asked.column("group")} | found)
 
     def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         keys, n_head = head_.value
-        row = {c: chunks.column(c)[0].as_py() for c in ("doc_id", "train", "text")}
-        chunk = Chunk(row["text"], keys, groups, slices)
+        rows = rows_of(chunks.column("rows")[0].as_py(), chunks.column("size")[0].as_py())
+        row = {c: rows.column(c).to_pylist() for c in rows.column_names}
+        chunk = Chunk(row["text"], keys, groups)
         answers = answers.sort_by("group")
         joined = [b"".join(answers.column(c).to_pylist()) for c in ("counts", "levels")]
         c = exact(keys, n_head, chunk.words).astype(float)
-        c[chunk.word_order] = np.frombuffer(joined[0], np.int64)
-        both = np.zeros(len(chunk.pairs))
-        both[chunk.pair_order] = level_values()[np.frombuffer(joined[1], np.uint8)]
+        c[chunk.rare] = np.frombuffer(joined[0], np.int64)
+        both = level_values()[np.frombuffer(joined[1], np.uint8)]
 
         # What a token adds depends on its pair alone.
         right, before = c[chunk.word_of[chunk.first]], c[chunk.left_of[chunk.first]]
@@ -349,7 +411,8 @@ def scored(docs: DataFrame, model: StoredGroups, head: dict[int, int], total: in
         return pa.table(columns)
 
     chunks = durable(chunked(docs), "lm-chunks")
-    asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk long, group long, words binary, pairs binary")
+    kinds = "chunk long, group long, n_words long, words binary, n_pairs long, pairs binary"
+    asked = chunks.mapInArrow(ask, kinds)
     kinds = "chunk long, group long, counts binary, levels binary"
     answers = model.table.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(answer, kinds)
     kinds = "doc_id long, train boolean, n_tokens long, n_known long, base_score double"
@@ -362,14 +425,16 @@ def language_model_scores(docs: DataFrame, max_bytes: int = FILTER_BYTES) -> Dat
 
     Input: doc_id, text, train (boolean).
     """
-    counts = durable(counted(docs.where("train")), "lm-counts")
-    words = counts.where("not pair")
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = sums["n"], sums["v"]
+    learned = docs.where("train")
+    # Tokens with their ends: at most one for two characters, and one for each text.
+    size = learned.agg(F.coalesce(F.sum(F.floor((F.length(F.coalesce("text", F.lit(""))) + 1) / 2) + 1), F.lit(0))).first()[0]
+    # A token makes no more than 1.5 entries, as a pair seen twice has three levels.
+    groups = max(1, -(-size * 3 * BITS_PER_ENTRY // (2 * 8 * max_bytes)))
+    model = filled(counted(learned, groups), groups, max(1, max_bytes // SLICE_BYTES))
+    total, distinct = model.table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words")]).first()
     # By their share of the tokens there are at most HEAD such words.
-    bound = max(1, -(-total // HEAD))
-    head = {r["h"] & (1 << 64) - 1: r["n"] for r in words.where(F.col("n") >= bound).select("h", "n").collect()}
-    rows = durable(scored(docs, build_filter(counts, max_bytes), head, total, distinct), "lm-scores")
+    head = model.frequent(max(1, -(-total // HEAD)))
+    rows = durable(scored(docs, model, head, total, distinct), "lm-scores")
 
     best = rows.agg(*[F.sum(F.col("fit")[i]).alias(f"s{i}") for i in range(len(SHARES))]).first()
     share = max(range(len(SHARES)), key=lambda i: (best[i] is not None, best[i] or 0.0))
