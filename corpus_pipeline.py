@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that three documents share, except in the last; documents left empty go."""
     kept = linededup.drop_lines(docs.select(*COLUMNS))
-    emptied = (F.col("n_dropped") > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")
+    emptied = (F.col("n_dropped") > 0) & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = kept.where(~emptied).withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(*COLUMNS)
 

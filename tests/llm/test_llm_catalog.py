@@ -64,3 +64,9 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.collect() == []
+
+
+def test_documents_of_blank_lines_go(spark):
+    text = "The same line of text, long enough to count\n \t\r\n\r"
+    docs = spark.createDataFrame([(i, text, "en", "s", 0) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()] == [3]
