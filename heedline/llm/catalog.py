@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heedline.llm import bpe, chat, langid, linededup, lm, minhash, packing, tokencount, topk, winnow
+from heedline.llm import bpe, chat, langid, linededup, lm, minhash, negatives, packing, spelling, substrings, tokencount, topk, winnow
 from heedline.llm.common import documents, read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -55,6 +55,20 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(documents(spark, sf_dir))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", changed), F.col("vec_id") % 50 == 0)
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf_dir))
+
+
 _QUERIES = (
     op1_packing,
     op2_topk,
@@ -66,6 +80,9 @@ _QUERIES = (
     op8_fingerprints,
     op9_token_counts,
     op10_lm_scores,
+    op11_spelling,
+    op12_negatives,
+    op13_substrings,
 )
 
 _TOPK_SQL = """
@@ -92,4 +109,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_linededup": linededup.SQL,
         "op4_preferences": chat.SQL,
         "op7_minhash": minhash.SQL,
+        "op12_negatives": negatives.SQL,
+        "op13_substrings": substrings.SQL,
     }

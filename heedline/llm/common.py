@@ -4,21 +4,28 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heedline.session import durable, new_folder
 
 __all__ = [
+    "chunked",
+    "dealt",
     "documents",
     "durable",
     "new_folder",
     "numbered",
+    "packed",
     "per_process",
     "read_table",
     "row_ids",
+    "rows_of",
     "small_batches",
     "split_hot",
+    "unpacked",
 ]
 
 ROWS_PER_BUCKET = 200_000
@@ -99,3 +106,52 @@ def split_hot(
     head = left.join(hot, keys)
     rest = left.join(F.broadcast(right.where(weight >= bound).select(*keys)), keys, "left_anti")
     return head.unionByName(rest.join(cold, keys, how))
+
+
+def dealt(h: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each item: a range of hashes, so sorted items are sorted by group."""
+    return ((h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
+def packed(h: np.ndarray) -> bytes:
+    """Sorted hashes as steps from one to the next, by bytes of equal rank."""
+    steps = np.diff(h, prepend=np.uint64(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def chunked(docs: DataFrame, chars: int) -> DataFrame:
+    """(chunk, size, rows): rows of ``docs`` with about ``chars`` characters of text, compressed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = row_ids(), [], 0
+
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as stream:
+                for part in held:
+                    stream.write_batch(part)
+            data = sink.getvalue()
+            columns = [[next(chunk)], [data.size], [pa.compress(data, "zstd", asbytes=True)]]
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "size", "rows"])
+
+        for batch in batches:
+            for part in small_batches([batch]):
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= chars:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, "chunk long, size long, rows binary")
+
+
+def rows_of(data: bytes, size: int) -> pa.Table:
+    return pa.ipc.open_stream(pa.decompress(data, size, "zstd")).read_all()

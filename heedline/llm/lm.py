@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heedline.llm.common import durable, row_ids, small_batches
+from heedline.llm.common import chunked, dealt, durable, packed, rows_of, unpacked
 from heedline.llm.langid import fold
 
 # Of a group.
@@ -89,22 +89,6 @@ class Words:
         return out
 
 
-def dealt(h: np.ndarray, groups: int) -> np.ndarray:
-    """The group of each item: a range of hashes, so sorted items are sorted by group."""
-    return ((h >> _U(32)) * _U(groups) >> _U(32)).astype(np.int64)
-
-
-def packed(h: np.ndarray) -> bytes:
-    """Sorted hashes as steps from one to the next, by bytes of equal rank."""
-    steps = np.diff(h, prepend=_U(0))
-    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
-
-
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    steps = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 PARTS = "group long, pair boolean, items long, h binary, n binary"
 
 
@@ -279,39 +263,6 @@ def build_filter(counts: DataFrame, max_bytes: int = FILTER_BYTES) -> StoredGrou
     return filled(counts.select("pair", "h", "n").mapInArrow(run, PARTS), groups, slices)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(chunk, size, rows): rows of ``docs`` (doc_id, train, text), about CHUNK characters compressed together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = row_ids(), [], 0
-
-        def flush():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as stream:
-                for part in held:
-                    stream.write_batch(part)
-            data = sink.getvalue()
-            columns = [[next(chunk)], [data.size], [pa.compress(data, "zstd", asbytes=True)]]
-            kinds = (pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "size", "rows"])
-
-        for batch in batches:
-            for part in small_batches([batch]):
-                held.append(part)
-                size += part.column("text").nbytes
-                if size >= CHUNK:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    return docs.select("doc_id", "train", "text").mapInArrow(run, "chunk long, size long, rows binary")
-
-
-def rows_of(data: bytes, size: int) -> pa.Table:
-    return pa.ipc.open_stream(pa.decompress(data, size, "zstd")).read_all()
-
-
 class Chunk:
     """The tokens of a chunk by its distinct words and pairs, each sorted."""
 
@@ -410,7 +361,7 @@ def scored(docs: DataFrame, model: StoredGroups, head: dict[int, int], total: in
         }
         return pa.table(columns)
 
-    chunks = durable(chunked(docs), "lm-chunks")
+    chunks = durable(chunked(docs.select("doc_id", "train", "text"), CHUNK), "lm-chunks")
     kinds = "chunk long, group long, n_words long, words binary, n_pairs long, pairs binary"
     asked = chunks.mapInArrow(ask, kinds)
     kinds = "chunk long, group long, counts binary, levels binary"

@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_one_query_per_operator():
-    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pipeline_stages(spark, tmp_path):
