@@ -12,6 +12,7 @@ Null texts count as empty and give no ids.  Only ``text`` is read; every row giv
 any number and with any other columns, equal ids or none.
 """
 
+import hashlib
 import heapq
 import json
 import re
@@ -21,11 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from heedline.llm.common import per_process
+from heedline.llm.common import Recent, per_process, small_batches
 
-KNOWN_UNITS = 200_000
+# Of each generation.
+KNOWN_UNITS, KNOWN_WORDS = 250_000, 250_000
+# Texts that are encoded together.
+GROUP = 256
 SHORT_WORD = 128
 NO_RANK = 1 << 30
 # White space as the vocabulary's normaliser has it (fixed values).
@@ -42,6 +45,60 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+# The vocabulary's library takes letters and numbers from Unicode 16.  Those that version 16 brought (fixed values):
+UNICODE_16 = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D40-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 "
+    "113D1 113D3 116D0-116E3 11BC0-11BE0 11BF0-11BF9 13460-143FA 16100-1611D 16130-16139 16D40-16D6C 16D70-16D79 18CFF "
+    "1CCF0-1CCF9 1E5D0-1E5ED 1E5F0-1E5FA"
+)
+# It takes lower forms from Unicode 17: capitals that versions 16 and 17 brought, and how far on the lower form is (fixed values).
+LATER_CAPITALS = (
+    "1C89:1 A7CB:-A567 A7CC:1 A7CE:1 A7D2:1 A7D4:1 A7DA:1 A7DC:-A641 10D50-10D65:20 16EA0-16EB8:1B"
+)
+
+
+def _span(text: str) -> range:
+    first, _, last = text.partition("-")
+    return range(int(first, 16), int(last or first, 16) + 1)
+
+
+class Letters:
+    """Letters and numbers that are later than the library's, which to it are neither, and later lower forms."""
+
+    def __init__(self):
+        import regex
+
+        known = {chr(c) for span in UNICODE_16.split() for c in _span(span)}
+        points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        found = (c for c in regex.findall(r"[\p{L}\p{N}]", points) if unicodedata.category(c) == "Cn")
+        self.later = frozenset(found).difference(known)
+        self.lower = {}
+        for entry in LATER_CAPITALS.split():
+            span, _, step = entry.partition(":")
+            self.lower.update({c: c + int(step, 16) for c in _span(span)})
+        self.capitals = frozenset(map(chr, self.lower))
+        self.words, self.words_before = regex.compile(WORDS), None
+
+    def split(self, unit: str) -> list[str]:
+        if unit.isascii() or self.later.isdisjoint(unit):
+            return self.words.findall(unit)
+        if self.words_before is None:
+            import regex
+
+            own = f"[{''.join(sorted(self.later))}]"
+            pattern = WORDS.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{own})")
+            pattern = pattern.replace(r"[\p{L}]+", rf"[\p{{L}}--{own}]+").replace(r"|[\p{N}]|", rf"|[\p{{N}}--{own}]|")
+            self.words_before = regex.compile("(?V1)" + pattern)
+        return self.words_before.findall(unit)
+
+    def lowered(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        # Letter by letter where a word end would change the lower form of sigma.
+        low = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return low if self.capitals.isdisjoint(low) else low.translate(self.lower)
+
+
 class RankArray:
     """Merge ranks of a vocabulary file and the encoding of words by them."""
 
@@ -129,78 +186,91 @@ class RankArray:
 
 
 class Codec:
-    """Encodes and decodes texts; units between spaces are remembered, up to a bound."""
+    """Encodes and decodes texts; words, and units between spaces, are remembered, up to a bound."""
 
     def __init__(self, path: str):
-        import regex
-
-        self.bpe = RankArray(path)
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.white, self.words = re.compile(WHITE_SPACE), regex.compile(WORDS)
+        self.bpe, self.letters = RankArray(path), Letters()
+        self.words_known, self.units_known = Recent(KNOWN_WORDS), Recent(KNOWN_UNITS)
+        self.white = re.compile(WHITE_SPACE)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")")
 
     def normal(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = self.white.sub(" ", text)
-        # Letter by letter where a word end would change the lower form of sigma.
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return self.letters.lowered(self.white.sub(" ", text))
+
+    def _of_words(self, words: list[str]) -> list[tuple[bytes, str]]:
+        token = self.bpe.token
+        ids = self.bpe.encode([w.encode() for w in words])
+        return [(own.astype("<u4").tobytes(), " ".join([token[i] for i in own.tolist()])) for own in ids]
 
-    def learn(self, units: list[str]) -> None:
-        words = [[w.encode() for w in self.words.findall(u)] for u in units]
-        distinct = list({w for ws in words for w in ws})
-        ids = dict(zip(distinct, self.bpe.encode(distinct)))
-        for unit, ws in zip(units, words):
-            own = np.concatenate([ids[w] for w in ws]) if ws else np.empty(0, np.int64)
-            shown = " ".join(self.bpe.token[i] for i in own.tolist())
-            self.known[unit] = (own.astype("<u4").tobytes(), shown)
+    def _of_units(self, units: list[str]) -> list[tuple[bytes, str]]:
+        # Most units are one word: plain letters only.
+        words = [[u] if u.isascii() and u.isalpha() else self.letters.split(u) for u in units]
+        known = self.words_known.known({w for ws in words for w in ws}, self._of_words)
+        out = []
+        for ws in words:
+            if len(ws) == 1:
+                out.append(known[ws[0]])
+            else:
+                found = [known[w] for w in ws]
+                out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found])))
+        return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids, decoded text) of each text."""
         out = []
-        for lo in range(0, len(texts), 64):
+        for lo in range(0, len(texts), GROUP):
             split = []
-            for text in texts[lo : lo + 64]:
+            for text in texts[lo : lo + GROUP]:
                 parts = self.cut.split(text) if "<|" in text else [text]
-                split.append([p if k % 2 else self.normal(p).split(" ") for k, p in enumerate(parts)])
-            if len(self.known) > KNOWN_UNITS:
-                self.known.clear()
-            self.learn(list({u for s in split for p in s[::2] for u in p if u not in self.known}))
+                split.append([p if k % 2 else [*filter(None, self.normal(p).split(" "))] for k, p in enumerate(parts)])
+            known = self.units_known.known({u for s in split for p in s[::2] for u in p}, self._of_units)
             for parts in split:
                 ids, shown = [], []
                 for k, part in enumerate(parts):
                     if k % 2:
                         ids.append(np.array([self.bpe.special[part]], "<u4").tobytes())
                         shown.append(part)
-                    else:
-                        found = [self.known[u] for u in part]
-                        ids += [f[0] for f in found]
-                        shown += [f[1] for f in found if f[0]]
+                    elif part:
+                        own_ids, own_shown = zip(*map(known.__getitem__, part))
+                        ids += own_ids
+                        shown += filter(None, own_shown)
                 out.append((b"".join(ids), " ".join(shown)))
         return out
 
 
-def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Adds ``ids`` (little-endian 32-bit numbers) and ``decoded`` to (doc_id, text)."""
+def _coded(docs: DataFrame, tokenizer_path: str, schema: str, columns) -> DataFrame:
+    """``columns`` of (ids, decoded text) of every row, after doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = per_process(("bpe", tokenizer_path), lambda: Codec(tokenizer_path))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in small_batches([batch], GROUP):
                 done = codec.encode([t or "" for t in part.column("text").to_pylist()])
-                ids, decoded = pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done])
-                names = ["doc_id", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, decoded.cast(pa.string())], names)
+                names = [f.split()[0] for f in schema.split(", ")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns(done)], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {schema}")
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Adds ``ids`` (little-endian 32-bit numbers) and ``decoded`` to (doc_id, text)."""
+
+    def columns(done: list) -> list[pa.Array]:
+        return [pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())]
+
+    return _coded(docs, tokenizer_path, "ids binary, decoded string", columns)
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    coded = encode_and_decode(docs, tokenizer_path)
-    return coded.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """Token counts and digests of what ``encode_and_decode`` gives, taken where it is made."""
+
+    def columns(done: list) -> list[pa.Array]:
+        return [
+            pa.array([len(ids) // 4 for ids, _ in done], pa.int64()),
+            pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in done], pa.string()),
+            pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in done], pa.string()),
+        ]
+
+    return _coded(docs, tokenizer_path, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from heedline.session import durable, new_folder
 
 __all__ = [
+    "Recent",
     "chunked",
     "dealt",
     "documents",
@@ -52,6 +53,28 @@ def per_process(key, make: Callable):
     return kept[key]
 
 
+class Recent:
+    """Values by key, in two generations: what was used of late stays when the bound is reached."""
+
+    def __init__(self, bound: int):
+        self.bound, self.now, self.before = bound, {}, {}
+
+    def known(self, keys: set, make: Callable[[list], list]) -> dict:
+        """A dictionary that has all ``keys``; ``make`` gives the values of those that are new."""
+        if len(self.now) > self.bound:
+            self.now, self.before = {}, self.now
+        new = []
+        for key in keys.difference(self.now):
+            found = self.before.get(key)
+            if found is None:
+                new.append(key)
+            else:
+                self.now[key] = found
+        if new:
+            self.now.update(zip(new, make(new)))
+        return self.now
+
+
 def row_ids() -> Iterator[int]:
     """Numbers that are unique over all rows of a stage, for use inside one task."""
     from itertools import count
