@@ -11,7 +11,7 @@ from heedline.catalog.linking import SAVE_SQL, SHORT_IDS_SQL, copied_bodies, cop
 from heedline.catalog.nested import FLAT_MESSAGES_SQL, base64url, flat_columns, payloads, raw_messages
 from heedline.catalog.registry import query
 from heedline.catalog.rules import failure_sql, reply_sql
-from heedline.catalog.selection import NOT_SENT_SQL, TASKS_SQL, unique_cache
+from heedline.catalog.selection import NOT_SENT_SQL, TASKS_SQL, second_delivery, unique_cache
 from heedline.catalog.views import AS_OF, AS_OF_TIME, Views
 from heedline.operators import attachments
 from heedline.plans import analyze, gists, sync, views as plan_views
@@ -150,6 +150,22 @@ def analyze_view(v: Views) -> DataFrame:
     )
 
 
+@query(
+    "s2_stored_upserts",
+    """SELECT id, case when doc_id % 6 = 0 then 'later' when doc_id % 3 = 0 then 'again' else snippet end AS snippet, body_hash FROM msgs
+UNION ALL SELECT 'n' || id, 'new', body_hash FROM msgs WHERE thread_id = '7'""",
+)
+def stored_upserts(v: Views) -> DataFrame:
+    """A stored table and increments of several sizes, which are merged as they grow."""
+    box = tables.Mailbox(v.spark, new_folder(v.spark, "mailbox"))
+    box.messages.write(v.messages)
+    changes = durable(second_delivery(v), "second-delivery")
+    lot = F.pmod(F.xxhash64("id"), F.lit(16))
+    for least, most in ((0, 0), (1, 1), (2, 5), (6, 15)):
+        box.save_messages(changes.where(lot.between(least, most)))
+    return box.messages.read().select("id", "snippet", "body_hash")
+
+
 def _mailbox(v: Views, extractions: DataFrame) -> tables.Mailbox:
     box = tables.Mailbox(v.spark, new_folder(v.spark, "mailbox"))
     box.messages.write(v.messages)
@@ -235,6 +251,24 @@ def documents_only(v: Views) -> DataFrame:
     return done.cache_rows.select("content_hash", "model_name", "extracted_json")
 
 
+@query(
+    "b11_documents_with_bytes",
+    _ANALYZE_SQL
+    + f""", bytes AS (SELECT sha256(html) AS h, any_value(strlen(html)) AS size FROM pages GROUP BY 1)
+SELECT content_hash, '{KEY}' AS model_name, case when {_REFUSED} then {failure_sql("source", "label", "'refused ' || left(content_hash,8)")}
+  else {reply_sql("content_hash", "size")} end AS extracted_json FROM labelled JOIN bytes ON h = content_hash WHERE type = 'pdf'""",
+)
+def documents_with_bytes(v: Views) -> DataFrame:
+    """The classifier counts the bytes of the documents it is sent."""
+    content = F.col("html").cast("binary")
+    contents = v.table("pages").select(F.sha2(content, 256).alias("content_hash"), content.alias("content"))
+    done = analyze.analyze_documents(
+        v.messages, v.attachments, v.all_cache, by_hash, AS_OF_TIME,
+        contents=contents.dropDuplicates(["content_hash"]), model="lite", **_QUICK,
+    )
+    return done.cache_rows.select("content_hash", "model_name", "extracted_json")
+
+
 # ---- sync and backfill --------------------------------------------------------------------
 
 
@@ -256,6 +290,23 @@ def _bodies(v: Views) -> DataFrame:
     return refs.join(pages, F.col("message_id").cast("long") % v.table("pages").count() == F.col("page_id")).select("message_id", "attachment_id", "data")
 
 
+@query(
+    "s1_staged_landing",
+    """SELECT id, count(*) AS deliveries FROM (SELECT id, internal_date FROM msgs UNION ALL SELECT id, internal_date FROM msgs WHERE doc_id % 7 = 0) AS m
+WHERE internal_date >= epoch(DATE '2024-01-31' - 21) GROUP BY 1""",
+)
+def staged_landing(v: Views) -> DataFrame:
+    """Files that land in two lots; each is read once, and the window prunes by day."""
+    raw, path = v.spark.read.text(_landed(v)), new_folder(v.spark, "landing")
+    lots, box = F.pmod(F.xxhash64("value"), F.lit(2)), landing.Landing(v.spark, path, new_folder(v.spark, "staged"))
+    for lot in range(2):
+        raw.where(lots == lot).write.text(f"{path}/{lot}")
+        box.take_in()
+    if box.take_in():
+        raise RuntimeError("files were staged twice")
+    return landing.within_days(box.read(), AS_OF, 21).groupBy("id").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
 @query("t1_stream_ingest", FLAT_MESSAGES_SQL)
 def stream_ingest(v: Views) -> DataFrame:
     """Two runs over one landing folder; the second finds only what is new."""

@@ -10,7 +10,8 @@ from heedline.catalog.registry import query
 from heedline.catalog.views import AS_OF, Views
 from heedline.operators import attachments, inference, pending, shortid, weeks
 from heedline.plans import analyze, gists, sync
-from heedline.session import durable
+from heedline.session import durable, new_folder
+from heedline.sources import shortids, tables
 
 _GIST = "model_name LIKE '%:gist:v3'"
 
@@ -90,6 +91,64 @@ def failed_documents(v: Views) -> DataFrame:
     return pending.failed_documents(v.attachments, v.all_cache).select("message_id", "filename")
 
 
+_KEPT_SQL = f""", stored AS (SELECT * FROM all_cache QUALIFY row_number() OVER (PARTITION BY content_hash, model_name ORDER BY created_seconds DESC) = 1),
+tries AS (SELECT *, json_extract_string(extracted_json,'$.error') IS NOT NULL AS failed FROM stored WHERE {_GIST}),
+"""
+
+
+def _kept_up(v: Views) -> tables.Mailbox:
+    """A mailbox that messages, documents and cache rows come to in two lots each, the cache rows by age.
+
+    Made once for the queries that read it.
+    """
+    if not hasattr(v, "kept_up"):
+        v.kept_up = _filled_in_lots(v)
+    return v.kept_up
+
+
+def _filled_in_lots(v: Views) -> tables.Mailbox:
+    box = tables.Mailbox(v.spark, new_folder(v.spark, "mailbox"), standing=True)
+    age = F.unix_seconds("created_at")
+    cuts = v.all_cache.select(age.alias("s")).approxQuantile("s", [0.6], 0.01) or [0.0]
+    for lot in range(2):
+        box.save_extractions(v.all_cache.where((age >= cuts[0]).cast("int") == lot))
+        box.save_messages(v.messages.where(F.pmod(F.xxhash64("id"), F.lit(2)) == lot))
+        box.save_attachments(v.attachments.where(F.pmod(F.xxhash64("filename"), F.lit(2)) == lot))
+    return box
+
+
+@query(
+    "j3_j5_kept_up",
+    _KEPT_SQL
+    + """marks AS (SELECT m.id, t.failed FROM msgs m JOIN tries t ON t.message_id = m.id
+  UNION ALL SELECT m.id, t.failed FROM msgs m JOIN tries t ON t.content_hash = m.body_hash),
+states AS (SELECT m.id, count(k.id) AS n, bool_and(k.failed) AS failed FROM msgs m LEFT JOIN marks k ON k.id = m.id GROUP BY 1)
+SELECT id, case when n = 0 then 'open' else 'failed' end AS state FROM states WHERE n = 0 OR failed""",
+)
+def messages_kept_up(v: Views) -> DataFrame:
+    """Open and failed messages from the state that increments have left."""
+    box = _kept_up(v)
+    pick = lambda mode, state: pending.message_filter(
+        box.messages.read(), box.extractions.read(), "", True, mode, box.standing
+    ).select("id", F.lit(state).alias("state"))
+    return pick("new", "open").unionByName(pick("failed", "failed"))
+
+
+@query(
+    "j4_j6_kept_up",
+    _KEPT_SQL
+    + """states AS (SELECT content_hash, bool_and(failed) AS failed FROM tries GROUP BY 1)
+SELECT a.message_id, a.filename, case when s.content_hash IS NULL then 'open' else 'failed' end AS state
+FROM atts a LEFT JOIN states s ON s.content_hash = a.content_hash WHERE s.content_hash IS NULL OR s.failed""",
+)
+def documents_kept_up(v: Views) -> DataFrame:
+    box = _kept_up(v)
+    pick = lambda mode, state: pending.document_filter(
+        box.attachments.read(), box.extractions.read(), "", True, mode, box.standing
+    ).select("message_id", "filename", F.lit(state).alias("state"))
+    return pick("new", "open").unionByName(pick("failed", "failed"))
+
+
 @query(
     "j7_never_described",
     """SELECT a.message_id, a.filename FROM atts a LEFT JOIN all_cache c ON a.content_hash = c.content_hash
@@ -217,6 +276,16 @@ def short_ids(v: Views) -> DataFrame:
     return shortid.short_ids(v.messages.select("id"))
 
 
+@query("a6_kept_up", SHORT_IDS_SQL + "SELECT id, short_id FROM short_ids")
+def short_ids_kept_up(v: Views) -> DataFrame:
+    """The length from three increments of ids, of which some come twice."""
+    kept, lot = shortids.ShortIds(v.spark, new_folder(v.spark, "short-ids")), F.pmod(F.xxhash64("id"), F.lit(4))
+    for some in ((0,), (0, 1), (1, 2, 3)):
+        kept.take_in(v.messages.where(lot.isin(*some)).select("id"))
+    short = shortid.short_id_column(v.messages, length=kept.length())
+    return v.messages.select("id", short.alias("short_id"))
+
+
 @query(
     "j13_short_id_or_prefix",
     SHORT_IDS_SQL

@@ -367,6 +367,26 @@ def document_scan(v: Views) -> DataFrame:
     return files.select(bucket.alias("bucket"), "content_hash", "size_bytes")
 
 
+@query(
+    "s8_changed_document",
+    FILES_SQL
+    + """, now AS (SELECT bucket, case when bucket = 0 then 'changed' || content else content END AS content FROM files)
+SELECT bucket, sha256(content) AS content_hash, strlen(content) AS size_bytes FROM now""",
+)
+def changed_document(v: Views) -> DataFrame:
+    """Scanned with a manifest, then again after one file has changed: that one is hashed anew."""
+    folder, manifest = document_files(v), new_folder(v.spark, "manifest")
+    landing.documents(v.spark, folder, manifest)
+    first = v.spark.read.text(f"{folder}/bucket=0", wholetext=True)
+    # The writer adds a line feed of its own.
+    value = F.concat(F.lit("changed"), F.regexp_replace("value", "\n$", ""))
+    changed = durable(first.select(value.alias("value")), "changed-document")
+    changed.write.mode("overwrite").option("lineSep", "\n").text(f"{folder}/bucket=0")
+    files = landing.documents(v.spark, folder, manifest)
+    bucket = F.regexp_extract("path", "bucket=(\\d+)", 1).cast("bigint")
+    return files.select(bucket.alias("bucket"), "content_hash", "size_bytes")
+
+
 @query("s10_result_texts", "SELECT replace(local_path,'.pdf','.gist.txt') AS path, 'described ' || filename AS text FROM atts WHERE local_path IS NOT NULL")
 def result_texts(v: Views) -> DataFrame:
     results = v.attachments.where(F.col("local_path").isNotNull()).select(

@@ -29,7 +29,7 @@ def recent_landed(v: Views) -> DataFrame:
     return landing.within_days(raw, AS_OF, 21).select("id")
 
 
-def _second_delivery(v: Views) -> DataFrame:
+def second_delivery(v: Views) -> DataFrame:
     """A later delivery of every third message, and messages not seen before."""
     m = v.messages
     again = m.where(F.col("id").cast("long") % 3 == 0).withColumns(
@@ -48,7 +48,7 @@ def _second_delivery(v: Views) -> DataFrame:
 UNION ALL SELECT 'n' || id, 'new', body_hash FROM msgs WHERE thread_id = '7'""",
 )
 def upsert_messages(v: Views) -> DataFrame:
-    return tables.upsert_messages(v.messages, _second_delivery(v)).select("id", "snippet", "body_hash")
+    return tables.upsert_messages(v.messages, second_delivery(v)).select("id", "snippet", "body_hash")
 
 
 @query(
@@ -57,7 +57,7 @@ def upsert_messages(v: Views) -> DataFrame:
 UNION ALL SELECT 'n' || id, 'new' FROM msgs WHERE thread_id = '7'""",
 )
 def latest_of_log(v: Views) -> DataFrame:
-    return tables.latest_messages(v.messages.unionByName(_second_delivery(v))).select("id", "snippet")
+    return tables.latest_messages(v.messages.unionByName(second_delivery(v))).select("id", "snippet")
 
 
 _LATEST_CACHE = """(SELECT * FROM cache QUALIFY row_number() OVER

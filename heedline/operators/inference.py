@@ -9,6 +9,8 @@ with the index of ``batch`` and the columns ``status`` ('ok', 'blocked' or 'fail
 and ``error``.  Spark decides how the rows are spread, and every distinct content is sent once.
 """
 
+from collections.abc import Callable
+
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from heedline.functions.gist import blocked_gist, failure_gist, parse_gist, usab
 from heedline.functions.text import filled, let
 from heedline.operators import attempts as worker_side
 from heedline.operators.attempts import KEPT_COLUMNS, Classify, call_in_batches
-from heedline.operators.joins import lookup_join
+from heedline.operators.joins import cut_down, lookup_join
 from heedline.operators.keyed import first_per_key
 from heedline.operators.weeks import compute_once
 from heedline.session import durable
@@ -29,6 +31,9 @@ cloudpickle.register_pickle_by_value(worker_side)
 
 NO_RESPONSE = "no response"
 
+# (content_hash, content), or what gives it for a table of wanted hashes.
+Contents = DataFrame | Callable[[DataFrame], DataFrame]
+
 # Columns of a task the classifier may read.
 BATCH_COLUMNS = ["content_hash", "type", "text", "content", "path", "subject", "sender", "label", "message_id", "date"]
 # Calls are slow: no more rows than this to one task.
@@ -76,7 +81,7 @@ def call(
     misses: DataFrame,
     classify: Classify,
     texts: DataFrame | None = None,
-    contents: DataFrame | None = None,
+    contents: Contents | None = None,
     partitions: int | None = None,
     attempts: int = C.MAX_ATTEMPTS,
     delay: float = C.RETRY_DELAY_SECONDS,
@@ -84,25 +89,31 @@ def call(
     """Run the classifier over rows that are distinct by content_hash.
 
     ``texts`` has (message_id, text) for messages, ``contents`` (content_hash, content) for
-    documents; only the chosen rows fetch theirs.  Messages and documents are apart for that:
-    documents have no message_id and would all meet on NULL.  The rows are then spread over a
-    number of tasks that follows from rows and cores, which adaptive execution leaves alone.
+    documents, or is a function that gives these for a table of wanted hashes.  Both are cut down
+    to the rows that are sent where they are read, so no other text or byte moves.  Messages and
+    documents are apart for that: documents have no message_id and would all meet on NULL.  The
+    rows are then spread over a number of tasks that follows from rows and cores, which adaptive
+    execution leaves alone.
     """
     misses = durable(misses, "misses")
+    rows = misses.count()
     document = F.col("type") == "pdf"
     mails = misses.where(~document).withColumn("content", F.lit(None).cast("binary"))
     documents = misses.where(document).withColumn("text", F.lit(None).cast("string"))
     if texts is None:
         mails = mails.withColumn("text", F.lit(None).cast("string"))
     else:
-        mails = mails.join(texts, "message_id", "left")
+        ids = mails.select("message_id").where(F.col("message_id").isNotNull()).distinct()
+        mails = mails.join(cut_down(texts, ids, ["message_id"], rows), "message_id", "left")
     if contents is None:
         documents = documents.withColumn("content", F.lit(None).cast("binary"))
     else:
-        documents = documents.join(contents.select("content_hash", "content"), "content_hash", "left")
+        hashes = documents.select("content_hash").distinct()
+        found = contents(hashes) if callable(contents) else cut_down(contents, hashes, ["content_hash"], rows)
+        documents = documents.join(found.select("content_hash", "content"), "content_hash", "left")
     batch = mails.select(*BATCH_COLUMNS).unionByName(documents.select(*BATCH_COLUMNS))
     if partitions is None:
-        rows, cores = misses.count(), misses.sparkSession.sparkContext.defaultParallelism
+        cores = misses.sparkSession.sparkContext.defaultParallelism
         partitions = max(1, min(rows, 2 * cores), -(-rows // ROWS_PER_CALL_TASK))
     spread = batch.repartition(partitions, "content_hash")
     return spread.mapInPandas(call_in_batches(classify, attempts, delay), _CALL_SCHEMA)
@@ -115,7 +126,7 @@ def call_outcomes(
     key: str,
     gist: bool = True,
     texts: DataFrame | None = None,
-    contents: DataFrame | None = None,
+    contents: Contents | None = None,
     use_cache: bool = True,
     dry_run: bool = False,
     partitions: int | None = None,

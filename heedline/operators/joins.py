@@ -22,6 +22,9 @@ HOT_SHARE = 10_000
 # ... but of no fewer rows than this.
 LEAST_PIECE = 100
 
+# Keys that may go to every task: ids and hashes of some 64 bytes, so 32 MB of them.
+BROADCAST_KEYS = 500_000
+
 _SALT, _PIECES = "__salt", "__pieces"
 
 
@@ -109,3 +112,14 @@ def without(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column
 def only_with(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column | str, **kw) -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right`` (which may repeat keys)."""
     return lookup_join(left, right.select(*on).distinct(), on, "left_semi", spread, **kw)
+
+
+def cut_down(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], n: int | None = None) -> DataFrame:
+    """Rows of ``rows`` with one of the ``wanted`` keys, which are distinct and stored (they are counted).
+
+    Up to BROADCAST_KEYS keys go to every task, so that ``rows`` are filtered where they are read;
+    more of them meet by a shuffle.
+    """
+    n = wanted.count() if n is None else n
+    wanted = wanted.select(*keys)
+    return rows.join(F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted.hint("merge"), list(keys), "left_semi")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from heedline.functions import text
 from heedline.functions.gist import error_is_set
-from heedline.operators.joins import lookup_join, only_with, without
+from heedline.operators.joins import cut_down, lookup_join, only_with, without
 from heedline.session import durable
+from heedline.sources.landing import DAY, DIGEST, MILLIS, ROW, staged
+from heedline.sources.standing import DOCUMENT, MESSAGE, Standing
 
 
 def newest_first() -> list[Column]:
@@ -36,7 +38,7 @@ def unclassified_documents(atts: DataFrame, cache: DataFrame, key: str = "", gis
     """Attachments whose bytes (the PDF's, where converted) have no cache row."""
     done = gist_rows(cache, key, gist).select(F.col("content_hash").alias("cache_hash"))
     keyed = atts.withColumn("cache_hash", document_hash(atts))
-    return without(keyed, done, ["cache_hash"], _att_row_id()).drop("cache_hash")
+    return without(keyed, done, ["cache_hash"], attachment_row()).drop("cache_hash")
 
 
 def document_hash(atts: DataFrame) -> Column:
@@ -46,7 +48,7 @@ def document_hash(atts: DataFrame) -> Column:
     return F.col("content_hash")
 
 
-def _att_row_id() -> Column:
+def attachment_row() -> Column:
     return F.concat_ws(" ", "message_id", "gmail_attachment_id", "filename")
 
 
@@ -90,12 +92,12 @@ def failed_documents(atts: DataFrame, cache: DataFrame, key: str = "", gist: boo
     failed = _outcomes(gist_rows(cache, key, gist), "content_hash").where(_retry(F.col("err"), F.col("ok")))
     keyed = atts.withColumn("cache_hash", document_hash(atts))
     hashes = failed.select(F.col("content_hash").alias("cache_hash"))
-    return only_with(keyed, hashes, ["cache_hash"], _att_row_id()).drop("cache_hash")
+    return only_with(keyed, hashes, ["cache_hash"], attachment_row()).drop("cache_hash")
 
 
 def never_described(atts: DataFrame, cache: DataFrame) -> DataFrame:
     """Attachments no model has described."""
-    return without(atts, cache.select("content_hash"), ["content_hash"], _att_row_id())
+    return without(atts, cache.select("content_hash"), ["content_hash"], attachment_row())
 
 
 def unknown(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -113,19 +115,15 @@ def unknown(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 def new_deliveries(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """Raw records with an id that is not stored, one per id.
 
-    Which ones is settled on (id, feed time, digest): the latest delivery, and of equally late
-    ones the one with the greatest digest.  Payloads join those picks afterwards; the picks are
-    a small table of their own, so that Spark leaves the payloads where they are if it can.
+    Which ones is settled on (id, feed time, digest, row): the latest delivery, and of equally
+    late ones the one with the greatest digest.  Payloads join those picks afterwards: they stay
+    where they are if the picks are few.  Records that were not staged are staged first.
     """
-    others = [F.to_json(F.col(c)) if kind == "variant" else F.col(c).cast("string") for c, kind in raw.dtypes if c != "id"]
-    marked = raw.withColumn("__digest", F.xxhash64(*others))
-    at = F.coalesce(F.col("internalDate").try_cast("long"), F.lit(0)) if "internalDate" in raw.columns else F.lit(0)
-    narrow = marked.select("id", F.struct(at.alias("at"), "__digest").alias("last"))
-    latest = narrow.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("last").alias("last"))
-    picks = unknown(latest.select("id", F.col("last.__digest").alias("__digest")), stored)
-    chosen = marked.join(durable(picks, "new-ids"), ["id", "__digest"], "left_semi").drop("__digest")
-    # What is left of repeats is equal in every column.
-    return chosen.dropDuplicates(["id"])
+    raw = staged(raw)
+    last = F.struct(F.coalesce(F.col("internalDate").try_cast("long"), F.lit(0)).alias("at"), DIGEST, ROW)
+    latest = raw.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(last).alias("last"))
+    picks = durable(unknown(latest.select("id", F.col(f"last.{ROW}").alias(ROW)), stored), "new-ids")
+    return cut_down(raw, picks, ["id", ROW]).drop(MILLIS, DIGEST, ROW, DAY)
 
 
 def new_ids(listed: DataFrame, stored: DataFrame) -> DataFrame:
@@ -138,7 +136,7 @@ def with_message(atts: DataFrame, messages: DataFrame) -> DataFrame:
     parents = messages.select(
         F.col("id").alias("message_id"), "date", "date_wall", "from_addr", "subject", "internal_date"
     )
-    return lookup_join(atts, parents, ["message_id"], "inner", _att_row_id())
+    return lookup_join(atts, parents, ["message_id"], "inner", attachment_row())
 
 
 def ready_documents(atts: DataFrame, listing: DataFrame | None = None) -> DataFrame:
@@ -150,11 +148,19 @@ def ready_documents(atts: DataFrame, listing: DataFrame | None = None) -> DataFr
     if listing is None:
         return ready
     paths = listing.select(F.col("path").alias("local_path"))
-    return only_with(ready, paths, ["local_path"], _att_row_id())
+    return only_with(ready, paths, ["local_path"], attachment_row())
 
 
-def message_filter(messages: DataFrame, cache: DataFrame, key: str, gist: bool, mode: str) -> DataFrame:
-    """mode: 'new' (default), 'failed' (retry), 'all' (force, dry run)."""
+def message_filter(
+    messages: DataFrame, cache: DataFrame, key: str, gist: bool, mode: str, standing: Standing | None = None
+) -> DataFrame:
+    """mode: 'new' (default), 'failed' (retry), 'all' (force, dry run).
+
+    A ``standing`` that is kept for the same key knows the ids, so that nothing is joined but those.
+    """
+    if standing and standing.gist == gist and mode != "all":
+        found = standing.failed(MESSAGE) if mode == "failed" else standing.open(MESSAGE)
+        return cut_down(messages, durable(found.select("id"), "standing-ids"), ["id"])
     if mode == "failed":
         return failed_messages(messages, cache, key, gist)
     if mode == "new":
@@ -162,7 +168,17 @@ def message_filter(messages: DataFrame, cache: DataFrame, key: str, gist: bool,
     return messages
 
 
-def document_filter(atts: DataFrame, cache: DataFrame, key: str, gist: bool, mode: str) -> DataFrame:
+def document_filter(
+    atts: DataFrame, cache: DataFrame, key: str, gist: bool, mode: str, standing: Standing | None = None
+) -> DataFrame:
+    if standing and standing.gist == gist and mode != "all":
+        found = standing.failed(DOCUMENT) if mode == "failed" else standing.open(DOCUMENT)
+        hashes = durable(found.select(F.col("hash").alias("cache_hash")).distinct(), "standing-hashes")
+        keyed = atts.withColumn("cache_hash", document_hash(atts))
+        known = cut_down(keyed, hashes.where("cache_hash IS NOT NULL"), ["cache_hash"])
+        # Documents without a hash have no cache rows, so they are open.
+        unhashed = keyed.where(F.col("cache_hash").isNull() & F.lit(mode == "new"))
+        return known.unionByName(unhashed).drop("cache_hash")
     if mode == "failed":
         return failed_documents(atts, cache, key, gist)
     if mode == "new":
@@ -249,19 +265,20 @@ def pending_tasks(
     mode: str = "new",
     limit: int | None = None,
     listing: DataFrame | None = None,
+    standing: Standing | None = None,
 ) -> DataFrame:
     """The work list: documents, messages or both (U1), capped on request."""
     parts = []
     if source in ("pdfs", "all"):
         stored = atts.where(F.col("local_path").isNotNull())
-        rows = with_message(document_filter(stored, cache, key, gist, mode), messages)
+        rows = with_message(document_filter(stored, cache, key, gist, mode, standing), messages)
         if limit and source == "pdfs":
             # The cap comes before the readiness test here, as in the work list it mirrors.
             order = [F.coalesce("internal_date", F.lit(0)).desc(), F.col("local_path").asc()]
             rows = rows.orderBy(*order).limit(limit)
         parts.append(document_tasks(ready_documents(rows, listing)))
     if source in ("emails", "all"):
-        rows = email_tasks(message_filter(messages, cache, key, gist, mode))
+        rows = email_tasks(message_filter(messages, cache, key, gist, mode, standing))
         if limit and source == "emails":
             rows = rows.orderBy(*task_order()).limit(limit)
         parts.append(rows)

@@ -26,13 +26,29 @@ def short_id_length(ids: DataFrame, safety: int = 1) -> DataFrame:
     neighbours that share four characters sit in one bucket.  Hashes are uniform, so buckets
     are even; one pass replaces a distinct count per candidate length.
     """
+    longest = longest_shared(hashes_of(ids)).agg(F.max("longest").alias("longest"))
+    return longest.select(length_for("longest", safety).alias("n"))
+
+
+def hashes_of(ids: DataFrame) -> DataFrame:
+    """(bucket, h): the distinct hashes of ids, in buckets by their first characters."""
     hashes = ids.where(filled("id").isNotNull()).select(base32_hash("id").alias("h")).distinct()
-    in_bucket = Window.partitionBy(left("h", _BUCKET_CHARS)).orderBy("h")
-    neighbours = hashes.select("h", F.lag("h").over(in_bucket).alias("previous"))
-    longest = F.coalesce(F.max(_shared_prefix(F.col("h"), F.col("previous"))), F.lit(0))
-    n = F.greatest(longest + 1, F.lit(C.SHORT_ID_MIN))
-    n = F.least(n + safety, F.lit(C.SHORT_ID_MAX)).cast("int")
-    return neighbours.where(F.col("previous").isNotNull()).agg(n.alias("n"))
+    return hashes.select(left("h", _BUCKET_CHARS).alias("bucket"), "h")
+
+
+def longest_shared(hashes: DataFrame) -> DataFrame:
+    """(bucket, longest): the longest prefix that two hashes of a bucket share; no row for a bucket of one."""
+    in_bucket = Window.partitionBy("bucket").orderBy("h")
+    neighbours = hashes.select("bucket", "h", F.lag("h").over(in_bucket).alias("previous"))
+    shared = _shared_prefix(F.col("h"), F.col("previous")).cast("int")
+    return neighbours.where(F.col("previous").isNotNull()).groupBy("bucket").agg(F.max(shared).alias("longest"))
+
+
+def length_for(longest: Column | str, safety: int = 1) -> Column:
+    """Length of short ids when the longest shared prefix of a bucket is ``longest`` (none: NULL)."""
+    longest = F.col(longest) if isinstance(longest, str) else longest
+    n = F.greatest(F.coalesce(longest, F.lit(0)) + 1, F.lit(C.SHORT_ID_MIN))
+    return F.least(n + safety, F.lit(C.SHORT_ID_MAX)).cast("int")
 
 
 def short_ids(ids: DataFrame, safety: int = 1) -> DataFrame:
@@ -42,10 +58,10 @@ def short_ids(ids: DataFrame, safety: int = 1) -> DataFrame:
     return known.select("id", F.substring(base32_hash("id"), F.lit(1), length).alias("short_id"))
 
 
-def short_id_column(messages: DataFrame, safety: int = 1) -> Column:
-    """Short id as an expression over ``id``: the length comes from all ``messages``, the hash
-    from the row itself, so rows need no join to a map of every id."""
-    length = short_id_length(messages.select("id"), safety).scalar()
+def short_id_column(messages: DataFrame, safety: int = 1, length: int | None = None) -> Column:
+    """Short id as an expression over ``id``: the length comes from all ``messages``, or is known
+    (``sources.shortids``), the hash from the row itself, so rows need no join to a map of every id."""
+    length = short_id_length(messages.select("id"), safety).scalar() if length is None else F.lit(length)
     return F.substring(base32_hash("id"), F.lit(1), length)
 
 

@@ -11,6 +11,7 @@ from heedline.functions.text import cache_key
 from heedline.operators import inference, pending, search
 from heedline.session import durable
 from heedline.sources import tables
+from heedline.sources.standing import Standing
 
 
 @dataclass(frozen=True)
@@ -59,18 +60,19 @@ def analyze(
     as_of: dt.datetime | dt.date | str,
     options: Options = Options(),
     listing: DataFrame | None = None,
-    contents: DataFrame | None = None,
+    contents: inference.Contents | None = None,
     materialize: bool = True,
+    standing: Standing | None = None,
 ) -> Analysis:
     """Select tasks, classify each distinct content once, give every task its outcome.
 
     The work list and the outcomes are written to the shared folder before anything reads
     them: the list is narrow and read by every later step, and classifier calls are dear.
-    ``contents`` (content_hash, content) has the bytes of documents.
+    ``contents`` (content_hash, content) has the bytes of documents, or gives them for wanted hashes.
     """
     mode = pending.selection_mode(options.force, options.retry_failed, options.dry_run)
     tasks = pending.pending_tasks(
-        messages, atts, cache, options.key, options.gist, options.source, mode, options.limit, listing
+        messages, atts, cache, options.key, options.gist, options.source, mode, options.limit, listing, standing
     )
     if materialize:
         tasks = durable(tasks, "tasks")
@@ -84,7 +86,7 @@ def run_tasks(
     as_of: dt.datetime | dt.date | str,
     options: Options,
     texts: DataFrame | None = None,
-    contents: DataFrame | None = None,
+    contents: inference.Contents | None = None,
     materialize: bool = True,
 ) -> Analysis:
     """Classify a given work list; ``texts`` and ``contents`` hold what it is about."""
@@ -118,7 +120,7 @@ def analyze_mailbox(
 ) -> DataFrame:
     """Analyze the stored tables, save the new cache rows, return the results."""
     stored = (box.messages.read(), box.attachments.read(), box.extractions.read())
-    done = analyze(*stored, classify, as_of, options, listing, box.contents())
+    done = analyze(*stored, classify, as_of, options, listing, box.contents(), standing=box.standing)
     results = durable(done.results, "results")
     if not options.dry_run:
         box.save_extractions(done.cache_rows)
@@ -136,10 +138,17 @@ def preview(
 
 
 def analyze_documents(
-    messages: DataFrame, atts: DataFrame, cache: DataFrame, classify, as_of, listing=None, **options
+    messages: DataFrame,
+    atts: DataFrame,
+    cache: DataFrame,
+    classify: inference.Classify,
+    as_of: dt.datetime | dt.date | str,
+    listing: DataFrame | None = None,
+    contents: inference.Contents | None = None,
+    **options,
 ) -> Analysis:
-    """Documents only."""
-    return analyze(messages, atts, cache, classify, as_of, Options(source="pdfs", **options), listing)
+    """Documents only (B11), with their bytes where ``contents`` has them."""
+    return analyze(messages, atts, cache, classify, as_of, Options(source="pdfs", **options), listing, contents)
 
 
 def undescribed(atts: DataFrame, cache: DataFrame, limit: int | None = None) -> DataFrame:
@@ -175,7 +184,7 @@ def describe_documents(
     everything: bool = False,
     limit: int | None = None,
     listing: DataFrame | None = None,
-    contents: DataFrame | None = None,
+    contents: inference.Contents | None = None,
     **options,
 ) -> Analysis:
     """Describe undescribed documents as plain text, or redo all of them."""
@@ -191,7 +200,7 @@ def describe_paths(
     classify: inference.Classify,
     as_of: dt.datetime | dt.date | str,
     model: str = C.MODEL_FLASH,
-    contents: DataFrame | None = None,
+    contents: inference.Contents | None = None,
     **options,
 ) -> Analysis:
     """Describe document files by path (B8 with one path); see ``landing.documents``."""

@@ -115,18 +115,26 @@ def gists(
     pattern: str | None = None,
     weeks: int | None = None,
     show_noise: bool = False,
+    short_length: int | None = None,
 ) -> DataFrame:
-    """All cached gists, filtered, ranked and in display order."""
+    """All cached gists, filtered, ranked and in display order.
+
+    ``short_length`` is the length of short ids where it is known (``sources.shortids``).
+    """
     rows = grep(gists_with_message(cache, messages), pattern)
     shown = ranked(rows, as_of, weeks, show_noise)
-    return view_columns(shown, as_of, short_id_column(messages)).orderBy(*order_of_view())
+    return view_columns(shown, as_of, short_id_column(messages, length=short_length)).orderBy(*order_of_view())
 
 
 def results_view(
-    results: DataFrame, messages: DataFrame, as_of: Column | str | dt.date, show_noise: bool = False
+    results: DataFrame,
+    messages: DataFrame,
+    as_of: Column | str | dt.date,
+    show_noise: bool = False,
+    short_length: int | None = None,
 ) -> DataFrame:
     """The same view over the results of a run; failed tasks come first (B2's report)."""
     rows = results.withColumnsRenamed({"task_id": "id", "sender": "from_addr"}).withColumn("task_error", F.col("error"))
     shown = ranked(rows.drop("error"), as_of, None, show_noise, "description")
-    view = view_columns(shown, as_of, short_id_column(messages), "description")
+    view = view_columns(shown, as_of, short_id_column(messages, length=short_length), "description")
     return view.orderBy(*order_of_view("model_name" in view.columns))

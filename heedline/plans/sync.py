@@ -22,13 +22,12 @@ def sync_tally(raw: DataFrame, stored: DataFrame, as_of, days: int | None = 7) -
     """Listed, already stored, new and downloaded records, as one row (A4).
 
     An id that is delivered twice is downloaded once.  ``undated`` counts the records that the
-    look-back window leaves out because their feed date is missing or unreadable.
+    look-back window leaves out because neither the feed's date nor the header's can be read.
     """
     listed = raw if days is None else landing.within_days(raw, as_of, days)
     ids = listed.select("id")
     known = stored.select("id").join(ids.distinct(), "id", "left_semi").distinct().withColumn("known", F.lit(True))
-    unreadable = F.col("internalDate").try_cast("long").isNull()
-    undated = raw.agg(F.count_if(unreadable)).scalar() if days is not None else F.lit(0).cast("bigint")
+    undated = landing.dated(raw).agg(F.count_if(F.col(landing.MILLIS).isNull())).scalar() if days is not None else F.lit(0).cast("bigint")
     counts = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(known, "id", "left")
     new = F.col("known").isNull()
     zero = F.lit(0).cast("bigint")
@@ -74,8 +73,11 @@ def sync(
     converted: DataFrame | None = None,
     listing: DataFrame | None = None,
 ) -> dict[str, DataFrame | None]:
-    """Messages, then attachments, then (given a classifier) the analysis; and the tally."""
-    stored = box.messages.read()
+    """Messages, then attachments, then (given a classifier) the analysis; and the tally.
+
+    ``raw`` is read once, unless it is staged already (``landing.Landing``).
+    """
+    raw, stored = landing.staged(raw), box.messages.read()
     tally = durable(sync_tally(raw, stored, as_of, days), "tally")
     fresh = new_messages(raw, stored, as_of, days)
     rows = durable(landing.flatten_messages(fresh, F.lit(as_of)), "new-messages")

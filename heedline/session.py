@@ -17,6 +17,9 @@ SETTINGS = {
     # Let AQE split a skewed join even where that costs one more exchange.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # State of streams on the executors' disks, not in their heaps; checkpoints hold the changes.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 _removed_at_end: set[str] = set()
@@ -34,7 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     It lies in the folder that ``spark.checkpoint.dir`` names, or in the warehouse, which is
     shared as well.  It is removed when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/heedline-work"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/heedline-work"
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("executors can't reach the warehouse on the driver's machine; set spark.checkpoint.dir to a shared folder")
     folder = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
     if folder not in _removed_at_end:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -49,6 +56,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

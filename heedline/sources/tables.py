@@ -1,14 +1,6 @@
-"""The three tables as Parquet folders, and their upkeep.
+"""The three tables of a mailbox, and their upkeep.
 
-Rows are dealt into buckets by a hash of their key.  A write is a new folder ``v=n``, in it
-
-* ``kind=add/bucket=b``: rows with new keys,
-* ``kind=put/bucket=b``: the whole bucket, when one of its keys is written again,
-* ``kind=all/bucket=b``: a bucket of a table that was written as a whole.
-
-A bucket is its last put and the adds since then.  An increment so writes itself and the few
-buckets it changes; all other files stay as they are, nothing that is being read is overwritten,
-and a failed job leaves the old state current.
+How they are stored is described in ``runs``.
 """
 
 import datetime as dt
@@ -22,125 +14,56 @@ from heedline.functions import dates, payload, text
 from heedline.operators.attachments import decoded
 from heedline.operators.joins import lookup_join, without
 from heedline.operators.keyed import first_per_key, newest_per_key, replace_by_key
+from heedline.operators.pending import attachment_row, document_hash
 from heedline.session import durable
 from heedline.sources.landing import HASH_VERSION
+from heedline.sources.runs import Table
+from heedline.sources.shortids import ShortIds
+from heedline.sources.standing import DOCUMENT, MESSAGE, Standing
 
 MESSAGE_KEY = ["id"]
 EXTRACTION_KEY = ["content_hash", "model_name"]
 ATTACHMENT_KEY = ["message_id", "gmail_attachment_id"]
-BUCKETS = 64
-
-
-class Table:
-    """One keyed Parquet table with a fixed schema."""
-
-    def __init__(
-        self, spark: SparkSession, folder: str, schema: T.StructType, keys: list[str], buckets: int = BUCKETS
-    ):
-        self.spark, self.folder, self.schema, self.keys, self.buckets = spark, folder, schema, keys, buckets
-
-    def _names(self, folder: str) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-    def _versions(self) -> list[int]:
-        numbered = sorted(int(n[2:]) for n in self._names(self.folder) if n.startswith("v="))
-        return [n for n in numbered if "_SUCCESS" in self._names(f"{self.folder}/v={n}")]
-
-    def _folders(self) -> dict[int | None, list[str]]:
-        """What is current, by bucket; under None a version in the old layout, without buckets."""
-        current: dict[int | None, list[str]] = {}
-        for version in self._versions():
-            folder = f"{self.folder}/v={version}"
-            kinds = self._names(folder)
-            if not {"kind=add", "kind=put"} & set(kinds):
-                current = {}
-            if any(n.startswith("part-") for n in kinds):
-                current[None] = [folder]
-            for kind in ("all", "put", "add"):
-                for name in self._names(f"{folder}/kind={kind}") if f"kind={kind}" in kinds else []:
-                    if name.startswith("bucket="):
-                        bucket = int(name[7:])
-                        earlier = current.get(bucket, []) if kind == "add" else []
-                        current[bucket] = [*earlier, f"{folder}/kind={kind}/{name}"]
-        return current
-
-    def _load(self, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        # Columns that older files lack are NULL.
-        return schemas.align(self.spark.read.schema(self.schema).parquet(*folders), self.schema)
-
-    def read(self) -> DataFrame:
-        return self._load([f for folders in self._folders().values() for f in folders])
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-
-    def _write(self, rows: DataFrame, kind: Column) -> None:
-        versions = self._versions()
-        target = f"{self.folder}/v={versions[-1] + 1 if versions else 0}"
-        placed = rows.select(*self.schema.names, kind.alias("kind"), self._bucket().alias("bucket"))
-        # Few files per bucket, large buckets in several.
-        placed = placed.hint("rebalance", "kind", "bucket")
-        placed.write.mode("overwrite").partitionBy("kind", "bucket").parquet(target)
-
-    def write(self, rows: DataFrame) -> None:
-        """Make ``rows`` the whole table; older files stay until they are removed by hand."""
-        self._write(schemas.align(rows, self.schema), F.lit("all"))
-
-    def append(self, rows: DataFrame) -> None:
-        """Add rows that hold new keys only."""
-        if rows.isEmpty():
-            return
-        if None in self._folders():
-            self.write(self.read().unionByName(schemas.align(rows, self.schema)))
-        else:
-            self._write(schemas.align(rows, self.schema), F.lit("add"))
-
-    def upsert(self, rows: DataFrame, order: list[Column]) -> None:
-        """Write ``rows`` over the table; the greatest ``order`` of a key wins among them.
-
-        Stored keys are cut down to those the increment names.  ``rows`` should be durable: it
-        is read more than once.
-        """
-        rows = schemas.align(rows, self.schema)
-        if rows.isEmpty():
-            return
-        folders = self._folders()
-        fresh = newest_per_key(rows, self.keys, order)
-        keys = rows.select(*self.keys).distinct()
-        if None in folders:
-            self.write(replace_by_key(self.read(), rows, self.keys, order))
-            return
-        again = self.read().select(*self.keys).join(keys, self.keys, "left_semi")
-        # At most one row per bucket.
-        hit = [r["b"] for r in again.select(self._bucket().alias("b")).distinct().collect()]
-        kind = F.when(self._bucket().isin(hit), "put").otherwise("add") if hit else F.lit("add")
-        if hit:
-            stored = self._load([f for b in hit for f in folders.get(b, [])])
-            fresh = fresh.unionByName(stored.join(keys, self.keys, "left_anti"))
-        self._write(fresh, kind)
 
 
 class Mailbox:
     """The messages, attachments and extraction-cache tables and the contents under one root.
 
-    Messages that were hashed by an older version are brought up to date on opening.
+    Messages that were hashed by an older version are brought up to date on opening; which runs hold
+    such rows is known from the list of runs, so opening reads no rows.
+
+    With ``standing`` it is kept from save to save which messages and documents are open or failed
+    for any gist model, so that an analysis need not join the tables to find them, and how long short
+    ids are, so that a view need not hash all ids.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, standing: bool = False):
         self.spark, self.root = spark, root.rstrip("/")
-        self.messages = Table(spark, f"{self.root}/messages", schemas.MESSAGES, MESSAGE_KEY)
+        self.messages = Table(spark, f"{self.root}/messages", schemas.MESSAGES, MESSAGE_KEY, stamp="hash_version")
         self.attachments = Table(spark, f"{self.root}/attachments", schemas.ATTACHMENTS, ATTACHMENT_KEY)
         self.extractions = Table(spark, f"{self.root}/extractions", schemas.EXTRACTIONS, EXTRACTION_KEY)
         self.content_folder = f"{self.root}/contents"
-        stored = self.messages.read()
-        outdated = stored.where(F.coalesce("hash_version", F.lit(0)) < HASH_VERSION)
-        if not outdated.select("hash_version").isEmpty():
-            self.messages.write(migrate_messages(stored))
+        self.messages.change(HASH_VERSION, migrate_messages)
+        self.standing = Standing(spark, f"{self.root}/standing") if standing else None
+        self.short_ids = ShortIds(spark, f"{self.root}/short-ids") if standing else None
+        if standing and self.standing.seen() != self._numbers():
+            # The tables were changed without it, or a job ended in between.
+            items = message_items(self.messages.read()).unionByName(document_items(self.attachments.read()))
+            self.standing.rebuild(items, self.extractions.read())
+            self.short_ids.take_in(self.messages.read().select("id"))
+            self.standing.note(self._numbers())
+
+    def _numbers(self) -> dict[str, int]:
+        return {name: getattr(self, name).number() for name in ("messages", "attachments", "extractions")}
+
+    def _keep_up(self, **changes: DataFrame) -> None:
+        if self.standing:
+            self.standing.take_in(**changes)
+            self.standing.note(self._numbers())
+
+    def short_length(self) -> int | None:
+        """The length of short ids, if it is kept."""
+        return self.short_ids.length() if self.short_ids else None
 
     def contents(self) -> DataFrame:
         """(path, content_hash, content) of what was stored."""
@@ -148,9 +71,20 @@ class Mailbox:
 
     def save_messages(self, rows: DataFrame) -> None:
         self.messages.upsert(rows, message_order())
+        if self.short_ids:
+            self.short_ids.take_in(rows.select("id"))
+        self._keep_up(items=message_items(newest_per_key(schemas.align(rows, schemas.MESSAGES), MESSAGE_KEY, message_order())))
 
     def save_extractions(self, rows: DataFrame) -> None:
-        self.extractions.upsert(rows, extraction_order())
+        if not self.standing:
+            self.extractions.upsert(rows, extraction_order())
+            return
+        fresh = newest_per_key(schemas.align(rows, schemas.EXTRACTIONS), EXTRACTION_KEY, extraction_order())
+        fresh = durable(fresh, "fresh-extractions")
+        replaced = self.extractions.current(fresh.select(*EXTRACTION_KEY), ["extracted_json", "message_id"])
+        replaced = durable(replaced, "replaced-extractions")
+        self.extractions.upsert(fresh, extraction_order())
+        self._keep_up(added=fresh, replaced=replaced)
 
     def save_attachments(self, rows: DataFrame) -> None:
         """Rows without an attachment id have no key and are appended."""
@@ -159,6 +93,24 @@ class Mailbox:
         unnamed = rows.where(F.col("gmail_attachment_id").isNull())
         if not unnamed.isEmpty():
             self.attachments.append(unnamed)
+        if self.standing:
+            # As stored: of rows with one key the last.
+            wanted = durable(named.select(*ATTACHMENT_KEY).distinct(), "saved-attachments")
+            stored = self.attachments.current(wanted, ["filename", "content_hash", "pdf_hash"])
+            changed = stored.unionByName(schemas.align(unnamed, schemas.ATTACHMENTS).select(*stored.columns))
+            self._keep_up(items=document_items(changed))
+
+
+def message_items(messages: DataFrame) -> DataFrame:
+    """Messages as items of ``standing``."""
+    return messages.select(F.lit(MESSAGE).alias("kind"), "id", F.col("body_hash").alias("hash"))
+
+
+def document_items(atts: DataFrame) -> DataFrame:
+    """Attachment rows as items of ``standing``: rows that can't be told apart otherwise go by their hash."""
+    digest = document_hash(atts)
+    row = F.concat_ws(" ", attachment_row(), digest)
+    return atts.select(F.lit(DOCUMENT).alias("kind"), row.alias("id"), digest.alias("hash"))
 
 
 # ---- upserts ------------------------------------------------------------------------------

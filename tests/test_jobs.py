@@ -4,12 +4,15 @@ import base64
 import datetime as dt
 import hashlib
 import json
+import re
 import sys
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heedline import schemas
 from heedline.operators.attempts import NO_TEXT, call_in_batches
@@ -198,23 +201,106 @@ def test_older_tables_are_migrated_once(spark):
     assert sorted(map(str, tables.migrate_messages(once).collect())) == sorted(map(str, once.collect()))
 
 
+def _prunes(df):
+    return re.search(r"PartitionFilters: \[[^\]]*__bucket", df._jdf.queryExecution().toString()) is not None
+
+
+def _files(folder):
+    return {p: p.stat().st_size for p in Path(folder).rglob("*.parquet")}
+
+
 def test_one_row_update_leaves_other_files(spark, folder):
-    table = tables.Table(spark, f"{folder}/t", schemas.EXTRACTIONS, tables.EXTRACTION_KEY, buckets=8)
+    table = tables.Table(spark, f"{folder}/t", schemas.EXTRACTIONS, tables.EXTRACTION_KEY, bucket_rows=10)
     rows = [(f"h{i}", "m", f"text {i}", NOW, None) for i in range(100)]
     order = tables.extraction_order()
     table.upsert(spark.createDataFrame(rows[:60], schemas.EXTRACTIONS), order)
     table.upsert(spark.createDataFrame(rows[60:], schemas.EXTRACTIONS), order)
-    before = {b: list(f) for b, f in table._folders().items()}
+    before = _files(folder)
     changed = spark.createDataFrame([("h7", "m", "new", NOW, None), ("h7", "m", "newer", NOW + dt.timedelta(1), None)], schemas.EXTRACTIONS)
     table.upsert(changed, order)
-    after = table._folders()
-    assert sum(before[b] != after[b] for b in before) == 1
+    after = _files(folder)
+    assert before.items() <= after.items() and len(after) - len(before) == 2
     got = {r["content_hash"]: r["extracted_json"] for r in table.read().collect()}
     assert len(got) == 100 and got["h7"] == "newer" and got["h8"] == "text 8" and table.read().count() == 100
     table.write(table.read().where("content_hash = 'h7'"))
     assert [r["extracted_json"] for r in table.read().collect()] == ["newer"]
     table.upsert(spark.createDataFrame([], schemas.EXTRACTIONS), order)
     assert table.read().count() == 1
+    unused = table.remove_unused()
+    assert unused and [r["extracted_json"] for r in table.read().collect()] == ["newer"]
+
+
+def test_an_update_writes_little_more_than_its_rows(spark, folder):
+    table = tables.Table(spark, f"{folder}/t", schemas.EXTRACTIONS, tables.EXTRACTION_KEY, bucket_rows=500)
+    rows = lambda n, step, note: spark.range(0, n, step).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.lit("m").alias("model_name"),
+        F.concat(F.lit(note), F.sha2(F.col("id").cast("string"), 512)).alias("extracted_json"), F.lit(NOW).alias("created_at"), F.lit(None).cast("string").alias("message_id"),
+    )
+    table.write(rows(20_000, 1, ""))
+    before = _files(folder)
+    assert len({p.parent for p in before}) > 32  # the bucket count follows the rows
+    table.upsert(rows(20_000, 50, "new "), tables.extraction_order())
+    written = sum(size for p, size in _files(folder).items() if p not in before)
+    assert before.items() <= _files(folder).items() and written < 0.05 * sum(before.values())
+    assert table.read().where("extracted_json LIKE 'new %'").count() == 400 and table.read().count() == 20_000
+    # Keys of one bucket are looked up in that bucket.
+    one = table.stored(rows(20_000, 51, "").select(*tables.EXTRACTION_KEY), ["extracted_json"])
+    assert one.count() == 401 and not _prunes(one)
+    few = table.stored(rows(100, 51, "").select(*tables.EXTRACTION_KEY), ["extracted_json"])
+    assert few.count() == 3 and _prunes(few)  # one of the keys was replaced
+
+
+def test_increments_of_any_size_give_the_last_write(spark, folder):
+    import random
+
+    rng, want = random.Random(2), {}
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schemas.EXTRACTIONS])
+    table = tables.Table(spark, f"{folder}/t", nullable, tables.EXTRACTION_KEY, bucket_rows=8)
+    unkeyed = 0
+    for step, size in enumerate((40, 3, 1, 9, 2, 1, 30, 1, 5)):
+        keys = rng.sample(range(60), size)
+        rows = [(f"h{k}", "m", f"{step}", NOW, None) for k in keys] + [(f"h{keys[0]}", "m", "lost", NOW - dt.timedelta(1), None)]
+        table.upsert(spark.createDataFrame(rows, nullable), tables.extraction_order())
+        want |= {f"h{k}": str(step) for k in keys}
+        if step % 4 == 1:
+            table.append(spark.createDataFrame([(None, "m", "no key", NOW, None)], nullable))
+            unkeyed += 1
+        got = [(r["content_hash"], r["extracted_json"]) for r in table.read().collect()]
+        assert sorted(got, key=str) == sorted([*want.items(), *[(None, "no key")] * unkeyed], key=str)
+    assert len(table._state()[1]) <= 6
+
+
+def test_tables_of_the_bucket_layout_are_read_on(spark, folder):
+    rows = lambda *ids: spark.createDataFrame([(i, "m", t, NOW, None) for i, t in ids], schemas.EXTRACTIONS)
+    old = {"0/kind=all": {0: [("a", "1"), ("b", "1")], 1: [("c", "1")]}, "1/kind=put": {0: [("a", "2"), ("b", "1")]}, "1/kind=add": {1: [("d", "2")]}}
+    for place, buckets in old.items():
+        for bucket, some in buckets.items():
+            rows(*some).write.parquet(f"{folder}/t/v={place}/bucket={bucket}")
+    for version in (0, 1):
+        (Path(folder) / f"t/v={version}/_SUCCESS").touch()
+    table = tables.Table(spark, f"{folder}/t", schemas.EXTRACTIONS, tables.EXTRACTION_KEY)
+    read = lambda: {r["content_hash"]: r["extracted_json"] for r in table.read().collect()}
+    assert read() == {"a": "2", "b": "1", "c": "1", "d": "2"}
+    table.upsert(rows(("b", "3"), ("e", "3")), tables.extraction_order())
+    assert read() == {"a": "2", "b": "3", "c": "1", "d": "2", "e": "3"}
+
+
+def test_only_outdated_runs_are_migrated(spark, box):
+    mailbox, incoming = box
+    rows = landing.flatten_messages(landing.raw_messages(spark, incoming).dropDuplicates(["id"]), F.lit(NOW))
+    outdated = F.col("id").isin("1", "2")
+    mailbox.messages.write(rows.where(~outdated))
+    mailbox.messages.append(rows.where(outdated).withColumns({"hash_version": F.lit(1), "body_hash": F.lit("old")}))
+    before = _files(mailbox.root)
+    runs = len(mailbox.messages._state()[1])
+    opened = tables.Mailbox(spark, mailbox.root)
+    got = {r["id"]: (r["body_hash"], r["hash_version"]) for r in opened.messages.read().collect()}
+    want = {r["id"]: (r["body_hash"], r["hash_version"]) for r in rows.collect()}
+    assert got == want and before.items() <= _files(mailbox.root).items()
+    assert runs == 2 and len({p for p in _files(mailbox.root)} - set(before)) == 1
+    again = _files(mailbox.root)
+    tables.Mailbox(spark, mailbox.root)
+    assert _files(mailbox.root) == again
 
 
 def test_contents_with_one_name_tail_do_not_share_a_path(spark):
@@ -256,6 +342,125 @@ def test_of_differing_deliveries_the_latest_is_taken(spark, tmp_path):
     assert [r["snippet"] for r in rows.collect()] == ["new"]
 
 
+def test_dates_of_headers_count_where_the_feed_has_none(spark, tmp_path):
+    dated, undated, lost = raw("1"), raw("2"), raw("3", date="nonsense")
+    for message in (undated, lost):
+        message["internalDate"] = "soon"
+    land(tmp_path, "a", [dated, undated, lost, raw("4") | {"internalDate": "1000"}, raw("5") | {"internalDate": "9" * 18}])
+    landed = landing.raw_messages(spark, str(tmp_path))
+    for rows in (landed, landing.staged(landed)):
+        assert sorted(r["id"] for r in landing.within_days(rows, NOW, 7).collect()) == ["1", "2", "5"]
+        assert sync.sync_tally(rows, spark.createDataFrame([], schemas.MESSAGES), NOW, 7).first()["undated"] == 1
+
+
+def test_landed_files_are_read_once(spark, tmp_path):
+    incoming = tmp_path / "in [1]"
+    incoming.mkdir()
+    box = landing.Landing(spark, str(tmp_path), f"{tmp_path}/staged.d")
+    land(incoming, "a", [raw("1"), raw("2")])
+    files = landing.Landing(spark, str(incoming).replace("[", "\\[").replace("]", "\\]"), f"{tmp_path}/staged")
+    assert files.take_in() == 1 and files.take_in() == 0
+    land(incoming, "b*", [raw("2", body="again"), raw("3")])
+    assert files.take_in() == 1 and sorted(r["id"] for r in files.read().collect()) == ["1", "2", "2", "3"]
+    empty = spark.createDataFrame([], schemas.MESSAGES)
+    assert sorted(r["id"] for r in sync.new_messages(files.read(), empty, NOW, 7).collect()) == ["1", "2", "3"]
+    assert box.read().count() == 0
+
+
+def test_sync_reads_landed_files_once(spark, box, monkeypatch):
+    mailbox, incoming = box
+    scans = []
+    write = landing.staged
+
+    def counted(raw, *rest):
+        scans.append("json" in raw._jdf.queryExecution().toString())
+        return write(raw, *rest)
+
+    for module in (landing, pending):
+        monkeypatch.setattr(module, "staged", counted)
+    rows = sync.sync(mailbox, landing.raw_messages(spark, incoming), None, NOW, None)
+    assert rows["messages"].count() == 7 and scans.count(True) == 1
+
+
+def test_texts_and_bytes_are_cut_down_before_they_move(spark, folder):
+    texts = spark.range(50_000).select(F.col("id").cast("string").alias("message_id"), F.repeat(F.lit("x"), 2000).alias("text"))
+    texts.write.parquet(f"{folder}/texts")
+    texts = spark.read.parquet(f"{folder}/texts")
+    contents = texts.select(F.sha2("message_id", 256).alias("content_hash"), F.encode("text", "utf-8").alias("content"))
+    tasks = texts.where("message_id < '1002'").select(
+        F.when(F.col("message_id").endswith("1"), "pdf").otherwise("email").alias("type"), "message_id",
+        F.sha2("message_id", 256).alias("content_hash"), *[F.lit(None).cast("string").alias(c) for c in ("path", "subject", "sender", "label", "date")],
+    )
+    sent = inference.call(tasks, classify, texts=texts, contents=contents, attempts=1, delay=0.0)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    # Whatever is exchanged of texts and contents has met the ids of the rows that are sent.
+    assert plan.count("LeftSemi") == 2 and "BroadcastHashJoin" in plan
+    for line, text in enumerate(lines := plan.splitlines()):
+        if "Exchange hashpartitioning" in text or "Exchange REPARTITION" in text:
+            depth = text.index("Exchange")
+            below = [x for x in lines[line + 1 :] if x.strip(" :+-")][:8]
+            if any("texts" in x and "ReadSchema" in x for x in below):
+                assert any("LeftSemi" in x for x in below), (depth, below)
+    assert sent.count() == tasks.count()
+
+
+def test_document_bytes_are_read_for_what_is_sent(spark, tmp_path):
+    for name, data in (("a.pdf", b"one"), ("b [x].pdf", b"two"), ("c.pdf", b"one"), ("d.pdf", b"three")):
+        (tmp_path / name).write_bytes(data)
+    fetch = landing.document_contents(spark, str(tmp_path))
+    wanted = spark.createDataFrame([(hashlib.sha256(x).hexdigest(),) for x in (b"one", b"two", b"none")], "content_hash string")
+    assert sorted(bytes(r["content"]) for r in fetch(wanted).collect()) == [b"one", b"two"]
+
+
+def test_known_documents_are_not_read_again(spark, tmp_path):
+    import os
+
+    docs, manifest = tmp_path / "docs", f"{tmp_path}/manifest"
+    docs.mkdir()
+    (docs / "a.pdf").write_bytes(b"one")
+    (docs / "b.pdf").write_bytes(b"two")
+    hashes = lambda: {Path(r["path"]).name: r["content_hash"] for r in landing.documents(spark, str(docs), manifest).collect()}
+    digest = lambda data: hashlib.sha256(data).hexdigest()
+    assert hashes() == {"a.pdf": digest(b"one"), "b.pdf": digest(b"two")}
+    # Other bytes of one length under the old time: nobody looks.
+    stamp = os.stat(docs / "a.pdf")
+    (docs / "a.pdf").write_bytes(b"ONE")
+    os.utime(docs / "a.pdf", ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    (docs / "b.pdf").write_bytes(b"changed")
+    (docs / "c.pdf").write_bytes(b"new")
+    assert hashes() == {"a.pdf": digest(b"one"), "b.pdf": digest(b"changed"), "c.pdf": digest(b"new")}
+    (docs / "b.pdf").unlink()
+    assert set(hashes()) == {"a.pdf", "c.pdf"}
+
+
+def test_streams_keep_their_state_on_disk(spark, tmp_path):
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    land(incoming, "a", [raw("1"), raw("1")])
+    rows = ingest.without_recent_repeats(ingest.raw_stream(spark, str(incoming), 1)).select("id")
+    stream = rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    metrics = stream.lastProgress["stateOperators"][0]["customMetrics"]
+    assert any(name.startswith("rocksdb") for name in metrics)
+
+
+def test_a_micro_batch_reads_the_buckets_of_its_ids(spark, box, folder):
+    _, incoming = box
+    log = f"{folder}/log"
+    ingest.ingest(ingest.raw_stream(spark, incoming), log, f"{folder}/c", NOW).awaitTermination()
+    index = ingest.id_index(spark, log)
+    assert sorted(r["id"] for r in index.read().collect()) == [str(i) for i in range(1, 8)]
+    # A log that has no index yet gets one.
+    import shutil
+
+    shutil.move(f"{log}/_ids", f"{folder}/old-index")
+    assert sorted(r["id"] for r in ingest.id_index(spark, log).read().collect()) == [str(i) for i in range(1, 8)]
+    index.bucket_rows = 1
+    index.write(index.read())
+    found = index.stored(spark.createDataFrame([("3",)], "id string"), ["stream"])
+    assert found.count() == 1 and _prunes(found)
+
+
 def test_documents_are_spread_over_tasks(spark):
     tasks = spark.range(400).select(
         F.lit("pdf").alias("type"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"),
@@ -272,6 +477,82 @@ def test_documents_are_spread_over_tasks(spark):
     assert max(int(r["reply"].split()[1]) for r in rows) < 200
 
 
+def _states(box):
+    cache, messages, atts = box.extractions.read(), box.messages.read(), box.attachments.read()
+    joined = {
+        "open": pending.unclassified_messages(messages, cache), "failed": pending.failed_messages(messages, cache),
+        "open documents": pending.unclassified_documents(atts, cache), "failed documents": pending.failed_documents(atts, cache),
+    }
+    kept = {
+        "open": pending.message_filter(messages, cache, "", True, "new", box.standing),
+        "failed": pending.message_filter(messages, cache, "", True, "failed", box.standing),
+        "open documents": pending.document_filter(atts, cache, "", True, "new", box.standing),
+        "failed documents": pending.document_filter(atts, cache, "", True, "failed", box.standing),
+    }
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    joined, kept = ({k: rows(df) for k, df in some.items()} for some in (joined, kept))
+    assert joined == kept
+    return {k: len(x) for k, x in kept.items()}
+
+
+def test_standing_follows_increments(spark, tmp_path):
+    box = tables.Mailbox(spark, f"{tmp_path}/box", standing=True)
+    message = lambda i, h: (str(i), h, 2, NOW)
+    save = lambda rows: box.save_messages(schemas.align(spark.createDataFrame(rows, "id string, body_hash string, hash_version int, synced_at timestamp"), schemas.MESSAGES))
+    answer = lambda h, error, i=None, model="m:gist:v3": (h, model, json.dumps({"error": error}), NOW, i)
+    cache = lambda *rows: box.save_extractions(spark.createDataFrame(rows, schemas.EXTRACTIONS))
+    save([message(1, "a"), message(2, "a"), message(3, "b"), message(4, None)])
+    cache(answer("a", "no", "1"), answer("x", None, "3"), answer("b", None, model="plain"))
+    assert _states(box) == {"open": 1, "failed": 2, "open documents": 0, "failed documents": 0}
+    save([message(5, "a"), message(3, "c"), message(2, "d")])  # a new copy, and two with another body
+    cache(answer("a", None, "1"), answer("d", "no", "9"), answer("x", "no", "3"))  # written over, and again
+    rows = [("7", "A", "x.pdf", "p", 1, "/p.pdf", None, NOW), ("7", None, "y.pdf", "q", 1, "/q.pdf", "r", NOW), ("8", None, "y.pdf", None, 1, "/q.pdf", None, NOW)]
+    names = "message_id string, gmail_attachment_id string, filename string, content_hash string, size_bytes long, local_path string, pdf_hash string, downloaded_at timestamp"
+    box.save_attachments(schemas.align(spark.createDataFrame(rows, names), schemas.ATTACHMENTS))
+    cache(answer("p", "no"), answer("r", None))
+    assert _states(box) == {"open": 1, "failed": 2, "open documents": 1, "failed documents": 1}
+    # Changed behind its back, it is built anew on opening.
+    box.extractions.upsert(spark.createDataFrame([answer("p", None, "4")], schemas.EXTRACTIONS), tables.extraction_order())
+    box = tables.Mailbox(spark, f"{tmp_path}/box", standing=True)
+    assert {r["id"] for r in box.standing.open("email").collect()} == set()
+    assert {r["id"] for r in box.standing.failed("pdf").collect()} == set()
+
+
+def test_a_run_with_standing_reads_increments_only(spark, box, monkeypatch):
+    root, incoming = box[0].root, box[1]
+    mailbox = tables.Mailbox(spark, root, standing=True)
+    options = analyze.Options(source="all", model="m", **QUICK)
+    done = sync.sync(mailbox, landing.raw_messages(spark, incoming), bodies(spark), NOW, None, classify, options)
+    assert done["results"].count() > 5 and _states(mailbox)["failed"] == 1
+    joined = []
+    monkeypatch.setattr(pending, "unclassified_messages", lambda *a: joined.append(a))
+    assert analyze.analyze_mailbox(mailbox, classify, NOW, options).count() == 0 and not joined
+    # An increment opens the buckets of its own keys, not the tables.
+    reads = []
+    keep = type(mailbox.messages).read
+    monkeypatch.setattr(type(mailbox.messages), "read", lambda self: reads.append(self.folder) or keep(self))
+    land(incoming, "z", [raw("9", body="later")])
+    rows = landing.flatten_messages(landing.raw_messages(spark, f"{incoming}/z.json"), F.lit(NOW))
+    mailbox.save_messages(rows)
+    assert reads == [] and [r["id"] for r in mailbox.standing.open("email").collect()] == ["9"]
+    from heedline.operators import shortid
+
+    assert mailbox.short_length() == shortid.short_id_length(keep(mailbox.messages).select("id")).first()["n"]
+
+
+def test_short_id_length_follows_increments(spark, tmp_path):
+    from heedline.operators import shortid
+    from heedline.sources.shortids import ShortIds
+
+    kept, so_far = ShortIds(spark, f"{tmp_path}/short"), []
+    assert kept.length() == shortid.short_id_length(spark.createDataFrame([], "id string")).first()["n"]
+    for step in (range(3), range(2, 40_000, 7), range(0, 120_000, 5)):
+        ids = spark.createDataFrame([(f"id{i}",) for i in step], "id string")
+        so_far += [(f"id{i}",) for i in step]
+        kept.take_in(ids)
+        assert kept.length() == shortid.short_id_length(spark.createDataFrame(so_far, "id string")).first()["n"]
+
+
 # ---- the worker side of classification, without Spark --------------------------------------
 
 

@@ -123,3 +123,27 @@ def test_prefix_lookup_with_wildcards(spark):
         "_bd": "ABd",
         "q": "q",
     }
+
+
+def test_patterns_of_every_form(spark):
+    import itertools
+    import random
+    import re
+
+    rng = random.Random(8)
+    ids = {"".join(rng.choice("abAB1\\é") for _ in range(rng.randint(1, 7))) for _ in range(150)} | {"", "aaaa", "abcabc"}
+    messages = [(i, rng.choice([None, 1, 2, 3])) for i in sorted(ids)] + [(None, 9)]
+    keys = {"".join(p) for n in (1, 2, 3) for p in itertools.product("a1%_", repeat=n)}
+    keys |= {"%\\b", "_aA1%b", "%aba%", "abc%b", "ab%a%b", "%é_", "____", "%%", "a" * 9 + "%", "_" * 8}
+    fold = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+    want = {}
+    for key in keys:
+        pattern = re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in fold(key)), re.S)
+        hits = [(-(at or 0), i) for i, at in messages if i is not None and pattern.match(fold(i))]
+        if hits:
+            want[key] = min(hits)[1]
+    got = lookup_by_prefix(
+        spark.createDataFrame([(k,) for k in keys], "key string"),
+        spark.createDataFrame(messages, "id string, internal_date long"),
+    )
+    assert dict(map(tuple, got.collect())) == want
