@@ -197,14 +197,15 @@ def learn(docs: DataFrame, allowed: Column, per_language: int = DOCS, window: in
     known = docs.where(allowed & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     row = F.xxhash64("doc_id", "text")
-    # Four times the sample by the hash alone, so that only a bounded set is ordered by language.
+    # Four times the sample by the hash alone, where the texts are read: a bounded set of windows moves.
     chance = F.pmod(row, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = known.join(counts, "lang").where(chance < 4.0 * per_language / F.col("n"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(row, "text"))
+    # A row for each language, as many as the network has outputs.
+    some = known.join(F.broadcast(counts), "lang").where(chance < 4.0 * per_language / F.col("n"))
     length = F.length("text")
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), length - window + 1)) + 1
-    some = some.withColumn("k", order).where(F.col("k") <= per_language)
-    rows = some.select("lang", F.col("text").substr(start.cast("int"), F.lit(window)).alias("t")).collect()
+    some = some.select("lang", row.alias("row"), F.col("text").substr(start.cast("int"), F.lit(window)).alias("t"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("row", "t"))
+    rows = some.withColumn("k", order).where(F.col("k") <= per_language).select("lang", "t").collect()
     labels = sorted({r["lang"] for r in rows})
     words, target = [], []
     for r in sorted(rows, key=lambda r: (r["lang"], r["t"])):
