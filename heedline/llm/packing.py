@@ -7,7 +7,8 @@ few sequences as possible, in these steps:
 2. Large lengths (over ``capacity / SMALL``) are sorted downwards and cut into GROUPS groups of
    equal cardinality; each length is rounded up to the largest of its group.
 3. With so few sizes, the fractional packing over configurations is solved to the optimum by
-   column generation; the integer part of each configuration is used.
+   column generation.  A SHARE of each configuration's multiple is used, without its smallest
+   slot: sizes are rounded, so whole configurations leave gaps that nothing fits.
 4. Actual pieces are put into the slots of their group, which leaves some room more.
 5. What is left, large pieces first and then the small ones, goes downwards by length to the
    sequence with the least room that holds it, counted over the real room of each sequence.
@@ -37,6 +38,7 @@ CAPACITY = 1024
 END_ID = 2
 GROUPS = 64
 SMALL = 8
+SHARE = 0.7
 # Pieces between spaces whose ids a worker remembers; the store is emptied when full.
 KNOWN_UNITS = 300_000
 
@@ -224,7 +226,10 @@ def grouping_rules(counts: dict[int, int], capacity: int, groups: int = GROUPS)
             first = last
     demand = [sum(b - a for _, a, b in s) for s in spans]
     rules, sequence, place = [], 0, [list(s) for s in spans]
-    for times, column in configurations(sizes, demand, capacity):
+    for multiple, column in configurations(sizes, demand, capacity):
+        times = int(multiple * SHARE)
+        if column.sum() > 1:
+            column[np.flatnonzero(column)[-1]] -= 1
         for g in np.flatnonzero(column):
             each, done = int(column[g]), 0
             while done < times * each:
@@ -296,6 +301,8 @@ def placed(numbered_pieces: DataFrame, rules: list[tuple], name: str) -> DataFra
 
     The rules are broadcast: their number depends on the capacity and the groups, not on the
     pieces, as each rule ends a span of one length, a configuration slot or a class of room.
+    There are at most ``capacity`` lengths, GROUPS slots in each of as many configurations, and for
+    every length ``capacity`` classes of room, so with 1024 a million rules of 48 bytes if all occur.
     """
     table = F.broadcast(numbered_pieces.sparkSession.createDataFrame(rules, RULES))
     number = F.col("number")
@@ -351,9 +358,13 @@ def sequences(packed: DataFrame) -> DataFrame:
     return grouped.select("sequence_id", joined.alias("ids"), spans.alias("spans"))
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece with the checksum of its ids and its place; the ids are not stored."""
-    cut = pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(durable(cut, "pack-pieces"), capacity).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
-    )
+def packed_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False
+) -> DataFrame:
+    """One row per piece with the checksum of its ids and its place, and with the ids if they are asked for.
+
+    ``sequences`` joins pieces with ids to packed sequences.
+    """
+    cut = pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids"))
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
+    return pack(durable(cut if with_ids else cut.drop("ids"), "pack-pieces"), capacity).select(*kept)
