@@ -14,7 +14,8 @@ when the key is first seen; counts are complete when the last batch is in.
 A key is two independent 64-bit hashes.  Null and empty texts are one empty line.  Documents
 are told apart by doc_id: rows that share one count once and keep or lose the same keys; rows
 without doc_id are told apart by their text and come after all others.  Extra columns stay as
-they are in ``drop_lines``; an empty table stays empty.
+they are in ``drop_lines``; an empty table stays empty.  A very long text travels whole, with as
+many hashes as it has distinct lines.
 """
 
 from collections.abc import Iterator
@@ -162,7 +163,8 @@ def drop_lines(
     """``docs`` without lines that ``min_docs`` documents share, except in the owner of each.
 
     ``text`` holds the lines that stay (null stays null); ``n_lines`` and ``n_dropped`` are
-    added.
+    added, and take the place of columns of these names.  Names that begin with ``__line_`` are
+    the operator's own.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
@@ -174,12 +176,12 @@ def drop_lines(
     runs.close()
     found = split_hot(lines, shared, KEY, F.col("n_docs"), lines.count())
     drops = found.where(F.col("doc") < F.col("owner")).groupBy("doc")
-    drops = drops.agg(F.collect_set(F.struct(*KEY)).alias("__drops"))
+    drops = drops.agg(F.collect_set(F.struct(*KEY)).alias("__line_drops")).withColumnRenamed("doc", "__line_doc")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = batch.column("text").to_pylist(), [], []
-            for i, drop in enumerate(batch.column("__drops").to_pylist()):
+            for i, drop in enumerate(batch.column("__line_drops").to_pylist()):
                 text = texts[i] or ""
                 n_lines.append(text.count("\n") + 1)
                 n_dropped.append(0)
@@ -189,13 +191,14 @@ def drop_lines(
                     kept = [x for x, key in zip(text.split("\n"), keys) if key not in gone]
                     n_dropped[-1] = n_lines[-1] - len(kept)
                     texts[i] = "\n".join(kept)
-            columns = {f.name: c for f, c in zip(batch.schema, batch.columns) if f.name != "__drops"}
+            columns = {f.name: c for f, c in zip(batch.schema, batch.columns) if f.name != "__line_drops"}
             columns["text"] = pa.array(texts, pa.string())
             columns |= {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
-    with_drops = docs.withColumn("doc", doc_key()).join(drops, "doc", "left").select(*docs.columns, "__drops")
+    with_drops = docs.withColumn("__line_doc", doc_key()).join(drops, "__line_doc", "left")
+    with_drops = with_drops.select(*docs.columns, "__line_drops")
     return with_drops.mapInArrow(strip, schema)
 
 
