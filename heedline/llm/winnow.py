@@ -2,8 +2,10 @@
 
 Every run of GRAM code points gets a rolling hash; of every WINDOW hashes in a row the smallest
 is kept (the rightmost of equal ones), with its position.  Any passage of GRAM + WINDOW - 1
-code points that two texts share is so sure to give them a common hash.  A text shorter than
-GRAM is one gram; the empty text has no hash.  Null counts as empty.
+code points that two texts share is so sure to give them a common hash.  A text that is shorter
+than that would keep one hash alone; of such a text all grams of SHORT_GRAM code points are kept,
+so that it has its likeness to others as short, and none to longer ones.  A text shorter than
+SHORT_GRAM is one gram; the empty text has no hash.  Null counts as empty.
 
 Likeness is the share of distinct hashes that two fingerprints have in common; two empty
 fingerprints are alike (1), an empty one and another are not (0).
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 GRAM = 24
 WINDOW = 41
+SHORT_GRAM = 6
 BASE = 0x9E3779B97F4A7C15
 RANGE_ROWS = 100_000
 _ALL = (1 << 64) - 1
@@ -41,9 +44,13 @@ class Winnower:
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
+    def short(self, n: int) -> bool:
+        return n < self.gram + self.window - 1
+
     def hashes(self, codes: np.ndarray) -> np.ndarray:
         """The hash of every gram, rolled by differences of one running sum."""
-        n, gram = len(codes), min(self.gram, len(codes))
+        n = len(codes)
+        gram = min(SHORT_GRAM if self.short(n) else self.gram, n)
         if not n:
             return np.empty(0, np.uint64)
         self.powers(n)
@@ -63,7 +70,7 @@ class Winnower:
         # The place from the right in the low bits: the minimum is rightmost among equals.
         low = np.uint64(0xFFFFFFFF)
         least = h << np.uint64(32) | (low - np.arange(len(h), dtype=np.uint64))
-        window, span = min(self.window, len(h)), 1
+        window, span = 1 if self.short(len(codes)) else self.window, 1
         while span < window:
             step = min(span, window - span)
             least = np.minimum(least[:-step], least[step:])
