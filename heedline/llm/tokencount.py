@@ -113,9 +113,7 @@ class Counter:
 
 
 def with_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Adds ``tree`` and ``n_tokens`` to (doc_id, text) and any ``edits``."""
-    edits = F.col("edits") if "edits" in docs.columns else F.lit(None).cast(EDITS)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), edits.alias("edits"))
+    """(doc_id, text, tree, n_tokens) of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer_path)
@@ -126,19 +124,27 @@ def with_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             names = [*batch.schema.names, "tree", "n_tokens"]
             yield pa.RecordBatch.from_arrays([*batch.columns, nodes, counts], names)
 
-    return docs.mapInArrow(run, f"doc_id long, text string, edits {EDITS}, tree binary, n_tokens long")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInArrow(run, "doc_id long, text string, tree binary, n_tokens long")
 
 
 def apply_edits(counted: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Applies ``edits``: the new text, tree and count, and what the edits cost."""
+    """Applies ``edits`` to (doc_id, text, edits): the new text, tree and count, and what the edits cost.
+
+    A stored ``tree`` is taken up where there is one; without one the text is counted first.
+    """
+    stored = "tree" in counted.columns
+    text = F.coalesce("text", F.lit("")).alias("text")
+    counted = counted.select("doc_id", text, "edits", *["tree"] * stored)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer_path)
         for batch in small_batches(batches):
             out = [[] for _ in range(5)]
-            columns = [batch.column(c).to_pylist() for c in ("text", "tree", "edits")]
-            for text, nodes, edits in zip(*columns):
-                tree = CountTree(np.frombuffer(nodes, np.int64).reshape(2, -1).copy())
+            texts, all_edits = (batch.column(c).to_pylist() for c in ("text", "edits"))
+            trees = batch.column("tree").to_pylist() if stored else [None] * len(texts)
+            for text, nodes, edits in zip(texts, trees, all_edits):
+                tree = counter.tree(text) if nodes is None else CountTree(np.frombuffer(nodes, np.int64).reshape(2, -1).copy())
                 before, encoded = tree.tokens, 0
                 for e in edits or []:
                     if e is not None:
@@ -171,7 +177,7 @@ def edited_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         edit(2 * third, F.floor(n / 20), F.lit("")),
         edit(n.cast("long"), F.lit(0), F.concat(F.lit("\n"), F.substring("text", 1, 80))),
     )
-    done = apply_edits(with_trees(docs.select("doc_id", "text", edits.alias("edits")), tokenizer_path), tokenizer_path)
+    done = apply_edits(docs.select("doc_id", "text", edits.alias("edits")), tokenizer_path)
     return done.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
