@@ -18,7 +18,13 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language."""
+    """Drops documents without a recognisable language.
+
+    A document goes if its text is null or empty, has no letter, or its best language has a score
+    below MIN_LANGUAGE_SCORE, and all go if no row with a language may be learned from.  Equal rows
+    fare alike, and so do rows without doc_id, which are not learned from.  Texts of any length are
+    read whole.  Extra columns go.  No rows give no rows.
+    """
     network = langid.learn(docs, langid.fold() != 0)
     found = langid.identify(docs.select(*COLUMNS), network)
     sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
@@ -26,7 +32,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that three documents share, except in the last; documents left empty go."""
+    """Drops lines that three documents share, except in the last; documents left empty go.
+
+    The last is the one with the largest doc_id; rows with one doc_id count once and lose the same
+    lines, rows without are told apart by their text and come after all others.  A document that had
+    no text before stays as it is.  ``n_chars`` is counted again.  Extra columns go.  No rows give no
+    rows.
+    """
     kept = linededup.drop_lines(docs.select(*COLUMNS))
     emptied = (F.col("n_dropped") > 0) & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = kept.where(~emptied).withColumn("n_chars", F.length("text").cast("long"))
@@ -34,7 +46,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates: the one with the smallest doc_id.
+
+    Documents are linked at a similarity of 0.8 of their sets of five words; groups are what links
+    join.  Null, empty and blank texts are linked with nothing and stay.  Rows with one doc_id and one
+    text are one document, of which one row stays; of rows without doc_id one with the same text.
+    Extra columns go.  No rows give no rows.
+    """
     docs = docs.select(*COLUMNS)
     found = minhash.near_duplicates(docs)
     # Rows with equal id and text are one document, of which one row stays.
@@ -45,8 +63,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of token ids."""
-    return packing.packed_documents(docs, public_tokenizers.path(BYTE_BPE), CAPACITY)
+    """Packs what is left into sequences of token ids: a row per piece with its ids and its place.
+
+    A null or empty text is one piece with the end id alone; only documents of more than CAPACITY ids
+    are cut.  Equal rows and rows without doc_id are packed each for itself.  Extra columns go.  No rows
+    give no rows.
+    """
+    return packing.packed_documents(docs, public_tokenizers.path(BYTE_BPE), CAPACITY, with_ids=True)
 
 
 STAGES = [
