@@ -6,9 +6,12 @@ sum over components of the larger of q * max and q * min bounds every score in t
 task visits its blocks by falling bound and scores whole blocks until the bound is below the
 query's k-th score (equal bounds are still visited, for ties go to the smaller id).
 
-All queries meet all blocks as a grid: blocks are grouped into shards, queries into chunks, and
-a task holds one shard and one chunk.  First each query meets the shard it lies in, which gives
-a k-th score to start from; then the other shards, which return only what reaches it.
+Blocks are grouped into shards, queries into chunks, and a task holds one shard and one chunk.
+First each query meets the shard it lies in, which gives a k-th score to start from; then those
+other shards whose largest and smallest components allow a score that reaches it: all others are
+left out before anything is sent.  Codes are stored in the smallest kind of number that holds them.
+At worst (no bound prunes) every query meets every shard, and the bytes that are sent grow with the
+square of the rows: a stated set of queries against all rows, in blocks.
 
 Null vectors and vectors with null, NaN or infinite components take no part; a shorter vector
 counts as filled up with zeros.  Rows with equal vectors are rows of their own.
@@ -20,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ BLOCK = 64
 SHARD_ROWS = 8192
 CHUNK_SHARDS = 8
 PIVOT_BITS = 8
+# Shards whose outlines are sent to all tasks at once: some 4 MB at 64 dimensions and 16 bits.
+OUTLINES = 16_384
 
-_ROWS = "shard long, n int, ids binary, codes binary, asks binary"
+_ROWS = "shard long, n int, ids binary, codes binary, asks binary, high binary, low binary"
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -44,7 +48,7 @@ def whole(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long"))
 
 
-def _locality(batches, dims: int):
+def _locality(batches, dims: int, kind: str):
     """Signs of a few fixed projections: near vectors often share them, so bounds get tighter."""
     plane = np.random.default_rng(7).standard_normal((dims, PIVOT_BITS))
     for batch in batches:
@@ -53,14 +57,14 @@ def _locality(batches, dims: int):
         for i, row in enumerate(rows):
             matrix[i, : len(row)] = row
         sign = (matrix.astype(float) @ plane > 0) @ (1 << np.arange(PIVOT_BITS))
-        raw = pa.array([r.tobytes() for r in matrix], pa.binary())
+        raw = pa.array([r.tobytes() for r in matrix.astype(kind)], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [batch.column("vec_id"), batch.column("ask"), pa.array(sign, pa.int64()), raw],
             ["vec_id", "ask", "sign", "codes"],
         )
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     shard = row_ids()
     for batch in batches:
         for lo in range(0, batch.num_rows, SHARD_ROWS):
@@ -68,9 +72,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.array(part.column("vec_id").to_pylist(), np.int64)
             asks = np.array(part.column("ask").to_pylist(), bool)
             codes = b"".join(part.column("codes").to_pylist())
-            row = [next(shard), len(ids), ids.tobytes(), codes, asks.tobytes()]
-            names = ["shard", "n", "ids", "codes", "asks"]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            matrix = np.frombuffer(codes, kind).reshape(len(ids), -1)
+            row = [next(shard), len(ids), ids.tobytes(), codes, asks.tobytes(), matrix.max(0).tobytes(), matrix.min(0).tobytes()]
+            names = ["shard", "n", "ids", "codes", "asks", "high", "low"]
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
 
@@ -114,9 +119,32 @@ class Blocks:
         return [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
 
 
-def _unpacked(row: dict):
+def _unpacked(row: dict, kind: str):
     ids = np.frombuffer(row["ids"], np.int64)
-    return ids, np.frombuffer(row["codes"], np.int64).reshape(len(ids), -1)
+    return ids, np.frombuffer(row["codes"], kind).reshape(len(ids), -1).astype(np.int64)
+
+
+def _reachable(outlines, kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (shard, chunk, ids, codes, floors) of queries for each shard, not their own, that may reach their floor."""
+    shards = np.array([r["shard"] for r in outlines], np.int64)
+    high, low = (np.stack([np.frombuffer(r[c], kind) for r in outlines]).astype(float) for c in ("high", "low"))
+    for batch in batches:
+        home, ids = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("home", "query_id"))
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), kind).reshape(len(ids), -1)
+        floor = np.array([-np.inf if f is None else f for f in batch.column("floor").to_pylist()], float)
+        q = codes.astype(float)
+        for lo in range(0, len(shards), 256):
+            part = slice(lo, lo + 256)
+            bound = np.maximum(q, 0) @ high[part].T + np.minimum(q, 0) @ low[part].T
+            # Sums of floats may be a little low.
+            ok = (bound + np.abs(bound) * 1e-9 + 1 >= floor[:, None]) & (home[:, None] != shards[part])
+            for j in np.flatnonzero(ok.any(0)).tolist():
+                some = ok[:, j]
+                row = [int(shards[lo + j]), (int(home[0]) >> 36) // CHUNK_SHARDS]
+                row += [ids[some].tobytes(), codes[some].tobytes(), floor[some].tobytes()]
+                kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+                names = ["shard", "chunk", "ids", "codes", "floors"]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
 
 def top_k(vectors: DataFrame, ask: Column, k: int) -> DataFrame:
@@ -127,17 +155,19 @@ def top_k(vectors: DataFrame, ask: Column, k: int) -> DataFrame:
     coded = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         "vec_id", F.coalesce(ask, F.lit(False)).alias("ask"), whole(F.col("embedding")).alias("codes")
     )
-    size = coded.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("codes")).alias("d")).first()
-    dims = max(1, size["d"] or 1)
+    peak = F.max(F.array_max(F.transform("codes", lambda x: F.abs(x.cast("double")))))
+    size = coded.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("codes")).alias("d"), peak.alias("peak")).first()
+    dims, peak = max(1, size["d"] or 1), size["peak"] or 0.0
+    kind = "int16" if peak < 2**15 else "int32" if peak < 2**31 else "int64"
     parts = max(1, -(-size["n"] // SHARD_ROWS))
-    signed = coded.mapInArrow(lambda b: _locality(b, dims), "vec_id long, ask boolean, sign long, codes binary")
+    signed = coded.mapInArrow(lambda b: _locality(b, dims, kind), "vec_id long, ask boolean, sign long, codes binary")
     ranged = signed.repartitionByRange(parts, "sign", "vec_id").sortWithinPartitions("sign", "vec_id")
-    shards = durable(ranged.mapInArrow(_shards, _ROWS), "topk-shards")
+    shards = durable(ranged.mapInArrow(lambda b: _shards(b, kind), _ROWS), "topk-shards")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, codes = _unpacked(row)
+                ids, codes = _unpacked(row, kind)
                 asks = np.frombuffer(row["asks"], bool)
                 found = Blocks(ids, codes).search(ids[asks], codes[asks], np.full(asks.sum(), -np.inf), k)
                 yield _as_batch(found)
@@ -150,40 +180,43 @@ def top_k(vectors: DataFrame, ask: Column, k: int) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, codes = _unpacked(row)
+                ids, codes = _unpacked(row, kind)
                 at = np.flatnonzero(np.frombuffer(row["asks"], bool))
                 columns = [
                     pa.array(np.full(len(at), row["shard"]), pa.int64()),
                     pa.array(ids[at], pa.int64()),
-                    pa.array([codes[i].tobytes() for i in at], pa.binary()),
+                    pa.array([codes[i].astype(kind).tobytes() for i in at], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["home", "query_id", "codes"])
 
     queries = shards.mapInArrow(asked, "home long, query_id long, codes binary")
     queries = queries.join(floors, "query_id", "left")
-    # One row per SHARD_ROWS vectors.
-    listed = sorted(r["shard"] for r in shards.select("shard").collect())
-    index = vectors.sparkSession.createDataFrame(list(zip(listed, range(len(listed)))), "shard long, index int")
-    chunk = F.floor(F.col("index") / CHUNK_SHARDS).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
-    left = shards.join(index, "shard").withColumn("chunk", upto(-(-len(listed) // CHUNK_SHARDS)))
-    homes = index.select(F.col("shard").alias("home"), chunk.alias("chunk"))
-    right = queries.join(homes, "home").withColumn("index", upto(len(listed)))
+    queries = durable(queries, "topk-queries")
 
     def meet(key, blocks: pa.Table, asking: pa.Table) -> pa.Table:
         got = [np.empty(0, np.int64)] * 3
-        if blocks.num_rows:
-            shard = blocks.to_pylist()[0]
-            asking = asking.filter(pc.not_equal(asking.column("home"), shard["shard"]))
         if blocks.num_rows and asking.num_rows:
-            ids, codes = _unpacked(shard)
-            q = np.frombuffer(b"".join(asking.column("codes").to_pylist()), np.int64).reshape(asking.num_rows, -1)
-            floor = np.array([-np.inf if f is None else f for f in asking.column("floor").to_pylist()])
-            got = Blocks(ids, codes).search(np.array(asking.column("query_id").to_pylist()), q, floor, k)
+            ids, codes = _unpacked(blocks.to_pylist()[0], kind)
+            joined = [b"".join(asking.column(c).to_pylist()) for c in ("ids", "codes", "floors")]
+            query_ids, floor = np.frombuffer(joined[0], np.int64), np.frombuffer(joined[2], float)
+            q = np.frombuffer(joined[1], kind).reshape(len(query_ids), -1).astype(np.int64)
+            got = Blocks(ids, codes).search(query_ids, q, floor, k)
         return pa.Table.from_batches([_as_batch(got)])
 
-    grid = left.groupBy("index", "chunk").cogroup(right.groupBy("index", "chunk"))
-    found = first.unionByName(grid.applyInArrow(meet, _FOUND))
+    found, more = first, True
+    # A row for SHARD_ROWS vectors, OUTLINES of them at a time.
+    outlines = shards.select("shard", "high", "low").orderBy("shard").toLocalIterator()
+    while more:
+        some = [r for _, r in zip(range(OUTLINES), outlines)]
+        more = len(some) == OUTLINES
+        if some:
+            sent = vectors.sparkSession.sparkContext.broadcast([r.asDict() for r in some])
+            kinds = "shard long, chunk long, ids binary, codes binary, floors binary"
+            asked = durable(queries.mapInArrow(lambda b, sent=sent: _reachable(sent.value, kind, b), kinds), "topk-asked")
+            met = asked.select(F.col("shard").alias("at"), F.col("chunk").alias("part")).distinct()
+            left = shards.join(met, F.col("shard") == F.col("at")).select("at", "part", "ids", "codes")
+            grid = left.groupBy("at", "part").cogroup(asked.groupBy("shard", "chunk"))
+            found = found.unionByName(grid.applyInArrow(meet, _FOUND))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best).cast("int"))
