@@ -9,7 +9,8 @@ one numpy operation for all of them.  Very long words, for which repeated search
 quadratic time, keep their ranks in a heap; the result is the same.
 
 Null texts count as empty and give no ids.  Only ``text`` is read; every row gives one row, in
-any number and with any other columns, equal ids or none.
+any number and with any other columns, equal ids or none; an empty table gives an empty result.  Very
+long texts are encoded whole.  Equal ranks are merged from the left.
 """
 
 import hashlib

@@ -12,7 +12,8 @@ is counted or predicted covers all rows and whole texts.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if no row
 may be learned from.  Rows without doc_id are never learned from.  Ties between languages go
-to the first by name; repeated rows get equal results; extra columns are ignored.
+to the first by name; repeated rows get equal results; extra columns are ignored.  Texts of any length
+are read whole, by their segments; an empty table gives an empty result.
 """
 
 from collections.abc import Iterator

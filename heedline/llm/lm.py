@@ -18,7 +18,9 @@ words (at most HEAD, by their share of all tokens) come from a broadcast table,
 their way to the groups.
 
 Null texts count as empty: one end token.  Rows without doc_id are not learned from and are not
-held out.  Equal rows are rows of their own; extra columns are ignored.
+held out.  Equal rows are rows of their own; extra columns are ignored; an empty table gives an empty
+result.  A very long text is a chunk of its own.  Of equally likely shares the smallest is taken.  Pair
+counts are quantised and word counts exact, so the probabilities after a word may not add up to 1.
 """
 
 from collections.abc import Iterator

@@ -12,7 +12,9 @@ fingerprints are alike (1), an empty one and another are not (0).
 
 ``with_next`` gives every document the one that follows it by falling doc_id, rows without
 doc_id last, equal ids in the order of a hash of their text; after the last comes the first.
-Repeated rows follow each other; a single row follows itself; extra columns are ignored.
+Repeated rows follow each other; a single row follows itself; extra columns are ignored; an empty table
+gives an empty result.  Very long texts are fingerprinted whole.  Rows that share one doc_id, or have
+none, are one range: it is streamed, but by one task.
 """
 
 from collections.abc import Iterator
