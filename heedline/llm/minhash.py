@@ -7,19 +7,21 @@
    places are taken, for later steps can't be smaller.
 3. Classes that share a band of the signature are candidates.
 4. Inside a bucket signatures are compared, block by block.  First, in the buckets of a few
-   bands, every member only names its most similar partner; these pairs are verified on the full
-   sets and united, which brings the members of a group together without spreading it out into
-   its pairs.  Then all pairs of a
+   bands, every member only names its most similar partner of its block; these pairs are verified
+   on the full sets and united, in rounds that go on with one member of each group, which brings
+   the members of a group together without spreading it out into its pairs.  Then all pairs of a
    bucket whose signatures agree enough and that are still in different groups are verified,
    so every candidate pair is either verified, or inside one group, or far below the threshold.
    Verification runs in blocks too: a set meets some BLOCK of its partners at a time.
+   A bucket of texts that are not linked costs the square of its size in comparisons.
 
 The bands are as long as they can be while a pair at the threshold has a probability of at most
 MISSED to share none of them.
 
 Null texts and texts without words have an empty set and stand alone.  Equal rows and rows with
 equal doc_id are rows of their own; a missing doc_id counts as larger than all others.  Extra
-columns are ignored; an empty table gives an empty result.
+columns are ignored; an empty table gives an empty result.  Of equally similar partners the one with the
+smaller number is named; very long texts are one set, held whole by the task that compares it.
 """
 
 from collections.abc import Iterator
@@ -273,32 +275,51 @@ def united(roots: DataFrame, edges: DataFrame) -> DataFrame:
         roots = durable(moved.unionByName(new), "minhash-roots")
 
 
-def alike_in_buckets(members: DataFrame, places: int, least: float, best_only: bool) -> DataFrame:
-    """Distinct pairs (a, b) of members of one bucket whose signatures agree in a share ``least``.
+def diagonal(members: DataFrame, seed: int) -> DataFrame:
+    """Members (key, size, uid, root, sig) by cell: every member in one block of about CELL of its bucket."""
+    block = F.pmod(F.xxhash64("uid", F.lit(seed)), F.ceil(F.col("size") / CELL))
+    placed = members.withColumn("block", block)
+    return placed.select("key", F.lit(0).alias("band"), F.col("block").alias("first"), F.col("block").alias("second"), "block", "uid", "root", "sig")
 
-    ``members`` has (key, size, uid, root, sig); members with one root are no pair.  With
-    ``best_only`` every member names one partner per bucket part, the most similar one.  Large
-    buckets are cut into blocks of CELL members, which meet two at a time.
+
+def crossing(members: DataFrame) -> DataFrame:
+    """Members (key, band, uid, root, sig) by cell: two members of a bucket that differ in root meet in one cell.
+
+    The members of a root that has many in a bucket fill blocks of their own, which meet all blocks
+    but those of that root; all others share blocks, which all meet.
     """
-    blocks = F.ceil(F.col("size") / CELL)
-    placed = members.withColumn("block", F.pmod(F.xxhash64("uid"), blocks))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    cells = placed.select(
-        "key",
-        F.least("block", "other").alias("first"),
-        F.greatest("block", "other").alias("second"),
-        "block",
-        "uid",
-        "root",
-        "sig",
+    own = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    own = own.withColumn("large", F.col("n") > CELL // 2)
+    parts = F.when(F.col("large"), F.ceil(F.col("n") / CELL))
+    shared = own.where("NOT large").groupBy("key").agg(F.ceil(F.sum("n") / CELL).alias("shared"))
+    named = own.withColumn("parts", parts).join(shared, "key", "left").select("key", "root", "parts", "shared")
+    # Blocks are named by a hash of the root they belong to, or of none, and a number.
+    block = F.when(F.col("parts").isNotNull(), F.xxhash64("root", F.pmod(F.xxhash64("uid"), F.col("parts")))).otherwise(
+        F.xxhash64(F.lit(-1), F.pmod(F.xxhash64("root"), F.col("shared")))
+    )
+    placed = members.join(named, ["key", "root"])
+    placed = placed.select("key", "band", "uid", "root", "sig", block.alias("block"), F.when(F.col("parts").isNotNull(), F.col("root")).alias("pure"))
+    blocks = placed.select("key", F.col("block").alias("other"), F.col("pure").alias("other_pure")).distinct()
+    cells = placed.join(blocks, "key").where(~F.coalesce(F.col("pure") == F.col("other_pure"), F.lit(False)))
+    return cells.select(
+        "key", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "uid", "root", "sig"
     )
+
+
+def alike_in_cells(cells: DataFrame, rows: int, least: float, best_only: bool) -> DataFrame:
+    """Distinct pairs (a, b) of members of one cell whose signatures agree in a share ``least``.
+
+    Members with one root are no pair.  With ``best_only`` every member names one partner in its
+    cell, the most similar one.  Otherwise a pair is named in one bucket, that of the first band of
+    ``rows`` places in which its signatures agree, however many they share.
+    """
     names = ["key", "first", "second"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            part = {c: np.array(batch.column(c)) for c in ("key", "first", "second", "block", "uid", "root")}
-            part["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, places)
+            part = {c: np.array(batch.column(c)) for c in ("key", "band", "first", "second", "block", "uid", "root")}
+            part["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
             if held is not None:
                 part = {c: np.concatenate([held[c], part[c]]) for c in part}
             new = np.zeros(len(part["key"]), bool)
@@ -307,15 +328,15 @@ def alike_in_buckets(members: DataFrame, places: int, least: float, best_only: b
             starts = np.r_[0, np.flatnonzero(new)]
             # The last cell may go on in the next batch.
             held = {c: v[starts[-1] :] for c, v in part.items()}
-            yield _as_pairs(part, starts[:-1], starts[1:], least, best_only)
+            yield _as_pairs(part, starts[:-1], starts[1:], rows, least, best_only)
         if held is not None:
-            yield _as_pairs(held, np.array([0]), np.array([len(held["key"])]), least, best_only)
+            yield _as_pairs(held, np.array([0]), np.array([len(held["key"])]), rows, least, best_only)
 
     dealt = cells.repartition(*names).sortWithinPartitions(*names)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _as_pairs(part: dict, starts: np.ndarray, ends: np.ndarray, least: float, best_only: bool) -> pa.RecordBatch:
+def _as_pairs(part: dict, starts: np.ndarray, ends: np.ndarray, rows: int, least: float, best_only: bool) -> pa.RecordBatch:
     found = [np.empty((0, 2), np.int64)]
     sizes = ends - starts
     for n in np.unique(sizes[sizes > 1]):
@@ -324,21 +345,27 @@ def _as_pairs(part: dict, starts: np.ndarray, ends: np.ndarray, least: float, be
         step = max(1, 20_000 // len(x))
         for lo in range(0, len(lows), step):
             some = lows[lo : lo + step, None]
-            found.append(_alike(part, (some + x).ravel(), (some + y).ravel(), least, best_only))
+            found.append(_alike(part, (some + x).ravel(), (some + y).ravel(), rows, least, best_only))
     pairs = np.concatenate(found)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _alike(part: dict, x: np.ndarray, y: np.ndarray, least: float, best_only: bool) -> np.ndarray:
+def _alike(part: dict, x: np.ndarray, y: np.ndarray, rows: int, least: float, best_only: bool) -> np.ndarray:
     uid, root, sig, block = part["uid"], part["root"], part["sig"], part["block"]
     # In a cell of two blocks, pairs inside one block have been met in the cell of that block.
     across = (part["first"][x] == part["second"][x]) | (block[x] != block[y])
     keep = (root[x] != root[y]) & across
     x, y = x[keep], y[keep]
-    share = np.concatenate(
-        [(sig[x[i : i + 20_000]] == sig[y[i : i + 20_000]]).mean(1) for i in range(0, len(x), 20_000)] or [np.empty(0)]
-    )
-    keep = share >= least
+    share, n_bands = np.empty(len(x)), PLACES // rows
+    keep = np.zeros(len(x), bool)
+    for i in range(0, len(x), 20_000):
+        equal = sig[x[i : i + 20_000]] == sig[y[i : i + 20_000]]
+        share[i : i + 20_000] = equal.mean(1)
+        own = share[i : i + 20_000] >= least
+        if not best_only:
+            first = equal[own, : n_bands * rows].reshape(-1, n_bands, rows).all(2).argmax(1)
+            own[own] = first == part["band"][x[i : i + 20_000][own]]
+        keep[i : i + 20_000] = own
     x, y, share = x[keep], y[keep], share[keep]
     if best_only and len(x):
         own, other, both = np.r_[x, y], np.r_[y, x], np.r_[share, share]
@@ -353,26 +380,43 @@ def _alike(part: dict, x: np.ndarray, y: np.ndarray, least: float, best_only: bo
 def groups(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(uid, root) of all classes in groups of two and more, from bucket ``members``.
 
-    Those have key, size, uid and band.  The first pass, which brings groups together, takes the
-    buckets of a few bands; the second takes all buckets in which different groups are left.
+    Those have key, size, uid and band.  First, in the buckets of a few bands, members name partners
+    block by block; the pairs are verified and united.  A bucket of several blocks then keeps one
+    member of each root, and is dealt again, until it fits into a block or a round finds nothing:
+    a group of any size comes together in a few rounds with a row for each member and round.
+    At last all pairs of a bucket are met that have different roots.
     """
-    spark = members.sparkSession
+    spark, rows = members.sparkSession, rows_per_band(threshold)
     roots = spark.createDataFrame([], "uid long, root long")
     tested = spark.createDataFrame([], "a long, b long")
-    signed_ = sets.select("uid", "sig")
-    for best_only in (True, False):
-        now = members.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        if best_only:
-            now = now.where(F.col("band") < FIRST_BANDS)
-        else:
-            spans = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-            now = now.join(spans.where("lo <> hi").select("key"), "key", "left_semi")
-        now = now.join(signed_, "uid")
-        alike = alike_in_buckets(now, PLACES, threshold / 100 - SLACK, best_only)
+    signed_, least = sets.select("uid", "sig"), threshold / 100 - SLACK
+
+    def standing(some: DataFrame) -> DataFrame:
+        return some.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+
+    def met(cells: DataFrame, best_only: bool) -> bool:
+        nonlocal roots, tested
+        alike = alike_in_cells(cells, rows, least, best_only)
         pairs = durable(alike.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
         edges = durable(verified(pairs, sets, threshold), "minhash-edges")
-        roots = united(roots, edges)
-        tested = tested.unionByName(pairs)
+        roots, tested = united(roots, edges), tested.unionByName(pairs)
+        return not edges.isEmpty()
+
+    first = members.where(F.col("band") < FIRST_BANDS).select("key", "size", "uid")
+    now, turn = standing(first), 0
+    while met(diagonal(now.join(signed_, "uid"), turn), True):
+        # Buckets of one block have met whole; the others go on with one member of each root.
+        several = standing(first.where(F.col("size") > CELL))
+        one = several.groupBy("key", "root").agg(F.min("uid").alias("uid"))
+        sizes = one.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        now = durable(one.join(sizes, "key"), "minhash-left")
+        first, turn = now.select("key", "size", "uid"), turn + 1
+        if now.isEmpty():
+            break
+    now = standing(members)
+    spans = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    now = now.join(spans.where("lo <> hi").select("key"), "key", "left_semi")
+    met(crossing(durable(now.select("key", "band", "uid", "root"), "minhash-left").join(signed_, "uid")), False)
     return roots
 
 
