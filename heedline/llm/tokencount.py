@@ -9,7 +9,8 @@ may join or part there, further ones can't), and updates the sums on the paths a
 An edit (at, remove, insert) removes ``remove`` code points at ``at`` and puts ``insert`` there;
 places are cut to the text as it is then, negative and null numbers count as 0, a null insert
 as empty.  Edits of a document apply in their order; null and no edits leave it.  A null text
-counts as empty.  Every row gives one row, equal ids or none; extra columns are ignored.
+counts as empty.  Every row gives one row, equal ids or none; extra columns are ignored; an empty table gives
+an empty result.  A very long text is held whole with its tree, by one task.
 """
 
 from collections.abc import Iterator
