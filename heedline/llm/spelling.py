@@ -41,6 +41,7 @@ MISPRINT = 97
 FLUSH = 400_000
 KNOWN_RUNS = 300_000
 RANGE = 4096
+RANGES_PER_TASK = 4
 # Up to which depth the end of a stretch with a common prefix is looked up in a table.
 DEPTH = 64
 # Cells of the band that a block of scans may hold.
@@ -276,7 +277,9 @@ def near_words(words: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["word", "n_near", "best_n", "best"])
 
     dealt = words.select("word", "n").mapInArrow(deal, "side int, range int, asks int, key string, n long")
-    dealt = dealt.repartition("side", "range").sortWithinPartitions("side", "range", "asks", "key")
+    # By number, for adaptive execution goes by bytes, and these take little room and much time.
+    tasks = max(1, sum(map(len, cuts)) // RANGES_PER_TASK)
+    dealt = dealt.repartition(tasks, "side", "range").sortWithinPartitions("side", "range", "asks", "key")
     return dealt.mapInArrow(scan, "word string, n_near long, best_n long, best string")
 
 
