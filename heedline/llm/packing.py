@@ -338,15 +338,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Data
     rest = best_fit_rules(items, rooms, capacity)
     opened = max([before, *(s - (-(b - a + d) // e) for _, a, b, s, e, d in rest)])
     rest.append((capacity, 0, counts.get(capacity, 0), opened, 1, 0))
-    chosen = (
-        by_plan.join(sequences, "plan")
-        .select("uid", "sequence_id")
-        .unionByName(placed(pieces_, rest, "sequence_id").select("uid", "sequence_id"))
-    )
+    found = ["uid", "length", "sequence_id"]
+    chosen = by_plan.join(sequences, "plan").select(*found).unionByName(placed(pieces_, rest, "sequence_id").select(*found))
     ordered = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "uid")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset")
-    return cut.join(chosen, "uid").select(*[c for c in cut.columns if c != "uid"], "sequence_id", offset)
+    # Places are settled on narrow rows; ids move once.
+    places = chosen.select("uid", "sequence_id", offset)
+    return cut.join(places, "uid").select(*[c for c in cut.columns if c != "uid"], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
