@@ -112,7 +112,7 @@ def _filled_in_lots(v: Views) -> tables.Mailbox:
     cuts = v.all_cache.select(age.alias("s")).approxQuantile("s", [0.6], 0.01) or [0.0]
     for lot in range(2):
         box.save_extractions(v.all_cache.where((age >= cuts[0]).cast("int") == lot))
-        box.save_messages(v.messages.where(F.pmod(F.xxhash64("id"), F.lit(2)) == lot))
+        box.save_messages(v.messages.where(F.pmod(F.xxhash64("id"), F.lit(2)) == lot), stored=True)
         box.save_attachments(v.attachments.where(F.pmod(F.xxhash64("filename"), F.lit(2)) == lot))
     return box
 

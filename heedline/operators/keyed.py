@@ -6,6 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heedline.operators.joins import BROADCAST_KEYS
+from heedline.session import durable
+
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -24,6 +27,25 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return _pick(df, keys, order, F.max_by)
 
 
+def newest_of_stored(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """As ``newest_per_key``, for rows that are stored and so may be read several times.
+
+    Keys are counted apart from their rows.  A row whose key comes once is passed on where it is
+    read; only the others are sorted and moved.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    repeated = durable(counted.where("__n > 1").select(*keys), "repeated-keys")
+    n = repeated.count()
+    if not n:
+        return df
+    listed = repeated.withColumnsRenamed({k: f"__{k}" for k in keys})
+    listed = F.broadcast(listed) if n <= BROADCAST_KEYS else listed.hint("merge")
+    # A missing key is a key.
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    several = newest_per_key(df.join(listed, same, "left_semi"), keys, order)
+    return df.join(listed, same, "left_anti").unionByName(several)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return _pick(df, keys, order, F.min_by)
 

@@ -81,7 +81,7 @@ def sync(
     tally = durable(sync_tally(raw, stored, as_of, days), "tally")
     fresh = new_messages(raw, stored, as_of, days)
     rows = durable(landing.flatten_messages(fresh, F.lit(as_of)), "new-messages")
-    box.save_messages(rows)
+    box.save_messages(rows, stored=True)
     statuses = None
     if bodies is not None:
         refs = attachments.attachment_rows(rows)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from heedline import schemas
 from heedline.operators.joins import cut_down
-from heedline.operators.keyed import newest_per_key
+from heedline.operators.keyed import newest_of_stored
 from heedline.session import durable, folder_names
 
 BUCKET_ROWS = 1_000_000
@@ -245,7 +245,10 @@ class Table:
 
     def upsert(self, rows: DataFrame, order: list[Column]) -> None:
         """Write ``rows`` over the table; the greatest ``order`` of a key wins among them."""
-        fresh = durable(newest_per_key(schemas.align(rows, self.schema), self.keys, order), "fresh-rows")
+        self.put(newest_of_stored(durable(schemas.align(rows, self.schema), "given-rows"), self.keys, order))
+
+    def put(self, fresh: DataFrame) -> None:
+        """Write ``fresh`` over the table: one row for a key, with all columns, stored or read from what is."""
         n = fresh.count()
         if n:
             replaced = self.stored(fresh.select(*self.keys)).distinct()

@@ -13,7 +13,7 @@ from heedline import schemas
 from heedline.functions import dates, payload, text
 from heedline.operators.attachments import decoded
 from heedline.operators.joins import lookup_join, without
-from heedline.operators.keyed import first_per_key, newest_per_key, replace_by_key
+from heedline.operators.keyed import first_per_key, newest_of_stored, newest_per_key, replace_by_key
 from heedline.operators.pending import attachment_row, document_hash
 from heedline.session import durable
 from heedline.sources.landing import HASH_VERSION
@@ -69,21 +69,25 @@ class Mailbox:
         """(path, content_hash, content) of what was stored."""
         return stored_contents(self.spark, self.content_folder)
 
-    def save_messages(self, rows: DataFrame) -> None:
-        self.messages.upsert(rows, message_order())
+    def save_messages(self, rows: DataFrame, stored: bool = False) -> None:
+        """``stored``: ``rows`` are read from a table, so they need not be written to be read again."""
+        rows = schemas.align(rows, schemas.MESSAGES)
+        rows = rows if stored else durable(rows, "given-messages")
+        fresh = newest_of_stored(rows, MESSAGE_KEY, message_order())
+        self.messages.put(fresh)
         if self.short_ids:
             self.short_ids.take_in(rows.select("id"))
-        self._keep_up(items=message_items(newest_per_key(schemas.align(rows, schemas.MESSAGES), MESSAGE_KEY, message_order())))
+        self._keep_up(items=message_items(fresh))
 
     def save_extractions(self, rows: DataFrame) -> None:
         if not self.standing:
             self.extractions.upsert(rows, extraction_order())
             return
-        fresh = newest_per_key(schemas.align(rows, schemas.EXTRACTIONS), EXTRACTION_KEY, extraction_order())
-        fresh = durable(fresh, "fresh-extractions")
+        rows = durable(schemas.align(rows, schemas.EXTRACTIONS), "given-extractions")
+        fresh = newest_of_stored(rows, EXTRACTION_KEY, extraction_order())
         replaced = self.extractions.current(fresh.select(*EXTRACTION_KEY), ["extracted_json", "message_id"])
         replaced = durable(replaced, "replaced-extractions")
-        self.extractions.upsert(fresh, extraction_order())
+        self.extractions.put(fresh)
         self._keep_up(added=fresh, replaced=replaced)
 
     def save_attachments(self, rows: DataFrame) -> None:
