@@ -11,6 +11,7 @@ from heedline.catalog.registry import query
 from heedline.catalog.views import AS_OF_TIME, Views
 from heedline.functions import gist, invoice, payload, text
 from heedline.operators import attachments
+from heedline.operators.joins import cut_down, left_out
 from heedline.session import durable, new_folder
 from heedline.sources import landing, tables
 
@@ -61,16 +62,40 @@ def payload_json(doc: Column, body: Column) -> Column:
 def payloads(v: Views) -> DataFrame:
     """Stored messages with headers in odd case and one repeated, and their raw payload text."""
     if not hasattr(v, "stored_payloads"):
-        files = v.spark.sparkContext.defaultParallelism
-        v.stored_payloads = durable(_payloads(v).repartition(files, "id"), "payloads")
+        columns = ["id", "doc_id", "internal_date", "thread_id", "snippet", "label_ids", "raw_payload"]
+        v.stored_payloads = durable(_payloads(v).select(*columns), "payloads")
     return v.stored_payloads
 
 
 def _payloads(v: Views) -> DataFrame:
-    rows = v.table("documents").select("doc_id", "text").join(
-        v.view("msgs0").select("doc_id", "subject", "from_addr", "to_addr", "message_header_id", "date", "internal_date", "thread_id", "snippet", "label_ids"),
-        "doc_id",
-    )
+    single, again = by_doc_id(v, "msgs0")
+    if again is not None:
+        single = single.unionByName(texts_joined(again))
+    return single.withColumn("raw_payload", payload_text())
+
+
+def by_doc_id(v: Views, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of a view with their texts: those that have a doc_id alone, and the others, if there are any.
+
+    Joining documents with the view by doc_id gives the first as they are.  Which doc_ids are
+    repeated is settled on them alone, so no text moves for it.
+    """
+    rows = v.with_text(name)
+    ids = v.table("documents").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = durable(ids.where("n > 1").select("doc_id"), "repeated-ids")
+    n = repeated.count()
+    if not n:
+        return rows, None
+    return left_out(rows, repeated, ["doc_id"], n), cut_down(rows, repeated, ["doc_id"], n)
+
+
+def texts_joined(again: DataFrame) -> DataFrame:
+    """Every row with every text of its doc_id."""
+    return again.drop("text").join(again.select("doc_id", "text"), "doc_id")
+
+
+def payload_text() -> Column:
+    """Stored payload of a row of ``with_text``."""
 
     def header(name: str, value: Column | str) -> Column:
         return F.struct(F.lit(name).alias("name"), text.col(value).alias("value"))
@@ -86,9 +111,7 @@ def _payloads(v: Views) -> DataFrame:
     )
     known = F.filter(headers, lambda h: h["value"].isNotNull())
     tree = payload_json(F.col("doc_id"), F.col("text"))
-    joined = F.concat(F.lit('{"headers":'), F.to_json(known), F.lit(","), F.substr(tree, F.lit(2)))
-    built = rows.withColumn("raw_payload", joined).withColumn("id", F.col("doc_id").cast("string"))
-    return built.drop("text", "subject", "from_addr", "to_addr", "message_header_id", "date")
+    return F.concat(F.lit('{"headers":'), F.to_json(known), F.lit(","), F.substr(tree, F.lit(2)))
 
 
 def raw_messages(v: Views) -> DataFrame:

@@ -69,7 +69,7 @@ class Duck:
     newline = "chr(10)"
 
 
-def _views(d) -> dict[str, str]:
+def _views(d, also: str = "") -> dict[str, str]:
     nl = d.newline
     instant = f"{FIRST_SECOND} + doc_id * 1800"
     offset = "case doc_id % 4 when 1 then -25200 when 2 then 19800 else 0 end"
@@ -90,7 +90,7 @@ SELECT doc_id, cast(doc_id as string) id, cast(doc_id % 100 as string) thread_id
     else concat({d.rfc(f"{instant} + {offset}")}, ' ', {zone}) end date,
   case when doc_id % 17 = 0 then null else {instant} + {offset} end wall_seconds,
   case when doc_id % 17 = 0 then '' else concat({d.iso(f"{instant} + {offset}")}, {zone_key}) end date_key,
-  {instant} + 3600 synced_seconds, source
+  {instant} + 3600 synced_seconds, source{also}
 FROM documents""",
         "msgs1": f"""
 SELECT *, coalesce(nullif(body_text,''), nullif(body_html,''), nullif(snippet,''), '') body,
@@ -147,6 +147,18 @@ FROM conversations""",
 ORACLE_VIEWS = "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in _views(Duck).items()) + "\n"
 
 
+def message_columns(rows: DataFrame) -> DataFrame:
+    """Rows of ``msgs`` with the columns of the messages table that SQL spells otherwise."""
+    return rows.withColumns(
+        {
+            "label_ids": F.from_json("label_ids", "array<string>"),
+            "synced_at": F.timestamp_seconds("synced_seconds"),
+            "date_wall": F.timestamp_seconds("wall_seconds").cast("timestamp_ntz"),
+            "hash_version": F.lit(HASH_VERSION),
+        }
+    )
+
+
 class Views:
     """The views as DataFrames with the library's table schemas."""
 
@@ -182,17 +194,23 @@ class Views:
         ctes += [f"{n} AS ({sql})" for n, sql in zip(names, needed)]
         return self.spark.sql(f"WITH {',\n'.join(ctes)}\nSELECT * FROM {name}")
 
+    def with_text(self, name: str) -> DataFrame:
+        """``msgs0`` or ``msgs`` with the text of the document itself, for one pass over the documents.
+
+        The driver's tables may be one file with one row group; so texts are dealt out before
+        anything larger is made of them.  Documents without a doc_id match nothing and are left out.
+        """
+        files = self.spark.sparkContext.defaultParallelism
+        dealt = self.table("documents").where("doc_id IS NOT NULL").repartition(files, "doc_id")
+        dealt.createOrReplaceTempView(f"{self._prefix}_dealt_documents")
+        sql = _views(Spark, ", text")
+        needed = list(sql)[: list(sql).index(name) + 1]
+        ctes = [f"documents AS (SELECT * FROM {self._prefix}_dealt_documents)", *[f"{n} AS ({sql[n]})" for n in needed]]
+        return self.spark.sql(f"WITH {',\n'.join(ctes)}\nSELECT * FROM {name}")
+
     @cached_property
     def messages(self) -> DataFrame:
-        rows = self.view("msgs").withColumns(
-            {
-                "label_ids": F.from_json("label_ids", "array<string>"),
-                "synced_at": F.timestamp_seconds("synced_seconds"),
-                "date_wall": F.timestamp_seconds("wall_seconds").cast("timestamp_ntz"),
-                "hash_version": F.lit(HASH_VERSION),
-                "raw_payload": F.lit(None).cast("string"),
-            }
-        )
+        rows = message_columns(self.view("msgs")).withColumn("raw_payload", F.lit(None).cast("string"))
         return self._stored(rows, schemas.MESSAGES, "id")
 
     def _stored(self, rows: DataFrame, schema: T.StructType, key: str) -> DataFrame:

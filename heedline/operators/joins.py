@@ -120,6 +120,15 @@ def cut_down(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], n: int | N
     Up to BROADCAST_KEYS keys go to every task, so that ``rows`` are filtered where they are read;
     more of them meet by a shuffle.
     """
-    n = wanted.count() if n is None else n
-    wanted = wanted.select(*keys)
-    return rows.join(F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted.hint("merge"), list(keys), "left_semi")
+    return _matched(rows, wanted, keys, n, "left_semi")
+
+
+def left_out(rows: DataFrame, unwanted: DataFrame, keys: Sequence[str], n: int | None = None) -> DataFrame:
+    """Rows of ``rows`` with none of the ``unwanted`` keys, by the same ways as ``cut_down``."""
+    return _matched(rows, unwanted, keys, n, "left_anti")
+
+
+def _matched(rows: DataFrame, listed: DataFrame, keys: Sequence[str], n: int | None, how: str) -> DataFrame:
+    n = listed.count() if n is None else n
+    listed = listed.select(*keys)
+    return rows.join(F.broadcast(listed) if n <= BROADCAST_KEYS else listed.hint("merge"), list(keys), how)
