@@ -8,11 +8,11 @@ from heedline.catalog.analysis import _TASKS_SQL as ANSWERS_SQL
 from heedline.catalog.analysis import KEY
 from heedline.catalog.expressions import label_sql, week_sql
 from heedline.catalog.linking import SAVE_SQL, SHORT_IDS_SQL, copied_bodies, copied_refs
-from heedline.catalog.nested import FLAT_MESSAGES_SQL, base64url, flat_columns, payloads, raw_messages
+from heedline.catalog.nested import FLAT_MESSAGES_SQL, base64url, by_doc_id, flat_columns, payload_text, payloads, raw_messages, texts_joined
 from heedline.catalog.registry import query
 from heedline.catalog.rules import failure_sql, reply_sql
 from heedline.catalog.selection import NOT_SENT_SQL, TASKS_SQL, second_delivery, unique_cache
-from heedline.catalog.views import AS_OF, AS_OF_TIME, Views
+from heedline.catalog.views import AS_OF, AS_OF_TIME, Views, message_columns
 from heedline.operators import attachments
 from heedline.plans import analyze, gists, sync, views as plan_views
 from heedline.rules import by_hash
@@ -397,8 +397,13 @@ def backfill_refs(v: Views) -> DataFrame:
 
 
 def _with_payload(v: Views) -> DataFrame:
-    payload_rows = payloads(v).select("id", "raw_payload")
-    return schemas.align(v.messages.drop("raw_payload").join(payload_rows, "id"), schemas.MESSAGES)
+    """Messages with their payloads, as a join by id gives them; where a doc_id is alone that is one row."""
+    single, again = by_doc_id(v, "msgs")
+    rows = single.withColumn("raw_payload", payload_text())
+    if again is not None:
+        built = texts_joined(again).select("doc_id", payload_text().alias("raw_payload"))
+        rows = rows.unionByName(again.join(built, "doc_id").select(*rows.columns))
+    return schemas.align(message_columns(rows), schemas.MESSAGES)
 
 
 @query(

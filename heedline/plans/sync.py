@@ -98,7 +98,9 @@ def attachment_count(atts: DataFrame) -> DataFrame:
 def backfill_refs(messages: DataFrame, atts: DataFrame, as_of, days: int = 30, compat: bool = False, listing=None) -> DataFrame:
     """References in recent stored payloads whose bytes are still missing."""
     window = tables.since_window(messages, as_of, days, compat)
-    return pending.missing_attachments(attachments.attachment_rows(window), atts, listing)
+    # Read several times in what follows, so payloads are not parsed again for each.
+    refs = durable(attachments.attachment_rows(window), "window-references")
+    return pending.missing_attachments(refs, atts, listing)
 
 
 def backfill(
