@@ -273,12 +273,12 @@ def documents_with_bytes(v: Views) -> DataFrame:
 
 
 def _landed(v: Views) -> str:
-    """Raw messages as JSON lines, each seventh delivered twice."""
+    """Raw messages as JSON lines, each seventh delivered twice; payloads are base64, so files are compressed."""
     folder = new_folder(v.spark, "landing")
     raw = raw_messages(v)
     repeated = raw.where(F.col("id").cast("long") % 7 == 0)
     lines = raw.unionByName(repeated).select(F.to_json(F.struct(*schemas.RAW_MESSAGES.names)).alias("value"))
-    lines.write.text(folder)
+    lines.write.option("compression", "gzip").text(folder)
     return folder
 
 
@@ -300,7 +300,7 @@ def staged_landing(v: Views) -> DataFrame:
     raw, path = v.spark.read.text(_landed(v)), new_folder(v.spark, "landing")
     lots, box = F.pmod(F.xxhash64("value"), F.lit(2)), landing.Landing(v.spark, path, new_folder(v.spark, "staged"))
     for lot in range(2):
-        raw.where(lots == lot).write.text(f"{path}/{lot}")
+        raw.where(lots == lot).write.option("compression", "gzip").text(f"{path}/{lot}")
         box.take_in()
     if box.take_in():
         raise RuntimeError("files were staged twice")

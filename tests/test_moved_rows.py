@@ -4,6 +4,8 @@ import pytest
 
 from heedline.catalog import jobs, nested
 from heedline.catalog.views import Views
+from heedline.session import folder_names
+from heedline.sources import landing
 
 
 def plan(df) -> str:
@@ -41,3 +43,11 @@ def test_messages_with_payload_are_those_of_the_join_by_id(spark, folder, ids):
     whole = v.messages.drop("raw_payload").join(nested.payloads(v).select("id", "raw_payload"), "id")
     key = lambda rows: sorted(map(repr, rows.select(*columns).collect()))
     assert key(jobs._with_payload(v)) == key(whole)
+
+
+def test_landed_files_are_compressed_and_hold_every_delivery(spark, folder):
+    v = documents(spark, folder, range(15))
+    landed = jobs._landed(v)
+    assert all(name.endswith(".gz") for name in folder_names(spark, landed) if name.startswith("part-"))
+    ids = [r["id"] for r in landing.raw_messages(spark, landed).select("id").collect()]
+    assert sorted(map(int, ids)) == sorted([*range(15), 0, 7, 14])
