@@ -119,7 +119,7 @@ def new_deliveries(raw: DataFrame, stored: DataFrame) -> DataFrame:
     late ones the one with the greatest digest.  Payloads join those picks afterwards: they stay
     where they are if the picks are few.  Records that were not staged are staged first.
     """
-    raw = staged(raw)
+    raw = staged(raw, by_day=False)
     last = F.struct(F.coalesce(F.col("internalDate").try_cast("long"), F.lit(0)).alias("at"), DIGEST, ROW)
     latest = raw.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(last).alias("last"))
     picks = durable(unknown(latest.select("id", F.col(f"last.{ROW}").alias(ROW)), stored), "new-ids")

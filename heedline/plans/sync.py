@@ -77,7 +77,7 @@ def sync(
 
     ``raw`` is read once, unless it is staged already (``landing.Landing``).
     """
-    raw, stored = landing.staged(raw), box.messages.read()
+    raw, stored = landing.staged(raw, by_day=days is not None), box.messages.read()
     tally = durable(sync_tally(raw, stored, as_of, days), "tally")
     fresh = new_messages(raw, stored, as_of, days)
     rows = durable(landing.flatten_messages(fresh, F.lit(as_of)), "new-messages")

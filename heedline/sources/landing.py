@@ -63,11 +63,12 @@ def dated(raw: DataFrame) -> DataFrame:
     return marked.withColumn(MILLIS, F.coalesce(feed, dates.mail_epoch("__date") * 1000)).drop("__date")
 
 
-def staged(raw: DataFrame, folder: str | None = None, load: int = 0) -> DataFrame:
+def staged(raw: DataFrame, folder: str | None = None, load: int = 0, by_day: bool = True) -> DataFrame:
     """``raw`` written once, by day, with its time (``MILLIS``), a digest and a name for every row.
 
     What follows reads columns of Parquet: look-back windows prune by day, and repeats are told
-    apart by digests, without a payload being read.
+    apart by digests, without a payload being read.  Without ``by_day`` payloads are written where
+    they are read, for those who take all days.
     """
     if MILLIS in raw.columns:
         return raw
@@ -76,9 +77,12 @@ def staged(raw: DataFrame, folder: str | None = None, load: int = 0) -> DataFram
     marked = dated(raw).withColumns({DIGEST: F.xxhash64(*others), ROW: row})
     # Times beyond the years that dates have count as the first or the last day.
     within = F.when(F.col(MILLIS).isNotNull(), F.greatest(F.lit(_FIRST_MILLIS), F.least(F.lit(_LAST_MILLIS), MILLIS)))
-    placed = marked.withColumn(DAY, F.timestamp_millis(within).cast("date")).hint("rebalance", DAY)
+    placed = marked.withColumn(DAY, F.timestamp_millis(within).cast("date"))
     folder = folder or new_folder(raw.sparkSession, "staged")
-    placed.write.mode("overwrite").partitionBy(DAY).parquet(folder)
+    if by_day:
+        placed.hint("rebalance", DAY).write.mode("overwrite").partitionBy(DAY).parquet(folder)
+    else:
+        placed.write.mode("overwrite").parquet(folder)
     return raw.sparkSession.read.schema(placed.schema).parquet(folder)
 
 

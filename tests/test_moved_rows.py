@@ -4,6 +4,7 @@ import pytest
 
 from heedline.catalog import jobs, nested
 from heedline.catalog.views import Views
+from heedline.operators import pending
 from heedline.session import folder_names
 from heedline.sources import landing
 
@@ -51,3 +52,11 @@ def test_landed_files_are_compressed_and_hold_every_delivery(spark, folder):
     assert all(name.endswith(".gz") for name in folder_names(spark, landed) if name.startswith("part-"))
     ids = [r["id"] for r in landing.raw_messages(spark, landed).select("id").collect()]
     assert sorted(map(int, ids)) == sorted([*range(15), 0, 7, 14])
+
+
+def test_deliveries_of_all_days_are_staged_without_a_folder_for_each(spark, folder):
+    v = documents(spark, folder, range(0, 400, 40))
+    raw = nested.raw_messages(v)
+    fresh = pending.new_deliveries(raw.unionByName(raw), raw.where("id = '40'").select("id"))
+    assert sorted(int(r["id"]) for r in fresh.select("id").collect()) == [i for i in range(0, 400, 40) if i != 40]
+    assert not any(landing.DAY in path for path in fresh.inputFiles())
