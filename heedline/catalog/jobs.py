@@ -8,7 +8,7 @@ from heedline.catalog.analysis import _TASKS_SQL as ANSWERS_SQL
 from heedline.catalog.analysis import KEY
 from heedline.catalog.expressions import label_sql, week_sql
 from heedline.catalog.linking import SAVE_SQL, SHORT_IDS_SQL, copied_bodies, copied_refs
-from heedline.catalog.nested import FLAT_MESSAGES_SQL, base64url, by_doc_id, flat_columns, payload_text, payloads, raw_messages, texts_joined
+from heedline.catalog.nested import FLAT_MESSAGES_SQL, base64url, built_payloads, by_doc_id, flat_columns, payload_text, payloads, raw_messages, texts_joined
 from heedline.catalog.registry import query
 from heedline.catalog.rules import failure_sql, reply_sql
 from heedline.catalog.selection import NOT_SENT_SQL, TASKS_SQL, second_delivery, unique_cache
@@ -284,10 +284,12 @@ def _landed(v: Views) -> str:
 
 def _bodies(v: Views) -> DataFrame:
     """Attachment bodies for every reference of the landed messages: the page of the same number
-    modulo the number of pages, so that all are read and contents repeat."""
-    refs = attachments.attachment_rows(payloads(v)).select("message_id", "attachment_id")
-    pages = v.table("pages").select("page_id", base64url(F.col("html")).alias("data"))
-    return refs.join(pages, F.col("message_id").cast("long") % v.table("pages").count() == F.col("page_id")).select("message_id", "attachment_id", "data")
+    modulo the number of pages, so that all are read and contents repeat.  References are stored, not
+    the payloads they are read from; pages are coded when they have met them."""
+    refs = attachments.attachment_rows(built_payloads(v)).select("message_id", "attachment_id")
+    refs, pages = durable(refs, "body-references"), v.table("pages").select("page_id", "html")
+    met = refs.join(pages, F.col("message_id").cast("long") % v.table("pages").count() == F.col("page_id"))
+    return met.select("message_id", "attachment_id", base64url(F.col("html")).alias("data"))
 
 
 @query(

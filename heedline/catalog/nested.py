@@ -62,11 +62,16 @@ def payload_json(doc: Column, body: Column) -> Column:
 def payloads(v: Views) -> DataFrame:
     """Stored messages with headers in odd case and one repeated, and their raw payload text."""
     if not hasattr(v, "stored_payloads"):
-        columns = ["id", "doc_id", "internal_date", "thread_id", "snippet", "label_ids", "raw_payload"]
-        v.stored_payloads = durable(_payloads(v).select(*columns), "payloads")
+        v.stored_payloads = durable(built_payloads(v), "payloads")
     return v.stored_payloads
 
 
+def built_payloads(v: Views) -> DataFrame:
+    """The rows of ``payloads`` for one reader: unless they are stored already, they are built as texts are read."""
+    columns = ["id", "doc_id", "internal_date", "thread_id", "snippet", "label_ids", "raw_payload"]
+    return v.stored_payloads if hasattr(v, "stored_payloads") else _payloads(v).select(*columns)
+
+
 def _payloads(v: Views) -> DataFrame:
     single, again = by_doc_id(v, "msgs0")
     if again is not None:

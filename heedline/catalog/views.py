@@ -198,10 +198,13 @@ class Views:
         """``msgs0`` or ``msgs`` with the text of the document itself, for one pass over the documents.
 
         The driver's tables may be one file with one row group; so texts are dealt out before
-        anything larger is made of them.  Documents without a doc_id match nothing and are left out.
+        anything larger is made of them, unless there are files enough to read them in parallel.
+        Documents without a doc_id match nothing and are left out.
         """
-        files = self.spark.sparkContext.defaultParallelism
-        dealt = self.table("documents").where("doc_id IS NOT NULL").repartition(files, "doc_id")
+        files, table = self.spark.sparkContext.defaultParallelism, self.table("documents")
+        dealt = table.where("doc_id IS NOT NULL")
+        if len(table.inputFiles()) < files:
+            dealt = dealt.repartition(files, "doc_id")
         dealt.createOrReplaceTempView(f"{self._prefix}_dealt_documents")
         sql = _views(Spark, ", text")
         needed = list(sql)[: list(sql).index(name) + 1]

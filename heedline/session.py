@@ -1,6 +1,8 @@
 """Session settings the expressions rely on, and where durable intermediate data goes."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +75,18 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def folders_open(spark: SparkSession, n: int) -> Iterator[None]:
+    """Writes of this block: a task holds up to ``n`` folders open, instead of sorting whole rows by folder.
+
+    For rows in no order; those of further folders are sorted, by their folder alone.
+    """
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -11,7 +11,9 @@ written again as often, and the list of replaced keys stays below half of the ro
 
 The rows of a run are dealt into buckets by the low bits of a hash of the key.  A run has one bit
 more when it has twice the rows, so buckets keep their size as the table grows, and a few keys are
-looked up by reading their buckets alone.
+looked up by reading their buckets alone.  Rows of a large run stay in the task that reads them, which
+writes a file for each bucket; those of small runs and of runs with many buckets are brought together,
+so that files are few.
 
 The current runs are listed in one small file, written anew with each change and put in place by
 a rename; a failed job leaves the old list current.  One job at a time may write to a table.
@@ -28,13 +30,15 @@ from pyspark.sql import types as T
 from heedline import schemas
 from heedline.operators.joins import cut_down
 from heedline.operators.keyed import newest_of_stored
-from heedline.session import durable, folder_names
+from heedline.session import durable, folder_names, folders_open
 
 BUCKET_ROWS = 1_000_000
 # A run is merged with those after it when it has less than so many times their rows.
 RATIO = 2
 # So many runs of less than a bucket are left as they are.
 FEW = 4
+# Runs of at least so many rows in at most so many buckets are written where they are read.
+DIRECT_ROWS, DIRECT_BUCKETS = 10_000, 8
 KEPT_STATES = 5
 _ORDER, _GONE, _KIND, _BUCKET = "__order", "__gone", "__kind", "__bucket"
 
@@ -194,18 +198,27 @@ class Table:
 
     def _write_run(self, number: int, order: int, rows: DataFrame, n_rows: int, gone: DataFrame | None) -> dict:
         bits = max(0, -(-n_rows // self.bucket_rows) - 1).bit_length()
-        low = self._hash().bitwiseAND(F.lit(2**bits - 1)).alias(_BUCKET)
-        placed = rows.select(*self.schema.names, F.lit("rows").alias(_KIND), low)
         n_gone = gone.count() if gone is not None else 0
-        if n_gone:
-            replaced = schemas.align(gone, self.schema)
-            placed = placed.unionByName(replaced.select(*self.schema.names, F.lit("gone").alias(_KIND), F.lit(0).cast("long").alias(_BUCKET)))
-        # Few files per bucket, large buckets in several.
-        placed = placed.hint("rebalance", _KIND, _BUCKET)
-        placed.write.mode("overwrite").partitionBy(_KIND, _BUCKET).parquet(f"{self.folder}/v={number}")
+        placed = self._placed(rows, n_rows, bits, gone if n_gone else None)
+        with folders_open(placed.sparkSession, DIRECT_BUCKETS + 1):
+            writer = placed.write.mode("overwrite").partitionBy(_KIND, _BUCKET)
+            writer.option("compression", "zstd").parquet(f"{self.folder}/v={number}")
         paths = [[f"v={number}/{_KIND}={kind}"] if n else [] for kind, n in (("rows", n_rows), ("gone", n_gone))]
         return self._described(order, *paths, n_rows, n_gone, bits)
 
+    def _placed(self, rows: DataFrame, n_rows: int, bits: int, gone: DataFrame | None) -> DataFrame:
+        """Rows and replaced keys with their kind and bucket, in the tasks that write them."""
+        low = self._hash().bitwiseAND(F.lit(2**bits - 1)).alias(_BUCKET)
+        placed = rows.select(*self.schema.names, F.lit("rows").alias(_KIND), low)
+        # Few files per bucket, large buckets in several.
+        brought = lambda some: some.hint("rebalance", _KIND, _BUCKET)
+        direct = n_rows >= DIRECT_ROWS and 2**bits <= DIRECT_BUCKETS
+        if gone is not None:
+            replaced = schemas.align(gone, self.schema)
+            replaced = replaced.select(*self.schema.names, F.lit("gone").alias(_KIND), F.lit(0).cast("long").alias(_BUCKET))
+            placed = placed.unionByName(brought(replaced) if direct else replaced)
+        return placed if direct else brought(placed)
+
     def _add(self, rows: DataFrame, n_rows: int, gone: DataFrame | None) -> None:
         number, runs = self._state()
         runs = [*runs, self._write_run(number + 1, number + 1, rows, n_rows, gone)]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from heedline import schemas
 from heedline.functions import dates, payload, text
 from heedline.operators.attachments import decoded
-from heedline.operators.joins import lookup_join, without
+from heedline.operators.joins import cut_down, lookup_join, without
 from heedline.operators.keyed import first_per_key, newest_of_stored, newest_per_key, replace_by_key
 from heedline.operators.pending import attachment_row, document_hash
 from heedline.session import durable
@@ -226,7 +226,7 @@ def write_contents(
     """Bytes of newly stored attachments, once per content.
 
     What is stored already is left out, so a job that is run again writes nothing twice.  That
-    is settled on hashes; only the bytes to be written are then taken from ``bodies``.
+    is settled on hashes; only the bytes to be written are then taken from ``bodies``, and move once.
     Month folders stay few; add "domain" only for archives with few senders.
     """
     pieces = F.split(F.col("raw_path"), "/")
@@ -240,11 +240,12 @@ def write_contents(
     )
     known = stored_contents(plan.sparkSession, folder).select("content_hash")
     wanted = durable(without(rows, known, ["content_hash"], "path"), "wanted-contents")
-    found = decoded(bodies).join(wanted, ["message_id", "attachment_id", "content_hash"])
+    found = cut_down(decoded(bodies), wanted, ["message_id", "attachment_id", "content_hash"])
     # An attachment may have been delivered more than once.
-    once = found.repartition("content_hash").dropDuplicates(["content_hash"])
-    once = once.select("path", "content_hash", "content", "domain", "year_month")
-    once.write.mode("append").partitionBy(*partition_by).parquet(folder)
+    once = found.select("content_hash", "content").repartition("content_hash").dropDuplicates(["content_hash"])
+    places = wanted.select("path", "content_hash", "domain", "year_month").dropDuplicates(["content_hash"])
+    once = once.join(places, "content_hash").select("path", "content_hash", "content", "domain", "year_month")
+    once.write.mode("append").option("compression", "zstd").partitionBy(*partition_by).parquet(folder)
 
 
 def result_texts(results: DataFrame, gist: bool) -> DataFrame:

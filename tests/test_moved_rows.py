@@ -1,12 +1,18 @@
 """What moves between tasks: texts and payloads stay where they are read, keys go."""
 
+import base64
+import hashlib
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heedline.catalog import jobs, nested
 from heedline.catalog.views import Views
-from heedline.operators import pending
+from heedline.operators import joins, pending
 from heedline.session import folder_names
-from heedline.sources import landing
+from heedline.sources import landing, runs, tables
 
 
 def plan(df) -> str:
@@ -60,3 +66,64 @@ def test_deliveries_of_all_days_are_staged_without_a_folder_for_each(spark, fold
     fresh = pending.new_deliveries(raw.unionByName(raw), raw.where("id = '40'").select("id"))
     assert sorted(int(r["id"]) for r in fresh.select("id").collect()) == [i for i in range(0, 400, 40) if i != 40]
     assert not any(landing.DAY in path for path in fresh.inputFiles())
+
+
+def test_texts_are_dealt_out_only_where_files_are_few(spark, folder):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = spark.createDataFrame([(i, f"text {i}", "en", "web", 9) for i in range(40)], schema)
+    for name, files in (("one", 1), ("many", 2 * spark.sparkContext.defaultParallelism)):
+        rows.repartition(files).write.parquet(f"{folder}/{name}/documents.parquet")
+    one, many = Views(spark, f"{folder}/one"), Views(spark, f"{folder}/many")
+    assert "Repartition" in plan(one.with_text("msgs")) and "Repartition" not in plan(many.with_text("msgs"))
+    key = lambda v: sorted(map(repr, v.with_text("msgs").collect()))
+    assert key(one) == key(many)
+
+
+@pytest.mark.parametrize("ids", [range(12), [1, 2, 2, 3, 8, 8, 8, None]])
+def test_bodies_need_references_and_no_stored_payloads(spark, folder, ids):
+    v = documents(spark, folder, ids)
+    html = ["<p>zero</p>", None, "<p>zwei</p>", "x"]
+    spark.createDataFrame(list(enumerate(html)), "page_id bigint, html string").repartition(1).write.parquet(f"{folder}/pages.parquet")
+    decoded = F.unbase64(F.translate("data", "-_", "+/")).cast("string")
+    found = sorted(map(tuple, jobs._bodies(v).select("message_id", "attachment_id", decoded).collect()), key=repr)
+    assert not hasattr(v, "stored_payloads")
+    known = [i for i in ids if i is not None]
+    # A doc_id meets every text of itself, so n rows of it give n * n of each reference.
+    wanted = [(str(i), f"{letter}{i}", html[i % 4]) for i in known for _ in range(known.count(i)) for letter, kinds in (("a", (2, 3)), ("s", (3,))) if i % 5 in kinds]
+    assert found == sorted(wanted, key=repr)
+
+
+def test_large_runs_are_written_where_they_are_read(spark, folder):
+    table = runs.Table(spark, f"{folder}/t", T.StructType.fromDDL("id string, text string"), ["id"], bucket_rows=4000)
+    rows = lambda start, end, text: spark.range(start, end, 1, 3).select(F.col("id").cast("string").alias("id"), F.lit(text).alias("text"))
+    files = lambda at: [str(p) for p in Path(f"{folder}/t/{at}").rglob("*.parquet")]
+    table.write(rows(0, 12_000, "old"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    # Three tasks, four buckets.
+    assert len(files("v=0")) == 12 and all(".zstd." in p for p in files("v=0"))
+    table.upsert(rows(8_000, 24_000, "new"), [F.col("text")])
+    counts = {r["text"]: r["n"] for r in table.read().groupBy("text").agg(F.countDistinct("id").alias("n"), F.count("*").alias("rows")).where("n = rows").collect()}
+    assert counts == {"old": 8_000, "new": 16_000}
+    wanted = spark.createDataFrame([("3",), ("9000",), ("x",)], "id string")
+    assert sorted(map(tuple, table.current(wanted, ["text"]).collect())) == [("3", "old"), ("9000", "new")]
+    # Small runs are brought together.
+    table.append(rows(30_000, 30_100, "few"))
+    assert len(files(f"v={table.number()}")) == 1
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_wanted_contents_meet_bodies_by_either_way(spark, folder, most, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", most)
+    plans, where_read = [], tables.cut_down
+    monkeypatch.setattr(tables, "cut_down", lambda *given: plans.append(where_read(*given)) or plans[-1])
+    coded = {c: base64.urlsafe_b64encode(c.encode()).decode() for c in "pqr"}
+    given = [("1", "a", "p"), ("1", "a", "p"), ("2", "b", "q"), ("3", "c", "r"), ("4", "d", "p")]
+    bodies = spark.createDataFrame([(m, a, coded[c]) for m, a, c in given] + [("5", "e", None)], "message_id string, attachment_id string, data string")
+    sha = {c: hashlib.sha256(c.encode()).hexdigest() for c in coded}
+    planned = [("1", "a", "p", "downloaded"), ("2", "b", "q", "downloaded"), ("3", "c", "r", "conversion_failed"), ("4", "d", "p", "exists")]
+    plan_rows = [(m, a, f"/s/{c}", sha[c], f"s/2024-01/x.com/{c}", status) for m, a, c, status in planned]
+    decided = spark.createDataFrame(plan_rows, "message_id string, attachment_id string, path string, content_hash string, raw_path string, status string")
+    tables.write_contents(decided, bodies, f"{folder}/contents")
+    assert ("broadcast" in plan(plans[0])) == (most > 0)
+    stored = tables.stored_contents(spark, f"{folder}/contents").collect()
+    assert sorted((r["path"], r["content_hash"], bytes(r["content"])) for r in stored) == [("/s/p", sha["p"], b"p"), ("/s/q", sha["q"], b"q")]
