@@ -273,9 +273,12 @@ def documents_with_bytes(v: Views) -> DataFrame:
 
 
 def _landed(v: Views) -> str:
-    """Raw messages as JSON lines, each seventh delivered twice; payloads are base64, so files are compressed."""
+    """Raw messages as JSON lines, each seventh delivered twice; payloads are base64, so files are compressed.
+
+    They are built as documents are read: what lands is the one copy of them that is written.
+    """
     folder = new_folder(v.spark, "landing")
-    raw = raw_messages(v)
+    raw = raw_messages(v, built_payloads(v))
     repeated = raw.where(F.col("id").cast("long") % 7 == 0)
     lines = raw.unionByName(repeated).select(F.to_json(F.struct(*schemas.RAW_MESSAGES.names)).alias("value"))
     lines.write.option("compression", "gzip").text(folder)

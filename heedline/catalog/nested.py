@@ -119,9 +119,10 @@ def payload_text() -> Column:
     return F.concat(F.lit('{"headers":'), F.to_json(known), F.lit(","), F.substr(tree, F.lit(2)))
 
 
-def raw_messages(v: Views) -> DataFrame:
+def raw_messages(v: Views, stored: DataFrame | None = None) -> DataFrame:
+    """Rows of ``payloads``, or of ``stored``, as they land."""
     labels = F.from_json("label_ids", "array<string>")
-    return payloads(v).select(
+    return (payloads(v) if stored is None else stored).select(
         "id",
         F.col("thread_id").alias("threadId"),
         labels.alias("labelIds"),

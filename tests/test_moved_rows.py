@@ -79,6 +79,15 @@ def test_texts_are_dealt_out_only_where_files_are_few(spark, folder):
     assert key(one) == key(many)
 
 
+def test_what_lands_is_the_only_copy_of_payloads_that_is_written(spark, folder):
+    v = documents(spark, folder, [0, 1, 2, 2, 3, 7, 14, 18])
+    lines = lambda at: sorted(r["value"] for r in spark.read.text(at).collect())
+    landed = lines(jobs._landed(v))
+    assert not hasattr(v, "stored_payloads")
+    nested.payloads(v)
+    assert landed == lines(jobs._landed(v))
+
+
 @pytest.mark.parametrize("ids", [range(12), [1, 2, 2, 3, 8, 8, 8, None]])
 def test_bodies_need_references_and_no_stored_payloads(spark, folder, ids):
     v = documents(spark, folder, ids)
