@@ -22,6 +22,7 @@ __all__ = [
     "packed",
     "per_process",
     "read_table",
+    "released",
     "row_ids",
     "rows_of",
     "small_batches",
@@ -53,6 +54,26 @@ def per_process(key, make: Callable):
     return kept[key]
 
 
+def released(run: Callable) -> Callable:
+    """``run`` (batches to batches); at its end the worker gives back the memory that is free by then.
+
+    Workers live on for the tasks that follow, and would keep as much as their largest task took
+    while the joins of later stages fill the executor.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        # Where the C library has it.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 class Recent:
     """Values by key, in two generations: what was used of late stays when the bound is reached."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heedline.llm.common import durable, new_folder, split_hot
+from heedline.llm.common import durable, new_folder, released, split_hot
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -64,7 +64,7 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
                     doc.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (h1, h2, doc)], [*KEY, "doc"])
 
-    return docs.select(doc_key().alias("doc"), "text").mapInArrow(run, "h1 long, h2 long, doc long")
+    return docs.select(doc_key().alias("doc"), "text").mapInArrow(released(run), "h1 long, h2 long, doc long")
 
 
 class LineRuns:
@@ -199,7 +199,7 @@ def drop_lines(
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
     with_drops = docs.withColumn("__line_doc", doc_key()).join(drops, "__line_doc", "left")
     with_drops = with_drops.select(*docs.columns, "__line_drops")
-    return with_drops.mapInArrow(strip, schema)
+    return with_drops.mapInArrow(released(strip), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heedline.llm.common import durable, row_ids, small_batches, split_hot
+from heedline.llm.common import durable, released, row_ids, small_batches, split_hot
 
 WORDS = 5
 THRESHOLD = 80
@@ -171,7 +171,7 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return _named(docs).mapInArrow(run, schema)
+    return _named(docs).mapInArrow(released(run), schema)
 
 
 def rows_per_band(threshold: int) -> int:
@@ -205,7 +205,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["uid", "sig", "elements"])
 
     texts = _named(docs).join(wanted, ["doc", "text_hash"]).select("uid", "sig", "text")
-    return texts.mapInArrow(run, "uid long, sig binary, elements binary")
+    return texts.mapInArrow(released(run), "uid long, sig binary, elements binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -333,7 +333,7 @@ def alike_in_cells(cells: DataFrame, rows: int, least: float, best_only: bool) -
             yield _as_pairs(held, np.array([0]), np.array([len(held["key"])]), rows, least, best_only)
 
     dealt = cells.repartition(*names).sortWithinPartitions(*names)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _as_pairs(part: dict, starts: np.ndarray, ends: np.ndarray, rows: int, least: float, best_only: bool) -> pa.RecordBatch:
@@ -386,9 +386,10 @@ def groups(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     a group of any size comes together in a few rounds with a row for each member and round.
     At last all pairs of a bucket are met that have different roots.
     """
-    spark, rows = members.sparkSession, rows_per_band(threshold)
-    roots = spark.createDataFrame([], "uid long, root long")
-    tested = spark.createDataFrame([], "a long, b long")
+    rows, none = rows_per_band(threshold), members.sparkSession.range(0)
+    # Empty tables that need no Python worker to be read.
+    roots = none.select(F.col("id").alias("uid"), F.col("id").alias("root"))
+    tested = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
     signed_, least = sets.select("uid", "sig"), threshold / 100 - SLACK
 
     def standing(some: DataFrame) -> DataFrame:

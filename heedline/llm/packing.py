@@ -28,18 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heedline.llm.bpe import byte_letters
-from heedline.llm.common import durable, numbered, per_process, row_ids, small_batches
+from heedline.llm.common import durable, numbered, per_process, released, row_ids, small_batches
 
 CAPACITY = 1024
 END_ID = 2
 GROUPS = 64
 SMALL = 8
 SHARE = 0.7
-# Pieces between spaces whose ids a worker remembers; the store is emptied when full.
+# Pieces between spaces whose ids a task remembers; the store is emptied when full.
 KNOWN_UNITS = 300_000
 
 # The byte-level split pattern (fixed value).
@@ -75,6 +75,7 @@ def byte_encoder(tokenizer_path: str):
     special token's string, which tokenizers turns into that token, go to tokenizers itself.
     """
     import json
+    from functools import cache
     from struct import pack
 
     import tiktoken
@@ -87,13 +88,15 @@ def byte_encoder(tokenizer_path: str):
     byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     plain = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(tokenizer_path)
+    del spec, ranks
+    # A second vocabulary in memory, which few workers need.
+    whole = cache(lambda: Tokenizer.from_file(tokenizer_path))
 
     def ids(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             if any(s in text for s in special):
-                found = whole.encode(text, add_special_tokens=False).ids
+                found = whole().encode(text, add_special_tokens=False).ids
             else:
                 found = plain.encode_ordinary(text)
             out.append(pack(f"<{len(found)}I", *found))
@@ -109,7 +112,7 @@ def token_ids(tokenizer_path: str):
     which stands for nothing.
     """
     ids = per_process(("byte-encoder", tokenizer_path), lambda: byte_encoder(tokenizer_path))
-    known: dict[str, bytes] = per_process(("units", tokenizer_path), dict)
+    known: dict[str, bytes] = {}
 
     def encode(units: list[list[str | None]]) -> list[bytes]:
         if len(known) > KNOWN_UNITS:
@@ -150,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             names = ("uid", "doc_id", "piece", "start", "length", "ids")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(released(cut), PIECES)
 
 
 def best_fill(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[float, np.ndarray]:
@@ -293,7 +296,14 @@ def best_fit_rules(items: list[tuple], rooms: dict[int, int], capacity: int) ->
     return rules
 
 
-RULES = "length long, first long, last long, sequence long, each long, done long"
+RULES = ["length", "first", "last", "sequence", "each", "done"]
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few rows of numbers, as an Arrow table: rows of Python objects would need Python workers to be read."""
+    columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+    schema = pa.schema([(name, pa.int64()) for name in names])
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema))
 
 
 def placed(numbered_pieces: DataFrame, rules: list[tuple], name: str) -> DataFrame:
@@ -304,7 +314,7 @@ def placed(numbered_pieces: DataFrame, rules: list[tuple], name: str) -> DataFra
     There are at most ``capacity`` lengths, GROUPS slots in each of as many configurations, and for
     every length ``capacity`` classes of room, so with 1024 a million rules of 48 bytes if all occur.
     """
-    table = F.broadcast(numbered_pieces.sparkSession.createDataFrame(rules, RULES))
+    table = F.broadcast(local_rows(numbered_pieces.sparkSession, rules, RULES))
     number = F.col("number")
     found = numbered_pieces.join(table, "length").where((number >= F.col("first")) & (number < F.col("last")))
     copy = F.floor((number - F.col("first") + F.col("done")) / F.col("each"))
@@ -331,7 +341,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Data
         starts.append((room, before))
         before += rooms[room]
     spark = cut.sparkSession
-    starts_ = F.broadcast(spark.createDataFrame(starts, "room long, before long"))  # a row per room
+    starts_ = F.broadcast(local_rows(spark, starts, ["room", "before"]))  # a row per room
     sequences = numbered(rooms_, "room", "plan", before, "at").join(starts_, "room")
     sequences = sequences.select("plan", (F.col("before") + F.col("at")).alias("sequence_id"))
 

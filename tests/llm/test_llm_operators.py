@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import math
+import re
+import sys
 import unicodedata
 import zlib
 
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from heedline.llm import bpe, chat, langid, linededup, lm, minhash, packing, tokencount, topk, winnow
+from heedline.llm import bpe, chat, common, langid, linededup, lm, minhash, packing, tokencount, topk, winnow
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -658,3 +660,56 @@ def test_word_counts_are_exact_over_the_bound(spark):
 
 def test_language_model_of_nothing(none):
     assert lm.scores(none).collect() == []
+
+
+def test_plain_texts_load_one_vocabulary(monkeypatch):
+    def refuse(path):
+        raise AssertionError("a second vocabulary")
+
+    whole = Tokenizer.from_file(BYTE_BPE)
+    monkeypatch.setattr("tokenizers.Tokenizer.from_file", refuse)
+    ids = packing.byte_encoder(BYTE_BPE)
+    plain = ["", "some plain words", "  two  spaces ", "naïve 中文"]
+    expected = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in plain]
+    assert ids(plain) == expected
+    # Strings of special tokens take it.
+    with pytest.raises(AssertionError, match="second"):
+        ids(["before<|endoftext|>"])
+
+
+def test_units_are_not_kept_beyond_a_task():
+    encode = packing.token_ids(BYTE_BPE)
+    encode([["some", "words", "of one task"]])
+    kept = vars(sys.modules["pyspark"])["_heedline_kept"]
+    assert not any(key[0] == "units" for key in kept)
+
+
+def test_rules_need_no_python_worker(spark):
+    numbers = spark.range(6).select(F.lit(4).cast("long").alias("length"), F.col("id").alias("number"), F.col("id").alias("uid"))
+    for rules, expected in (([], []), ([(4, 1, 5, 7, 2, 1)], [(1, 7), (2, 8), (3, 8), (4, 9)])):
+        found = packing.placed(numbers, rules, "plan")
+        assert sorted((r["uid"], r["plan"]) for r in found.collect()) == expected
+        assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+
+
+def test_workers_give_back_what_is_free():
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as file:
+            return int(re.search(r"\nAnonymous:\s+(\d+)", file.read())[1]) / 1024
+
+    held = []
+
+    def run(batches):
+        many = [bytearray(4000) for _ in range(50_000)]
+        # One that stays keeps the heap from shrinking at its end.
+        held.append(many[-1])
+        yield from batches
+        del many
+
+    before = anonymous()
+    for _ in run([None]):
+        pass
+    assert anonymous() - before > 100
+    for _ in common.released(run)([None]):
+        pass
+    assert anonymous() - before < 60
