@@ -12,7 +12,7 @@ from heedline.functions import text
 from heedline.functions.gist import error_is_set
 from heedline.operators.joins import cut_down, lookup_join, only_with, without
 from heedline.session import durable
-from heedline.sources.landing import DAY, DIGEST, MILLIS, ROW, staged
+from heedline.sources.landing import DAY, DIGEST, MILLIS, ROW, picked, staged
 from heedline.sources.standing import DOCUMENT, MESSAGE, Standing
 
 
@@ -116,14 +116,14 @@ def new_deliveries(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """Raw records with an id that is not stored, one per id.
 
     Which ones is settled on (id, feed time, digest, row): the latest delivery, and of equally
-    late ones the one with the greatest digest.  Payloads join those picks afterwards: they stay
-    where they are if the picks are few.  Records that were not staged are staged first.
+    late ones the one with the greatest digest.  Payloads meet those picks afterwards, where they
+    are read (``landing.picked``).  Records that were not staged are staged first.
     """
-    raw = staged(raw, by_day=False)
+    raw = staged(raw, None, 0, False)
     last = F.struct(F.coalesce(F.col("internalDate").try_cast("long"), F.lit(0)).alias("at"), DIGEST, ROW)
     latest = raw.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(last).alias("last"))
     picks = durable(unknown(latest.select("id", F.col(f"last.{ROW}").alias(ROW)), stored), "new-ids")
-    return cut_down(raw, picks, ["id", ROW]).drop(MILLIS, DIGEST, ROW, DAY)
+    return picked(raw, picks).drop(MILLIS, DIGEST, ROW, DAY)
 
 
 def new_ids(listed: DataFrame, stored: DataFrame) -> DataFrame:

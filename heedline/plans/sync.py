@@ -75,13 +75,13 @@ def sync(
 ) -> dict[str, DataFrame | None]:
     """Messages, then attachments, then (given a classifier) the analysis; and the tally.
 
-    ``raw`` is read once, unless it is staged already (``landing.Landing``).
+    ``raw`` is read once, unless it is staged already (``landing.Landing``).  New messages are written
+    once, into the mailbox; ``messages`` reads them there, until unused runs are removed.
     """
-    raw, stored = landing.staged(raw, by_day=days is not None), box.messages.read()
+    raw, stored = landing.staged(raw, None, 0, days is not None), box.messages.read()
     tally = durable(sync_tally(raw, stored, as_of, days), "tally")
     fresh = new_messages(raw, stored, as_of, days)
-    rows = durable(landing.flatten_messages(fresh, F.lit(as_of)), "new-messages")
-    box.save_messages(rows, stored=True)
+    rows = box.add_messages(landing.flatten_messages(fresh, F.lit(as_of)), fresh.count())
     statuses = None
     if bodies is not None:
         refs = attachments.attachment_rows(rows)

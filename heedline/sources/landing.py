@@ -19,6 +19,9 @@ from heedline.sources.runs import Table
 HASH_VERSION = 2
 # What staging adds to a raw record: its time, a digest of all else, a name of the row, its day.
 MILLIS, DIGEST, ROW, DAY = "__millis", "__digest", "__row", "__day"
+# Blocks of 32,768 rows that may go to every task as bits, 4 KB each, so 32 MB of them.
+BROADCAST_BLOCKS = 8_000
+_LOAD, _BLOCK, _BITS = "__load", "__block", "__bits"
 # Years 1 to 9999.
 _FIRST_MILLIS, _LAST_MILLIS = -62_135_596_800_000, 253_402_300_799_999
 # Files that are opened by name, and so pass through the driver, at a time.
@@ -68,7 +71,7 @@ def staged(raw: DataFrame, folder: str | None = None, load: int = 0, by_day: boo
 
     What follows reads columns of Parquet: look-back windows prune by day, and repeats are told
     apart by digests, without a payload being read.  Without ``by_day`` payloads are written where
-    they are read, for those who take all days.
+    they are read, for those who take all days.  Payloads are base64, so files are zstd.
     """
     if MILLIS in raw.columns:
         return raw
@@ -80,9 +83,10 @@ def staged(raw: DataFrame, folder: str | None = None, load: int = 0, by_day: boo
     placed = marked.withColumn(DAY, F.timestamp_millis(within).cast("date"))
     folder = folder or new_folder(raw.sparkSession, "staged")
     if by_day:
-        placed.hint("rebalance", DAY).write.mode("overwrite").partitionBy(DAY).parquet(folder)
+        writer = placed.hint("rebalance", DAY).write.partitionBy(DAY)
     else:
-        placed.write.mode("overwrite").parquet(folder)
+        writer = placed.write
+    writer.mode("overwrite").option("compression", "zstd").parquet(folder)
     return raw.sparkSession.read.schema(placed.schema).parquet(folder)
 
 
@@ -137,6 +141,31 @@ def changed_files(spark: SparkSession, path: str, known: Table) -> DataFrame:
     return durable(fresh, "changed-files")
 
 
+def picked(raw: DataFrame, picks: DataFrame) -> DataFrame:
+    """The rows of staged ``raw`` that ``picks`` lists by id and name (``ROW``), each once; picks are stored.
+
+    Too many for a broadcast list go to every task as bits, one for each row of a load, so that payloads
+    are picked where they are read.  If the picks lie too far apart for that, or names are not unique,
+    rows meet by a shuffle.
+    """
+    n = picks.count()
+    if n <= BROADCAST_KEYS:
+        return cut_down(raw, picks, ["id", ROW], n)
+    number = F.substring_index(ROW, "-", -1).cast("long")
+    blocks, place = {_LOAD: F.substring_index(ROW, "-", 1), _BLOCK: F.bitmap_bucket_number(number)}, F.bitmap_bit_position(number)
+    placed = picks.select(*[value.alias(name) for name, value in blocks.items()], place.alias("place"))
+    if placed.select(*blocks).distinct().count() <= BROADCAST_BLOCKS:
+        # Places are narrower than half-filled blocks of every task.
+        bits = placed.repartition(*blocks).groupBy(*blocks).agg(F.bitmap_construct_agg("place").alias(_BITS))
+        octet = F.conv(F.hex(F.substring(F.col(_BITS), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        met = raw.withColumns(blocks).join(F.broadcast(durable(bits, "picked-rows")), list(blocks))
+        found = met.where(F.getbit(octet, (place % 8).cast("int")) == 1).select(*raw.columns)
+        # All picks are among them.
+        if found.count() == n:
+            return found
+    return cut_down(raw, picks, ["id", ROW], n)
+
+
 def within_days(raw: DataFrame, as_of: Column | str | dt.date, days: int) -> DataFrame:
     """Messages sent on or after ``as_of - days`` (S1); of staged ones only those days are read."""
     day = dates.cutoff(as_of, days)

@@ -219,11 +219,12 @@ class Table:
             placed = placed.unionByName(brought(replaced) if direct else replaced)
         return placed if direct else brought(placed)
 
-    def _add(self, rows: DataFrame, n_rows: int, gone: DataFrame | None) -> None:
+    def _add(self, rows: DataFrame, n_rows: int, gone: DataFrame | None) -> dict:
         number, runs = self._state()
         runs = [*runs, self._write_run(number + 1, number + 1, rows, n_rows, gone)]
         self._commit(number + 1, runs)
         self._merge(number + 2, runs)
+        return runs[-1]
 
     def _merge(self, number: int, runs: list[dict]) -> None:
         """Merge the last runs if they have grown to the size of the one before."""
@@ -249,12 +250,14 @@ class Table:
         n = rows.count()
         self._commit(number, [self._write_run(number, number, rows, n, None)] if n else [])
 
-    def append(self, rows: DataFrame) -> None:
-        """Add rows that hold new keys only, or none."""
+    def append(self, rows: DataFrame, n: int | None = None) -> DataFrame:
+        """Add rows that hold new keys only, or none; returns them as stored, until ``remove_unused``.
+
+        ``n`` is how many they are, where that is known: they are then computed once, as they are written.
+        """
         rows = schemas.align(rows, self.schema)
-        n = rows.count()
-        if n:
-            self._add(rows, n, None)
+        n = rows.count() if n is None else n
+        return self._load(self._add(rows, n, None)["rows"] if n else [])
 
     def upsert(self, rows: DataFrame, order: list[Column]) -> None:
         """Write ``rows`` over the table; the greatest ``order`` of a key wins among them."""

@@ -79,6 +79,14 @@ class Mailbox:
             self.short_ids.take_in(rows.select("id"))
         self._keep_up(items=message_items(fresh))
 
+    def add_messages(self, rows: DataFrame, n: int | None = None) -> DataFrame:
+        """Save ``n`` rows with new ids, each once, as they are read: the run is their one copy, which is returned."""
+        added = self.messages.append(rows, n)
+        if self.short_ids:
+            self.short_ids.take_in(added.select("id"))
+        self._keep_up(items=message_items(added))
+        return added
+
     def save_extractions(self, rows: DataFrame) -> None:
         if not self.standing:
             self.extractions.upsert(rows, extraction_order())

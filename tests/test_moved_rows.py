@@ -1,6 +1,7 @@
 """What moves between tasks: texts and payloads stay where they are read, keys go."""
 
 import base64
+import datetime as dt
 import hashlib
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from heedline.catalog import jobs, nested
 from heedline.catalog.views import Views
 from heedline.operators import joins, pending
+from heedline.plans import sync
 from heedline.session import folder_names
 from heedline.sources import landing, runs, tables
 
@@ -136,3 +138,52 @@ def test_wanted_contents_meet_bodies_by_either_way(spark, folder, most, monkeypa
     assert ("broadcast" in plan(plans[0])) == (most > 0)
     stored = tables.stored_contents(spark, f"{folder}/contents").collect()
     assert sorted((r["path"], r["content_hash"], bytes(r["content"])) for r in stored) == [("/s/p", sha["p"], b"p"), ("/s/q", sha["q"], b"q")]
+
+
+def test_new_messages_are_written_once_into_the_mailbox(spark, folder):
+    v = documents(spark, folder, [*range(12), 2, 3])
+    box = tables.Mailbox(spark, f"{folder}/box", standing=True)
+    raw = nested.raw_messages(v)
+    for more in (raw.where("id < '3'"), raw):
+        done = sync.sync(box, more, None, dt.datetime(2024, 1, 31, 12), None)
+        assert done["messages"].inputFiles() and all(f"{folder}/box/messages/" in path for path in done["messages"].inputFiles())
+    assert sorted(r["id"] for r in done["messages"].select("id").collect()) == sorted("3456789")
+    stored = [r["id"] for r in box.messages.read().select("id").collect()]
+    assert sorted(stored, key=int) == [str(i) for i in range(12)]
+    assert box.standing.open(tables.MESSAGE).count() == 12
+
+
+def staged_rows(spark, folder) -> tuple:
+    """Staged rows of two loads and picks on both sides of a block's end."""
+    loads = spark.range(0, 70_000, 1, 2).crossJoin(spark.createDataFrame([(0,), (11,)], "load int")).repartition(3)
+    named = loads.select(F.col("id").cast("string").alias("id"), F.concat_ws("-", "load", "id").alias(landing.ROW), F.repeat(F.lit("x"), 20).alias("payload"))
+    named.write.parquet(f"{folder}/staged")
+    picks = [(n, load) for n in (0, 1, 2, 7, 8, 9, 255, 256, 32767, 32768, 32769, 32770, 65536, 65537, 69999) for load in (0, 11) if (n + load) % 3]
+    rows = [(str(n), f"{load}-{n}") for n, load in picks]
+    spark.createDataFrame(rows, f"id string, {landing.ROW} string").write.parquet(f"{folder}/picks")
+    return spark.read.parquet(f"{folder}/staged"), spark.read.parquet(f"{folder}/picks"), sorted(rows)
+
+
+@pytest.mark.parametrize("blocks, moved", [(10, False), (0, True)])
+def test_picks_meet_payloads_where_they_are_read(spark, folder, blocks, moved, monkeypatch):
+    staged, picks, wanted = staged_rows(spark, folder)
+    monkeypatch.setattr(landing, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(landing, "BROADCAST_BLOCKS", blocks)
+    found = landing.picked(staged, picks)
+    assert found.columns == staged.columns and sorted(tuple(r) for r in found.select("id", landing.ROW).collect()) == wanted
+    assert ("strategy=merge" in plan(found), "strategy=broadcast" in plan(found)) == (moved, not moved)
+    # Names that are not unique do not bring in other rows.
+    other = staged.unionByName(staged.withColumn("id", F.concat(F.lit("o"), "id")))
+    assert sorted(tuple(r) for r in landing.picked(other, picks).select("id", landing.ROW).collect()) == wanted
+
+
+def test_deliveries_beyond_a_broadcast_list_stay_where_they_are_staged(spark, folder, monkeypatch):
+    monkeypatch.setattr(landing, "BROADCAST_KEYS", 2)
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", 2)
+    v = documents(spark, folder, range(20))
+    raw = nested.raw_messages(v)
+    fresh = pending.new_deliveries(raw.unionByName(raw), raw.where("id < '15'").select("id"))
+    assert "strategy=merge" not in plan(fresh)
+    assert sorted(int(r["id"]) for r in fresh.select("id").collect()) == [2, 3, 4, 5, 6, 7, 8, 9, 15, 16, 17, 18, 19]
+    assert all(".zstd." in path for path in fresh.inputFiles() if "/staged-" in path)
