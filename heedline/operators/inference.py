@@ -10,6 +10,7 @@ and ``error``.  Spark decides how the rows are spread, and every distinct conten
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from heedline.functions.gist import blocked_gist, failure_gist, parse_gist, usab
 from heedline.functions.text import filled, let
 from heedline.operators import attempts as worker_side
 from heedline.operators.attempts import KEPT_COLUMNS, Classify, call_in_batches
-from heedline.operators.joins import cut_down, lookup_join
+from heedline.operators.joins import BROADCAST_KEYS, cut_down, lookup_join
 from heedline.operators.keyed import first_per_key
 from heedline.operators.weeks import compute_once
 from heedline.session import durable
@@ -38,6 +39,7 @@ Contents = DataFrame | Callable[[DataFrame], DataFrame]
 BATCH_COLUMNS = ["content_hash", "type", "text", "content", "path", "subject", "sender", "label", "message_id", "date"]
 # Calls are slow: no more rows than this to one task.
 ROWS_PER_CALL_TASK = 1000
+_OF = "__of"
 _CALL_SCHEMA = ", ".join(f"{c} string" for c in [*KEPT_COLUMNS, "outcome", "reply", "call_error"])
 
 
@@ -90,33 +92,43 @@ def call(
 
     ``texts`` has (message_id, text) for messages, ``contents`` (content_hash, content) for
     documents, or is a function that gives these for a table of wanted hashes.  Both are cut down
-    to the rows that are sent where they are read, so no other text or byte moves.  Messages and
-    documents are apart for that: documents have no message_id and would all meet on NULL.  The
-    rows are then spread over a number of tasks that follows from rows and cores, which adaptive
-    execution leaves alone.
+    to the rows that are sent where they are read, so no other text or byte moves; for more rows than
+    are broadcast all of them move.  The rows are spread over a number of tasks that follows from rows
+    and cores, which adaptive execution leaves alone, and texts and bytes meet them in these tasks, so
+    that each moves once.  Messages go by their id, documents by their hash.
     """
-    misses = durable(misses, "misses")
-    rows = misses.count()
+    misses = durable(misses.where(F.col("type").isNotNull()), "misses")
     document = F.col("type") == "pdf"
-    mails = misses.where(~document).withColumn("content", F.lit(None).cast("binary"))
-    documents = misses.where(document).withColumn("text", F.lit(None).cast("string"))
-    if texts is None:
-        mails = mails.withColumn("text", F.lit(None).cast("string"))
-    else:
-        ids = mails.select("message_id").where(F.col("message_id").isNotNull()).distinct()
-        mails = mails.join(cut_down(texts, ids, ["message_id"], rows), "message_id", "left")
-    if contents is None:
-        documents = documents.withColumn("content", F.lit(None).cast("binary"))
-    else:
-        hashes = documents.select("content_hash").distinct()
-        found = contents(hashes) if callable(contents) else cut_down(contents, hashes, ["content_hash"], rows)
-        documents = documents.join(found.select("content_hash", "content"), "content_hash", "left")
-    batch = mails.select(*BATCH_COLUMNS).unionByName(documents.select(*BATCH_COLUMNS))
     if partitions is None:
-        cores = misses.sparkSession.sparkContext.defaultParallelism
+        rows, cores = misses.count(), misses.sparkSession.sparkContext.defaultParallelism
         partitions = max(1, min(rows, 2 * cores), -(-rows // ROWS_PER_CALL_TASK))
-    spread = batch.repartition(partitions, "content_hash")
-    return spread.mapInPandas(call_in_batches(classify, attempts, delay), _CALL_SCHEMA)
+    of_message, of_document = F.concat(F.lit("m"), "message_id"), F.concat(F.lit("d"), "content_hash")
+    # Messages without an id have no text and are spread by their hash.
+    own = F.coalesce(F.when(document, of_document).otherwise(of_message), F.concat(F.lit("n"), "content_hash"))
+    batch = misses.withColumn(_OF, own).repartition(partitions, _OF)
+    no_text, no_content = F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("content")
+    found = []
+    if texts is not None:
+        ids = misses.where(~document & F.col("message_id").isNotNull()).select("message_id").distinct()
+        found.append(_sent(texts, ids, "message_id").select(of_message.alias(_OF), "text", no_content))
+    if contents is not None:
+        hashes = misses.where(document).select("content_hash").distinct()
+        given = contents(hashes) if callable(contents) else _sent(contents, hashes, "content_hash")
+        found.append(given.select(of_document.alias(_OF), no_text, "content"))
+    if found:
+        met = reduce(DataFrame.unionByName, found).where(F.col(_OF).isNotNull())
+        # A join has the session's number of partitions at least.
+        batch = batch.join(met.repartition(partitions, _OF), _OF, "left").coalesce(partitions)
+    else:
+        batch = batch.withColumns({"text": no_text, "content": no_content})
+    sent = batch.select(*BATCH_COLUMNS)
+    return sent.mapInPandas(call_in_batches(classify, attempts, delay), _CALL_SCHEMA)
+
+
+def _sent(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Texts or bytes that are wanted, if they can be picked where they are read; else all."""
+    n = wanted.count()
+    return cut_down(rows, wanted, [key], n) if n <= BROADCAST_KEYS else rows
 
 
 def call_outcomes(

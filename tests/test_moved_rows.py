@@ -5,13 +5,14 @@ import datetime as dt
 import hashlib
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heedline.catalog import jobs, nested
 from heedline.catalog.views import Views
-from heedline.operators import joins, pending
+from heedline.operators import inference, joins, pending
 from heedline.plans import sync
 from heedline.session import folder_names
 from heedline.sources import landing, runs, tables
@@ -187,3 +188,42 @@ def test_deliveries_beyond_a_broadcast_list_stay_where_they_are_staged(spark, fo
     assert "strategy=merge" not in plan(fresh)
     assert sorted(int(r["id"]) for r in fresh.select("id").collect()) == [2, 3, 4, 5, 6, 7, 8, 9, 15, 16, 17, 18, 19]
     assert all(".zstd." in path for path in fresh.inputFiles() if "/staged-" in path)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_texts_and_bytes_move_once_to_their_calls(spark, folder, most, monkeypatch):
+    def echoed(batch: pd.DataFrame) -> pd.DataFrame:
+        """What a row was sent with."""
+        content = batch["content"].map(lambda b: None if b is None else bytes(b).decode())
+        return pd.DataFrame({"status": "ok", "text": batch["text"].fillna("-") + "/" + content.fillna("-"), "error": None}, index=batch.index)
+
+    for module in (inference, joins):
+        monkeypatch.setattr(module, "BROADCAST_KEYS", most)
+    texts = [(str(i), f"text {i}") for i in range(20)] + [(None, "of nobody"), ("h1", "like a hash")]
+    contents = [("h1", b"one"), ("h2", b"two"), ("3", b"like an id"), (None, b"of nothing")]
+    for name, rows, schema in (("texts", texts, "message_id string, text string"), ("contents", contents, "content_hash string, content binary")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}")
+    mails = [("email", i, f"m{i}") for i in ("1", "3", "99", None)]
+    rows = [*mails, ("email", None, "other"), ("pdf", None, "h1"), ("pdf", "3", "h2"), ("pdf", None, "lost"), (None, "1", "no kind")]
+    missing = [F.lit(None).cast("string").alias(c) for c in ("path", "subject", "sender", "label", "date")]
+    tasks = spark.createDataFrame(rows, "type string, message_id string, content_hash string").select("*", *missing)
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = inference.call(tasks, echoed, read("texts"), read("contents"), 3, 1, 0.0)
+        lines = sent._jdf.queryExecution().executedPlan().toString().splitlines()
+        moved = 0
+        for line in [n for n, x in enumerate(lines) if "FileScan" in x and f"{folder}/texts" in x]:
+            depth = lines[line].index("FileScan")
+            for x in reversed(lines[:line]):
+                at = len(x) - len(x.lstrip(" :+-"))
+                if at < depth:
+                    depth, moved = at, moved + ("Exchange hashpartitioning" in x)
+        assert moved == 1
+        # Rows of one call are in one of the three tasks.
+        got = sorted(map(tuple, sent.select("content_hash", "reply").collect()))
+        assert sent.rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([("m1", "text 1/-"), ("m3", "text 3/-"), ("m99", "-/-"), ("mNone", "-/-"), ("other", "-/-"), ("h1", "-/one"), ("h2", "-/two"), ("lost", "-/-")])
